@@ -62,7 +62,6 @@ def texts_as_bytes(column: pa.Array) -> list[bytes]:
 def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of the batches with at most ``most`` bytes of text each (one longer text is a block of its own)."""
     for batch in batches:
-        lens = np.fromiter((len(x) if x is not None else 0 for x in []), dtype=np.int64)
         col = batch.column(batch.schema.get_field_index(text))
         lens = pa.compute.fill_null(pa.compute.binary_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         start, held = 0, 0
