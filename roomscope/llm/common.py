@@ -47,9 +47,13 @@ def input_bytes(df: DataFrame) -> int:
 
 
 def shard_count(df: DataFrame, per_shard: int = 8 << 20, least: int = 64) -> int:
-    """Shards that keep one shard's packed arrays small however large the input is."""
+    """Shards that keep one shard's packed arrays small however large the input is.
+
+    Where the size isn't known (no files below, or a join's guess), a partition is taken to hold at most 64 MB.
+    """
     spark = df.sparkSession
-    return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(input_bytes(df) / per_shard))
+    size = min(input_bytes(df), df.rdd.getNumPartitions() * (64 << 20))
+    return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / per_shard))
 
 
 def texts_as_bytes(column: pa.Array) -> list[bytes]:
