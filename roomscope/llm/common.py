@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,7 +68,7 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 4
     """Slices of the batches with at most ``most`` bytes of text each (one longer text is a block of its own)."""
     for batch in batches:
         col = batch.column(batch.schema.get_field_index(text))
-        lens = pa.compute.fill_null(pa.compute.binary_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        lens = pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         start, held = 0, 0
         for i, n in enumerate(lens.tolist()):
             if held and held + n > most:

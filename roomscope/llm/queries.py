@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html, licences, quality, shards, suffixes, topk
+from . import decontaminate, html, jaccard, licences, quality, shards, suffixes, topk
 from .common import table
 from .pieces import piece_digests
 
@@ -31,6 +31,10 @@ def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_groups(table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
 def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.main_texts(table(spark, sf_dir, "pages"))
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_licences": op2_licences,
     "op3_topk": op3_topk,
+    "op4_ngram_join": op4_ngram_join,
     "op5_html": op5_html,
     "op6_quality": op6_quality,
     "op7_shards": op7_shards,

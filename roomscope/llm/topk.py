@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,7 +34,7 @@ def _digits(batch: pa.RecordBatch, width: int) -> np.ndarray:
     """floor(64 x) of a batch as float64 rows, exact integers."""
     lists = batch.column(batch.schema.get_field_index("embedding"))
     flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    lens = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False)
+    lens = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
     out = np.zeros((len(lens), width))
     row = np.repeat(np.arange(len(lens)), lens)
     col = np.arange(len(flat)) - np.repeat(np.cumsum(lens) - lens, lens)
