@@ -97,6 +97,10 @@ class Blocks:
     def emit(self, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
         return self.table.select("block", "row", "doc_id", "text").mapInArrow(fn, PACKED)
 
+    def emit_whole(self, fn: Callable[[pa.Table], pa.Table], *more: str) -> DataFrame:
+        """As emit(), but fn gets a whole block, as with_answers() does; no shuffle, the table is bucketed by block."""
+        return self.table.select("block", "row", "doc_id", "text", *more).groupBy("block").applyInArrow(fn, PACKED)
+
     def answer(self, sent: DataFrame, fn: Callable[[list[tuple[int, bytes]]], Iterable[tuple[int, bytes]]]) -> DataFrame:
         """Each shard sees its (block, payload) rows and returns (block, payload) answers."""
 
