@@ -1,10 +1,655 @@
-"""All registered queries and their oracle statements."""
+"""All registered queries of the scene engine and their oracle statements."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from roomscope.functions import geometry as g
+from roomscope.operators import evaluate, graph, legacy, masks, reason, relations
+from roomscope.operators.joins import with_surfaces
+from roomscope.plans import projection as p
+from roomscope.sources import scenes
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+ES = f"WITH {p.ENTITY_SQL}, {p.SURFACE_SQL}"
+M = f"WITH {p.MASK_SQL}"
+
+
+def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
+    def add(fn: Query) -> Query:
+        QUERIES[name] = fn
+        if oracle:
+            ORACLES[name] = oracle
+        return fn
+
+    return add
+
+
+def scene(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    e = p.entities(spark, d)
+    return e, p.surfaces(e)
+
+
+# ---- pairwise relations ---------------------------------------------------------------------------------------------------------
+
+EID = "'e_' || substr(sha256({}), 1, 16)"
+PAIR = """pair AS (SELECT a.scene_id, a.uid AS au, b.uid AS bu, a.ordinal AS ao, b.ordinal AS bo, a.cx - b.cx AS dx, a.cy - b.cy AS dy, a.cz - b.cz AS dz,
+  sqrt((a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy) + (a.cz - b.cz) * (a.cz - b.cz)) AS dist,
+  sqrt(greatest(0, a.lx - b.hx, b.lx - a.hx) * greatest(0, a.lx - b.hx, b.lx - a.hx) + greatest(0, a.ly - b.hy, b.ly - a.hy) * greatest(0, a.ly - b.hy, b.ly - a.hy)
+     + greatest(0, a.lz - b.hz, b.lz - a.hz) * greatest(0, a.lz - b.hz, b.lz - a.hz)) AS gap
+  FROM entity a JOIN entity b ON a.scene_id = b.scene_id AND a.ordinal <> b.ordinal),
+dom AS (SELECT *, CASE WHEN abs(dx) >= abs(dy) AND abs(dx) >= abs(dz) THEN 'x' WHEN abs(dy) >= abs(dz) THEN 'y' ELSE 'z' END AS axis,
+  CASE WHEN abs(dx) >= abs(dy) AND abs(dx) >= abs(dz) THEN dx WHEN abs(dy) >= abs(dz) THEN dy ELSE dz END AS delta FROM pair)"""
+EP = f"{ES}, {PAIR}"
+SPARSE = """sparse AS (SELECT scene_id, CASE axis WHEN 'x' THEN 'LEFT_OF' WHEN 'y' THEN 'BEHIND' ELSE 'ABOVE' END AS type,
+  CASE WHEN (axis = 'z' AND delta > 0) OR (axis <> 'z' AND delta < 0) THEN au ELSE bu END AS src_uid, CASE WHEN (axis = 'z' AND delta > 0) OR (axis <> 'z' AND delta < 0) THEN bu ELSE au END AS tgt_uid, dist
+  FROM dom WHERE ao < bo AND dist <= 2.5 AND abs(delta) >= 0.5)"""
+NEAR = "near AS (SELECT scene_id, 'NEAR' AS type, au AS src_uid, bu AS tgt_uid, dist FROM pair WHERE ao < bo AND dist < 1.0)"
+
+
+def _id(extractor: str, version: str, kind: str, src: str, tgt: str, tgt_kind: str = "entity") -> str:
+    return EID.format(f"'{extractor}|{version}|entity:' || {src} || '|' || {kind} || '|{tgt_kind}:' || {tgt}")
+
+
+@query("directional_compat", f"""{EP} SELECT scene_id, type, count(*) AS n, min(src_uid || tgt_uid) AS least, max(src_uid || tgt_uid) AS greatest FROM (
+  SELECT scene_id, CASE WHEN axis = 'x' THEN CASE WHEN delta < 0 THEN 'LEFT_OF' ELSE 'RIGHT_OF' END WHEN axis = 'y' THEN CASE WHEN delta < 0 THEN 'BEHIND' ELSE 'IN_FRONT_OF' END
+    ELSE CASE WHEN delta < 0 THEN 'BELOW' ELSE 'ABOVE' END END AS type, au AS src_uid, bu AS tgt_uid FROM dom WHERE abs(delta) >= 0.3) GROUP BY scene_id, type""")
+def _(s, d):
+    e = relations.directional_compat(p.entities(s, d))
+    return e.groupBy("scene_id", "type").agg(F.count(F.lit(1)).alias("n"), F.min(F.concat("src_uid", "tgt_uid")).alias("least"), F.max(F.concat("src_uid", "tgt_uid")).alias("greatest"))
+
+
+@query("directional_sparse", f"{EP}, {SPARSE} SELECT scene_id, type, src_uid, tgt_uid, dist, {_id('directional', '0.1', 'type', 'src_uid', 'tgt_uid')} AS edge_id FROM sparse")
+def _(s, d):
+    return relations.directional_sparse(p.entities(s, d)).drop("tgt_kind")
+
+
+@query("directional_rejections", f"""{EP} SELECT scene_id, 'LEFT_OF' AS type, reason, count(*) AS n FROM (SELECT scene_id, CASE WHEN dist > 2.5 THEN 'distance' WHEN abs(delta) < 0.5 THEN 'no_dominant_axis' END AS reason
+  FROM dom WHERE ao < bo) WHERE reason IS NOT NULL GROUP BY ALL""")
+def _(s, d):
+    return relations.directional_rejections(p.entities(s, d)).where("n > 0")
+
+
+@query("near_compat", f"{EP} SELECT scene_id, 'NEAR' AS type, au AS src_uid, bu AS tgt_uid, dist, {_id('proximity', '0.1', chr(39) + 'NEAR' + chr(39), 'au', 'bu')} AS edge_id FROM pair WHERE dist < 1.0")
+def _(s, d):
+    return relations.near_compat(p.entities(s, d)).drop("tgt_kind")
+
+
+@query("near_sparse_v1", f"{EP}, {NEAR} SELECT * FROM near")
+def _(s, d):
+    return relations.near_sparse(p.entities(s, d)).drop("tgt_kind", "edge_id")
+
+
+@query("near_sparse_v2", f"{EP} SELECT scene_id, 'NEAR' AS type, au AS src_uid, bu AS tgt_uid, gap AS dist, {_id('proximity', '0.2-sparse_v2', chr(39) + 'NEAR' + chr(39), 'au', 'bu')} AS edge_id FROM pair WHERE ao < bo AND gap < 0.5")
+def _(s, d):
+    return relations.near_sparse_v2(p.entities(s, d)).drop("tgt_kind")
+
+
+def sparse_edges(s, d):
+    e = p.entities(s, d)
+    cols = ["scene_id", "type", "src_uid", "tgt_kind", "tgt_uid", "edge_id"]
+    return relations.directional_sparse(e).select(*cols).unionByName(relations.near_sparse(e).select(*cols))
+
+
+STORED = f"{SPARSE}, {NEAR}, stored AS (SELECT * FROM sparse UNION ALL SELECT * FROM near)"
+
+
+@query("logical_edge_count", f"{EP}, {STORED} SELECT scene_id, count(*) AS logical_edges FROM (SELECT DISTINCT scene_id, type, CASE WHEN type = 'NEAR' THEN least(src_uid, tgt_uid) ELSE src_uid END, CASE WHEN type = 'NEAR' THEN greatest(src_uid, tgt_uid) ELSE tgt_uid END FROM stored) GROUP BY scene_id")
+def _(s, d):
+    return graph.logical_count(sparse_edges(s, d))
+
+
+@query("density_per_scene", f"{EP}, {STORED}, n AS (SELECT scene_id, count(*) AS entities FROM entity GROUP BY scene_id), k AS (SELECT scene_id, count(*) AS logical_edges FROM stored GROUP BY scene_id) SELECT n.scene_id, entities, coalesce(logical_edges, 0) AS logical_edges, coalesce(logical_edges, 0) / entities AS density, coalesce(logical_edges, 0) / entities <= 14 AS within FROM n LEFT JOIN k USING (scene_id)")
+def _(s, d):
+    return graph.density(sparse_edges(s, d), p.entities(s, d))
+
+
+@query("graph_violations", f"{ES} SELECT scene_id, 'none' AS what, uid AS ref FROM entity WHERE false")
+def _(s, d):
+    return graph.violations(sparse_edges(s, d), p.entities(s, d))
+
+
+# ---- surfaces -------------------------------------------------------------------------------------------------------------------
+
+JUDGE = """pl AS (SELECT e.*, s.suid, s.stype, s.a, s.b, s.c, s.d, s.plx, s.ply, s.plz, s.phx, s.phy, s.phz, s.ordinal AS so,
+  a * CASE WHEN a > 0 THEN e.lx ELSE e.hx END + b * CASE WHEN b > 0 THEN e.ly ELSE e.hy END + c * CASE WHEN c > 0 THEN e.lz ELSE e.hz END + d AS sd_min,
+  a * CASE WHEN a > 0 THEN e.hx ELSE e.lx END + b * CASE WHEN b > 0 THEN e.hy ELSE e.ly END + c * CASE WHEN c > 0 THEN e.hz ELSE e.lz END + d AS sd_max,
+  a * e.cx + b * e.cy + c * e.cz + d AS sd_mid,
+  CASE WHEN a <> 0 THEN 0 ELSE greatest(0, plx - e.hx, e.lx - phx) END AS gx, CASE WHEN b <> 0 THEN 0 ELSE greatest(0, ply - e.hy, e.ly - phy) END AS gy, CASE WHEN c <> 0 THEN 0 ELSE greatest(0, plz - e.hz, e.lz - phz) END AS gz
+  FROM entity e JOIN surface s ON e.scene_id = s.scene_id),
+j AS (SELECT *, sqrt(gx * gx + gy * gy + gz * gz) AS flat_gap, CASE WHEN sd_min <= 0 AND sd_max >= 0 THEN 0 WHEN sd_min > 0 THEN sd_min ELSE -sd_max END AS plane_gap FROM pl),
+rest AS (SELECT *, c >= 0.866 AND sd_mid >= 0 AND sd_min <= 0.02 AND sd_min >= -0.03 AND flat_gap <= 0 AS ok FROM j),
+wallc AS (SELECT *, array_to_string(list_filter([CASE WHEN abs(c) > 0.5 THEN 'wall_capable' END, CASE WHEN sd_mid < 0 THEN 'on_interior_side' END, CASE WHEN sd_min > 0.02 OR sd_min < -0.02 THEN 'contact' END, CASE WHEN flat_gap > 0 THEN 'footprint_ok' END], lambda x: x IS NOT NULL), ',') AS failed FROM j)"""
+EJ = f"{ES}, {JUDGE}"
+LIMIT = "CASE stype WHEN 'floor' THEN 0.05 WHEN 'wall' THEN 0.30 ELSE 0.10 END"
+
+
+@query("near_surface_plane", f"{EJ} SELECT scene_id, uid AS src_uid, suid AS tgt_uid, plane_gap AS dist FROM j WHERE plane_gap <= {LIMIT}")
+def _(s, d):
+    return relations.near_surface(*scene(s, d)).select("scene_id", "src_uid", "tgt_uid", "dist")
+
+
+@query("near_surface_polygon", f"{EJ} SELECT scene_id, uid AS src_uid, suid AS tgt_uid, sqrt(plane_gap * plane_gap + flat_gap * flat_gap) AS dist FROM j WHERE sqrt(plane_gap * plane_gap + flat_gap * flat_gap) <= {LIMIT}")
+def _(s, d):
+    return relations.near_surface(*scene(s, d), polygon=True).select("scene_id", "src_uid", "tgt_uid", "dist")
+
+
+def _short_surfaces(s, d):
+    """Surfaces whose polygons are cut to their lower half in x, so that clipping shows."""
+    e, w = scene(s, d)
+    return e, w.withColumn("phx", (F.col("plx") + F.col("phx")) / 2)
+
+
+@query("polygon_clip_flips", f"{ES}, half AS (SELECT * REPLACE ((plx + phx) / 2 AS phx) FROM surface), {JUDGE.replace('JOIN surface s', 'JOIN half s')} SELECT scene_id, uid AS src_uid, suid AS tgt_uid FROM j WHERE plane_gap <= {LIMIT} AND sqrt(plane_gap * plane_gap + flat_gap * flat_gap) > {LIMIT}")
+def _(s, d):
+    e, w = _short_surfaces(s, d)
+    keys = ["scene_id", "src_uid", "tgt_uid"]
+    return relations.near_surface(e, w).select(*keys).join(relations.near_surface(e, w, polygon=True), keys, "left_anti")
+
+
+@query("on_surface", f"{EJ} SELECT scene_id, uid AS src_uid, suid AS tgt_uid, {_id('on_surface', '0.1', chr(39) + 'ON_SURFACE' + chr(39), 'uid', 'suid', 'surface')} AS edge_id FROM rest WHERE ok")
+def _(s, d):
+    return relations.on_surface(*scene(s, d)).select("scene_id", "src_uid", "tgt_uid", "edge_id")
+
+
+@query("contacts_surface", f"{EJ} SELECT scene_id, uid AS src_uid, suid AS tgt_uid FROM wallc WHERE stype = 'wall' AND failed = ''")
+def _(s, d):
+    return relations.contacts_surface(*scene(s, d)).select("scene_id", "src_uid", "tgt_uid")
+
+
+@query("contact_rejection_reasons", f"{EJ} SELECT scene_id, CASE WHEN stype <> 'wall' THEN 'surface_type_not_wall' ELSE 'wall_contact_clauses_failed' END AS reason, CASE WHEN stype <> 'wall' THEN '' ELSE failed END AS clauses, count(*) AS n FROM wallc WHERE NOT (stype = 'wall' AND failed = '') GROUP BY ALL")
+def _(s, d):
+    return relations.contact_rejections(*scene(s, d))
+
+
+@query("room_scale_flat", f"{ES}, ext AS (SELECT scene_id, (max(phx) - min(plx)) * (max(phy) - min(ply)) AS area FROM surface WHERE stype = 'wall' GROUP BY scene_id) SELECT scene_id, uid, (hx - lx) * (hy - ly) / area AS share, (hx - lx) * (hy - ly) / area >= 0.6 AND hz - lz <= 0.2 AS flat FROM entity JOIN ext USING (scene_id)")
+def _(s, d):
+    e, w = scene(s, d)
+    both = e.alias("e").join(relations.wall_extent(w).alias("x"), "scene_id")
+    return both.select("scene_id", "e.uid", (g.footprint("e") / F.col("area")).alias("share"), g.room_scale_flat("e", F.col("area")).alias("flat"))
+
+
+@query("subset_law_violations", f"{ES} SELECT scene_id, uid AS src_uid, uid AS tgt_uid, 'x' AS law FROM entity WHERE false")
+def _(s, d):
+    e, w = scene(s, d)
+    keys = ["scene_id", "src_uid", "tgt_uid"]
+    near = relations.near_surface(e, w, polygon=True).select(*keys)
+    a = relations.contacts_surface(e, w).select(*keys).join(near, keys, "left_anti").withColumn("law", F.lit("contacts"))
+    return a.unionByName(relations.on_surface(e, w).select(*keys).join(near, keys, "left_anti").withColumn("law", F.lit("on_surface")))
+
+
+@query("box_plane_distances", f"{EJ} SELECT scene_id, uid, suid, sd_min, sd_max, sd_mid, plane_gap, flat_gap FROM j")
+def _(s, d):
+    low, high = g.corner_distances("e", "s")
+    return with_surfaces(*scene(s, d)).select("scene_id", F.col("e.uid").alias("uid"), F.col("s.suid").alias("suid"), low.alias("sd_min"), high.alias("sd_max"), g.point_plane(F.col("e.cx"), F.col("e.cy"), F.col("e.cz"), "s").alias("sd_mid"), g.box_plane("e", "s").alias("plane_gap"), g.in_plane_gap("e", "s").alias("flat_gap"))
+
+
+# ---- support and attachment -----------------------------------------------------------------------------------------------------
+
+OK9 = "('table','desk','chair','stool','bench','shelf','sofa','plant-stand','counter')"
+TOPS = """top_rest AS (SELECT a.scene_id, a.uid AS src_uid, b.uid AS tgt_uid, b.class AS owner FROM entity a JOIN entity b ON a.scene_id = b.scene_id AND a.uid <> b.uid
+  WHERE a.class NOT IN {0} AND b.class IN {0} AND a.cz - b.hz >= 0 AND a.lz - b.hz <= 0.02 AND a.lz - b.hz >= -0.03 AND a.lx <= b.hx AND b.lx <= a.hx AND a.ly <= b.hy AND b.ly <= a.hy)""".format(OK9)
+FLOOR = "floors AS (SELECT scene_id, uid, min(sd_min) AS floor_gap FROM j WHERE stype = 'floor' AND sd_mid >= 0 AND flat_gap <= 0 GROUP BY scene_id, uid)"
+
+
+@query("entity_tops", f"{ES} SELECT scene_id, 'ent_surf_' || uid || '_top' AS suid, uid AS owner_uid, class AS owner_class, -hz AS d, lx AS plx, hy AS phy FROM entity WHERE class IN {OK9}")
+def _(s, d):
+    return relations.entity_tops(p.entities(s, d)).select("scene_id", "suid", "owner_uid", "owner_class", "d", "plx", "phy")
+
+
+@query("on_entity_surface", f"{ES}, {TOPS} SELECT scene_id, src_uid, tgt_uid FROM top_rest")
+def _(s, d):
+    return relations.on_entity_surface(p.entities(s, d)).select("scene_id", "src_uid", "tgt_uid")
+
+
+@query("on_entity_surface_v2", f"""{EJ}, {TOPS}, {FLOOR}, cand AS (SELECT a.scene_id, a.uid AS src_uid, b.uid AS tgt_uid, (b.hx - b.lx) * (b.hy - b.ly) AS f FROM entity a JOIN entity b ON a.scene_id = b.scene_id AND a.uid <> b.uid
+  WHERE b.class IN {OK9} AND a.cx BETWEEN b.lx AND b.hx AND a.cy BETWEEN b.ly AND b.hy AND (a.hx - a.lx) * (a.hy - a.ly) <= 0.5 * ((b.hx - b.lx) * (b.hy - b.ly)) AND a.lz BETWEEN b.lz AND b.hz + 0.02
+  AND NOT EXISTS (SELECT 1 FROM floors x WHERE x.scene_id = a.scene_id AND x.uid = a.uid AND floor_gap <= 0.02)),
+small AS (SELECT * FROM cand QUALIFY row_number() OVER (PARTITION BY scene_id, src_uid ORDER BY f, tgt_uid) = 1)
+SELECT scene_id, src_uid, tgt_uid, 'top' AS rule FROM top_rest UNION ALL SELECT scene_id, src_uid, tgt_uid, 'contained' FROM small ANTI JOIN top_rest USING (scene_id, src_uid, tgt_uid)""")
+def _(s, d):
+    return relations.on_entity_surface_v2(*scene(s, d))
+
+
+@query("floor_support", f"{EJ}, {FLOOR} SELECT scene_id, uid, floor_gap, floor_gap <= 0.02 AS supported FROM floors")
+def _(s, d):
+    return relations.floor_support(*scene(s, d))
+
+
+@query("attached_to", f"{EJ}, {FLOOR} SELECT w.scene_id, w.uid AS src_uid, suid AS tgt_uid FROM wallc w LEFT JOIN floors f USING (scene_id, uid) WHERE stype = 'wall' AND failed = '' AND NOT coalesce(floor_gap <= 0.02, false)")
+def _(s, d):
+    return relations.attached_to(*scene(s, d)).select("scene_id", "src_uid", "tgt_uid")
+
+
+@query("attached_to_v2", f"""{EJ} SELECT w.scene_id, w.uid AS src_uid, suid AS tgt_uid, CASE WHEN NOT (sd_mid >= 0 AND sd_min <= 0.12 AND sd_min >= -0.12 AND flat_gap <= 0) THEN 'wall_contact_clauses_failed'
+  WHEN abs(a) * (w.hx - w.lx) + abs(b) * (w.hy - w.ly) > 0.35 THEN 'depth_exceeds_max' WHEN w.lz - r.lz < 0.30 AND abs(a) * (w.hx - w.lx) + abs(b) * (w.hy - w.ly) > 0.12 THEN 'low_but_not_thin_panel' END AS reason
+  FROM j w JOIN room r USING (scene_id) WHERE stype = 'wall'""")
+def _(s, d):
+    return relations.attached_to_v2(*scene(s, d))
+
+
+@query("support_view", f"{EJ}, {TOPS} SELECT scene_id, 'surface' AS supporter_kind, suid AS supporter, uid AS supported FROM rest WHERE ok UNION ALL SELECT scene_id, 'entity', tgt_uid, src_uid FROM top_rest")
+def _(s, d):
+    e, w = scene(s, d)
+    return graph.support_view(relations.on_surface(e, w), relations.on_entity_surface(e)).drop("derived_from")
+
+
+# ---- questions ------------------------------------------------------------------------------------------------------------------
+
+ASK = ["What is left of the {}?", "what's  right of {}", "What is above the {}?", "what is under the {}?", "What is behind the {}?", "What is in front of the {}?", "What is near the {}?", "what is next to the {}?", "What is on the {}?", "what is attached to the {}?", "Where is the {}?"]
+NOUNS = [*p.CLASSES, "wall", "floor", "left side of the table"]
+
+
+def questions(s: SparkSession, d: str) -> DataFrame:
+    """Templates times nouns times scenes."""
+    rows = [(f"q{i}_{j}", t.format(n)) for i, t in enumerate(ASK) for j, n in enumerate(NOUNS)] + [("q_against", "What is against the wall?"), ("q_against_2", "what is against the sofa"), ("q_empty", "what is near ?")]
+    q = s.createDataFrame(rows, "question_id string, text string")
+    return q.crossJoin(p.entities(s, d).select("scene_id").distinct())  # a few hundred questions for each scene
+
+
+VALUES = ", ".join("('q{}_{}', '{}')".format(i, j, t.format(n).replace("'", "''")) for i, t in enumerate(ASK) for j, n in enumerate(NOUNS))
+Q = f"""question AS (SELECT * FROM (VALUES {VALUES}, ('q_against', 'What is against the wall?'), ('q_against_2', 'what is against the sofa'), ('q_empty', 'what is near ?')) v(question_id, text), (SELECT DISTINCT scene_id FROM entity)),
+norm AS (SELECT *, lower(regexp_replace(trim(text), '\\s+', ' ', 'g')) AS q FROM question)"""
+
+
+def _compile_sql(support: bool = True, attached: bool = True, nouns: dict[str, str] | None = None) -> str:
+    noun = lambda m: f"trim(regexp_replace(regexp_extract(q, '^what(?:''s| is) {m}(?:the )?(.+?)\\??$', 1), '[.?!]+$', ''))"
+    has = lambda m: f"regexp_matches(q, '^what(?:''s| is) {m}(?:the )?(.+?)\\??$')"
+    row = lambda o, e=None, k=None, a=None, r=None: "{" + f"'o': '{o}', 'e': {_lit(e)}, 'k': {_lit(k)}, 'a': {a or 'NULL'}, 'r': {_lit(r)}" + "}"
+    names = reason.ON_NOUNS if nouns is None else nouns
+    table = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in names.items()) + "}"
+    out = f"WHEN {has('on ')} AND {noun('on ')} = 'floor' THEN {row('compiled', 'SUPPORTS', 'surface', chr(39) + 'floor' + chr(39))} "
+    if support:
+        out += f"WHEN {has('on ')} AND {noun('on ')} IN ({', '.join(_lit(k) for k in names)}) THEN {row('compiled', 'SUPPORTS', 'class', f'{table}[{noun(chr(111) + chr(110) + chr(32))}]')} "
+    out += f"WHEN {has('on ')} THEN {row('out_of_schema', r=reason.DEFERRED_ON)} "
+    if attached:
+        out += f"WHEN {has('attached to ')} AND {noun('attached to ')} = 'wall' THEN {row('compiled', 'ATTACHED_TO', 'surface', chr(39) + 'wall' + chr(39))} "
+    out += f"WHEN {has('attached to ')} THEN {row('out_of_schema', r=reason.DEFERRED_ATTACHED)} WHEN {has('against ')} AND {noun('against ')} = 'wall' THEN {row('compiled', 'CONTACTS_SURFACE', 'surface', chr(39) + 'wall' + chr(39))} "
+    out += f"WHEN {has('against ')} THEN {row('out_of_schema', r=reason.DEFERRED_AGAINST)} WHEN {has('near ')} AND {noun('near ')} = 'wall' THEN {row('compiled', 'NEAR_SURFACE', 'surface', chr(39) + 'wall' + chr(39))} "
+    for m, e in reason.TEMPLATES:
+        out += f"WHEN {has(m)} AND {noun(m)} <> '' THEN {row('compiled', e, 'entity', noun(m))} "
+    return f"compiled AS (SELECT question_id, scene_id, text, p.o AS outcome, p.e AS edge_type, p.k AS anchor_kind, p.a AS anchor, p.r AS reason FROM (SELECT *, CASE {out} ELSE {row('parser_failure')} END AS p FROM norm))"
+
+
+def _lit(x: str | None) -> str:
+    return "NULL::VARCHAR" if x is None else "'" + x.replace("'", "''") + "'"
+
+
+@query("compile_questions", f"{ES}, {Q}, {_compile_sql()} SELECT * FROM compiled")
+def _(s, d):
+    return reason.compile_questions(questions(s, d)).select("question_id", "scene_id", "text", "outcome", "edge_type", "anchor_kind", "anchor", "reason")
+
+
+VARIANTS = {"p6": {"attached": False}, "p5": {"attached": False, "support": False}, "v2": {"nouns": reason.ON_NOUNS_V2}}
+
+
+@query("compile_variants", f"{ES}, {Q} " + " UNION ALL ".join(f"SELECT '{n}' AS variant, outcome, edge_type, count(*) AS n FROM (WITH {_compile_sql(**v)} SELECT * FROM compiled) GROUP BY ALL" for n, v in VARIANTS.items()))
+def _(s, d):
+    out = None
+    for name, v in VARIANTS.items():
+        df = reason.compile_questions(questions(s, d), **v).groupBy("outcome", "edge_type").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("variant"), "outcome", "edge_type", "n")
+        out = df if out is None else out.unionByName(df)
+    return out
+
+
+def _bound(s, d):
+    e, w = scene(s, d)
+    compiled = reason.compile_questions(questions(s, d))
+    stored = sparse_edges(s, d)
+    cols = ["scene_id", "type", "src_uid", "tgt_uid", "edge_id"]
+    walls = relations.near_surface(e, w).select(*cols).unionByName(relations.contacts_surface(e, w).select(*cols)).unionByName(relations.attached_to(e, w).select(*cols)).unionByName(relations.on_surface(e, w).select(*cols))
+    return compiled, reason.bindings(compiled, e, graph.canonical(stored), walls, w, relations.on_entity_surface(e))
+
+
+BOUND = f"""{EJ}, {PAIR}, {STORED}, {TOPS}, {FLOOR}, {Q}, {_compile_sql()},
+canon AS (SELECT scene_id, type, src_uid, tgt_uid FROM stored UNION SELECT scene_id, CASE type WHEN 'LEFT_OF' THEN 'RIGHT_OF' WHEN 'BEHIND' THEN 'IN_FRONT_OF' WHEN 'ABOVE' THEN 'BELOW' ELSE type END, tgt_uid, src_uid FROM stored),
+anchors AS (SELECT scene_id, uid, class AS anchor FROM entity UNION SELECT scene_id, uid, replace(label, '_', ' ') FROM entity),
+wallrel AS (SELECT scene_id, 'NEAR_SURFACE' AS type, uid, stype FROM j WHERE plane_gap <= {LIMIT} UNION SELECT scene_id, 'CONTACTS_SURFACE', uid, stype FROM wallc WHERE stype = 'wall' AND failed = ''
+  UNION SELECT scene_id, 'ATTACHED_TO', uid, stype FROM wallc w LEFT JOIN floors f USING (scene_id, uid) WHERE stype = 'wall' AND failed = '' AND NOT coalesce(floor_gap <= 0.02, false) UNION SELECT scene_id, 'SUPPORTS', uid, stype FROM rest WHERE ok),
+bound AS (SELECT DISTINCT c.question_id, c.scene_id, x.src_uid AS uid FROM compiled c JOIN anchors a ON a.scene_id = c.scene_id AND a.anchor = c.anchor JOIN canon x ON x.scene_id = c.scene_id AND x.type = c.edge_type AND x.tgt_uid = a.uid WHERE c.anchor_kind = 'entity'
+  UNION SELECT c.question_id, c.scene_id, w.uid FROM compiled c JOIN wallrel w ON w.scene_id = c.scene_id AND w.type = c.edge_type AND w.stype = c.anchor WHERE c.anchor_kind = 'surface'
+  UNION SELECT c.question_id, c.scene_id, t.src_uid FROM compiled c JOIN top_rest t ON t.scene_id = c.scene_id AND t.owner = c.anchor WHERE c.anchor_kind = 'class')"""
+
+
+def _binding_query(kinds: list[str]):
+    def run(s, d):
+        compiled, b = _bound(s, d)
+        return b.join(compiled.where(F.col("edge_type").isin(*kinds)).select("question_id", "scene_id"), ["question_id", "scene_id"], "left_semi").select("question_id", "scene_id", "uid")
+
+    return run
+
+
+for _name, _kinds in {"answer_directional": ["LEFT_OF", "RIGHT_OF", "ABOVE", "BELOW", "BEHIND", "IN_FRONT_OF"], "answer_near": ["NEAR"], "answer_surface_relation": ["NEAR_SURFACE", "CONTACTS_SURFACE", "ATTACHED_TO"], "answer_supports": ["SUPPORTS"]}.items():
+    query(_name, f"{BOUND} SELECT question_id, scene_id, uid FROM bound SEMI JOIN (SELECT * FROM compiled WHERE edge_type IN ({', '.join(_lit(k) for k in _kinds)})) USING (question_id, scene_id)")(_binding_query(_kinds))
+
+FLOOR_BY_SCENE = {"scene_0": 1.0, "scene_1": 0.95, "scene_2": 0.9}
+_floor_sql = "CASE scene_id " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in FLOOR_BY_SCENE.items()) + " ELSE 0 END"
+_listed = f"listed AS (SELECT question_id, scene_id, list(replace(label, '_', ' ') ORDER BY ordinal) AS l, string_agg(uid, ',' ORDER BY ordinal) AS cited FROM bound JOIN entity USING (scene_id, uid) GROUP BY ALL)"
+_outcome = f"CASE WHEN outcome = 'parser_failure' THEN 'parser_failure' WHEN outcome = 'out_of_schema' THEN 'abstain' WHEN l IS NOT NULL THEN 'bindings' WHEN {_floor_sql} >= 0.95 THEN 'empty' ELSE 'unknown' END"
+
+
+@query("verbalize", f"""{BOUND}, {_listed}, o AS (SELECT *, {_outcome} AS answer FROM compiled LEFT JOIN listed USING (question_id, scene_id))
+SELECT question_id, scene_id, answer AS outcome, CASE answer WHEN 'parser_failure' THEN {_lit(reason.TEXT_FAILURE)} WHEN 'abstain' THEN 'I can''t answer that yet — ' || reason || '. This isn''t a claim that nothing is there.'
+  WHEN 'empty' THEN {_lit(reason.TEXT_EMPTY)} WHEN 'unknown' THEN {_lit(reason.TEXT_UNKNOWN)}
+  ELSE 'The ' || CASE len(l) WHEN 1 THEN l[1] WHEN 2 THEN l[1] || ' and ' || l[2] ELSE array_to_string(l[:-2], ', ') || ', and ' || l[-1] END || '.' END AS answer_text, cited AS cited_uids, coalesce(len(l), 0)::INTEGER AS n_cited FROM o""")
+def _(s, d):
+    floor = F.coalesce(*[F.when(F.col("scene_id") == k, F.lit(v)) for k, v in FLOOR_BY_SCENE.items()], F.lit(0.0))
+    return reason.answers(*_bound(s, d), floor)
+
+
+@query("empty_vs_unknown", f"{BOUND}, {_listed} SELECT scene_id, {_outcome} AS outcome, count(*) AS n FROM compiled LEFT JOIN listed USING (question_id, scene_id) GROUP BY ALL")
+def _(s, d):
+    return QUERIES["verbalize"](s, d).groupBy("scene_id", "outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("paraphrase_rollup", f"""{ES}, {Q}, {_compile_sql()} SELECT grp, count(*) AS asked, count(*) FILTER (outcome = 'compiled') AS compiled, count(*) FILTER (outcome = 'parser_failure') AS failed, count(*) FILTER (outcome = 'out_of_schema') AS out_of_schema
+FROM (SELECT *, regexp_extract(question_id, '^(q[0-9]+|q)', 1) AS grp FROM compiled) GROUP BY ROLLUP (grp)""")
+def _(s, d):
+    c = reason.compile_questions(questions(s, d)).withColumn("grp", F.regexp_extract("question_id", "^(q[0-9]+|q)", 1))
+    n = lambda o: F.count(F.when(F.col("outcome") == o, 1))
+    return c.rollup("grp").agg(F.count(F.lit(1)).alias("asked"), n("compiled").alias("compiled"), n("parser_failure").alias("failed"), n("out_of_schema").alias("out_of_schema"))
+
+
+# ---- masks ----------------------------------------------------------------------------------------------------------------------
+
+HARD = "hard AS (SELECT scene_id, vertex_id, arg_min(mask_id, (-score, mask_id)) AS instance_id FROM mv JOIN mask USING (scene_id, mask_id) GROUP BY scene_id, vertex_id)"
+OVER = "ovl AS (SELECT h.scene_id, h.instance_id AS pred, o.instance_id AS oracle, count(*) AS overlap FROM hard h JOIN ov o USING (scene_id, vertex_id) GROUP BY ALL), ps AS (SELECT instance_id AS pred, count(*) AS pred_size FROM hard GROUP BY ALL), os AS (SELECT instance_id AS oracle, count(*) AS oracle_size FROM ov GROUP BY ALL), iou AS (SELECT ovl.*, pred_size, oracle_size, overlap / (pred_size + oracle_size - overlap) AS iou FROM ovl JOIN ps USING (pred) JOIN os USING (oracle))"
+MH = f"{M}, {HARD}"
+MO = f"{MH}, {OVER}"
+
+
+def _all(s, d):
+    m, v, o = p.masks(s, d), p.mask_vertices(s, d), p.oracle_vertices(s, d)
+    return m, v, o, masks.resolve(m, v)
+
+
+@query("resolve_masks", f"{MH} SELECT h.* FROM hard h SEMI JOIN (SELECT instance_id FROM hard GROUP BY 1 HAVING count(*) >= 20) USING (instance_id)")
+def _(s, d):
+    return masks.resolve(p.masks(s, d), p.mask_vertices(s, d), min_vertices=20)
+
+
+STATE = "CASE WHEN score >= 0.2 THEN 'accepted' WHEN score >= 0.05 THEN 'provisional' ELSE 'discarded' END"
+
+
+@query("proposal_states", f"{M} SELECT {STATE} AS state, count(*) AS n, count(*) FILTER (EXISTS (SELECT 1 FROM mv WHERE mv.mask_id = mask.mask_id)) AS materialised FROM mask GROUP BY ALL")
+def _(s, d):
+    m = p.masks(s, d).join(p.mask_vertices(s, d).select("mask_id").distinct().withColumn("has", F.lit(1)), "mask_id", "left")
+    return m.groupBy(masks.state(F.col("score")).alias("state")).agg(F.count(F.lit(1)).alias("n"), F.count("has").alias("materialised"))
+
+
+@query("policy_view", f"{M}, pick AS (SELECT *, {STATE} AS state FROM mask), w AS (SELECT vertex_id, arg_min(mask_id, (-score, mask_id)) AS m FROM mv JOIN pick USING (scene_id, mask_id) WHERE state = 'accepted' GROUP BY 1), w2 AS (SELECT vertex_id, arg_min(mask_id, (-score, mask_id)) AS m FROM mv JOIN pick USING (scene_id, mask_id) WHERE state <> 'discarded' GROUP BY 1) SELECT p.mask_id, p.state, (SELECT count(*) FROM mv WHERE mv.mask_id = p.mask_id) AS raw, (SELECT count(*) FROM w WHERE w.m = p.mask_id) AS hard, (SELECT count(*) FROM w2 WHERE w2.m = p.mask_id) AS inclusive FROM pick p")
+def _(s, d):
+    m, v = p.masks(s, d).withColumn("state", masks.state(F.col("score"))), p.mask_vertices(s, d)
+    n = lambda df, key, name: df.groupBy(F.col(key).alias("mask_id")).agg(F.count(F.lit(1)).alias(name))
+    out = m.join(n(v, "mask_id", "raw"), "mask_id", "left").join(n(masks.resolve(m.where("state = 'accepted'"), v), "instance_id", "hard"), "mask_id", "left").join(n(masks.resolve(m.where("state <> 'discarded'"), v), "instance_id", "inclusive"), "mask_id", "left")
+    return out.select("mask_id", "state", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("raw", "hard", "inclusive")])
+
+
+@query("evidence_mass", "SELECT l_suppkey::BIGINT AS mask_id, sum(l_discount::DOUBLE * l_quantity::DOUBLE).round(4) AS positive, sum((1 - l_discount::DOUBLE) * l_quantity::DOUBLE).round(4) AS negative, count(*) AS n FROM lineitem GROUP BY 1")
+def _(s, d):
+    o = p.load(s, d, "lineitem").select(F.col("l_suppkey").cast("long").alias("mask_id"), F.col("l_discount").cast("double").alias("score"), F.col("l_quantity").cast("double").alias("weight"))
+    return masks.evidence_mass(o, ["mask_id"]).select("mask_id", F.round("positive", 4).alias("positive"), F.round("negative", 4).alias("negative"), "n")
+
+
+INTER = "inter AS (SELECT x.scene_id, x.mask_id AS a, y.mask_id AS b, count(*) AS shared FROM mv x JOIN mv y ON x.scene_id = y.scene_id AND x.vertex_id = y.vertex_id AND x.mask_id < y.mask_id GROUP BY ALL), msize AS (SELECT mask_id, count(*) AS n FROM mv GROUP BY 1)"
+
+
+@query("mask_intersections", f"{M}, {INTER} SELECT scene_id, a, b, shared FROM inter")
+def _(s, d):
+    return masks.mask_intersections(p.mask_vertices(s, d))
+
+
+@query("mask_iou", f"{M}, {INTER} SELECT i.*, shared / (x.n + y.n - shared) AS iou FROM inter i JOIN msize x ON x.mask_id = a JOIN msize y ON y.mask_id = b")
+def _(s, d):
+    return masks.mask_iou(p.mask_vertices(s, d))
+
+
+@query("repair_v2", f"""{M}, {INTER}, io AS (SELECT a, b, shared / (x.n + y.n - shared) AS iou FROM inter JOIN msize x ON x.mask_id = a JOIN msize y ON y.mask_id = b), backed AS (SELECT a AS mask_id FROM io WHERE iou >= 0.15 UNION SELECT b FROM io WHERE iou >= 0.15),
+up AS (SELECT m.scene_id, m.mask_id, score + CASE WHEN b.mask_id IS NULL THEN 0 ELSE 1 END * 1e-6 AS score FROM mask m LEFT JOIN backed b USING (mask_id)), h1 AS (SELECT vertex_id, arg_min(mask_id, (-score, mask_id)) AS m FROM mv JOIN up USING (scene_id, mask_id) GROUP BY 1),
+stay AS (SELECT m FROM h1 JOIN msize ON mask_id = m GROUP BY m, n HAVING count(*) >= 0.05 * n) SELECT scene_id, vertex_id, arg_min(mask_id, (-score, mask_id)) AS instance_id FROM mv JOIN up USING (scene_id, mask_id) WHERE mask_id IN (SELECT m FROM stay) GROUP BY 1, 2""")
+def _(s, d):
+    return masks.repair_v2(p.masks(s, d), p.mask_vertices(s, d), iou_least=0.15, retention=0.05)
+
+
+@query("query_scoped_assignment", f"{MH}, pick AS (SELECT vertex_id, arg_min(mask_id, (-score, mask_id)) AS m FROM mv JOIN mask USING (scene_id, mask_id) WHERE mask_id % 3 = 0 GROUP BY 1) SELECT scene_id, vertex_id, CASE WHEN instance_id % 2 = 0 THEN instance_id ELSE coalesce(m, instance_id) END AS instance_id FROM hard LEFT JOIN pick USING (vertex_id)")
+def _(s, d):
+    m, v, _, h = _all(s, d)
+    return masks.scoped_assignment(h, v, m, F.col("mask_id") % 3 == 0, F.col("instance_id") % 2 == 0)
+
+
+@query("resolve_sweep", f"{M}, g(min_score) AS (VALUES (0.0::DOUBLE), (0.25), (0.5), (0.75)), w AS (SELECT min_score, vertex_id, arg_min(mask_id, (-score, mask_id)) AS m FROM mv JOIN mask USING (scene_id, mask_id) JOIN g ON score >= min_score GROUP BY ALL) SELECT min_score, count(*) AS instances, sum(n)::BIGINT AS claimed FROM (SELECT min_score, m, count(*) AS n FROM w GROUP BY ALL HAVING count(*) >= 5) GROUP BY 1")
+def _(s, d):
+    return masks.resolve_sweep(p.masks(s, d), p.mask_vertices(s, d), [0.0, 0.25, 0.5, 0.75], 5)
+
+
+@query("instance_boxes", "SELECT l_suppkey::BIGINT AS instance_id, min(l_quantity::DOUBLE) AS lx, max(l_quantity::DOUBLE) AS hx, min(l_extendedprice::DOUBLE) AS ly, max(l_extendedprice::DOUBLE) AS hy, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) >= 20")
+def _(s, d):
+    v = p.load(s, d, "lineitem").select(F.col("l_suppkey").cast("long").alias("instance_id"), F.col("l_quantity").cast("double").alias("x"), F.col("l_extendedprice").cast("double").alias("y"))
+    return v.groupBy("instance_id").agg(F.min("x").alias("lx"), F.max("x").alias("hx"), F.min("y").alias("ly"), F.max("y").alias("hy"), F.count(F.lit(1)).alias("n")).where("n >= 20")
+
+
+@query("yaw_obb", "SELECT l_suppkey::BIGINT AS instance_id, round(0.5 * atan2(2 * covar_samp(l_quantity::DOUBLE, l_discount::DOUBLE * 100), var_samp(l_quantity::DOUBLE) - var_samp(l_discount::DOUBLE * 100)), 6) AS yaw FROM lineitem GROUP BY 1 HAVING count(*) >= 20")
+def _(s, d):
+    v = p.load(s, d, "lineitem").select(F.col("l_suppkey").cast("long").alias("instance_id"), F.col("l_quantity").cast("double").alias("x"), (F.col("l_discount").cast("double") * 100).alias("y"))
+    return v.groupBy("instance_id").agg(F.round(0.5 * F.atan2(2 * F.covar_samp("x", "y"), F.var_samp("x") - F.var_samp("y")), 6).alias("yaw"), F.count(F.lit(1)).alias("n")).where("n >= 20").drop("n")
+
+
+@query("mesh_edges", "SELECT count(*) AS n, sum(a)::BIGINT AS sa, sum(b)::BIGINT AS sb FROM (SELECT DISTINCT x.l_partkey AS a, y.l_partkey AS b FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey AND x.l_partkey < y.l_partkey)")
+def _(s, d):
+    li = p.load(s, d, "lineitem").select("l_orderkey", F.col("l_partkey").alias("a"))
+    e = li.join(li.withColumnRenamed("a", "b"), "l_orderkey").where("a < b").select("a", "b").distinct()
+    return e.agg(F.count(F.lit(1)).alias("n"), F.sum("a").alias("sa"), F.sum("b").alias("sb"))
+
+
+@query("face_adjacency", "WITH f AS (SELECT DISTINCT l_orderkey AS face, l_partkey AS v FROM lineitem), e AS (SELECT x.face, x.v AS a, y.v AS b FROM f x JOIN f y ON x.face = y.face AND x.v < y.v) SELECT a, b, min(face) AS f0, max(face) AS f1 FROM e GROUP BY a, b HAVING count(*) = 2")
+def _(s, d):
+    f = p.load(s, d, "lineitem").select(F.col("l_orderkey").alias("face"), F.col("l_partkey").alias("a")).distinct()
+    e = f.join(f.withColumnRenamed("a", "b"), "face").where("a < b")
+    return e.groupBy("a", "b").agg(F.min("face").alias("f0"), F.max("face").alias("f1"), F.count(F.lit(1)).alias("n")).where("n = 2").drop("n")
+
+
+@query("edge_confidence", "WITH vis AS (SELECT DISTINCT l_suppkey % 8 AS w, l_partkey AS v, l_linenumber AS mask FROM lineitem WHERE l_partkey <= 200), e AS (SELECT a.v AS a, b.v AS b FROM (SELECT DISTINCT v FROM vis) a JOIN (SELECT DISTINCT v FROM vis) b ON b.v = a.v + 1), co AS (SELECT e.a, e.b, count(DISTINCT x.w) AS co_vis, count(DISTINCT CASE WHEN x.mask = y.mask THEN x.w END) AS co_mem FROM e JOIN vis x ON x.v = e.a JOIN vis y ON y.v = e.b AND y.w = x.w GROUP BY ALL) SELECT a, b, co_vis, co_mem, co_mem / co_vis AS conf FROM co")
+def _(s, d):
+    vis = p.load(s, d, "lineitem").where("l_partkey <= 200").select((F.col("l_suppkey") % 8).alias("w"), F.col("l_partkey").alias("v"), F.col("l_linenumber").alias("mask")).distinct()
+    nodes = vis.select(F.col("v").alias("a")).distinct()
+    e = nodes.join(nodes.select((F.col("a") - 1).alias("a"), F.col("a").alias("b")), "a")
+    both = e.join(vis.select(F.col("v").alias("a"), "w", F.col("mask").alias("m1")), "a").join(vis.select(F.col("v").alias("b"), "w", F.col("mask").alias("m2")), ["b", "w"])
+    co = both.groupBy("a", "b").agg(F.countDistinct("w").alias("co_vis"), F.countDistinct(F.when(F.col("m1") == F.col("m2"), F.col("w"))).alias("co_mem"))
+    return co.withColumn("conf", F.col("co_mem") / F.col("co_vis"))
+
+
+# ---- evaluation -----------------------------------------------------------------------------------------------------------------
+
+
+@query("majority_label", f"{MO} SELECT scene_id, pred, arg_min(oracle, (-overlap, oracle)) AS oracle, max(overlap) AS votes FROM ovl GROUP BY 1, 2")
+def _(s, d):
+    _, _, o, h = _all(s, d)
+    return evaluate.majority(h, o)
+
+
+@query("overlap_counts", f"{MO} SELECT * FROM ovl")
+def _(s, d):
+    _, _, o, h = _all(s, d)
+    return masks.overlaps(h, o)
+
+
+@query("best_iou_per_oracle", f"{MO} SELECT scene_id, oracle, max(iou) AS best, arg_min(pred, (-iou, pred)) AS pred FROM iou GROUP BY 1, 2")
+def _(s, d):
+    _, _, o, h = _all(s, d)
+    return masks.with_iou(masks.overlaps(h, o), h, o).groupBy("scene_id", "oracle").agg(F.max("iou").alias("best"), F.min_by("pred", F.struct((-F.col("iou")).alias("i"), "pred")).alias("pred"))
+
+
+@query("recall_at_iou", f'{MO}, b AS (SELECT oracle, max(iou) AS best FROM iou GROUP BY 1), g("limit") AS (VALUES (0.02::DOUBLE), (0.05), (0.1)) SELECT "limit", avg(CASE WHEN coalesce(best, 0) >= "limit" THEN 1.0 ELSE 0.0 END) AS recall, count(*) AS n FROM os LEFT JOIN b USING (oracle), g GROUP BY 1')
+def _(s, d):
+    _, _, o, h = _all(s, d)
+    return evaluate.recall_at(masks.with_iou(masks.overlaps(h, o), h, o), masks.sizes(o, "oracle"), [0.02, 0.05, 0.1])
+
+
+@query("over_under_segmentation", f"{MO} SELECT (SELECT count(*) FROM (SELECT oracle FROM iou WHERE overlap >= 0.1 * oracle_size GROUP BY 1 HAVING count(*) >= 2)) AS split, (SELECT count(*) FROM (SELECT pred FROM iou WHERE overlap >= 0.1 * pred_size GROUP BY 1 HAVING count(*) >= 2)) AS merged")
+def _(s, d):
+    _, _, o, h = _all(s, d)
+    return evaluate.segmentation_errors(masks.overlaps(h, o), masks.sizes(h, "pred"), masks.sizes(o, "oracle"))
+
+
+@query("oracle_coverage", f"{MO} SELECT scene_id, oracle, arg_min(pred, (-overlap, pred)) AS pred, max(overlap) / any_value(oracle_size) AS covered FROM iou GROUP BY 1, 2")
+def _(s, d):
+    _, _, o, h = _all(s, d)
+    return masks.with_iou(masks.overlaps(h, o), h, o).groupBy("scene_id", "oracle").agg(F.min_by("pred", F.struct((-F.col("overlap")).alias("i"), "pred")).alias("pred"), (F.max("overlap") / F.first("oracle_size")).alias("covered"))
+
+
+@query("failure_classes", f"""{MO}, raw AS (SELECT m.mask_id, o.instance_id AS oracle, count(*) AS overlap FROM mv m JOIN ov o USING (scene_id, vertex_id) GROUP BY ALL), rs AS (SELECT mask_id, count(*) AS n FROM mv GROUP BY 1),
+ri AS (SELECT oracle, max(overlap / (n + oracle_size - overlap)) AS before FROM raw JOIN rs USING (mask_id) JOIN os USING (oracle) GROUP BY 1), ra AS (SELECT oracle, max(iou) AS after, max(overlap) AS ao FROM iou GROUP BY 1)
+SELECT 'scene_0' AS scene_id, oracle, CASE WHEN coalesce(after, 0) >= 0.04 THEN 'recovered' WHEN coalesce(ao, 0) >= 0.5 * oracle_size THEN 'merged' WHEN coalesce(before, 0) >= 0.04 THEN 'lost_by_resolver' ELSE 'no_raw_proposal' END AS failure FROM os LEFT JOIN ra USING (oracle) LEFT JOIN ri USING (oracle)""")
+def _(s, d):
+    _, v, o, h = _all(s, d)
+    raw = v.withColumnRenamed("mask_id", "instance_id")
+    return evaluate.failure_classes(masks.sizes(o, "oracle"), masks.with_iou(masks.overlaps(h, o), h, o), masks.with_iou(masks.overlaps(raw, o), raw, o), 0.04)
+
+
+@query("confusion_matrix", "SELECT event_type AS expected, CASE WHEN user_id % 3 = 0 THEN 'answer' WHEN user_id % 3 = 1 THEN 'empty' ELSE 'unknown' END AS outcome, count(*) AS n FROM events GROUP BY CUBE (1, 2)")
+def _(s, d):
+    e = p.load(s, d, "events").select(F.col("event_type").alias("expected"), F.when(F.col("user_id") % 3 == 0, "answer").when(F.col("user_id") % 3 == 1, "empty").otherwise("unknown").alias("outcome"))
+    return e.cube("expected", "outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("latency_summary", """WITH r AS (SELECT event_type, value::DOUBLE AS v, row_number() OVER (PARTITION BY event_type ORDER BY value) AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL),
+t AS (SELECT *, greatest(1, least(n - 1, 19 * (n + 1) // 20)) AS j FROM r) SELECT event_type, round(CASE WHEN max(n) >= 20 THEN sum(CASE WHEN k = j THEN v * (20 - (19 * (n + 1) - 20 * j)) WHEN k = j + 1 THEN v * (19 * (n + 1) - 20 * j) END) / 20 ELSE max(v) END, 6) AS p95, count(*) AS n, round(avg(v), 6) AS mean, max(v) AS greatest FROM t GROUP BY 1""")
+def _(s, d):
+    e = p.load(s, d, "events").select("event_type", F.col("value").cast("double").alias("value"))
+    return evaluate.p95_exclusive(e, "value", ["event_type"]).select("event_type", F.round("p95", 6).alias("p95"), "n", F.round("mean", 6).alias("mean"), "greatest")
+
+
+@query("edge_set_diff", f"{EP} SELECT scene_id, au AS src_uid, bu AS tgt_uid, CASE WHEN dist < 1.0 THEN 'only_first' ELSE 'only_second' END AS side FROM pair WHERE ao < bo AND (dist < 1.0) <> (gap < 0.5)")
+def _(s, d):
+    e = p.entities(s, d)
+    return graph.difference(relations.near_sparse(e), relations.near_sparse_v2(e), ["scene_id", "src_uid", "tgt_uid"])
+
+
+@query("threshold_sweep", f"{EP} SELECT f AS factor, count(*) FILTER (dist < f AND NOT dist < 1.0) AS added, count(*) FILTER (dist < 1.0 AND NOT dist < f) AS lost FROM pair, (VALUES (0.5::DOUBLE), (0.75), (1.0), (1.25)) t(f) WHERE ao < bo GROUP BY f")
+def _(s, d):
+    e = p.entities(s, d)
+    return evaluate.threshold_sweep(lambda r: relations.near_sparse(e, r), 1.0, [0.5, 0.75, 1.0, 1.25], ["scene_id", "src_uid", "tgt_uid"])
+
+
+@query("relation_diff", f"{EP}, {NEAR}, authored AS (SELECT scene_id, au AS src_uid, bu AS tgt_uid FROM pair WHERE ao < bo AND gap < 0.5) SELECT scene_id, tp, fp, fn, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) END AS precision, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) END AS recall FROM (SELECT scene_id, count(*) FILTER (n.dist IS NOT NULL AND a.scene_id IS NOT NULL) AS tp, count(*) FILTER (a.scene_id IS NULL) AS fp, count(*) FILTER (n.dist IS NULL) AS fn FROM near n FULL JOIN authored a USING (scene_id, src_uid, tgt_uid) GROUP BY scene_id)")
+def _(s, d):
+    e = p.entities(s, d)
+    keys = ["scene_id", "src_uid", "tgt_uid"]
+    one, two = relations.near_sparse(e).select(*keys).withColumn("p", F.lit(1)), relations.near_sparse_v2(e).select(*keys).withColumn("q", F.lit(1))
+    n = one.join(two, keys, "full").groupBy("scene_id").agg(F.count(F.col("p") + F.col("q")).alias("tp"), F.count(F.when(F.col("q").isNull(), 1)).alias("fp"), F.count(F.when(F.col("p").isNull(), 1)).alias("fn"))
+    return n.select("scene_id", "tp", "fp", "fn", F.when(F.col("tp") + F.col("fp") > 0, F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), F.when(F.col("tp") + F.col("fn") > 0, F.col("tp") / (F.col("tp") + F.col("fn"))).alias("recall"))
+
+
+@query("prf_per_question", f"""{BOUND}, exp AS (SELECT question_id, scene_id, list(uid ORDER BY uid) AS expected FROM (SELECT DISTINCT question_id, scene_id, uid FROM bound JOIN entity USING (scene_id, uid) WHERE ordinal % 2 = 0) GROUP BY ALL), got AS (SELECT question_id, scene_id, list(uid ORDER BY uid) AS cited FROM (SELECT DISTINCT question_id, scene_id, uid FROM bound JOIN entity USING (scene_id, uid) WHERE ordinal % 3 <> 0) GROUP BY ALL)
+SELECT question_id, scene_id, len(list_intersect(coalesce(cited, []), coalesce(expected, [])))::INTEGER AS hits, CASE WHEN len(coalesce(cited, [])) > 0 THEN len(list_intersect(cited, coalesce(expected, []))) / len(cited) WHEN len(coalesce(expected, [])) = 0 THEN 1 ELSE 0 END::DOUBLE AS precision, CASE WHEN len(coalesce(expected, [])) > 0 THEN len(list_intersect(coalesce(cited, []), expected)) / len(expected) ELSE 1 END::DOUBLE AS recall FROM exp FULL JOIN got USING (question_id, scene_id)""")
+def _(s, d):
+    _, b = _bound(s, d)
+    both = b.groupBy("question_id", "scene_id").agg(F.collect_set(F.when(F.col("ordinal") % 2 == 0, F.col("uid"))).alias("expected"), F.collect_set(F.when(F.col("ordinal") % 3 != 0, F.col("uid"))).alias("cited"))
+    return evaluate.set_scores(both.where("size(expected) > 0 or size(cited) > 0"), "cited", "expected").select("question_id", "scene_id", "hits", "precision", "recall")
+
+
+# ---- import ---------------------------------------------------------------------------------------------------------------------
+
+
+@query("suffix_duplicates", f"{ES} SELECT scene_id, uid, CASE WHEN count(*) OVER w > 1 THEN class || '_' || row_number() OVER (PARTITION BY scene_id, class ORDER BY ordinal) ELSE class END AS numbered FROM entity WINDOW w AS (PARTITION BY scene_id, class)")
+def _(s, d):
+    return scenes.number_duplicates(p.entities(s, d)).select("scene_id", "uid", "numbered")
+
+
+@query("dominant_yaw", "SELECT 'scene_' || (vec_id % 4) AS scene_id, round(degrees(atan2(sum(abs(embedding[3]::DOUBLE) * sin(4 * atan2(embedding[2]::DOUBLE, embedding[1]::DOUBLE))), sum(abs(embedding[3]::DOUBLE) * cos(4 * atan2(embedding[2]::DOUBLE, embedding[1]::DOUBLE)))) / 4), 6) AS yaw FROM embeddings GROUP BY 1")
+def _(s, d):
+    w = p.load(s, d, "embeddings").select(F.concat(F.lit("scene_"), (F.col("vec_id") % 4).cast("string")).alias("scene_id"), F.col("embedding")[0].cast("double").alias("nx"), F.col("embedding")[1].cast("double").alias("ny"), F.abs(F.col("embedding")[2].cast("double")).alias("length"))
+    return scenes.dominant_yaw(w).select("scene_id", F.round("yaw", 6).alias("yaw"))
+
+
+@query("per_object_aabb", "SELECT label::BIGINT AS object_id, min(embedding[1]::DOUBLE) AS lx, max(embedding[1]::DOUBLE) AS hx, min(embedding[2]::DOUBLE) AS ly, max(embedding[2]::DOUBLE) AS hy, count(*) AS n FROM embeddings GROUP BY 1")
+def _(s, d):
+    v = p.load(s, d, "embeddings").select(F.col("label").cast("long").alias("object_id"), F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
+    return v.groupBy("object_id").agg(F.min("x").alias("lx"), F.max("x").alias("hx"), F.min("y").alias("ly"), F.max("y").alias("hy"), F.count(F.lit(1)).alias("n"))
+
+
+@query("iou_candidates", f"{EP} SELECT a.scene_id, a.uid AS src_uid, b.uid AS tgt_uid, i / ((a.hx - a.lx) * (a.hy - a.ly) * (a.hz - a.lz) + (b.hx - b.lx) * (b.hy - b.ly) * (b.hz - b.lz) - i) AS iou FROM (SELECT a, b, greatest(0, least(a.hx, b.hx) - greatest(a.lx, b.lx)) * greatest(0, least(a.hy, b.hy) - greatest(a.ly, b.ly)) * greatest(0, least(a.hz, b.hz) - greatest(a.lz, b.lz)) AS i FROM entity a JOIN entity b ON a.scene_id = b.scene_id AND a.ordinal < b.ordinal) WHERE i > 0")
+def _(s, d):
+    from roomscope.operators.joins import near_boxes
+
+    return near_boxes(p.entities(s, d), 1e-9).select(F.col("a.scene_id").alias("scene_id"), F.col("a.uid").alias("src_uid"), F.col("b.uid").alias("tgt_uid"), g.iou("a", "b").alias("iou")).where("iou > 0")
+
+
+@query("surface_violations", f"{ES} SELECT scene_id, 'none' AS what FROM surface WHERE false")
+def _(s, d):
+    _, w = scene(s, d)
+    n = w.groupBy("scene_id").agg(*[F.count(F.when(F.col("stype") == t, 1)).alias(t) for t in ("floor", "wall", "ceiling")], F.count(F.when(F.abs(F.col("a") * F.col("a") + F.col("b") * F.col("b") + F.col("c") * F.col("c") - 1) > 1e-9, 1)).alias("unit"))
+    bad = F.when(F.col("floor") < 1, "no_floor").when(F.col("wall") < 2, "few_walls").when(F.col("ceiling") < 1, "no_ceiling").when(F.col("unit") > 0, "normal_not_unit")
+    return n.select("scene_id", bad.alias("what")).where("what is not null")
+
+
+# ---- legacy ---------------------------------------------------------------------------------------------------------------------
+
+LEGACY = ["what is left of the table?", "which red chair is near the sofa?", "what is above the desk", "list things behind the bench", "what is in front of the lamp?", "where is the brown stool"]
+
+
+def _parsed(s):
+    return legacy.parse(s.createDataFrame([(f"l{i}", t) for i, t in enumerate(LEGACY)], "question_id string, text string"), list(p.CLASSES))
+
+
+@query("legacy_parse", "SELECT * FROM (VALUES ('l0', 'what is left of the table?', 'spatial', NULL, 'LEFT_OF', 'table', 'table'), ('l1', 'which red chair is near the sofa?', 'near', 'red', 'NEAR', 'sofa', 'chair'), ('l2', 'what is above the desk', 'spatial', NULL, 'ABOVE', 'desk', 'desk'), ('l3', 'list things behind the bench', 'spatial', NULL, 'BEHIND', 'bench', 'bench'), ('l4', 'what is in front of the lamp?', 'spatial', NULL, 'IN_FRONT_OF', 'lamp', 'lamp'), ('l5', 'where is the brown stool', 'list', 'brown', NULL, NULL, 'stool')) v(question_id, text, intent, colour, relation, anchor, target)")
+def _(s, d):
+    return _parsed(s)
+
+
+def _legacy_sql(version: int) -> str:
+    side = lambda op: "0.3" if version == 1 else f"CASE WHEN dx {op} 0 THEN 0.3 ELSE 0 END"
+    return f"""{ES}, lq(question_id, intent, relation, anchor, target) AS (VALUES ('l0', 'spatial', 'LEFT_OF', 'table', 'table'), ('l1', 'near', 'NEAR', 'sofa', 'chair'), ('l2', 'spatial', 'ABOVE', 'desk', 'desk'), ('l3', 'spatial', 'BEHIND', 'bench', 'bench'), ('l4', 'spatial', 'IN_FRONT_OF', 'lamp', 'lamp')),
+first AS (SELECT * FROM entity QUALIFY row_number() OVER (PARTITION BY scene_id, class ORDER BY ordinal) = 1),
+z AS (SELECT q.*, a.scene_id, a.uid, a.ordinal, a.class, a.cx - b.cx AS dx, a.cy - b.cy AS dy, a.cz - b.cz AS dz FROM lq q JOIN first b ON b.class = q.anchor JOIN entity a ON a.scene_id = b.scene_id AND a.uid <> b.uid),
+sc AS (SELECT question_id, intent, scene_id, uid, ordinal, (CASE relation WHEN 'LEFT_OF' THEN {side('<')} WHEN 'ABOVE' THEN CASE WHEN dz > 0 THEN 0.3 ELSE 0 END WHEN 'BEHIND' THEN CASE WHEN dy < 0 THEN 0.3 ELSE 0 END WHEN 'IN_FRONT_OF' THEN CASE WHEN dy > 0 THEN 0.3 ELSE 0 END
+  ELSE greatest(0, 0.3 * (1 - sqrt(dx * dx + dy * dy) / 4)) END)::DOUBLE + greatest(0, 0.25 * (1 - sqrt(dx * dx + dy * dy) / 8)) + CASE WHEN class = target THEN 0.1 ELSE 0 END::DOUBLE AS score FROM z)"""
+
+
+for _v in (1, 2):
+    query(f"legacy_score_v{_v}", f"{_legacy_sql(_v)} SELECT question_id, scene_id, uid, round(score, 6) AS score FROM sc")(lambda s, d, v=_v: legacy.score(_parsed(s), p.entities(s, d), v).select("question_id", "scene_id", "uid", F.round("score", 6).alias("score")))
+
+
+@query("legacy_topk", f"{_legacy_sql(2)} SELECT question_id, scene_id, uid, rank::INTEGER AS rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY question_id, scene_id ORDER BY score DESC, ordinal) AS rank FROM sc WHERE score >= 0.2) WHERE rank <= CASE intent WHEN 'list' THEN 10 WHEN 'near' THEN 6 ELSE 4 END")
+def _(s, d):
+    return legacy.best(legacy.score(_parsed(s), p.entities(s, d))).select("question_id", "scene_id", "uid", "rank", F.round("score", 6).alias("score"))
+
+
+# ---- iterative operators (rows only; exact tests in tests/) ---------------------------------------------------------------------
+
+
+@query("greedy_match")
+def _(s, d):
+    _, _, o, h = _all(s, d)
+    return masks.greedy_match(masks.overlaps(h, o))
+
+
+@query("joint_nomination")
+def _(s, d):
+    _, v, o, _ = _all(s, d)
+    raw = v.withColumnRenamed("mask_id", "instance_id")
+    return masks.joint_nomination(masks.with_iou(masks.overlaps(raw, o), raw, o), 0.02)
+
+
+@query("union_curve")
+def _(s, d):
+    return masks.union_curve(p.mask_vertices(s, d), p.oracle_vertices(s, d))
+
+
+@query("components")
+def _(s, d):
+    e = relations.near_sparse(p.entities(s, d), 0.6)
+    node = lambda c: F.regexp_extract(c, r"(\d+)$", 1).cast("long")
+    return masks.min_labels(e.select(node("src_uid").alias("a"), node("tgt_uid").alias("b")))
+
+
+@query("zbuffer")
+def _(s, d):
+    e = p.load(s, d, "embeddings")
+    at = lambda i: F.floor((F.col("embedding")[i].cast("double") + 0.5) * 64).cast("int")
+    return masks.zbuffer(e.select(F.lit(0).alias("view"), F.col("vec_id").cast("long").alias("vertex_id"), at(0).alias("px"), at(1).alias("py"), F.col("embedding")[2].cast("double").alias("depth")))
