@@ -86,8 +86,24 @@ class CharMap:
         return found
 
 
+class _Memo(dict):
+    """Segments met so far, up to a number; no character's bytes are shared by two segments, so each is decoded alone."""
+
+    def __init__(self, model: PieceModel):
+        super().__init__()
+        self.model = model
+
+    def __missing__(self, s: str) -> tuple[str, bytes, bytes, bytes]:
+        got = self.model._segment(s)
+        if len(s) < 200:
+            if len(self) >= self.model._limit:
+                self.clear()
+            self[s] = got
+        return got
+
+
 class PieceModel:
-    def __init__(self, data: bytes, memo: int = 400_000):
+    def __init__(self, data: bytes, memo: int = 600_000):
         self.pieces: list[str] = []
         self.scores: list[float] = []
         self.types: list[int] = []
@@ -115,14 +131,11 @@ class PieceModel:
         self._rank = {p: self.scores[i] for p, i in self.vocab.items()}
         self.unknown = self.types.index(UNKNOWN)
         self.unused = any(t == UNUSED for t in self.types)
-        # Cuts are safe where no piece could span them.
-        inner = any(MARK in p.lstrip(MARK) for p in self.vocab)
-        lines = any("\n" in p for p in self.vocab)
-        word = r"[ ▁]+[^ ▁%s]*|[^ ▁%s]+" % (("", "") if lines else ("\n", "\n"))
-        self._cut = re.compile(r"(?s).+" if inner or self.user else (word if lines else r"\n|" + word))
+        # Cuts are safe where no piece could span them: before a marker, and around a new line.
+        inner = any(MARK in p.lstrip(MARK) or "\n" in p for p in self.vocab)
+        self._cut = re.compile(r"(?s).+" if inner or self.user else r"\n|[ ▁]+[^ ▁\n]*|[^ ▁\n]+")
         self._limit = memo
-        self._memo: dict[str, tuple[str, bytes, int]] = {}
-        self._back: dict[str, bytes] = {}
+        self._memo = _Memo(self)
 
     @classmethod
     def load(cls, path: str, **more) -> PieceModel:
@@ -279,36 +292,40 @@ class PieceModel:
         """True where the map is empty, so that the alignment is the identity but for word markers."""
         return not self.map.units and not self.squeeze and self.escape and self.dummy and not self.user
 
-    def _segment(self, s: str) -> tuple[str, bytes, int]:
-        found = self._memo.get(s)
-        if found is None:
-            if len(self._memo) >= self._limit:
-                self._memo.clear()
-            got = self._pieces(s.replace(" ", MARK))
-            if s.isascii():
-                ends, size = array("i", accumulate(n for _, n in got)), len(s)
-            else:
-                upto = [0, *accumulate(len(c.encode()) for c in s)]
-                ends, size = array("i", [upto[x] for x in accumulate(n for _, n in got)]), upto[-1]
-            found = (",".join([str(k) for k, _ in got]), ends.tobytes(), size)
-            if len(s) < 200:
-                self._memo[s] = found
-        return found
-
-    def digest(self, text: str) -> tuple[int, str, str, np.ndarray]:
-        """Number of ids, the ids comma-joined, the decoded text, and the end of each piece in the text's bytes."""
+    def _segment(self, s: str) -> tuple[str, bytes, bytes, bytes]:
+        """Ids comma-joined, the ends of the pieces in the segment's bytes, the decoded bytes, and the ids as integers."""
+        marked = s.replace(" ", MARK)
+        parts = self.merge(marked)
+        ids = list(map(self.vocab.get, parts))
+        if None in ids:
+            got = self._pieces(marked)
+            ids = [k for k, _ in got]
+            ends = accumulate([n for _, n in got])
+            raw = self._raw(ids)
+        else:
+            ends = accumulate(map(len, parts))
+            raw = s.replace(MARK, " ").encode()
+        if not s.isascii():
+            upto = [0, *accumulate([len(c.encode()) for c in s])]
+            ends = [upto[x] for x in ends]
+        return ",".join(map(str, ids)), array("i", ends).tobytes(), raw, array("i", ids).tobytes()
+
+    def digest(self, text: str) -> tuple[np.ndarray, str, str, np.ndarray]:
+        """The ids, the ids comma-joined, the decoded text, and the end of each piece in the text's bytes."""
         if not self.plain:
             ids, _, end = self.encode(text)
-            return len(ids), ",".join(map(str, ids)), self.decode(ids), end
+            return np.array(ids, dtype=np.int32), ",".join(map(str, ids)), self.decode(ids), end
         if not text:
-            return 0, "", "", np.zeros(0, dtype=np.int32)
-        get = self._segment
-        said, ends, sizes = zip(*[get(x) for x in self._cut.findall(" " + text)], strict=True)
-        joined = ",".join(said)
+            return np.zeros(0, dtype=np.int32), "", "", np.zeros(0, dtype=np.int32)
+        said, ends, back, ids = zip(*map(self._memo.__getitem__, self._cut.findall(" " + text)), strict=True)
         counts = np.fromiter(map(len, ends), dtype=np.int64, count=len(ends)) // 4
-        base = np.cumsum(np.array((-1, *sizes[:-1])))
-        end = np.maximum(np.frombuffer(b"".join(ends), dtype=np.int32) + np.repeat(base, counts), 0)
-        return len(end), joined, self._join(said), end
+        end = np.frombuffer(b"".join(ends), dtype=np.int32)
+        size = end[np.cumsum(counts) - 1]  # a segment's last piece ends where it does
+        base = np.cumsum(size, dtype=np.int64) - size - 1  # the first blank is not in the text
+        out = b"".join(back).decode()
+        if out.startswith(" ") and self.pieces[int(said[0].split(",", 1)[0])].startswith(MARK):
+            out = out[1:]
+        return np.frombuffer(b"".join(ids), dtype=np.int32), ",".join(said), out, np.maximum(end + np.repeat(base, counts), 0)
 
     # decoding ----------------------------------------------------------------------------------------------------------
 
@@ -332,22 +349,6 @@ class PieceModel:
         flush()
         return b"".join(out)
 
-    def _join(self, said: tuple[str, ...]) -> str:
-        """Decode segments; no character's bytes are shared by two segments, so each is decoded alone."""
-        back = self._back
-        out = []
-        for x in said:
-            got = back.get(x)
-            if got is None:
-                if len(back) >= self._limit:
-                    back.clear()
-                got = self._raw([int(k) for k in x.split(",")])
-                if len(x) < 400:
-                    back[x] = got
-            out.append(got)
-        text = b"".join(out).decode()
-        return text[1:] if self.dummy and text.startswith(" ") and said[0] and self.pieces[int(said[0].split(",", 1)[0])].startswith(MARK) else text
-
     def decode(self, ids: list[int]) -> str:
         seen = next((k for k in ids if self.types[k] != CONTROL), None)
         text = self._raw(ids).decode()
@@ -390,8 +391,11 @@ def _model(data: bytes) -> PieceModel:
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ends_sha256 string"
 
 
-def piece_digests(docs: DataFrame, model_path: str) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): digests of ids, of the decoded text and of the pieces' end offsets."""
+def piece_digests(docs: DataFrame, model_path: str, with_ids: bool = False) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text): digests of ids, of the decoded text and of the pieces' end offsets.
+
+    With ``with_ids`` the ids themselves come as well.
+    """
     with open(model_path, "rb") as f:
         data = f.read()
     held = docs.sparkSession.sparkContext.broadcast(data)  # one vocabulary file, about half a megabyte
@@ -401,14 +405,20 @@ def piece_digests(docs: DataFrame, model_path: str) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                rows = []
+                n, a, b, c, all_ids = [], [], [], [], []
                 for t in part.column(1).to_pylist():
-                    n, ids, back, end = model.digest(t or "")
-                    rows.append((n, _sha(ids), _sha(back), hashlib.sha256(end.astype("<i8").tobytes()).hexdigest()))
-                n, a, b, c = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(a), pa.array(b), pa.array(c)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ends_sha256"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+                    ids, joined, back, end = model.digest(t or "")
+                    n.append(len(ids))
+                    a.append(_sha(joined))
+                    b.append(_sha(back))
+                    c.append(hashlib.sha256(end.astype("<i8").tobytes()).hexdigest())
+                    all_ids.append(ids)
+                cols = [part.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(a), pa.array(b), pa.array(c)]
+                if with_ids:
+                    cols.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(np.concatenate(all_ids))))
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ends_sha256", "ids"][: len(cols)])
+
+    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA + ", ids array<int>" * with_ids)
 
 
 def _sha(s: str) -> str:

@@ -23,8 +23,8 @@ def test_equals_library(both):
     texts = TEXTS + ["".join(random.choice(" \n▁aé日😀thein,.!\t") for _ in range(random.randrange(40))) for _ in range(300)]
     for t in texts:
         ids = sp.encode(t)
-        n, joined, back, end = m.digest(t)
-        assert joined == ",".join(map(str, ids)) and n == len(ids)
+        got, joined, back, end = m.digest(t)
+        assert joined == ",".join(map(str, ids)) and got.tolist() == ids
         assert back == sp.decode(ids) == m.decode(ids)
         own, begin, end2 = m.encode(t)
         assert own == ids and list(end) == list(end2)
@@ -54,6 +54,7 @@ def test_rows_nulls_and_extra_columns(spark):
     docs = spark.createDataFrame([(1, "Hello world", "x"), (1, "Hello world", "y"), (2, None, None), (None, "", "z")], "doc_id long, text string, n_tokens string")
     got = pieces.piece_digests(docs, P.path("piece_bpe_32k.model")).collect()
     assert len(got) == 4 and sorted(r.n_tokens for r in got) == [0, 0, 2, 2]
+    assert sorted(len(r.ids) for r in pieces.piece_digests(docs, P.path("piece_bpe_32k.model"), with_ids=True).collect()) == [0, 0, 2, 2]
     assert pieces.piece_digests(docs.limit(0), P.path("piece_bpe_32k.model")).count() == 0
     full = pieces.encode_pieces(docs, P.path("piece_bpe_32k.model")).collect()
     assert [r.decoded for r in full if r.doc_id == 1] == ["Hello world"] * 2
