@@ -55,12 +55,10 @@ def f1(precision: Column, recall: Column) -> Column:
 def p95_exclusive(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """The exclusive 95th percentile for 20 values or more, else the greatest value."""
     w = W.partitionBy(*by)
-    ranked = df.where(F.col(value).isNotNull()).withColumn("k", F.row_number().over(w.orderBy(value))).withColumn("n", F.count(F.lit(1)).over(w))
-    j = F.greatest(F.lit(1), F.least(F.col("n") - 1, F.expr("19 * (n + 1) div 20")))
-    d = 19 * (F.col("n") + 1) - 20 * j
-    part = ranked.withColumn("j", j).withColumn("d", d)
-    weight = F.when(F.col("k") == F.col("j"), F.col(value) * (20 - F.col("d"))).when(F.col("k") == F.col("j") + 1, F.col(value) * F.col("d"))
-    return part.groupBy(*by).agg(F.when(F.max("n") >= 20, F.sum(weight) / 20).otherwise(F.max(value)).alias("p95"), F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.max(value).alias("greatest"))
+    ranked = df.where(F.col(value).isNotNull()).withColumn("_rank", F.row_number().over(w.orderBy(value))).withColumn("_n", F.count(F.lit(1)).over(w))
+    part = ranked.withColumn("_j", F.greatest(F.lit(1), F.least(F.col("_n") - 1, F.expr("19 * (_n + 1) div 20")))).withColumn("_d", F.expr("19 * (_n + 1) - 20 * _j"))
+    weight = F.when(F.col("_rank") == F.col("_j"), F.col(value) * (20 - F.col("_d"))).when(F.col("_rank") == F.col("_j") + 1, F.col(value) * F.col("_d"))
+    return part.groupBy(*by).agg(F.when(F.max("_n") >= 20, F.sum(weight) / 20).otherwise(F.max(value)).alias("p95"), F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.max(value).alias("greatest"))
 
 
 def threshold_sweep(build: Callable[[float], DataFrame], base: float, factors: list[float], keys: list[str]) -> DataFrame:
