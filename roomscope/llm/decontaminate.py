@@ -165,9 +165,9 @@ bw AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFG
 win AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i + 1 : i + 10], ' ') AS g
         FROM bw, range(0, greatest(1, len(w) - 9)) r(i) WHERE len(w) > 0),
 sizes AS (SELECT DISTINCT n FROM win),
-pos AS (SELECT doc_id, w, unnest(range(0, len(w))) AS i FROM dw),
-hits AS (SELECT p.doc_id, p.i, s.n, win.item_id FROM pos p, sizes s JOIN win ON win.n = s.n AND win.g = array_to_string(p.w[p.i + 1 : p.i + s.n], ' ')
-         WHERE p.i + s.n <= len(p.w)),
+grams AS (SELECT doc_id, n, unnest(range(0, len(w) - n + 1)) AS i, unnest(list_transform(range(0, len(w) - n + 1), lambda i: array_to_string(w[i + 1 : i + n], ' '))) AS g
+          FROM dw, sizes WHERE len(w) >= n),
+hits AS (SELECT doc_id, i, n, item_id FROM grams JOIN win USING (n, g)),
 words AS (SELECT doc_id, count(DISTINCT i + k) AS n_hit FROM hits, range(0, 10) t(k) WHERE k < n GROUP BY doc_id),
 items AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS names FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS id FROM hits) GROUP BY doc_id)
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
