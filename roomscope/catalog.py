@@ -653,3 +653,84 @@ def _(s, d):
     e = p.load(s, d, "embeddings")
     at = lambda i: F.floor((F.col("embedding")[i].cast("double") + 0.5) * 64).cast("int")
     return masks.zbuffer(e.select(F.lit(0).alias("view"), F.col("vec_id").cast("long").alias("vertex_id"), at(0).alias("px"), at(1).alias("py"), F.col("embedding")[2].cast("double").alias("depth")))
+
+
+# ---- more imports, correspondence and scoring -----------------------------------------------------------------------------------
+
+
+@query("obb_to_aabb", """SELECT vec_id, round(min(x), 6) AS lx, round(max(x), 6) AS hx, round(min(y), 6) AS ly, round(max(y), 6) AS hy FROM (
+  SELECT vec_id, c.sx * e1 * cos(t) - c.sy * e2 * sin(t) + embedding[1]::DOUBLE AS x, c.sx * e1 * sin(t) + c.sy * e2 * cos(t) + embedding[2]::DOUBLE AS y
+  FROM (SELECT *, abs(embedding[4]::DOUBLE) AS e1, abs(embedding[5]::DOUBLE) AS e2, embedding[6]::DOUBLE AS t FROM embeddings), (VALUES (-1, -1), (-1, 1), (1, -1), (1, 1)) c(sx, sy)) GROUP BY vec_id""")
+def _(s, d):
+    e = p.load(s, d, "embeddings").select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"v{i}") for i in range(6)])
+    box = scenes.oriented_bounds(e.select("vec_id", F.col("v0").alias("x"), F.col("v1").alias("y"), F.abs("v3").alias("ex"), F.abs("v4").alias("ey"), F.col("v5").alias("yaw")))
+    return box.select("vec_id", *[F.round(c, 6).alias(c) for c in ("lx", "hx", "ly", "hy")])
+
+
+@query("nearest_floor", f"""{ES} SELECT scene_id, suid, arg_min(uid, (d2, ordinal)) AS floor_uid FROM (SELECT w.scene_id, w.suid, f.uid, f.ordinal,
+  ((w.plx + w.phx) / 2 - f.cx) * ((w.plx + w.phx) / 2 - f.cx) + ((w.ply + w.phy) / 2 - f.cy) * ((w.ply + w.phy) / 2 - f.cy) AS d2 FROM surface w JOIN entity f USING (scene_id) WHERE w.stype = 'wall' AND f.class = 'table') GROUP BY 1, 2""")
+def _(s, d):
+    e, w = scene(s, d)
+    return scenes.nearest_reference(w.where("stype = 'wall'"), e.where("class = 'table'"))
+
+
+@query("floor_calibration", f"""{EJ}, v AS (SELECT scene_id, sd_min FROM j WHERE stype = 'floor' AND cx BETWEEN plx AND phx AND cy BETWEEN ply AND phy AND abs(sd_min) <= 0.5), low AS (SELECT scene_id, sd_min FROM v QUALIFY sd_min <= min(sd_min) OVER (PARTITION BY scene_id) + 0.06)
+SELECT scene_id, count(*) AS voters, quantile_cont(sd_min, 0.5) AS shift, quantile_cont(sd_min, 0.5) < -0.10 AND count(*) >= 3 AS applied FROM low GROUP BY 1""")
+def _(s, d):
+    return scenes.floor_shift(*scene(s, d))
+
+
+@query("correspond_source_ref", f"{ES} SELECT a.scene_id, a.uid AS source_ref, a.uid AS src_uid, 'x_' || a.uid AS tgt_uid FROM entity a WHERE ordinal % 3 <> 0")
+def _(s, d):
+    from roomscope.operators import correspond
+
+    e = p.entities(s, d).select("scene_id", "uid", F.col("uid").alias("source_ref"), "ordinal")
+    return correspond.by_source_ref(e, e.where("ordinal % 3 <> 0").withColumn("uid", F.concat(F.lit("x_"), "uid")))
+
+
+def _policies(s, d):
+    """Answers and wishes made of the suppliers of parts, with a policy each."""
+    li = p.load(s, d, "lineitem").where("l_orderkey <= 2000")
+    names = F.array(*[F.lit(x) for x in ("exact", "all_of", "one_of", "any_of_subset", "abstain")])
+    return li.groupBy(F.col("l_orderkey").alias("q")).agg(F.collect_set(F.when(F.col("l_linenumber") <= 3, F.col("l_suppkey") % 7)).alias("got"), F.collect_set(F.when(F.col("l_linenumber") >= 2, F.col("l_suppkey") % 7)).alias("want")).withColumn("policy", names[(F.col("q") % 5).cast("int")])
+
+
+_POLICY = """WITH pq AS (SELECT l_orderkey AS q, list_distinct(list(l_suppkey % 7) FILTER (l_linenumber <= 3)) AS g, list_distinct(list(l_suppkey % 7) FILTER (l_linenumber >= 2)) AS w, ['exact','all_of','one_of','any_of_subset','abstain'][l_orderkey % 5 + 1] AS policy FROM lineitem WHERE l_orderkey <= 2000 GROUP BY 1),
+pp AS (SELECT q, policy, coalesce(g, []) AS g, coalesce(w, []) AS w, len(list_intersect(coalesce(g, []), coalesce(w, []))) AS h FROM pq)"""
+
+
+@query("benchmark_policy", f"{_POLICY} SELECT q, policy, h::INTEGER AS hits, (len(g) - h)::INTEGER AS extra, CASE policy WHEN 'exact' THEN h = len(g) AND h = len(w) WHEN 'all_of' THEN h = len(w) WHEN 'one_of' THEN h >= 1 WHEN 'any_of_subset' THEN h >= 1 AND h = len(g) ELSE len(g) = 0 END AS met FROM pp")
+def _(s, d):
+    from roomscope.operators import correspond
+
+    return correspond.policy_score(_policies(s, d)).select("q", "policy", "hits", "extra", "met")
+
+
+@query("micro_pr", f"{_POLICY} SELECT policy, sum(h)::BIGINT AS hits, sum(len(g))::BIGINT AS cited, sum(len(w))::BIGINT AS expected, CASE WHEN sum(len(g)) > 0 THEN sum(h) / sum(len(g)) END AS precision, CASE WHEN sum(len(w)) > 0 THEN sum(h) / sum(len(w)) END AS recall FROM pp GROUP BY ROLLUP (policy)")
+def _(s, d):
+    from roomscope.operators import correspond
+
+    return correspond.micro(_policies(s, d), ["policy"])
+
+
+@query("qa_categories", "SELECT event_type AS category, count(*) AS asked, count(*) FILTER (user_id % 3 = 0) AS answered, count(*) FILTER (user_id % 3 = 1) AS empty, bool_and(user_id >= 0) AS all_met FROM events GROUP BY ROLLUP (event_type)")
+def _(s, d):
+    e = p.load(s, d, "events")
+    return e.rollup(F.col("event_type").alias("category")).agg(F.count(F.lit(1)).alias("asked"), F.count(F.when(F.col("user_id") % 3 == 0, 1)).alias("answered"), F.count(F.when(F.col("user_id") % 3 == 1, 1)).alias("empty"), F.bool_and(F.col("user_id") >= 0).alias("all_met"))
+
+
+@query("hit_attribution", "SELECT attribution, count(*) AS n FROM (SELECT CASE WHEN vec_id % 2 = 0 THEN 'none' WHEN vec_id % 3 = 0 THEN 'parser' WHEN vec_id % 5 = 0 THEN 'relation_extraction' WHEN label > 6 THEN 'dense_graph' ELSE 'scorer' END AS attribution FROM embeddings) GROUP BY 1")
+def _(s, d):
+    from roomscope.operators import correspond
+
+    e = p.load(s, d, "embeddings").select((F.col("vec_id") % 2 == 0).alias("hit"), (F.col("vec_id") % 3 != 0).alias("parsed"), (F.col("vec_id") % 5 != 0).alias("has_relation"), (F.col("label") > 6).alias("dense"))
+    return correspond.attribution(e).groupBy("attribution").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("cosine_rank", """WITH c AS (SELECT label, list_transform(range(1, 9), lambda i: embedding[i]::DOUBLE) AS v FROM embeddings WHERE vec_id < 10), e AS (SELECT vec_id, list_transform(range(1, 9), lambda i: embedding[i]::DOUBLE) AS v FROM embeddings)
+SELECT vec_id, label, round(cos, 9) AS cos FROM (SELECT vec_id, c.label, list_dot_product(e.v, c.v) / (sqrt(list_dot_product(e.v, e.v)) * sqrt(list_dot_product(c.v, c.v))) AS cos FROM e, c) QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY cos DESC, label) = 1""")
+def _(s, d):
+    from roomscope.operators.evaluate import cosine_best
+
+    e = p.load(s, d, "embeddings").select("vec_id", "label", F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double")).alias("v"))
+    return cosine_best(e.select("vec_id", "v"), e.where("vec_id < 10").select("label", F.col("v").alias("c"))).select("vec_id", "label", F.round("cos", 9).alias("cos"))

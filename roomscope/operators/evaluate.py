@@ -70,3 +70,12 @@ def threshold_sweep(build: Callable[[float], DataFrame], base: float, factors: l
         row = row.select(F.lit(float(f)).alias("factor"), "added", "lost")
         out = row if out is None else out.unionByName(row)
     return out
+
+
+def cosine_best(vectors: DataFrame, centres: DataFrame) -> DataFrame:
+    """The label of the nearest of a few centres (label, c) for each vector (vec_id, v); the smaller label of equals."""
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
+    cos = dot(F.col("v"), F.col("c")) / (F.sqrt(dot(F.col("v"), F.col("v"))) * F.sqrt(dot(F.col("c"), F.col("c"))))
+    # A label set is a fixed vocabulary: one row for each class.
+    pairs = vectors.crossJoin(centres).withColumn("cos", cos)
+    return pairs.groupBy("vec_id").agg(F.min_by(F.struct("label", "cos"), F.struct((-F.col("cos")).alias("s"), F.col("label").alias("l"))).alias("b")).select("vec_id", "b.label", "b.cos")

@@ -60,3 +60,33 @@ def read_bundle(spark: SparkSession, path: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{path}/{name}")
     bad = F.raise_error(F.concat(F.lit("unknown schema version "), F.col("schema_version").cast("string")))
     return df.withColumn("schema_version", F.when(F.col("schema_version") == BUNDLE_VERSION, F.col("schema_version")).otherwise(bad.cast("int")))
+
+
+def oriented_bounds(boxes: DataFrame) -> DataFrame:
+    """Bounds of boxes turned about z: x, y, half sizes ex and ey, yaw in radians, by their four corners."""
+    c, s = F.cos("yaw"), F.sin("yaw")
+    xs = [F.col("x") + a * F.col("ex") * c - b * F.col("ey") * s for a in (-1, 1) for b in (-1, 1)]
+    ys = [F.col("y") + a * F.col("ex") * s + b * F.col("ey") * c for a in (-1, 1) for b in (-1, 1)]
+    return boxes.select("*", F.least(*xs).alias("lx"), F.greatest(*xs).alias("hx"), F.least(*ys).alias("ly"), F.greatest(*ys).alias("hy"))
+
+
+def nearest_reference(walls: DataFrame, refs: DataFrame) -> DataFrame:
+    """For each wall the nearest reference in the plane, the first of equals: its interior side looks there."""
+    w = walls.select("scene_id", "suid", ((F.col("plx") + F.col("phx")) / 2).alias("wx"), ((F.col("ply") + F.col("phy")) / 2).alias("wy"))
+    both = w.join(refs.select("scene_id", "uid", "ordinal", "cx", "cy"), "scene_id")
+    d2 = (F.col("wx") - F.col("cx")) * (F.col("wx") - F.col("cx")) + (F.col("wy") - F.col("cy")) * (F.col("wy") - F.col("cy"))
+    return both.groupBy("scene_id", "suid").agg(F.min_by("uid", F.struct(d2.alias("d2"), "ordinal")).alias("floor_uid"))
+
+
+def floor_shift(ents: DataFrame, surfs: DataFrame, reach: float = 0.5, cluster: float = 0.06, voters: int = 3, least: float = -0.10) -> DataFrame:
+    """How far the floor should move: the median bottom of the lowest cluster of things over it, applied if enough and far."""
+    from roomscope.functions import geometry as g
+    from roomscope.operators.joins import with_surfaces
+
+    low, _ = g.corner_distances("e", "s")
+    over = with_surfaces(ents, surfs.where("stype = 'floor'")).where((g.mid("e", "x") >= F.col("s.plx")) & (g.mid("e", "x") <= F.col("s.phx")) & (g.mid("e", "y") >= F.col("s.ply")) & (g.mid("e", "y") <= F.col("s.phy")))
+    votes = over.select("scene_id", low.alias("bottom")).where(F.abs("bottom") <= reach)
+    least_of = votes.groupBy("scene_id").agg(F.min("bottom").alias("first"))
+    near = votes.join(least_of, "scene_id").where(F.col("bottom") <= F.col("first") + cluster)
+    out = near.groupBy("scene_id").agg(F.count(F.lit(1)).alias("voters"), F.percentile("bottom", 0.5).alias("shift"))
+    return out.withColumn("applied", (F.col("shift") < least) & (F.col("voters") >= voters))
