@@ -734,3 +734,23 @@ def _(s, d):
 
     e = p.load(s, d, "embeddings").select("vec_id", "label", F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double")).alias("v"))
     return cosine_best(e.select("vec_id", "v"), e.where("vec_id < 10").select("label", F.col("v").alias("c"))).select("vec_id", "label", F.round("cos", 9).alias("cos"))
+
+
+@query("repair_v1")
+def _(s, d):
+    """Masks cut to a tenth of their vertices, so that some lie inside others."""
+    v = p.mask_vertices(s, d).where("vertex_id % (mask_id % 5 + 1) = 0")
+    return masks.repair_v1(p.masks(s, d), v, contained=0.3)
+
+
+@query("surface_regions")
+def _(s, d):
+    """Regions of the triangles of a height field made of vectors."""
+    from roomscope.operators import mesh
+
+    e = p.load(s, d, "embeddings")
+    v = e.select(F.lit("scene_0").alias("scene_id"), F.col("vec_id").cast("long").alias("vertex_id"), (F.col("vec_id") % 16).cast("double").alias("x"), F.floor(F.col("vec_id") / 16).cast("double").alias("y"), (F.round(F.col("embedding")[0].cast("double") * 2) * 0.5).alias("z"))
+    i = F.col("vertex_id")
+    t = v.where("x < 15").select("scene_id", F.explode(F.array(F.struct((i * 2).alias("face_id"), i.alias("v0"), (i + 1).alias("v1"), (i + 16).alias("v2")), F.struct((i * 2 + 1).alias("face_id"), (i + 1).alias("v0"), (i + 17).alias("v1"), (i + 16).alias("v2")))).alias("f")).select("scene_id", "f.*")
+    f = mesh.face_geometry(v, t)
+    return mesh.plane_fits(f.join(mesh.grow_regions(f, mesh.face_adjacency(t)), ["scene_id", "face_id"]), ["scene_id", "region"])
