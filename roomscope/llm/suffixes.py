@@ -31,7 +31,7 @@ from .common import _BYTE, U, _powers, mix, settle
 
 LEAST = 100
 GRAM = 40
-PIECE = 2 << 20
+PIECE = 1_900_000
 LAST = (1 << 63) - 1
 
 
@@ -323,7 +323,7 @@ def _send_texts(shards: int, least: int, gram: int):
     return run
 
 
-def _factors(least: int, gram: int, at_once: int = 4096):
+def _factors(least: int, gram: int, at_once: int = 2048):
     """In a shard: texts of equal anchors by place, their suffix order, and the starts whose previous factor is long enough."""
     width, left = 2 * least - gram, least - gram
 
@@ -373,17 +373,41 @@ def _earlier(h: np.ndarray, chars: np.ndarray, absent: np.ndarray, left: int, le
 
 
 def _factor_hits(h: np.ndarray, chars: np.ndarray, absent: np.ndarray, left: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts with an earlier match. A symbol is a byte with its anchor and its place beside the anchor, so that the longest
-    previous factor can only come from the same strings of the same anchor, never from the same bytes seen from another one."""
+    """Starts with an earlier match of ``least`` bytes.
+
+    A symbol is a byte with its anchor and its place beside the anchor, so that the longest previous factor can only come from the
+    same string of the same anchor, never from the same bytes seen from another one. The suffix order of such texts falls apart by
+    place: it is built place by place, each a sort of as many entries as there are texts, doubling the length known and keeping at
+    each step only the places that still matter. In suffix order, equal factors follow each other by position, so the nearest
+    smaller position with a long enough match is the entry before.
+    """
     n, width = chars.shape
     _, group = np.unique(h, return_inverse=True)
-    text = ((group[:, None] * width + np.arange(width)[None, :]) << 8) + chars + 1
-    text = np.concatenate((text, np.zeros((n, 1), dtype=np.int64)), axis=1)
-    text[:, :width][absent] = 0
+    byte = chars.astype(np.int64)
+    step = 4
+    key = (byte[:, :-3] << 24) | (byte[:, 1:-2] << 16) | (byte[:, 2:-1] << 8) | byte[:, 3:]
+    rank = _classes((group[:, None].astype(np.int64) << 32) | key)
+    while step < least:
+        add = min(step, least - step)
+        rank = _classes(rank[:, : rank.shape[1] - add] * np.int64(n + 1) + rank[:, add:])
+        step += add
+    order = np.argsort(rank[:, : left + 1], axis=0, kind="stable")
+    ranked = np.take_along_axis(rank[:, : left + 1], order, axis=0)
+    again = np.zeros((n, left + 1), dtype=bool)
+    np.put_along_axis(again, order[1:], ranked[1:] == ranked[:-1], axis=0)
     whole = np.concatenate((np.zeros((n, 1), dtype=np.int64), np.cumsum(absent, axis=1)), axis=1)
-    inside = whole[:, least : least + left + 1] == whole[:, : left + 1]
-    factor = previous_factor(text.ravel(), least).reshape(n, width + 1)
-    return np.nonzero((factor[:, : left + 1] >= least) & inside)
+    return np.nonzero(again & (whole[:, least : least + left + 1] == whole[:, : left + 1]))
+
+
+def _classes(keys: np.ndarray) -> np.ndarray:
+    """Dense ranks of each column's keys."""
+    out = np.empty(keys.shape, dtype=np.int64)
+    order = np.argsort(keys, axis=0)
+    ranked = np.take_along_axis(keys, order, axis=0)
+    new = np.zeros(keys.shape, dtype=np.int64)
+    new[1:] = ranked[1:] != ranked[:-1]
+    np.put_along_axis(out, order, np.cumsum(new, axis=0), axis=0)
+    return out
 
 
 def _runs(left: pa.Table, answers: list[tuple[int, bytes]], shards: int, least: int, gram: int) -> Iterator[tuple[int, bytes, list[tuple[int, int]]]]:
