@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ensure_checkpoint_dir, shard_count
+from .common import ensure_checkpoint_dir, release, shard_count
 
 PACKED = "shard int, block int, payload binary"
 _MOST_BUCKETS = 50_000
@@ -73,9 +73,9 @@ def by_shard(shard: np.ndarray, shards: int, *columns: np.ndarray) -> Iterator[t
 class Blocks:
     """Texts in a bucketed table of the shared folder: block, row (unique in its block), doc_id, text (binary), and more columns."""
 
-    def __init__(self, docs: DataFrame, *more: str):
+    def __init__(self, docs: DataFrame, *more: str, shards: int | None = None):
         spark = docs.sparkSession
-        self.shards = shard_count(docs)
+        self.shards = shards or shard_count(docs)
         n = max(1, min(_MOST_BUCKETS, docs.rdd.getNumPartitions()))
         # A label for each bucket: the smallest number whose hash falls into it.
         labels = spark.range(0, 64 * n + 1024).select("id", F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("b")).groupBy("b").agg(F.min("id").alias("id")).collect()
@@ -107,7 +107,11 @@ class Blocks:
         def run(group: pa.Table) -> pa.Table:
             shard = group.column("shard")[0].as_py()
             rows = sorted(zip(group.column("block").to_pylist(), group.column("payload").to_pylist(), strict=True))
-            return pa.Table.from_batches([packed_batch([(shard, b, p) for b, p in fn(rows)])])
+            del group
+            out = pa.Table.from_batches([packed_batch([(shard, b, p) for b, p in fn(rows)])])
+            del rows
+            release()
+            return out
 
         return sent.groupBy("shard").applyInArrow(run, PACKED)
 
@@ -115,7 +119,9 @@ class Blocks:
         """fn of each block's rows and the (shard, payload) answers sent to it, in shard order."""
 
         def run(left: pa.Table, right: pa.Table) -> pa.Table:
-            return fn(left, sorted(zip(right.column("shard").to_pylist(), right.column("payload").to_pylist(), strict=True)))
+            out = fn(left, sorted(zip(right.column("shard").to_pylist(), right.column("payload").to_pylist(), strict=True)))
+            release()
+            return out
 
         return self.table.select("block", "row", "doc_id", "text", *more).groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
 

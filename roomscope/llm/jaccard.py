@@ -31,7 +31,7 @@ from .common import LOWER, U, mix, settle, word_hashes
 from .graphs import components
 
 _M = U(0x9E3779B97F4A7C15)
-_CHUNK = 4 << 20
+_CHUNK = 1_900_000
 
 
 def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
@@ -339,7 +339,7 @@ def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
     blocks.drop()
     live = states.where("node is not null")
     sets = settle(live.groupBy("node").agg(F.first("pick", ignorenulls=True).alias("pick"), F.min("doc_id").alias("first_id")))
-    inner = Blocks(sets.select(F.col("node").alias("doc_id"), F.col("pick").alias("text")))
+    inner = Blocks(sets.select(F.col("node").alias("doc_id"), F.col("pick").alias("text")), shards=blocks.shards)  # never more than the documents
     shards = inner.shards
     prefixes = settle(inner.with_answers(inner.answer(inner.emit(_send_tokens(shards)), _count), _prefixes(shards, percent), PREFIXES))
     inner.drop()
