@@ -36,7 +36,7 @@ DISCOUNT = 0.75
 HOT = 1 << 20
 LOW32 = U(0xFFFFFFFF)
 STRETCH = 1_500_000
-_PIECE = 4 << 20
+_PIECE = 1_900_000
 
 
 # ---- Elias-Fano ------------------------------------------------------------------------------------------------------------------

@@ -24,6 +24,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import release
+
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -103,7 +105,7 @@ class _Memo(dict):
 
 
 class PieceModel:
-    def __init__(self, data: bytes, memo: int = 600_000):
+    def __init__(self, data: bytes, memo: int = 300_000):
         self.pieces: list[str] = []
         self.scores: list[float] = []
         self.types: list[int] = []
@@ -403,8 +405,8 @@ def piece_digests(docs: DataFrame, model_path: str, with_ids: bool = False) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(held.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
                 n, a, b, c, all_ids = [], [], [], [], []
                 for t in part.column(1).to_pylist():
                     ids, joined, back, end = model.digest(t or "")
@@ -417,6 +419,8 @@ def piece_digests(docs: DataFrame, model_path: str, with_ids: bool = False) -> D
                 if with_ids:
                     cols.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(np.concatenate(all_ids))))
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ends_sha256", "ids"][: len(cols)])
+        model._memo.clear()
+        release()
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA + ", ids array<int>" * with_ids)
 
