@@ -8,7 +8,8 @@ is enough to compare the surroundings of equal anchors:
 
 1. Every block sends its anchors with a hash of their whole surroundings (all strings that could choose them) and their place.
    A shard answers which surroundings are the first of their kind everywhere. The others are repeated as a whole, and a group of
-   any number of copies has one first surrounding per anchor.
+   any number of copies has one first surrounding per anchor. Surroundings count as equal by hashes (64 bits of their bytes, 32 of
+   the anchor); these copies never reach a suffix array.
 2. Where an anchor has several different surroundings, the first of each kind is sent as text. A shard lays these texts out by
    place, builds their suffix array and the longest-previous-factor array (from the previous and next smaller positions in suffix
    order), and answers which starts have an earlier match of at least ``least`` bytes.
@@ -85,7 +86,6 @@ def previous_factor(text: np.ndarray, most: int) -> np.ndarray:
         return np.zeros(0, dtype=np.int64)
     levels = ranks(text, most)
     order = np.argsort(levels[-1][1], kind="stable")  # equal factors of ``most`` bytes by position
-    before, after = smaller(order)
 
     def common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Common prefix of the suffixes at a and b, up to ``most``; -1 in b: none."""
@@ -104,8 +104,13 @@ def previous_factor(text: np.ndarray, most: int) -> np.ndarray:
         got[same] = most
         return got if sizes else got
 
-    out = np.zeros(n, dtype=np.int64)
-    for near in (before, after):
+    return _longest(order, common)
+
+
+def _longest(order: np.ndarray, common) -> np.ndarray:
+    """For each position, the longer of its common prefixes with the nearest smaller positions before and after it in suffix order."""
+    out = np.zeros(len(order), dtype=np.int64)
+    for near in smaller(order):
         other = np.where(near >= 0, order[np.maximum(near, 0)], -1)
         out[order] = np.maximum(out[order], common(order, other))
     return out
@@ -373,30 +378,53 @@ def _earlier(h: np.ndarray, chars: np.ndarray, absent: np.ndarray, left: int, le
 
 
 def _factor_hits(h: np.ndarray, chars: np.ndarray, absent: np.ndarray, left: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts with an earlier match of ``least`` bytes.
+    """Starts with an earlier match of ``least`` bytes."""
+    return np.nonzero(_previous_factors(h, chars, absent, left, least) >= least)
+
+
+def _previous_factors(h: np.ndarray, chars: np.ndarray, absent: np.ndarray, left: int, least: int) -> np.ndarray:
+    """Longest previous factors, up to ``least``, of the places 0 to ``left`` of each text: as previous_factor() gives for all of them.
 
     A symbol is a byte with its anchor and its place beside the anchor, so that the longest previous factor can only come from the
     same string of the same anchor, never from the same bytes seen from another one. The suffix order of such texts falls apart by
     place: it is built place by place, each a sort of as many entries as there are texts, doubling the length known and keeping at
-    each step only the places that still matter. In suffix order, equal factors follow each other by position, so the nearest
-    smaller position with a long enough match is the entry before.
+    each step only the places that still matter. The orders of all places, one after the other, are the suffix order of the whole;
+    the previous and next smaller positions are sought in it, and the classes of each step give the common prefixes with them.
     """
     n, width = chars.shape
     _, group = np.unique(h, return_inverse=True)
-    byte = chars.astype(np.int64)
-    step = 4
-    key = (byte[:, :-3] << 24) | (byte[:, 1:-2] << 16) | (byte[:, 2:-1] << 8) | byte[:, 3:]
-    rank = _classes((group[:, None].astype(np.int64) << 32) | key)
+    byte = np.where(absent, 0, chars.astype(np.int64) + 1)  # what the text doesn't have is no byte, not a zero
+    key = (byte[:, :-3] << 27) | (byte[:, 1:-2] << 18) | (byte[:, 2:-1] << 9) | byte[:, 3:]
+    rank, step = _classes((group[:, None].astype(np.int64) << 36) | key), 4
+    pair = (group[:, None].astype(np.int64) << 18) | (byte[:, :-1] << 9) | byte[:, 1:]
+    flat = [(s, r.T.ravel()) for s, r in ((1, (group[:, None].astype(np.int64) << 9) | byte), (2, pair), (4, rank.astype(np.int32)))]  # position: place * n + text
     while step < least:
         add = min(step, least - step)
         rank = _classes(rank[:, : rank.shape[1] - add] * np.int64(n + 1) + rank[:, add:])
         step += add
+        flat.append((step, rank.astype(np.int32).T.ravel()))
     order = np.argsort(rank[:, : left + 1], axis=0, kind="stable")
-    ranked = np.take_along_axis(rank[:, : left + 1], order, axis=0)
-    again = np.zeros((n, left + 1), dtype=bool)
-    np.put_along_axis(again, order[1:], ranked[1:] == ranked[:-1], axis=0)
-    whole = np.concatenate((np.zeros((n, 1), dtype=np.int64), np.cumsum(absent, axis=1)), axis=1)
-    return np.nonzero(again & (whole[:, least : least + left + 1] == whole[:, : left + 1]))
+
+    def common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        got = np.zeros(len(a), dtype=np.int64)
+        live = np.flatnonzero((b >= 0) & (a // n == b // n))
+        i, j = a[live], b[live]
+        same = flat[-1][1][i] == flat[-1][1][j]
+        got[live[same]] = least
+        live, i, j = live[~same], i[~same], j[~same]
+        known = np.zeros(len(live), dtype=np.int64)
+        for s, r in reversed(flat[:-1]):
+            fit = known + s <= least
+            fit[fit] = r[i[fit] + known[fit] * n] == r[j[fit] + known[fit] * n]
+            known[fit] += s
+        got[live] = known
+        return got
+
+    factor = _longest((order + np.arange(left + 1) * n).T.ravel(), common).reshape(left + 1, n).T
+    room = np.zeros((n, width + 1), dtype=np.int64)  # bytes from each place to the text's end
+    for x in range(width - 1, -1, -1):
+        room[:, x] = np.where(absent[:, x], 0, room[:, x + 1] + 1)
+    return np.minimum(factor, room[:, : left + 1])
 
 
 def _classes(keys: np.ndarray) -> np.ndarray:

@@ -93,3 +93,41 @@ def test_large_groups_go_in_parts():
     for at_once in (7, 1000):
         got = {(int(i), int(x)) for a, b in suffixes._earlier(np.zeros(60, dtype=np.uint32), chars, absent, left, least, at_once) for i, x in zip(a, b, strict=True)}
         assert got == want
+
+
+def test_place_orders_give_previous_factors():
+    random.seed(4)
+    width, left, least = 48, 18, 30
+    for n in (1, 2, 40):
+        base = [[random.choice((0, 97, 98)) for _ in range(width)] for _ in range(3)]
+        chars = np.array([[c if random.random() < 0.97 else 99 for c in random.choice(base)] for _ in range(n)], dtype=np.uint8)
+        absent = np.zeros_like(chars, dtype=bool)
+        for i in range(0, n, 3):
+            absent[i, : random.randrange(20)] = absent[i, width - random.randrange(20) :] = True
+        chars[absent] = 0
+        h = np.array([i % 2 for i in range(n)], dtype=np.uint32)
+        got = suffixes._previous_factors(h, chars, absent, left, least)
+        symbol = [[None if absent[i, x] else (h[i], x, chars[i, x]) for x in range(width)] for i in range(n)]
+        run = lambda a, b, x: next((k for k in range(least) if symbol[a][x + k] is None or symbol[a][x + k] != symbol[b][x + k]), least)
+        want = [[max((run(i, j, x) for j in range(i)), default=0) for x in range(left + 1)] for i in range(n)]
+        assert got.tolist() == want
+        # The array of the plain construction, over the same symbols in one string.
+        text = ((h.astype(np.int64)[:, None] * width + np.arange(width)) << 8) + chars + 1
+        if not absent.any():
+            assert (suffixes.previous_factor(np.pad(text, ((0, 0), (0, 1))).ravel(), least).reshape(n, width + 1)[:, : left + 1] >= least).tolist() == (got >= least).tolist()
+
+
+def test_zero_bytes_are_no_missing_bytes():
+    tail = bytes(range(65, 65 + 29))
+    chars = np.array([list(b"\0" * 19 + tail), list(b"\0" * 19 + tail)], dtype=np.uint8)
+    absent = np.zeros_like(chars, dtype=bool)
+    absent[0, :19] = True  # the first text begins there; the second has zeros
+    assert len(suffixes._factor_hits(np.zeros(2, dtype=np.uint32), chars, absent, 18, 30)[0]) == 0
+
+
+def test_previous_factors_come_from_smaller_positions(monkeypatch):
+    asked = []
+    monkeypatch.setattr(suffixes, "smaller", lambda order, f=suffixes.smaller: asked.append(len(order)) or f(order))
+    chars = np.array([[97] * 48] * 3, dtype=np.uint8)
+    i, x = suffixes._factor_hits(np.zeros(3, dtype=np.uint32), chars, np.zeros_like(chars, dtype=bool), 18, 30)
+    assert asked == [3 * 19] and len(i) == 2 * 19
