@@ -1,8 +1,10 @@
 """License scans (operator 2).
 
 Lines of each file's whole text are compared with licence templates by the cosine of sparse TF-IDF vectors. Weights of terms come
-from all files: how many of them hold each template term. A line, or two adjacent ones, at ``threshold`` or more of a template
-names that licence; the best match of the file is its own licence. A licence file (by its name, or because licence lines make up
+from all files: the share of them that holds each template term. No share counts as less than RAREST, and words outside the
+templates weigh as much as the rarest template term that is found, so that a line's cosine doesn't depend on the number of files.
+A line, or adjacent ones up to the length of the longest template, at ``threshold`` or more of a template names that licence; the
+best match of the file is its own licence. A licence file (by its name, or because licence lines make up
 half of its words) also names its directory's licence; files without one of their own take that of the nearest ancestor
 directory that has one, by equi-joins of directory paths.
 
@@ -16,7 +18,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -45,9 +47,32 @@ def terms(text: bytes) -> Counter:
     return Counter(_TERM.findall(text.lower()))
 
 
+#: A term that fewer files hold weighs as if this share of them did: what a large corpus has of rare words says no more than that.
+RAREST = 1e-3
 VOCABULARY = sorted({t for texts in TEMPLATES.values() for x in texts for t in terms(x.encode())})
 
 
+#: Terms of the longest template.
+LONGEST = max(terms(x.encode()).total() for texts in TEMPLATES.values() for x in texts)
+#: Lines without it are borders of comments and the like.
+_WORD = re.compile(rb"[A-Za-z0-9\x80-\xff]")
+
+
+def _windows(i: int, n: int, size: Callable[[int], int]) -> Iterator[tuple[int, int]]:
+    """Ranges of adjacent lines with line i in them: one, two, and all in which a text of LONGEST terms can begin in the first and end in the last."""
+    a, before = i, 0  # before: terms of the lines between the first and line i
+    while a >= 0 and (a >= i - 1 or before + 2 <= LONGEST):
+        b, inner = i + 1, before + (size(i) if a < i else 0)
+        yield a, b
+        while b < n and (b - a == 1 or inner + 2 <= LONGEST):
+            b += 1
+            yield a, b
+            inner += size(b - 1)
+        if a < i:
+            before += size(a)
+        a -= 1
+
+
 def document_frequency(files: DataFrame) -> tuple[int, dict[bytes, int]]:
     """How many files hold each template term, over all files: one row per batch is summed, one per term comes back."""
 
@@ -70,8 +95,9 @@ def document_frequency(files: DataFrame) -> tuple[int, dict[bytes, int]]:
 
 class Matcher:
     def __init__(self, n: int, held: dict[bytes, int]):
-        self.idf = {t: math.log((n + 1) / (held.get(t, 0) + 1)) + 1.0 for t in VOCABULARY}
-        self.rare = math.log(n + 1) + 1.0  # a term of no template, as if no file held it
+        found = {t: 1.0 - math.log(max(held[t] / n, RAREST)) for t in VOCABULARY if held.get(t)}
+        self.rare = max(found.values(), default=1.0 - math.log(RAREST))  # a term of no template, or of no file
+        self.idf = {t: found.get(t, self.rare) for t in VOCABULARY}
         self.templates = []
         for name, texts in sorted(TEMPLATES.items()):
             for x in texts:
@@ -80,7 +106,10 @@ class Matcher:
                 self.templates.append((name, {t: w / norm for t, w in v.items()}))
 
     def best(self, line: bytes) -> tuple[float, str]:
-        v = {t: (1 + math.log(c)) * self.idf.get(t, self.rare) for t, c in terms(line).items()}
+        return self.nearest(terms(line))
+
+    def nearest(self, counts: Counter) -> tuple[float, str]:
+        v = {t: (1 + math.log(c)) * self.idf.get(t, self.rare) for t, c in counts.items()}
         norm = math.sqrt(sum(w * w for w in v.values())) or 1.0
         return max(((sum(w * v[t] for t, w in tv.items() if t in v) / norm, name) for name, tv in self.templates), key=lambda x: x[0])
 
@@ -88,12 +117,25 @@ class Matcher:
         """Licence, its cosine, licence lines, and words in them."""
         if not _HINT.search(text):
             return None, 0.0, 0, 0
-        lines = [x for x in text.split(b"\n") if x.strip()]
+        lines = [x for x in text.split(b"\n") if _WORD.search(x)]
+        known: dict[int, Counter] = {}
+        seen: dict[tuple[int, int], tuple[float, str]] = {}
+
+        def of(i: int) -> Counter:
+            if i not in known:
+                known[i] = terms(lines[i])
+            return known[i]
+
+        def match(a: int, b: int) -> tuple[float, str]:
+            if (a, b) not in seen:
+                seen[a, b] = self.nearest(sum((of(k) for k in range(a + 1, b)), of(a)))
+            return seen[a, b]
+
         top, name, hits, words = 0.0, None, 0, 0
         for i, line in enumerate(lines):
             if not _HINT.search(line):
                 continue
-            got = max((self.best(x) for x in (line, b" ".join(lines[max(0, i - 1) : i + 1]), b" ".join(lines[i : i + 2]))), key=lambda x: x[0])
+            got = max((match(a, b) for a, b in _windows(i, len(lines), lambda k: max(1, of(k).total()))), key=lambda x: x[0])
             if got[0] >= threshold:
                 hits += 1
                 words += len(line.split())

@@ -155,3 +155,37 @@ def test_template_frequency_equals_brute(spark):
     d = spark.createDataFrame([(1, "a", "Apache license apache"), (2, "b", "no LICENSE"), (3, "c", None)], "file_id long, path string, text string")
     n, held = licences.document_frequency(d)
     assert n == 3 and held[b"license"] == 2 and held[b"apache"] == 1
+
+
+def test_licence_lines_match_in_corpora_of_any_size():
+    lines = [
+        (b"// Licensed under the Apache License, Version 2.0 by Acme Corp.", "Apache-2.0"), (b"# Released under the MIT License by Foo.", "MIT"),
+        (b"Licensed under the Apache License, Version 2.0. See LICENSE.", "Apache-2.0"), (b"Licensed under CC BY-NC 4.0. Contact Acme.", "CC-BY-NC-4.0"),
+    ]
+    share = {b"the": 0.5, b"by": 0.3, b"under": 0.1, b"version": 0.02, b"released": 0.01}
+    got = []
+    for n in (1_000, 10_000, 6_000_000):
+        m = licences.Matcher(n, {t: int(n * share.get(t, 0.002)) for t in licences.VOCABULARY})
+        got.append([m.scan(line, 0.7)[:2] for line, _ in lines])
+        assert [name for name, _ in got[-1]] == [name for _, name in lines]
+        assert m.scan(b"You need a permission slip to park a car under the bridge by the river", 0.7)[0] is None
+    assert got[0] == got[1] == got[2]
+
+
+def test_licence_notices_over_many_lines():
+    m = licences.Matcher(1000, dict.fromkeys(licences.VOCABULARY, 10))
+    notice = licences.TEMPLATES["BSD-3-Clause"][0].split()
+    for width in (20, 7, 5, 4, 2, 1):
+        text = "\n".join("# " + " ".join(notice[k : k + width]) for k in range(0, len(notice), width))
+        assert m.scan(f"# Some words stand here\n#\n{text}\n#\nimport x".encode(), 0.7)[:2] == ("BSD-3-Clause", pytest.approx(1.0))
+
+
+def test_licence_windows_equal_brute():
+    random.seed(9)
+    for _ in range(200):
+        n = random.randrange(1, 12)
+        size = [random.randrange(1, 20) for _ in range(n)]
+        i = random.randrange(n)
+        want = {(a, b) for a in range(i + 1) for b in range(i + 1, n + 1) if b - a <= 2 or sum(size[a + 1 : b - 1]) + 2 <= licences.LONGEST}
+        got = list(licences._windows(i, n, size.__getitem__))
+        assert len(got) == len(set(got)) and set(got) == want
