@@ -69,7 +69,8 @@ def mask_iou(mv: DataFrame) -> DataFrame:
 def greedy_match(over: DataFrame, most_rounds: int = 50) -> DataFrame:
     """Greedy one-to-one matching by (-overlap, pred, oracle): in each round all pairs that are first for both their ends are taken.
 
-    For a strict order of pairs this equals taking them one after the other. Each round is checkpointed.
+    For a strict order of pairs this equals taking them one after the other. Each round is checkpointed. Ties and falling chains may
+    free one pair a round, so what is left after ``most_rounds`` is taken one after the other, a scene's rest in one task.
     """
     from pyspark.sql import Window as W
 
@@ -82,9 +83,24 @@ def greedy_match(over: DataFrame, most_rounds: int = 50) -> DataFrame:
             break
         taken = now if taken is None else taken.unionByName(now)
         rest = _settle(rest.join(now.select("scene_id", "pred"), ["scene_id", "pred"], "left_anti").join(now.select("scene_id", "oracle"), ["scene_id", "oracle"], "left_anti"))
+    else:
+        now = _settle(rest.groupBy("scene_id").applyInPandas(_one_by_one, rest.schema))
+        taken = now if taken is None else taken.unionByName(now)
     return taken if taken is not None else over.select("scene_id", "pred", "oracle", "overlap").limit(0)
 
 
+def _one_by_one(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A scene's pairs by (-overlap, pred, oracle), each taken if both its ends are free."""
+    pdf = pdf.sort_values(["overlap", "pred", "oracle"], ascending=[False, True, True])
+    left, right, keep = set(), set(), []
+    for i, j in zip(pdf["pred"], pdf["oracle"], strict=True):
+        keep.append(i not in left and j not in right)
+        if keep[-1]:
+            left.add(i)
+            right.add(j)
+    return pdf[keep]
+
+
 def _settle(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:

@@ -120,6 +120,16 @@ def test_greedy_equals_sequential(spark):
     assert {(r.pred, r.oracle) for r in got} == want
 
 
+def test_greedy_leaves_no_pair(spark):
+    ties = [("s", i, j, 3) for i in range(60) for j in range(60)]
+    chain = [("t", i, j, 200 - 2 * i - (j > i)) for i in range(60) for j in (i, i + 1)]
+    schema = "scene_id string, pred long, oracle long, overlap long"
+    got = masks.greedy_match(spark.createDataFrame(ties + chain, schema)).collect()
+    assert sorted((r.scene_id, r.pred, r.oracle) for r in got) == [(s, i, i) for s in "st" for i in range(60)]
+    few = masks.greedy_match(spark.createDataFrame(ties[:240] + chain[:20], schema), most_rounds=2).collect()
+    assert sorted((r.scene_id, r.pred, r.oracle) for r in few) == [("s", i, i) for i in range(4)] + [("t", i, i) for i in range(10)]
+
+
 def test_p95_equals_statistics(spark):
     random.seed(2)
     for n in (5, 20, 33, 100):
