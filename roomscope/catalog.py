@@ -463,6 +463,15 @@ def _(s, d):
     return co.withColumn("conf", F.col("co_mem") / F.col("co_vis"))
 
 
+@query("edge_confidence_mesh")
+def _(s, d):
+    """All of lineitem, over the edges of mesh_edges; compared with brute force in tests/."""
+    li = p.load(s, d, "lineitem")
+    f = li.select("l_orderkey", F.col("l_partkey").alias("a")).distinct()
+    e = f.join(f.withColumnRenamed("a", "b"), "l_orderkey").where("a < b")
+    return masks.edge_confidence(e, li.select((F.col("l_suppkey") % 8).alias("w"), F.col("l_partkey").alias("v"), F.col("l_linenumber").alias("mask")))
+
+
 # ---- evaluation -----------------------------------------------------------------------------------------------------------------
 
 

@@ -66,6 +66,16 @@ def mask_iou(mv: DataFrame) -> DataFrame:
     return both.select("scene_id", "a", "b", "shared", (F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("iou"))
 
 
+def edge_confidence(edges: DataFrame, seen: DataFrame) -> DataFrame:
+    """Of each edge (a, b), the views in which both ends are visible, those of them in which they share a mask, and their ratio (0 if
+    never both visible). ``seen``: view w, vertex v, mask (null where it is visible outside all masks)."""
+    at = seen.groupBy("w", "v").agg(F.collect_set("mask").alias("masks"))
+    one, other = at.select(F.col("v").alias("a"), "w", F.col("masks").alias("m1")), at.select(F.col("v").alias("b"), "w", F.col("masks").alias("m2"))
+    both = edges.select("a", "b").distinct().join(one, "a", "left").join(other, ["b", "w"], "left")
+    co = both.groupBy("a", "b").agg(F.count("m2").alias("co_vis"), F.count(F.when(F.arrays_overlap("m1", "m2"), 1)).alias("co_mem"))
+    return co.withColumn("conf", F.when(F.col("co_vis") > 0, F.col("co_mem") / F.col("co_vis")).otherwise(0.0))
+
+
 def greedy_match(over: DataFrame, most_rounds: int = 50) -> DataFrame:
     """Greedy one-to-one matching by (-overlap, pred, oracle): in each round all pairs that are first for both their ends are taken.
 

@@ -130,6 +130,27 @@ def test_greedy_leaves_no_pair(spark):
     assert sorted((r.scene_id, r.pred, r.oracle) for r in few) == [("s", i, i) for i in range(4)] + [("t", i, i) for i in range(10)]
 
 
+def test_edge_confidence_of_the_whole_mesh(spark, tmp_path):
+    from roomscope import catalog
+
+    random.seed(8)
+    rows = [(random.randrange(1, 40), random.choice([3, 190, 199, 200, 201, 350, 5000, 5001]), random.randrange(1, 30), line) for _ in range(60) for line in (1, 2, 3)]
+    rows += [(99, 7, 1, 1), (99, 8, 2, 1)]  # never visible together
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int").write.parquet(str(tmp_path / "lineitem.parquet"))
+    edges = {(x[1], y[1]) for x in rows for y in rows if x[0] == y[0] and x[1] < y[1]}
+    seen = {}
+    for _, v, supp, line in rows:
+        seen.setdefault((supp % 8, v), set()).add(line)
+    want = set()
+    for a, b in edges:
+        both = [w for w in range(8) if (w, a) in seen and (w, b) in seen]
+        share = [w for w in both if seen[w, a] & seen[w, b]]
+        want.add((a, b, len(both), len(share), len(share) / len(both) if both else 0.0))
+    got = catalog.QUERIES["edge_confidence_mesh"](spark, str(tmp_path)).collect()
+    assert len(got) == len(want) and {tuple(r[c] for c in ("a", "b", "co_vis", "co_mem", "conf")) for r in got} == want
+    assert any(r.a > 200 for r in got) and (7, 8, 0, 0, 0.0) in want
+
+
 def test_p95_equals_statistics(spark):
     random.seed(2)
     for n in (5, 20, 33, 100):
