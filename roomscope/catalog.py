@@ -697,9 +697,10 @@ def _(s, d):
     return correspond.by_source_ref(e, e.where("ordinal % 3 <> 0").withColumn("uid", F.concat(F.lit("x_"), "uid")))
 
 
-def _policies(s, d):
-    """Answers and wishes made of the suppliers of parts, with a policy each."""
-    li = p.load(s, d, "lineitem").where("l_orderkey <= 2000")
+def _policies(s, d, most: int | None = 2000):
+    """Answers and wishes made of the suppliers of parts, with a policy each; of orders up to ``most``, or all."""
+    li = p.load(s, d, "lineitem")
+    li = li if most is None else li.where(F.col("l_orderkey") <= most)
     names = F.array(*[F.lit(x) for x in ("exact", "all_of", "one_of", "any_of_subset", "abstain")])
     return li.groupBy(F.col("l_orderkey").alias("q")).agg(F.collect_set(F.when(F.col("l_linenumber") <= 3, F.col("l_suppkey") % 7)).alias("got"), F.collect_set(F.when(F.col("l_linenumber") >= 2, F.col("l_suppkey") % 7)).alias("want")).withColumn("policy", names[(F.col("q") % 5).cast("int")])
 
@@ -722,6 +723,25 @@ def _(s, d):
     return correspond.micro(_policies(s, d), ["policy"])
 
 
+def _of_all(name: str) -> str:
+    """The statement of a query that stops at order 2000, without that limit."""
+    return ORACLES[name].replace(" WHERE l_orderkey <= 2000", "")
+
+
+@query("benchmark_policy_all", _of_all("benchmark_policy"))
+def _(s, d):
+    from roomscope.operators import correspond
+
+    return correspond.policy_score(_policies(s, d, None)).select("q", "policy", "hits", "extra", "met")
+
+
+@query("micro_pr_all", _of_all("micro_pr"))
+def _(s, d):
+    from roomscope.operators import correspond
+
+    return correspond.micro(_policies(s, d, None), ["policy"])
+
+
 @query("qa_categories", "SELECT event_type AS category, count(*) AS asked, count(*) FILTER (user_id % 3 = 0) AS answered, count(*) FILTER (user_id % 3 = 1) AS empty, bool_and(user_id >= 0) AS all_met FROM events GROUP BY ROLLUP (event_type)")
 def _(s, d):
     e = p.load(s, d, "events")

@@ -55,3 +55,22 @@ def test_manual_and_policies(spark):
         raise AssertionError("no error")
     except Exception as e:  # noqa: BLE001
         assert "duplicate source reference" in str(e)
+
+
+def test_policies_of_all_orders(spark, tmp_path):
+    from roomscope import catalog
+
+    rows = [(o, s, line) for o in (*range(1990, 2015), 5000, 123456) for line, s in enumerate(((o * 3 + k * k) % 50 for k in range(o % 7 + 1)), 1)]
+    spark.createDataFrame(rows, "l_orderkey long, l_suppkey long, l_linenumber int").write.parquet(str(tmp_path / "lineitem.parquet"))
+    want, total = {}, [0, 0, 0]
+    for o in {r[0] for r in rows}:
+        got, wish = ({s % 7 for q, s, line in rows if q == o and ok(line)} for ok in (lambda x: x <= 3, lambda x: x >= 2))
+        h, policy = len(got & wish), ("exact", "all_of", "one_of", "any_of_subset", "abstain")[o % 5]
+        met = {"exact": got == wish, "all_of": wish <= got, "one_of": h > 0, "any_of_subset": h > 0 and got <= wish, "abstain": not got}[policy]
+        want[o] = (policy, h, len(got - wish), met)
+        total = [t + x for t, x in zip(total, (h, len(got), len(wish)), strict=True)]
+    found = catalog.QUERIES["benchmark_policy_all"](spark, str(tmp_path)).collect()
+    assert len(found) == len(want) and {r.q: (r.policy, r.hits, r.extra, r.met) for r in found} == want
+    both = next(r for r in catalog.QUERIES["micro_pr_all"](spark, str(tmp_path)).collect() if r.policy is None)
+    assert [both.hits, both.cited, both.expected] == total and both.precision == total[0] / total[1] and both.recall == total[0] / total[2]
+    assert "l_orderkey <=" not in catalog.ORACLES["benchmark_policy_all"] + catalog.ORACLES["micro_pr_all"]
