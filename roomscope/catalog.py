@@ -765,11 +765,18 @@ def _(s, d):
     return cosine_best(e.select("vec_id", "v"), e.where("vec_id < 10").select("label", F.col("v").alias("c"))).select("vec_id", "label", F.round("cos", 9).alias("cos"))
 
 
+@query("cosine_rank_all", ORACLES["cosine_rank"].replace("range(1, 9)", "range(1, len(embedding) + 1)"))
+def _(s, d):
+    """cosine_rank over whole vectors."""
+    from roomscope.operators.evaluate import cosine_best
+
+    e = p.load(s, d, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    return cosine_best(e.select("vec_id", "v"), e.where("vec_id < 10").select("label", F.col("v").alias("c"))).select("vec_id", "label", F.round("cos", 9).alias("cos"))
+
+
 @query("repair_v1")
 def _(s, d):
-    """Masks cut to a tenth of their vertices, so that some lie inside others."""
-    v = p.mask_vertices(s, d).where("vertex_id % (mask_id % 5 + 1) = 0")
-    return masks.repair_v1(p.masks(s, d), v, contained=0.3)
+    return masks.repair_v1(p.masks(s, d), p.mask_vertices(s, d))
 
 
 @query("surface_regions")

@@ -120,9 +120,10 @@ def _settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def repair_v1(masks: DataFrame, mv: DataFrame, contained: float = 0.8, smaller: float = 0.5, disjoint: float = 0.2, cover: float = 0.5) -> DataFrame:
+def repair_v1(masks: DataFrame, mv: DataFrame, contained: float = 0.8, smaller: float = 0.5, disjoint: float = 0.2, cover: float = 0.5, base: float = 0.2) -> DataFrame:
     """Merge decomposition: a mask that two or more smaller, nearly disjoint masks inside it cover gives way to them; they get its
-    score if it is higher. mask_id, score, and what became of it (kept, parent, child)."""
+    score if it is higher. Only masks with a score of ``base`` give way; lower ones are excluded unless they are such children. A parent
+    that is another one's child stays. mask_id, score, and what became of it (kept, parent, child, excluded)."""
     n = mv.groupBy("scene_id", "mask_id").agg(F.count(F.lit(1)).alias("n"))
     size = lambda name: n.select("scene_id", F.col("mask_id").alias(name), F.col("n").alias(f"n{name}"))
     inter = mask_intersections(mv)
@@ -135,11 +136,12 @@ def repair_v1(masks: DataFrame, mv: DataFrame, contained: float = 0.8, smaller:
     ranked = inside.join(clashes, ["scene_id", "parent", "child"], "left").groupBy("scene_id", "parent", "np").agg(F.array_sort(F.collect_list(F.struct((-F.col("nc")).alias("k"), "child", "shared", F.coalesce("before", F.array().cast("array<bigint>")).alias("before")))).alias("all"))
     start = F.struct(F.array().cast("array<bigint>").alias("ids"), F.lit(0).cast("long").alias("covered"))
     kept = F.aggregate("all", start, lambda acc, x: F.when(F.arrays_overlap(acc["ids"], x["before"]), acc).otherwise(F.struct(F.concat(acc["ids"], F.array(x["child"])).alias("ids"), (acc["covered"] + x["shared"]).alias("covered"))))
-    split = ranked.withColumn("kept", kept).where((F.size("kept.ids") >= 2) & (F.col("kept.covered") >= cover * F.col("np")))
+    able = masks.where(F.col("score") >= base).select("scene_id", F.col("mask_id").alias("parent"))
+    split = ranked.join(able, ["scene_id", "parent"], "left_semi").withColumn("kept", kept).where((F.size("kept.ids") >= 2) & (F.col("kept.covered") >= cover * F.col("np")))
     up = split.join(masks.select("scene_id", F.col("mask_id").alias("parent"), F.col("score").alias("ps")), ["scene_id", "parent"]).select("scene_id", F.explode("kept.ids").alias("mask_id"), "ps").groupBy("scene_id", "mask_id").agg(F.max("ps").alias("ps"))
     parents = split.select("scene_id", F.col("parent").alias("mask_id")).distinct().withColumn("gone", F.lit(True))
     out = masks.join(up, ["scene_id", "mask_id"], "left").join(parents, ["scene_id", "mask_id"], "left")
-    return out.select("scene_id", "mask_id", F.greatest("score", F.coalesce("ps", "score")).alias("score"), F.when(F.col("gone"), "parent").when(F.col("ps").isNotNull(), "child").otherwise("kept").alias("became"))
+    return out.select("scene_id", "mask_id", F.greatest("score", F.coalesce("ps", "score")).alias("score"), F.when(F.col("ps").isNotNull(), "child").when(F.col("gone"), "parent").when(F.col("score") < base, "excluded").otherwise("kept").alias("became"))
 
 
 def repair_v2(masks: DataFrame, mv: DataFrame, iou_least: float = 0.5, retention: float = 0.5) -> DataFrame:

@@ -151,6 +151,35 @@ def test_edge_confidence_of_the_whole_mesh(spark, tmp_path):
     assert any(r.a > 200 for r in got) and (7, 8, 0, 0, 0.0) in want
 
 
+def test_cosine_of_whole_vectors(spark, tmp_path):
+    from roomscope import catalog
+
+    random.seed(6)
+    rows = [(i, i % 10, [1.0] * 8 + [random.gauss(0, 1) for _ in range(56)]) for i in range(30)]  # equal in the first eight
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) / sum(x * x for x in a) ** 0.5 / sum(x * x for x in b) ** 0.5
+    given = {r.vec_id: list(r.embedding) for r in spark.read.parquet(str(tmp_path / "embeddings.parquet")).collect()}
+    got = {r.vec_id: (r.label, r.cos) for r in catalog.QUERIES["cosine_rank_all"](spark, str(tmp_path)).collect()}
+    assert len(got) == 30
+    for i, v in given.items():
+        best = max(range(10), key=lambda k: cos(v, given[k]))
+        assert got[i][0] == best and got[i][1] == pytest.approx(cos(v, given[best]), abs=1e-8)
+
+
+def test_repair_v1_runs_on_whole_masks(spark, tmp_path):
+    from roomscope import catalog
+
+    # Mask 1 holds masks 2 and 3 as wholes; 4 of the 5 vertices of mask 4 lie in it (0.8), 3 of the 5 of mask 5 (0.6, too few).
+    # Mask 10 holds 11 and 12, and 11 holds 13 and 14. Mask 7 holds 8 and 9 but scores too little to give way.
+    inside = {10: range(100, 140), 11: range(100, 120), 12: range(120, 135), 13: range(100, 108), 14: range(108, 116), 7: range(200, 220), 8: range(200, 208), 9: range(208, 216), 1: range(1, 31), 2: range(1, 12), 3: range(12, 19), 4: (*range(20, 24), 90), 5: (*range(25, 28), 91, 92), 6: range(60, 70)}
+    spark.createDataFrame([(m, v) for m, vs in inside.items() for v in vs], "l_suppkey long, l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(1, 80.0), (2, 10.0), (3, 90.0), (4, 0.0), (5, 20.0), (6, 100.0), (7, 10.0), (8, 30.0), (9, 10.0), (10, 50.0), (11, 40.0), (12, 30.0), (13, 60.0), (14, 30.0)], "s_suppkey long, s_acctbal double").write.parquet(str(tmp_path / "supplier.parquet"))
+    got = {r.mask_id: (r.became, r.score) for r in catalog.QUERIES["repair_v1"](spark, str(tmp_path)).collect()}
+    assert got == {1: ("parent", 0.8), 2: ("child", 0.8), 3: ("child", 0.9), 4: ("child", 0.8), 5: ("kept", 0.2), 6: ("kept", 1.0)} | {
+        7: ("excluded", 0.1), 8: ("kept", 0.3), 9: ("excluded", 0.1), 10: ("parent", 0.5), 11: ("child", 0.5), 12: ("child", 0.5), 13: ("child", 0.6), 14: ("child", 0.4),
+    }
+
+
 def test_p95_equals_statistics(spark):
     random.seed(2)
     for n in (5, 20, 33, 100):
