@@ -1,15 +1,18 @@
 """Language-model scoring with an Elias-Fano n-gram trie (operator 8).
 
-Tokens are the lower-cased words of a text and one end. The model is a bigram with absolute discounting, interpolated with the
-add-one unigram: P(w | h) = max(c(h, w) - D, 0) / c(h) + D * T(h) / c(h) * p(w), where T(h) counts the different words after h;
-after a word never met it is p(w).
+Tokens are the lower-cased words of a text and one end. The model has absolute discounting, interpolated down to the add-one
+unigram: P(w | h) = max(c(h, w) - D, 0) / c(h) + D * T(h) / c(h) * P(w | h'), where T(h) counts the different words after h and h'
+is h without its first word; after a context never met it is P(w | h'). ``order`` 2 has contexts of one word, 3 also of two: after
+the first word of a text, the context is only that of the start.
 
 The trie is dealt over hash shards by the context. In a shard, contexts are one level, their pointers into the next level are a
 monotone sequence, and a context's successors are made monotone by adding the last value of the range before; all three are
 Elias-Fano coded, beside them one byte for each quantised smoothed probability. The levels are written to a file that is mapped
 into memory, unlinked at once and searched context by context. Blocks of texts ask for their distinct words and pairs and get
 counts, codes and T back; sums are made where the texts are. A context with more than ``hot`` tokens is dealt over several shards
-by the successor, and asks all of them for T, so that no single context is one task's work.
+by the successor, and asks all of them for T, so that no single context is one task's work. Contexts of two words go the same way by
+the hash of both, once the answers for pairs have told how often each was met. Codes are as fine as 32 to a power of ten, or coarser
+in a shard whose smallest probability needs it.
 
 Null and empty texts are one end. Held-out rows (and rows without an id) teach nothing; with no training tokens at all, p is 1 for
 the only class there is. Rows that repeat each count and are scored each. Equality of words is that of 64-bit hashes, and inside a
@@ -21,6 +24,7 @@ from __future__ import annotations
 import os
 import tempfile
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +41,7 @@ HOT = 1 << 20
 LOW32 = U(0xFFFFFFFF)
 STRETCH = 1_500_000
 _PIECE = 1_900_000
+_ZSTD = pa.Codec("zstd", compression_level=1)
 
 
 # ---- Elias-Fano ------------------------------------------------------------------------------------------------------------------
@@ -149,13 +154,32 @@ class Trie:
         return out
 
 
-def quantise(p: np.ndarray) -> np.ndarray:
-    """Codes 1 to 255 for probabilities, in steps of a 32nd of log10; 0 means none."""
-    return np.clip(np.rint(255 + 32 * np.log10(p)), 1, 255).astype(np.uint8)
+def steps_for(p: np.ndarray) -> float:
+    """Codes to a power of ten: 32, or as many as take the smallest probability in."""
+    least = float(p.min()) if len(p) else 1.0
+    return min(32.0, 254 / -np.log10(least)) if least < 1 else 32.0
 
 
-def expand(code: np.ndarray) -> np.ndarray:
-    return np.where(code > 0, 10.0 ** ((code.astype(np.float64) - 255) / 32), 0.0)
+def quantise(p: np.ndarray, steps: float = 32.0) -> np.ndarray:
+    """Codes 1 to 255 for probabilities, in steps of a 32nd of log10 or as given; 0 means none."""
+    return np.clip(np.rint(255 + steps * np.log10(p)), 1, 255).astype(np.uint8)
+
+
+def expand(code: np.ndarray, steps: float = 32.0) -> np.ndarray:
+    return np.where(code > 0, 10.0 ** ((code.astype(np.float64) - 255) / steps), 0.0)
+
+
+# ---- payloads --------------------------------------------------------------------------------------------------------------------
+
+
+def _squeeze(*arrays: np.ndarray) -> bytes:
+    """A compressed pack(): runs, counts and codes are mostly small."""
+    data = pack(*arrays)
+    return len(data).to_bytes(8, "little") + _ZSTD.compress(data, asbytes=True)
+
+
+def _expanded(data: bytes) -> list[np.ndarray]:
+    return unpack(_ZSTD.decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True))
 
 
 # ---- stretches of a block --------------------------------------------------------------------------------------------------------
@@ -167,7 +191,7 @@ class Stretch:
     def __init__(self, at: np.ndarray, hashes: np.ndarray, sizes: np.ndarray, train: np.ndarray):
         self.rows, self.sizes, self.train = at, sizes, train
         self.words, self.token = np.unique(np.concatenate((hashes, [START])), return_inverse=True)
-        start = self.token[-1]
+        start = self.words_start = self.token[-1]
         self.token = self.token[:-1]
         self.known = np.repeat(train, sizes)
         self.before = np.concatenate(([start], self.token[:-1]))
@@ -181,6 +205,12 @@ class Stretch:
         key, at = np.unique(self.before * np.int64(len(self.words)) + self.token, return_inverse=True)
         return key // len(self.words), key % len(self.words), np.bincount(at, self.known, len(key)).astype(np.uint32), at
 
+    def triples(self, pair: np.ndarray, met: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The same with the pair of the two words before as context, of the tokens whose context was met; and which ones these are."""
+        where = np.flatnonzero((self.before != self.words_start) & (met[np.concatenate(([0], pair[:-1]))] > 0))
+        key, at = np.unique(pair[where - 1] * np.int64(len(self.words)) + self.token[where], return_inverse=True)
+        return key // len(self.words), key % len(self.words), np.bincount(at, self.known[where], len(key)).astype(np.uint32), at, where
+
 
 def stretches(table: pa.Table) -> Iterator[Stretch]:
     """The rows of a block in the order of their row numbers, in stretches of about STRETCH tokens: the same ones every time."""
@@ -214,29 +244,29 @@ def _send_words(shards: int):
         block, out = table.column("block")[0].as_py(), []
         for k, s in enumerate(stretches(table)):
             for shard, (h, c) in by_shard(shard_of(s.words, shards), shards, s.words, s.counts()):
-                out.append((shard, block, pack(np.array([k], dtype=np.uint32), h, c)))
+                out.append((shard, block, _squeeze(np.array([k], dtype=np.uint32), h, c)))
         return pa.Table.from_batches([packed_batch(out)])
 
     return run
 
 
 def _count_words(rows: list[tuple[int, bytes]]) -> Iterator[tuple[int, bytes]]:
-    parts = [(b, *unpack(p)) for b, p in rows]
+    parts = [(b, *_expanded(p)) for b, p in rows]
     words, at = np.unique(np.concatenate([x[2] for x in parts]), return_inverse=True)
     total = np.bincount(at, np.concatenate([x[3] for x in parts]), len(words)).astype(np.int64)
     start = 0
     for b, k, h, _ in parts:
         c = total[at[start : start + len(h)]]
         start += len(h)
-        yield b, pack(k, c if c.max() >= 1 << 32 else c.astype(np.uint32))
-    yield -1, pack(np.array([total.sum(), (total > 0).sum()]))
+        yield b, _squeeze(k, c if c.max() >= 1 << 32 else c.astype(np.uint32))
+    yield -1, _squeeze(np.array([total.sum(), (total > 0).sum()]))
 
 
 def _by_stretch(answers: list[tuple[int, bytes]]) -> dict[int, list[list[np.ndarray]]]:
     """Answers of each stretch, in shard order."""
     out: dict[int, list[list[np.ndarray]]] = {}
     for _, p in answers:
-        k, *cols = unpack(p)
+        k, *cols = _expanded(p)
         out.setdefault(int(k[0]), []).append(cols)
     return out
 
@@ -251,11 +281,17 @@ class Asked:
     """A stretch's distinct pairs, dealt to shards: by the context, and for hot contexts by the word as well."""
 
     def __init__(self, s: Stretch, c: np.ndarray, shards: int, hot: int):
-        context, word, count, self.pair = s.pairs()
-        self.count = c.copy()
-        self.count[np.searchsorted(s.words, START)] = c[np.searchsorted(s.words, END)]  # as many starts as ends
+        context, word, times, self.pair = s.pairs()
+        self.context_of, self.word_of = context, word
+        count = c.copy()
+        count[np.searchsorted(s.words, START)] = c[np.searchsorted(s.words, END)]  # as many starts as ends
+        self.deal(s.words, s.words, count, context, word, times, shards, hot)
+
+    def deal(self, words: np.ndarray, names: np.ndarray, count: np.ndarray, context: np.ndarray, word: np.ndarray, times: np.ndarray, shards: int, hot: int) -> None:
+        """``names`` and ``count`` are of each context."""
+        self.names, self.count = names, count
         parts = 1 + self.count // hot
-        sub = (s.words[word] >> U(7)) % parts[context].astype(np.uint64)
+        sub = (words[word] >> U(7)) % parts[context].astype(np.uint64)
         # A hot context also asks the shards where it has no pair here: for its T.
         hot_ones = np.unique(context[parts[context] > 1])
         ask = np.repeat(hot_ones, parts[hot_ones])
@@ -263,9 +299,9 @@ class Asked:
         self.context = np.concatenate((context, ask))
         self.word = np.concatenate((word, np.full(len(ask), -1)))
         sub = np.concatenate((sub, ask_sub.astype(np.uint64)))
-        self.shard = shard_of(mix(s.words[self.context] + (sub + U(1)) * U(0x9E3779B97F4A7C15)), shards)
+        self.shard = shard_of(mix(names[self.context] + (sub + U(1)) * U(0x9E3779B97F4A7C15)), shards)
         self.order = np.lexsort((self.word, self.context, self.shard))
-        self.times = np.concatenate((count, np.zeros(len(ask), dtype=np.uint32)))
+        self.times = np.concatenate((times, np.zeros(len(ask), dtype=np.uint32)))
 
     def groups(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """In the order sent: where each (shard, context) begins, its shard, its context."""
@@ -274,37 +310,83 @@ class Asked:
         return new, s[new], c[new]
 
 
+class Triples(Asked):
+    """The same for a stretch's distinct triples; ``pairs`` are its pairs and ``met`` their training counts."""
+
+    def __init__(self, s: Stretch, pairs: Asked, met: np.ndarray, shards: int, hot: int):
+        context, word, times, self.triple, self.where = s.triples(pairs.pair, met)
+        names = mix(s.words[pairs.context_of] * U(0xD1342543DE82EF95) + mix(s.words[pairs.word_of]))
+        self.deal(s.words, names, met, context, word, times, shards, hot)
+
+
+def _questions(k: int, block: int, a: Asked, words: np.ndarray, shards: int) -> Iterator[tuple[int, int, bytes]]:
+    if not len(a.order):
+        return
+    new, shard, context = a.groups()
+    runs = np.diff(np.concatenate((new, [len(a.order)])))
+    word, times = a.word[a.order], a.times[a.order]
+    low = np.where(word >= 0, (mix(words[np.maximum(word, 0)]) & LOW32).astype(np.int64), 0)
+    # A question without a word is a run's first entry and is not sent: only its context is.
+    asks = word < 0
+    real = runs - np.add.reduceat(asks, new)
+    edge = np.searchsorted(shard, np.arange(shards + 1))
+    sent = np.concatenate(([0], np.cumsum(real)))
+    low, times = low[~asks].astype(np.uint32), times[~asks]
+    name = (mix(a.names[context] ^ START) & LOW32).astype(np.uint32)
+    for i in range(shards):
+        x, z = edge[i], edge[i + 1]
+        if z > x:
+            p, q = sent[x], sent[z]
+            yield i, block, _squeeze(np.array([k], dtype=np.uint32), name[x:z], a.count[context[x:z]].astype(np.int64), real[x:z].astype(np.uint32), low[p:q], times[p:q].astype(np.uint32))
+
+
+def _told(a: Asked, parts: list[list[np.ndarray]], contexts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """Discounted probability of each question, T of each context, and counts where they were sent."""
+    _, _, context = a.groups() if len(a.order) else (None, None, np.zeros(0, dtype=np.int64))
+    real = a.word[a.order] >= 0
+    n = int((a.word >= 0).sum())
+
+    def placed(values: list[np.ndarray], kind: type) -> np.ndarray:
+        sent, out = np.zeros(len(a.order), dtype=kind), np.empty(len(a.order), dtype=kind)
+        if values:
+            sent[real] = np.concatenate(values)
+        out[a.order] = sent
+        return out[:n]
+
+    kinds = np.bincount(context, np.concatenate([p[1] for p in parts]) if parts else None, contexts)
+    return placed([expand(p[0], p[2][0]) for p in parts], np.float64), kinds, placed([p[3] for p in parts], np.int64) if parts and len(parts[0]) > 3 else None
+
+
 def _send_pairs(shards: int, hot: int):
     def run(table: pa.Table, answers: list[tuple[int, bytes]]) -> pa.Table:
         if not table.num_rows:
             return pa.Table.from_batches([packed_batch([])])
         block, out, told = table.column("block")[0].as_py(), [], _by_stretch(answers)
         for k, s in enumerate(stretches(table)):
-            a = Asked(s, _word_counts(s, told[k], shards), shards, hot)
-            new, shard, context = a.groups()
-            runs = np.diff(np.concatenate((new, [len(a.order)])))
-            word, times = a.word[a.order], a.times[a.order]
-            low = np.where(word >= 0, (mix(s.words[np.maximum(word, 0)]) & LOW32).astype(np.int64), 0)
-            # A question without a word is a run's first entry and is not sent: only its context is.
-            asks = word < 0
-            real = runs - np.add.reduceat(asks, new)
-            edge = np.searchsorted(shard, np.arange(shards + 1))
-            sent = np.concatenate(([0], np.cumsum(real)))
-            low, times = low[~asks].astype(np.uint32), times[~asks]
-            name = (mix(s.words[context] ^ START) & LOW32).astype(np.uint32)
-            for i in range(shards):
-                x, z = edge[i], edge[i + 1]
-                if z > x:
-                    p, q = sent[x], sent[z]
-                    out.append((i, block, pack(np.array([k], dtype=np.uint32), name[x:z], a.count[context[x:z]].astype(np.int64), real[x:z].astype(np.uint32), low[p:q], times[p:q].astype(np.uint32))))
+            out.extend(_questions(k, block, Asked(s, _word_counts(s, told[k], shards), shards, hot), s.words, shards))
         return pa.Table.from_batches([packed_batch(out)])
 
     return run
 
 
-def _answer_pairs(rows: list[tuple[int, bytes]]) -> Iterator[tuple[int, bytes]]:
-    """Build the shard's trie from all that was sent, and look everything up in it."""
-    parts = [(b, *unpack(p)) for b, p in rows]
+def _send_triples(shards: int, hot: int):
+    def run(table: pa.Table, answers: list[tuple[int, bytes]]) -> pa.Table:
+        if not table.num_rows:
+            return pa.Table.from_batches([packed_batch([])])
+        block, out = table.column("block")[0].as_py(), []
+        words, pairs = _by_stretch([x for x in answers if x[0] < shards]), _by_stretch([x for x in answers if x[0] >= shards])
+        for k, s in enumerate(stretches(table)):
+            a = Asked(s, _word_counts(s, words[k], shards), shards, hot)
+            _, _, met = _told(a, pairs[k], len(s.words))
+            out.extend(_questions(k, block, Triples(s, a, met, shards, hot), s.words, shards))
+        return pa.Table.from_batches([packed_batch(out)])
+
+    return run
+
+
+def _answer_pairs(rows: list[tuple[int, bytes]], counts: bool = False) -> Iterator[tuple[int, bytes]]:
+    """Build the shard's trie from all that was sent, and look everything up in it; ``counts``: with each one's training count."""
+    parts = [(b, *_expanded(p)) for b, p in rows]
     context = np.concatenate([np.repeat(x[2], x[4]) for x in parts]).astype(np.uint64)
     key = (context << U(32)) | np.concatenate([x[5] for x in parts])
     times = np.concatenate([x[6] for x in parts])
@@ -316,11 +398,19 @@ def _answer_pairs(rows: list[tuple[int, bytes]]) -> Iterator[tuple[int, bytes]]:
     total = np.concatenate([x[3] for x in parts])[first]
     head = (pairs >> U(32)).astype(np.int64)
     of = np.maximum(total[np.searchsorted(names, head)], count) if len(pairs) else count
-    trie = Trie(head, (pairs & LOW32).astype(np.int64), quantise((count - DISCOUNT) / np.maximum(of, 1)) if len(pairs) else np.zeros(0, dtype=np.uint8))
+    p = (count - DISCOUNT) / np.maximum(of, 1)
+    steps = steps_for(p)
+    trie = Trie(head, (pairs & LOW32).astype(np.int64), quantise(p, steps) if len(pairs) else np.zeros(0, dtype=np.uint8))
     for b, k, name, _, runs, word, _ in parts:
         lo, hi = trie.find(name.astype(np.int64))
         code = trie.look_up(np.repeat(lo, runs), np.repeat(hi, runs), word.astype(np.int64))
-        yield b, pack(k, code, (hi - lo).astype(np.uint32))
+        more = []
+        if counts:
+            asked = (np.repeat(name, runs).astype(np.uint64) << U(32)) | word
+            i = np.minimum(np.searchsorted(pairs, asked), max(0, len(pairs) - 1))
+            got = np.where(pairs[i] == asked, count[i], 0) if len(pairs) else np.zeros(len(asked))
+            more = [got.astype(np.uint32 if got.max(initial=0) < 1 << 32 else np.int64)]
+        yield b, _squeeze(k, code, (hi - lo).astype(np.uint32), np.array([steps]), *more)
 
 
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -329,19 +419,19 @@ SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 def _score(shards: int, hot: int, n: int, v: int):
     def run(table: pa.Table, answers: list[tuple[int, bytes]]) -> pa.Table:
         cols = {c: np.zeros(table.num_rows, dtype=d) for c, d in (("n_tokens", np.int64), ("n_known", np.int64), ("base_score", np.float64), ("score", np.float64))}
-        words, pairs = _by_stretch([x for x in answers if x[0] < shards]), _by_stretch([x for x in answers if x[0] >= shards])
+        words, pairs, triples = (_by_stretch([x for x in answers if x[0] // shards == i]) for i in range(3))
         for k, s in enumerate(stretches(table) if table.num_rows else ()):
             c = _word_counts(s, words[k], shards)
             a = Asked(s, c, shards, hot)
-            new, _, context = a.groups()
-            code = np.zeros(len(a.order), dtype=np.uint8)
-            code[a.word[a.order] >= 0] = np.concatenate([p[0] for p in pairs[k]])
-            seen = np.empty(len(a.order), dtype=np.uint8)
-            seen[a.order] = code
-            kinds = np.bincount(context, np.concatenate([p[1] for p in pairs[k]]), len(s.words))
+            seen, kinds, met = _told(a, pairs[k], len(s.words))
             base = (c[s.token] + 1.0) / (n + 1.0 * (v + 1))
             total = a.count[s.before]
-            p = np.where(total > 0, expand(seen[a.pair]) + DISCOUNT * kinds[s.before] / np.maximum(total, 1) * base, base)
+            p = np.where(total > 0, seen[a.pair] + DISCOUNT * kinds[s.before] / np.maximum(total, 1) * base, base)
+            if met is not None:
+                t = Triples(s, a, met, shards, hot)
+                seen, kinds, _ = _told(t, triples.get(k, []), len(met))
+                two, less = a.pair[t.where - 1], p[t.where]
+                p[t.where] = seen[t.triple] + DISCOUNT * kinds[two] / met[two] * less
             doc = np.repeat(s.rows, s.sizes)
             size = table.num_rows
             cols["n_tokens"] += np.bincount(doc, minlength=size)
@@ -357,17 +447,25 @@ def _score(shards: int, hot: int, n: int, v: int):
     return run
 
 
-def scored(docs: DataFrame, mod: int = 7, held: int = 2, hot: int = HOT) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): tokens, known tokens, training tokens, unigram and model log10 probability."""
+def scored(docs: DataFrame, mod: int = 7, held: int = 2, hot: int = HOT, order: int = 2) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text): tokens, known tokens, training tokens, unigram and model log10 probability of
+    ``order`` 2 or 3."""
+    if order not in (2, 3):
+        raise ValueError("order is 2 or 3")
     train = F.coalesce(fold("doc_id", mod) != held, F.lit(False)).alias("train")
     blocks = Blocks(docs.select("doc_id", "text", train), "train")
     shards = blocks.shards
     words = settle(blocks.answer(blocks.emit_whole(_send_words(shards), "train"), _count_words))
-    sums = [unpack(bytes(r.payload))[0] for r in words.where("block = -1").collect()]  # two numbers from each shard
+    sums = [_expanded(bytes(r.payload))[0] for r in words.where("block = -1").collect()]  # two numbers from each shard
     n, v = (int(sum(x[i] for x in sums)) for i in (0, 1))
     words = words.where("block >= 0")
-    pairs = blocks.answer(blocks.with_answers(words, _send_pairs(shards, hot), "shard int, block int, payload binary", "train"), _answer_pairs)
-    both = words.unionByName(pairs.selectExpr(f"shard + {shards} as shard", "block", "payload"))
+    sent, later = "shard int, block int, payload binary", [f"shard + {shards} as shard", "block", "payload"]
+    pairs = blocks.answer(blocks.with_answers(words, _send_pairs(shards, hot), sent, "train"), partial(_answer_pairs, counts=order > 2))
+    both = words.unionByName(pairs.selectExpr(*later))
+    if order > 2:
+        both = settle(both)
+        triples = blocks.answer(blocks.with_answers(both, _send_triples(shards, hot), sent, "train"), _answer_pairs)
+        both = both.unionByName(triples.selectExpr(f"shard + {2 * shards} as shard", "block", "payload"))
     out = settle(blocks.with_answers(both, _score(shards, hot, n, v), SCHEMA, "train"))
     blocks.drop()
     return out

@@ -52,7 +52,7 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngrams.scored(table(spark, sf_dir, "documents"))
+    return ngrams.scored(table(spark, sf_dir, "documents"), order=3)
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

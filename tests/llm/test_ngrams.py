@@ -84,3 +84,47 @@ def test_sums_to_one_and_empty(spark):
     assert ngrams.scored(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     only = ngrams.scored(spark.createDataFrame([(1, None)], "doc_id long, text string")).first()
     assert only.n_tokens == 1 and only.base_score <= 0
+
+
+def brute_three(rows):
+    toks = [[*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), None] for _, t in rows]
+    train = [k is not None and zlib.crc32(str(k).encode()) % 7 != 2 for k, _ in rows]
+    one, more = Counter(), {}
+    for x, ok in zip(toks, train, strict=True):
+        if ok:
+            one.update(x)
+            for i, w in enumerate(x):
+                more.setdefault((x[i - 1] if i else "<s>",), Counter())[w] += 1
+                if i:
+                    more.setdefault((x[i - 2] if i > 1 else "<s>", x[i - 1]), Counter())[w] += 1
+    n, v, out = sum(one.values()), len(one), []
+    for x in toks:
+        score = 0.0
+        for i, w in enumerate(x):
+            p = (one[w] + 1) / (n + v + 1)
+            for h in ((x[i - 1] if i else "<s>",), (x[i - 2] if i > 1 else "<s>", x[i - 1] if i else "")):
+                if h in more:
+                    total = sum(more[h].values())
+                    q = float(ngrams.expand(ngrams.quantise(np.array([(more[h][w] - 0.75) / total])))[0]) if more[h][w] else 0.0
+                    p = q + 0.75 * len(more[h]) / total * p
+            score += math.log10(min(p, 1.0))
+        out.append(round(score, 6))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("hot", [1 << 20, 10])
+def test_trigrams_against_brute(spark, monkeypatch, hot):
+    monkeypatch.setattr(ngrams, "STRETCH", 500)
+    random.seed(5)
+    words = ["the", "The", "of", "é!"] + [f"w{i}" for i in range(20)]
+    rows = [(i, " ".join(random.choices(words, weights=[30, 20, 10, 5] + [1] * 20, k=random.randrange(0, 80)))) for i in range(150)]
+    rows += [(200, None), (201, ""), (None, "the of"), (3, rows[4][1]), (4, rows[4][1])]
+    d = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, score string").repartition(4)
+    assert sorted(round(r.score, 6) for r in ngrams.scored(d, hot=hot, order=3).collect()) == brute_three(rows)
+
+
+def test_small_probabilities_keep_their_size():
+    p = np.array([1.0, 0.3, 1e-9, 1e-12])
+    steps = ngrams.steps_for(p)
+    assert np.abs(np.log10(ngrams.expand(ngrams.quantise(p, steps), steps) / p)).max() < 0.5 / steps + 1e-9
+    assert ngrams.steps_for(p[:2]) == ngrams.steps_for(p[:0]) == 32
