@@ -28,13 +28,20 @@ def fold(col: str, mod: int) -> Column:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared folder; set one of our own only where none is set (tests)."""
+    """Use the cluster's shared folder; a folder of our own only in local mode, where there is one machine, and none is set (tests)."""
     if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         import tempfile
 
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="roomscope-checkpoint-"))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    ensure_checkpoint_dir(spark)
+    return (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()).rstrip("/")
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Cut the lineage: a reliable checkpoint in the shared folder."""
     spark = df.sparkSession
@@ -47,14 +54,20 @@ def input_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+MOST_SMALL_SHARDS = 4096
+SHARD_BYTES = 256 << 20
+
+
 def shard_count(df: DataFrame, per_shard: int = 8 << 20, least: int = 64) -> int:
-    """Shards that keep one shard's packed arrays small however large the input is.
+    """Shards that keep one shard's packed arrays small, and few enough for a block to have something to say to each.
 
-    Where the size isn't known (no files below, or a join's guess), a partition is taken to hold at most 64 MB.
+    Up to 4096 shards of 8 MB; beyond them shards grow to 256 MB before their number does. Where the size isn't known (no files below,
+    or a join's guess), a partition is taken to hold 256 MB at most.
     """
     spark = df.sparkSession
-    size = min(input_bytes(df), df.rdd.getNumPartitions() * (64 << 20))
-    return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / per_shard))
+    size = min(input_bytes(df), df.rdd.getNumPartitions() * (256 << 20))
+    wanted = max(min(math.ceil(size / per_shard), MOST_SMALL_SHARDS), math.ceil(size / SHARD_BYTES))
+    return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")), wanted)
 
 
 def texts_as_bytes(column: pa.Array) -> list[bytes]:

@@ -93,7 +93,7 @@ def _first_prefixes(shards: int, words: int, percent: int):
                     continue
                 tok, own = mix(np.concatenate(toks) + U(1)), np.concatenate(owner)
                 out = []
-                for s, (t, r) in by_shard(shard_of(tok, shards), shards, tok, own):
+                for s, (t, r) in by_shard(shard_of(tok, shards), tok, own):
                     edge = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1])))
                     out.append((s, block, pack((t & U(0xFFFFFFFF)).astype(np.uint32), r[edge], np.diff(np.concatenate((edge, [len(r)]))).astype(np.uint32))))
                 yield packed_batch(out)
@@ -169,7 +169,7 @@ def _send_tokens(shards: int):
                 tok = mix(np.concatenate([np.frombuffer(x, dtype=np.uint64) for x in sets]) + U(1))
                 own = np.repeat(np.array(rows), [len(x) // 8 for x in sets])
                 out = []
-                for s, (t, r) in by_shard(shard_of(tok, shards), shards, tok, own):
+                for s, (t, r) in by_shard(shard_of(tok, shards), tok, own):
                     edge = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1])))
                     out.append((s, block, pack((t & U(0xFFFFFFFF)).astype(np.uint32), r[edge], np.diff(np.concatenate((edge, [len(r)]))).astype(np.uint32))))
                 yield packed_batch(out)
@@ -244,7 +244,7 @@ def _post(shards: int):
             tok = np.concatenate(tok)
             place = np.concatenate([np.frombuffer(x, dtype=np.uint32) for x in d["places"]])
             wide = [np.repeat(np.array(d[c], dtype=np.int64), runs) for c in ("node", "label", "n", "asks", "own")]
-            yield packed_batch([(s, 0, pack(*c)) for s, c in by_shard(shard_of(mix(tok + U(1)), shards), shards, tok, *wide, place)])
+            yield packed_batch([(s, 0, pack(*c)) for s, c in by_shard(shard_of(mix(tok + U(1)), shards), tok, *wide, place)])
 
     return run
 
@@ -297,7 +297,7 @@ def _across(percent: int, shards: int, chunk: int = 1 << 22):
             return pa.Table.from_batches([packed_batch([])])
         pairs, count = np.unique(np.concatenate(held, axis=1), axis=1, return_counts=True)
         to = shard_of(mix(pairs[0].astype(np.uint64) * _M + pairs[1].astype(np.uint64)), shards)
-        return pa.Table.from_batches([packed_batch([(s, 0, pack(*c)) for s, c in by_shard(to, shards, pairs[0], pairs[1], pairs[2], count)])])
+        return pa.Table.from_batches([packed_batch([(s, 0, pack(*c)) for s, c in by_shard(to, pairs[0], pairs[1], pairs[2], count)])])
 
     return run
 
@@ -332,17 +332,16 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id."""
-    blocks = Blocks(docs)
-    told = blocks.answer(blocks.emit(_first_prefixes(blocks.shards, words, percent)), _shared)
-    # A block without any answer still needs its rows' sizes: co-grouping keeps it.
-    states = settle(blocks.with_answers(told, _states(words, percent), STATES))
-    blocks.drop()
+    with Blocks(docs) as blocks:
+        told = blocks.answer(blocks.emit(_first_prefixes(blocks.shards, words, percent)), _shared)
+        # A block without any answer still needs its rows' sizes: co-grouping keeps it.
+        states = settle(blocks.with_answers(told, _states(words, percent), STATES))
     live = states.where("node is not null")
     sets = settle(live.groupBy("node").agg(F.first("pick", ignorenulls=True).alias("pick"), F.min("doc_id").alias("first_id")))
-    inner = Blocks(sets.select(F.col("node").alias("doc_id"), F.col("pick").alias("text")), shards=blocks.shards)  # never more than the documents
-    shards = inner.shards
-    prefixes = settle(inner.with_answers(inner.answer(inner.emit(_send_tokens(shards)), _count), _prefixes(shards, percent), PREFIXES))
-    inner.drop()
+    # Never more than the documents: their number of shards will do.
+    with Blocks(sets.select(F.col("node").alias("doc_id"), F.col("pick").alias("text")), shards=blocks.shards) as inner:
+        shards = inner.shards
+        prefixes = settle(inner.with_answers(inner.answer(inner.emit(_send_tokens(shards)), _count), _prefixes(shards, percent), PREFIXES))
     stars = prefixes.withColumn("label", F.col("node")).mapInArrow(_post(shards), PACKED).groupBy("shard").applyInArrow(_stars(percent), "a long, b long").distinct()
     links = settle(_links(stars, sets, percent))
     label = components(links)

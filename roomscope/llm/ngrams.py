@@ -2,29 +2,32 @@
 
 Tokens are the lower-cased words of a text and one end. The model has absolute discounting, interpolated down to the add-one
 unigram: P(w | h) = max(c(h, w) - D, 0) / c(h) + D * T(h) / c(h) * P(w | h'), where T(h) counts the different words after h and h'
-is h without its first word; after a context never met it is P(w | h'). ``order`` 2 has contexts of one word, 3 also of two: after
-the first word of a text, the context is only that of the start.
-
-The trie is dealt over hash shards by the context. In a shard, contexts are one level, their pointers into the next level are a
-monotone sequence, and a context's successors are made monotone by adding the last value of the range before; all three are
-Elias-Fano coded, beside them one byte for each quantised smoothed probability. The levels are written to a file that is mapped
-into memory, unlinked at once and searched context by context. Blocks of texts ask for their distinct words and pairs and get
-counts, codes and T back; sums are made where the texts are. A context with more than ``hot`` tokens is dealt over several shards
-by the successor, and asks all of them for T, so that no single context is one task's work. Contexts of two words go the same way by
-the hash of both, once the answers for pairs have told how often each was met. Codes are as fine as 32 to a power of ten, or coarser
-in a shard whose smallest probability needs it.
+is h without its first word; after a context never met it is P(w | h'). ``order`` 3 has contexts of one and two words, 2 only of
+one: after the first word of a text, the context is only that of the start.
+
+1. Blocks of texts tell word shards their distinct words; the answer is each word's training count and number. Numbers are by the
+   whole 64-bit hash, so that from here on words are equal if those hashes are, whatever the shard.
+2. Blocks ask context shards about their distinct triples (word before the last, last word, word). They are dealt by the last word
+   of the context, so that both context lengths meet in one shard and one exchange serves both. A last word with more than ``hot``
+   training tokens is dealt over several shards by the word before it; its own successors, which then lie in several shards, are
+   dealt by the successor in an exchange of their own, and blocks add up T over the parts.
+3. A shard builds its part of the trie from what is taught and looks the questions up in it: the last words of contexts are a level,
+   below each the words before them, below those the successors of two words, and beside them the successors of the last word alone.
+   Pointers are monotone, and a range's values are made monotone by adding the last value of the range before; both are Elias-Fano
+   coded in one anonymous memory mapping, beside them a byte for each quantised smoothed probability. Codes are as fine as 32 to a
+   power of ten, or coarser in a shard whose smallest probability needs it. Questions go through in order: a search finds the window
+   of a level by select samples and decodes no more than that window.
+4. Sums are made where the texts are.
 
 Null and empty texts are one end. Held-out rows (and rows without an id) teach nothing; with no training tokens at all, p is 1 for
-the only class there is. Rows that repeat each count and are scored each. Equality of words is that of 64-bit hashes, and inside a
-shard that of contexts and successors of 32 bits each, besides the shard's own.
+the only class there is. Rows that repeat each count and are scored each. An empty table gives an empty result. Texts of any length
+are cut into stretches of tokens, but never between a text's words. Only doc_id and text are read, so further columns can't clash.
 """
 
 from __future__ import annotations
 
-import os
-import tempfile
+import mmap
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -37,120 +40,142 @@ from .common import LOWER, U, fold, mix, settle, word_hashes
 
 END, START = U(0x1F83D9ABFB41BD6B), U(0x5BE0CD19137E2179)
 DISCOUNT = 0.75
-HOT = 1 << 20
+HOT = 1 << 22
 LOW32 = U(0xFFFFFFFF)
 STRETCH = 1_500_000
 _PIECE = 1_900_000
 _ZSTD = pa.Codec("zstd", compression_level=1)
+#: Numbers of words begin at 1. NONE: no word before, or one that training never met.
+_START_NUMBER, NONE = 0, (1 << 63) - 1
 
 
 # ---- Elias-Fano ------------------------------------------------------------------------------------------------------------------
 
 
 class EliasFano:
-    """A non-decreasing sequence: low bits as they are, high parts in unary. Arrays may be memory-mapped."""
+    """A non-decreasing sequence: low bits packed, high parts in unary, and the place of every WINDOW-th one bit.
 
-    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray):
-        self.n, self.low_bits, self.low, self.high = n, low_bits, low, high
-        bits = np.unpackbits(high, bitorder="little")
-        self.ones = np.flatnonzero(bits)[:n]
-        self.zeros = np.flatnonzero(bits == 0)
+    Arrays may be memory-mapped. Reading decodes one window at a time; nothing but the samples is kept decoded.
+    """
 
-    @staticmethod
-    def code(values: np.ndarray) -> tuple[int, int, np.ndarray, np.ndarray]:
+    WINDOW = 1 << 14
+
+    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, select: np.ndarray):
+        self.n, self.low_bits, self.low, self.high, self.select = n, low_bits, low, high, select
+        self._at, self._held = -1, np.zeros(0, dtype=np.int64)
+        self.first = np.array([self._window(k)[0] for k in range(len(select))], dtype=np.int64)
+
+    @classmethod
+    def code(cls, values: np.ndarray) -> tuple[int, int, np.ndarray, np.ndarray, np.ndarray]:
         n = len(values)
         top = int(values[-1]) + 1 if n else 1
         bits = max(0, (top // max(1, n)).bit_length() - 1)
-        values = values.astype(np.uint64)
-        low = values & U((1 << bits) - 1)
-        # Low parts are packed into whole bytes: at most 7 bits more than the least possible.
-        width = -(-bits // 8)
-        low = low.view(np.uint8).reshape(n, 8)[:, :width].ravel() if n else np.zeros(0, dtype=np.uint8)
-        at = (values >> U(bits)).astype(np.int64) + np.arange(n)
+        low = []
+        if bits:
+            shifts = np.arange(bits, dtype=np.uint64)
+            for a in range(0, n, cls.WINDOW):
+                part = values[a : a + cls.WINDOW].astype(np.uint64)
+                low.append(np.packbits(((part[:, None] >> shifts) & U(1)).astype(np.uint8).ravel(), bitorder="little"))
+        at = (values >> bits) + np.arange(n)
         upper = np.zeros((int(at[-1]) if n else 0) + 2, dtype=np.uint8)
         upper[at] = 1
-        return n, bits, low, np.packbits(upper, bitorder="little")
-
-    def _low(self, i: np.ndarray) -> np.ndarray:
-        width = -(-self.low_bits // 8)
-        out = np.zeros(len(i), dtype=np.int64)
-        for k in range(width):
-            out |= self.low[i * width + k].astype(np.int64) << (8 * k)
-        return out
+        return n, bits, np.concatenate(low) if low else np.zeros(0, dtype=np.uint8), np.packbits(upper, bitorder="little"), at[:: cls.WINDOW].astype(np.int64)
+
+    def _window(self, k: int) -> np.ndarray:
+        if self._at != k:
+            a, z = k * self.WINDOW, min(self.n, (k + 1) * self.WINDOW)
+            begin = int(self.select[k])
+            end = int(self.select[k + 1]) if k + 1 < len(self.select) else 8 * len(self.high)
+            bits = np.unpackbits(self.high[begin // 8 : -(-end // 8)], bitorder="little")
+            ones = np.flatnonzero(bits[begin % 8 :])[: z - a] + begin
+            values = (ones - np.arange(a, z)) << self.low_bits
+            if self.low_bits:
+                low = np.unpackbits(self.low[a * self.low_bits // 8 : -(-z * self.low_bits // 8)], bitorder="little")[: (z - a) * self.low_bits].reshape(z - a, self.low_bits)
+                for b in range(self.low_bits):
+                    values |= low[:, b].astype(np.int64) << b
+            self._at, self._held = k, values
+        return self._held
+
+    def _by_window(self, k: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        order = np.argsort(k, kind="stable")
+        told = k[order]
+        edges = np.flatnonzero(np.concatenate(([True], told[1:] != told[:-1], [True]))) if len(k) else np.zeros(1, dtype=np.int64)
+        for a, z in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            yield int(told[a]), order[a:z]
 
     def get(self, i: np.ndarray) -> np.ndarray:
-        return ((self.ones[i] - i) << self.low_bits) | self._low(i)
+        out = np.empty(len(i), dtype=np.int64)
+        for k, at in self._by_window(i // self.WINDOW):
+            out[at] = self._window(k)[i[at] - k * self.WINDOW]
+        return out
 
     def successor(self, x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        """The first place in [lo, hi) whose value is at least x, else hi: by the unary high parts, then bisection of low ones."""
-        h = x >> self.low_bits
-        known = h < len(self.zeros)
-        h = np.minimum(h, len(self.zeros) - 1)
-        first = np.where(h > 0, self.zeros[np.maximum(h - 1, 0)] - (h - 1), 0)
-        a = np.clip(np.where(known, first, self.n), lo, hi)
-        b = np.clip(np.where(known, self.zeros[h] - h, self.n), lo, hi)
-        while True:
-            live = np.flatnonzero(a < b)
-            if not len(live):
-                return a
-            mid = (a[live] + b[live]) >> 1
-            less = self.get(mid) < x[live]
-            a[live[less]] = mid[less] + 1
-            b[live[~less]] = mid[~less]
+        """The first place in [lo, hi) whose value is at least x, else hi: the whole sequence is monotone, and so is any part."""
+        out = np.zeros(len(x), dtype=np.int64)
+        if self.n:
+            for k, at in self._by_window(np.maximum(np.searchsorted(self.first, x, side="left") - 1, 0)):
+                out[at] = np.searchsorted(self._window(k), x[at], side="left") + k * self.WINDOW
+        return np.clip(out, lo, hi)
+
+
+class Level:
+    """Children of ``parents`` numbered nodes: pointers to where each one's values begin, and the values, made monotone."""
+
+    @staticmethod
+    def code(parents: int, parent: np.ndarray, value: np.ndarray) -> list[tuple]:
+        """Sorted by parent, then value."""
+        pointers = np.searchsorted(parent, np.arange(parents + 1))
+        has = np.flatnonzero(np.diff(pointers))
+        last = value[pointers[has + 1] - 1] + 1
+        relative = value + np.repeat(np.cumsum(last) - last, np.diff(pointers)[has])
+        return [EliasFano.code(pointers), EliasFano.code(relative)]
+
+    def __init__(self, pointers: EliasFano, values: EliasFano):
+        self.pointers, self.values = pointers, values
+
+    def find(self, parent: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """The place of each value below its parent, -1 where it isn't; a parent of -1 has none."""
+        out = np.full(len(parent), -1, dtype=np.int64)
+        live = np.flatnonzero(parent >= 0)
+        lo, hi = self.pointers.get(parent[live]), self.pointers.get(parent[live] + 1)
+        some = lo < hi
+        live, lo, hi = live[some], lo[some], hi[some]
+        if len(live):
+            before = np.zeros(len(live), dtype=np.int64)
+            before[lo > 0] = self.values.get(lo[lo > 0] - 1) + 1
+            x = value[live] + before
+            k = self.values.successor(x, lo, hi)
+            met = k < hi
+            met[met] = self.values.get(k[met]) == x[met]
+            out[live[met]] = k[met]
+        return out
 
 
 class Trie:
-    """Contexts, pointers, successors and codes, in one memory-mapped file."""
-
-    def __init__(self, context: np.ndarray, word: np.ndarray, code: np.ndarray):
-        """Entries sorted by context, then word (both below 2**32)."""
-        new = np.concatenate(([True], context[1:] != context[:-1])) if len(context) else np.zeros(0, dtype=bool)
-        start = np.flatnonzero(new)
-        ends = np.concatenate((start[1:], [len(context)])) if len(start) else start
-        # A range's values follow on the last value of the range before.
-        last = word[ends - 1].astype(np.int64) + 1 if len(start) else np.zeros(0, dtype=np.int64)
-        base = np.cumsum(last) - last
-        relative = word.astype(np.int64) + np.repeat(base, ends - start)
-        parts = [EliasFano.code(context[start]), EliasFano.code(np.concatenate((start, [len(context)]))), EliasFano.code(relative)]
-        at, spans = 0, []
-        handle, path = tempfile.mkstemp(prefix="trie-")
-        with os.fdopen(handle, "wb") as f:
-            for data in [x for p in parts for x in p[2:]] + [code.astype(np.uint8)]:
-                f.write(data.tobytes())
-                spans.append((at, at + len(data)))
-                at += len(data)
-        whole = np.memmap(path, dtype=np.uint8, mode="r") if at else np.zeros(0, dtype=np.uint8)
-        os.unlink(path)
-        cut = [whole[a:b] for a, b in spans]
-        self.contexts, self.pointers, self.words = (EliasFano(p[0], p[1], cut[2 * i], cut[2 * i + 1]) for i, p in enumerate(parts))
-        self.codes = cut[-1]
-        self.bytes = at
-
-    def find(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The range of each context's successors; empty if it has none."""
-        n = self.contexts.n
-        if not n:
-            none = np.zeros(len(context), dtype=np.int64)
-            return none, none
-        k = self.contexts.successor(context, np.zeros(len(context), dtype=np.int64), np.full(len(context), n))
-        k = np.minimum(k, n - 1)
-        met = self.contexts.get(k) == context
-        lo = self.pointers.get(k)
-        return lo, np.where(met, self.pointers.get(k + 1), lo)
-
-    def look_up(self, lo: np.ndarray, hi: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """The code of each word in the range of its context, 0 where it isn't."""
-        out = np.zeros(len(word), dtype=np.uint8)
-        live = np.flatnonzero(lo < hi)
-        if not len(live):
-            return out
-        a, b = lo[live], hi[live]
-        before = np.where(a > 0, self.words.get(np.maximum(a - 1, 0)) + 1, 0)
-        x = word[live] + before
-        k = self.words.successor(x, a, b)
-        met = k < b
-        met[met] = self.words.get(k[met]) == x[met]
-        out[live[met]] = self.codes[k[met]]
+    """Levels and codes in one anonymous memory mapping. Levels come as (parents, parent of each, value of each), codes as bytes."""
+
+    def __init__(self, levels: list[tuple[int, np.ndarray, np.ndarray]], codes: list[np.ndarray]):
+        coded = [part for level in levels for part in Level.code(*level)]
+        arrays = [x for part in coded for x in part[2:]] + [c.astype(np.uint8) for c in codes]
+        places, size = [], 0
+        for x in arrays:
+            places.append(size)
+            size += -(-x.nbytes // 8) * 8
+        self.bytes = size
+        self.map = mmap.mmap(-1, max(8, size))
+        whole = np.frombuffer(self.map, dtype=np.uint8)
+        held = []
+        for x, at in zip(arrays, places, strict=True):
+            whole[at : at + x.nbytes] = x.view(np.uint8)
+            held.append(whole[at : at + x.nbytes].view(x.dtype))
+        sequences = [EliasFano(part[0], part[1], *held[3 * i : 3 * i + 3]) for i, part in enumerate(coded)]
+        self.levels = [Level(*sequences[i : i + 2]) for i in range(0, len(sequences), 2)]
+        self.codes = held[3 * len(coded) :]
+
+    def code(self, k: int, place: np.ndarray) -> np.ndarray:
+        """The k-th level's codes at these places, 0 for -1."""
+        out = np.zeros(len(place), dtype=np.uint8)
+        out[place >= 0] = self.codes[k][place[place >= 0]]
         return out
 
 
@@ -186,12 +211,12 @@ def _expanded(data: bytes) -> list[np.ndarray]:
 
 
 class Stretch:
-    """Tokens of some documents of a block: numbers of words among the stretch's distinct ones, and of the pairs they form."""
+    """Tokens of some documents of a block: numbers of words among the stretch's distinct ones, and the two words before each."""
 
     def __init__(self, at: np.ndarray, hashes: np.ndarray, sizes: np.ndarray, train: np.ndarray):
         self.rows, self.sizes, self.train = at, sizes, train
         self.words, self.token = np.unique(np.concatenate((hashes, [START])), return_inverse=True)
-        start = self.words_start = self.token[-1]
+        start = self.start = int(self.token[-1])
         self.token = self.token[:-1]
         self.known = np.repeat(train, sizes)
         self.before = np.concatenate(([start], self.token[:-1]))
@@ -200,23 +225,12 @@ class Stretch:
     def counts(self) -> np.ndarray:
         return np.bincount(self.token, self.known, len(self.words)).astype(np.uint32)
 
-    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Context, word and training count of each distinct pair, and the pair of each token."""
-        key, at = np.unique(self.before * np.int64(len(self.words)) + self.token, return_inverse=True)
-        return key // len(self.words), key % len(self.words), np.bincount(at, self.known, len(key)).astype(np.uint32), at
-
-    def triples(self, pair: np.ndarray, met: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The same with the pair of the two words before as context, of the tokens whose context was met; and which ones these are."""
-        where = np.flatnonzero((self.before != self.words_start) & (met[np.concatenate(([0], pair[:-1]))] > 0))
-        key, at = np.unique(pair[where - 1] * np.int64(len(self.words)) + self.token[where], return_inverse=True)
-        return key // len(self.words), key % len(self.words), np.bincount(at, self.known[where], len(key)).astype(np.uint32), at, where
-
 
-def stretches(table: pa.Table) -> Iterator[Stretch]:
-    """The rows of a block in the order of their row numbers, in stretches of about STRETCH tokens: the same ones every time."""
+def stretches(table: pa.Table, size: int) -> Iterator[Stretch]:
+    """The rows of a block in the order of their row numbers, in stretches of about ``size`` tokens: the same ones every time."""
     order = np.argsort(table.column("row").to_numpy())
     lens = pc.binary_length(table.column("text")).to_numpy()[order]
-    text, train = table.column("text").combine_chunks(), table.column("train").to_numpy(zero_copy_only=False)
+    text, train = table.column("text").combine_chunks(), table.column("more_0").to_numpy(zero_copy_only=False)
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     n = at = 0
 
@@ -232,34 +246,50 @@ def stretches(table: pa.Table) -> Iterator[Stretch]:
         held.append((rows, h, counts + 1))
         n += len(h)
         at = end
-        if n >= STRETCH:
+        if n >= size:
             yield done()
             held, n = [], 0
     if held:
         yield done()
 
 
-def _send_words(shards: int):
+def _none_sent() -> pa.Table:
+    return pa.Table.from_batches([packed_batch([])])
+
+
+def _send_words(shards: int, size: int):
     def run(table: pa.Table) -> pa.Table:
         block, out = table.column("block")[0].as_py(), []
-        for k, s in enumerate(stretches(table)):
-            for shard, (h, c) in by_shard(shard_of(s.words, shards), shards, s.words, s.counts()):
+        for k, s in enumerate(stretches(table, size)):
+            for shard, (h, c) in by_shard(shard_of(s.words, shards), s.words, s.counts()):
                 out.append((shard, block, _squeeze(np.array([k], dtype=np.uint32), h, c)))
         return pa.Table.from_batches([packed_batch(out)])
 
     return run
 
 
-def _count_words(rows: list[tuple[int, bytes]]) -> Iterator[tuple[int, bytes]]:
-    parts = [(b, *_expanded(p)) for b, p in rows]
-    words, at = np.unique(np.concatenate([x[2] for x in parts]), return_inverse=True)
-    total = np.bincount(at, np.concatenate([x[3] for x in parts]), len(words)).astype(np.int64)
-    start = 0
-    for b, k, h, _ in parts:
-        c = total[at[start : start + len(h)]]
-        start += len(h)
-        yield b, _squeeze(k, c if c.max() >= 1 << 32 else c.astype(np.uint32))
-    yield -1, _squeeze(np.array([total.sum(), (total > 0).sum()]))
+def _narrow(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.uint32) if int(x.max(initial=0)) < 1 << 32 else x
+
+
+def _count_words(shards: int):
+    """Each word's training count, and a number that no other word has (0: never met in training). Also the shard's sums."""
+
+    def run(rows: list[tuple[int, bytes]]) -> Iterator[tuple[int, bytes]]:
+        parts = [(b, *_expanded(p)) for b, p in rows]
+        words, at = np.unique(np.concatenate([x[2] for x in parts]), return_inverse=True)
+        total = np.bincount(at, np.concatenate([x[3] for x in parts]), len(words)).astype(np.int64)
+        shard = int(shard_of(words[:1], shards)[0])
+        number = np.where(total > 0, 1 + (np.cumsum(total > 0) - 1) * shards + shard, 0)
+        start = 0
+        for b, k, h, _ in parts:
+            here = at[start : start + len(h)]
+            start += len(h)
+            yield b, _squeeze(k, _narrow(total[here]), _narrow(number[here]))
+        # The start of texts is sent as a word, but never as a token.
+        yield -1, b"".join(int(x).to_bytes(8, "big") for x in (total.sum(), (total > 0).sum(), total.max(initial=0)))
+
+    return run
 
 
 def _by_stretch(answers: list[tuple[int, bytes]]) -> dict[int, list[list[np.ndarray]]]:
@@ -271,174 +301,257 @@ def _by_stretch(answers: list[tuple[int, bytes]]) -> dict[int, list[list[np.ndar
     return out
 
 
-def _word_counts(s: Stretch, parts: list[list[np.ndarray]], shards: int) -> np.ndarray:
-    c = np.empty(len(s.words), dtype=np.int64)
-    c[np.argsort(shard_of(s.words, shards), kind="stable")] = np.concatenate([p[0] for p in parts])
-    return c
-
-
 class Asked:
-    """A stretch's distinct pairs, dealt to shards: by the context, and for hot contexts by the word as well."""
-
-    def __init__(self, s: Stretch, c: np.ndarray, shards: int, hot: int):
-        context, word, times, self.pair = s.pairs()
-        self.context_of, self.word_of = context, word
-        count = c.copy()
-        count[np.searchsorted(s.words, START)] = c[np.searchsorted(s.words, END)]  # as many starts as ends
-        self.deal(s.words, s.words, count, context, word, times, shards, hot)
-
-    def deal(self, words: np.ndarray, names: np.ndarray, count: np.ndarray, context: np.ndarray, word: np.ndarray, times: np.ndarray, shards: int, hot: int) -> None:
-        """``names`` and ``count`` are of each context."""
-        self.names, self.count = names, count
-        parts = 1 + self.count // hot
-        sub = (words[word] >> U(7)) % parts[context].astype(np.uint64)
-        # A hot context also asks the shards where it has no pair here: for its T.
-        hot_ones = np.unique(context[parts[context] > 1])
-        ask = np.repeat(hot_ones, parts[hot_ones])
-        ask_sub = np.concatenate([np.arange(parts[x]) for x in hot_ones]) if len(hot_ones) else np.zeros(0, dtype=np.int64)
-        self.context = np.concatenate((context, ask))
-        self.word = np.concatenate((word, np.full(len(ask), -1)))
-        sub = np.concatenate((sub, ask_sub.astype(np.uint64)))
-        self.shard = shard_of(mix(names[self.context] + (sub + U(1)) * U(0x9E3779B97F4A7C15)), shards)
-        self.order = np.lexsort((self.word, self.context, self.shard))
-        self.times = np.concatenate((times, np.zeros(len(ask), dtype=np.uint32)))
-
-    def groups(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """In the order sent: where each (shard, context) begins, its shard, its context."""
-        s, c = self.shard[self.order], self.context[self.order]
-        new = np.flatnonzero(np.concatenate(([True], (s[1:] != s[:-1]) | (c[1:] != c[:-1]))))
-        return new, s[new], c[new]
-
-
-class Triples(Asked):
-    """The same for a stretch's distinct triples; ``pairs`` are its pairs and ``met`` their training counts."""
-
-    def __init__(self, s: Stretch, pairs: Asked, met: np.ndarray, shards: int, hot: int):
-        context, word, times, self.triple, self.where = s.triples(pairs.pair, met)
-        names = mix(s.words[pairs.context_of] * U(0xD1342543DE82EF95) + mix(s.words[pairs.word_of]))
-        self.deal(s.words, names, met, context, word, times, shards, hot)
-
-
-def _questions(k: int, block: int, a: Asked, words: np.ndarray, shards: int) -> Iterator[tuple[int, int, bytes]]:
-    if not len(a.order):
-        return
-    new, shard, context = a.groups()
-    runs = np.diff(np.concatenate((new, [len(a.order)])))
-    word, times = a.word[a.order], a.times[a.order]
-    low = np.where(word >= 0, (mix(words[np.maximum(word, 0)]) & LOW32).astype(np.int64), 0)
-    # A question without a word is a run's first entry and is not sent: only its context is.
-    asks = word < 0
-    real = runs - np.add.reduceat(asks, new)
-    edge = np.searchsorted(shard, np.arange(shards + 1))
-    sent = np.concatenate(([0], np.cumsum(real)))
-    low, times = low[~asks].astype(np.uint32), times[~asks]
-    name = (mix(a.names[context] ^ START) & LOW32).astype(np.uint32)
-    for i in range(shards):
-        x, z = edge[i], edge[i + 1]
-        if z > x:
-            p, q = sent[x], sent[z]
-            yield i, block, _squeeze(np.array([k], dtype=np.uint32), name[x:z], a.count[context[x:z]].astype(np.int64), real[x:z].astype(np.uint32), low[p:q], times[p:q].astype(np.uint32))
-
-
-def _told(a: Asked, parts: list[list[np.ndarray]], contexts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
-    """Discounted probability of each question, T of each context, and counts where they were sent."""
-    _, _, context = a.groups() if len(a.order) else (None, None, np.zeros(0, dtype=np.int64))
-    real = a.word[a.order] >= 0
-    n = int((a.word >= 0).sum())
-
-    def placed(values: list[np.ndarray], kind: type) -> np.ndarray:
-        sent, out = np.zeros(len(a.order), dtype=kind), np.empty(len(a.order), dtype=kind)
-        if values:
-            sent[real] = np.concatenate(values)
-        out[a.order] = sent
-        return out[:n]
-
-    kinds = np.bincount(context, np.concatenate([p[1] for p in parts]) if parts else None, contexts)
-    return placed([expand(p[0], p[2][0]) for p in parts], np.float64), kinds, placed([p[3] for p in parts], np.int64) if parts and len(parts[0]) > 3 else None
-
-
-def _send_pairs(shards: int, hot: int):
+    """A stretch's distinct triples, in the order they are sent, and the places of its tokens among them.
+
+    ``number`` and ``count`` are of each word; a word that training never met has the number NONE.
+    """
+
+    def __init__(self, s: Stretch, parts: list[list[np.ndarray]], shards: int, hot: int, order: int):
+        turn = np.argsort(shard_of(s.words, shards), kind="stable")
+        self.count, self.number = np.empty(len(s.words), dtype=np.int64), np.empty(len(s.words), dtype=np.int64)
+        self.count[turn] = np.concatenate([p[0] for p in parts])
+        self.number[turn] = np.concatenate([p[1] for p in parts])
+        self.number[self.count == 0] = NONE
+        self.tokens = self.count.copy()  # the start is no token
+        self.number[s.start] = _START_NUMBER
+        self.count[s.start] = self.count[np.searchsorted(s.words, END)]  # as many starts as ends
+        self.s, self.shards, self.hot = s, shards, hot
+        n = len(s.words) + 1
+        two = np.concatenate(([n - 1], s.before[:-1]))
+        two[(s.before == s.start) | (self.number[two % (n - 1)] == NONE)] = n - 1
+        if order == 2:
+            two[:] = n - 1
+        self.where = np.flatnonzero(self.count[s.before] > 0)  # after other words, a token has its base probability
+        token = s.token[self.where]
+        known = self.tokens[token] > 0
+        # A word that training never met is asked for its context only.
+        context = s.before[self.where] * np.int64(n) + two[self.where]
+        contexts = None
+        if n >= 1 << 21:  # one very long text: three such numbers don't fit into 63 bits
+            contexts, context = np.unique(context, return_inverse=True)
+        key, at = np.unique(context * np.int64(n) + np.where(known, token + 1, 0), return_inverse=True)
+        times = np.bincount(at, s.known[self.where], len(key)).astype(np.uint32)
+        context, word = key // n, key % n - 1
+        if contexts is not None:
+            context = contexts[context]
+        last, two = context // n, context % n
+        self.parts = 1 + self.count // hot
+        sub = np.zeros(len(key), dtype=np.uint64)
+        deal = self.parts[last] > 1
+        sub[deal] = (mix(np.append(s.words, U(0))[two[deal]]) >> U(7)) % self.parts[last[deal]].astype(np.uint64)
+        shard = self._shard(last, sub)
+        turn = np.argsort(shard, kind="stable")  # the keys are in order already
+        self.shard, self.last, self.two, self.word, self.times = shard[turn], last[turn], two[turn], word[turn], times[turn]
+        place = np.empty(len(turn), dtype=np.int64)
+        place[turn] = np.arange(len(turn))
+        self.at = place[at]
+
+    def _shard(self, last: np.ndarray, sub: np.ndarray) -> np.ndarray:
+        return shard_of(mix(self.s.words[last] + (sub.astype(np.uint64) + U(1)) * U(0x9E3779B97F4A7C15)), self.shards).astype(np.int64)
+
+    def messages(self, k: int, block: int) -> Iterator[tuple[int, int, bytes]]:
+        if not len(self.shard):
+            return
+        new_shard = np.concatenate(([True], self.shard[1:] != self.shard[:-1]))
+        new_last = new_shard | np.concatenate(([True], self.last[1:] != self.last[:-1]))
+        new_two = new_last | np.concatenate(([True], self.two[1:] != self.two[:-1]))
+        two_number = np.append(self.number, NONE)
+        for a, z in zip(np.flatnonzero(new_shard).tolist(), [*np.flatnonzero(new_shard)[1:].tolist(), len(self.shard)], strict=True):
+            lasts, twos = np.flatnonzero(new_last[a:z]), np.flatnonzero(new_two[a:z])
+            real = self.word[a:z] >= 0
+            n_two = np.diff(np.append(np.searchsorted(twos, lasts), len(twos)))
+            n_word = np.add.reduceat(real, twos).astype(np.uint32)
+            last, word = self.last[a:z][lasts], self.word[a:z][real]
+            two = two_number[self.two[a:z][twos]]
+            two = np.where(two == NONE, 0, two + 1)  # 0: none
+            yield int(self.shard[a]), block, _squeeze(
+                np.array([k], dtype=np.uint32), _narrow(self.number[last]), (self.parts[last] > 1).astype(np.uint8), n_two.astype(np.uint32),
+                _narrow(two), n_word, _narrow(self.number[word]), self.times[a:z][real],
+            )
+
+    def told(self, parts: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each triple: discounted probability and weight of the rest after the last word, and after both."""
+        n = len(self.shard)
+        out = [np.zeros(n) for _ in range(4)]
+        if not n:
+            return tuple(out)
+        real = self.word >= 0
+        new_last = np.concatenate(([True], (self.shard[1:] != self.shard[:-1]) | (self.last[1:] != self.last[:-1])))
+        new_two = new_last | np.concatenate(([True], self.two[1:] != self.two[:-1]))
+        out[0][real] = np.concatenate([expand(p[0], p[5][0]) for p in parts])
+        out[2][real] = np.concatenate([expand(p[1], p[5][1]) for p in parts])
+        kinds = np.concatenate([p[2] for p in parts])[np.cumsum(new_last) - 1]
+        out[1][:] = DISCOUNT * kinds / self.count[self.last]
+        kinds, met = (np.concatenate([p[i] for p in parts])[np.cumsum(new_two) - 1] for i in (3, 4))
+        out[3][:] = np.where(met > 0, DISCOUNT * kinds / np.maximum(met, 1), 1.0)
+        return tuple(out)
+
+
+class Hot:
+    """Pairs of a hot last word and a word, dealt by the word; every part is asked for its number of different successors."""
+
+    def __init__(self, a: Asked):
+        self.a = a
+        self.rows = np.flatnonzero((a.parts[a.last] > 1) & (a.word >= 0))
+        self.lasts = np.unique(a.last[a.parts[a.last] > 1])
+        n = len(a.s.words)
+        key, self.at = np.unique(a.last[self.rows] * np.int64(n) + a.word[self.rows], return_inverse=True)
+        last, word = key // n, key % n
+        times = np.bincount(self.at, a.times[self.rows], len(key)).astype(np.uint32)
+        base = np.cumsum(a.parts[self.lasts]) - a.parts[self.lasts]
+        self.owner = np.repeat(np.arange(len(self.lasts)), a.parts[self.lasts])
+        sub_of = np.arange(len(self.owner)) - base[self.owner]
+        shard_of_group = a._shard(self.lasts[self.owner], sub_of) if len(self.owner) else np.zeros(0, dtype=np.int64)
+        group = base[np.searchsorted(self.lasts, last)] + ((mix(a.s.words[word]) >> U(7)) % a.parts[last].astype(np.uint64)).astype(np.int64)
+        self.turn = np.lexsort((word, group, shard_of_group[group]))
+        self.group_turn = np.argsort(shard_of_group, kind="stable")
+        self.shard, self.sub, self.word, self.times, self.group = shard_of_group[self.group_turn], sub_of[self.group_turn], word[self.turn], times[self.turn], group
+        self.runs = np.bincount(group, minlength=len(self.owner))[self.group_turn]
+
+    def messages(self, k: int, block: int) -> Iterator[tuple[int, int, bytes]]:
+        edge = np.concatenate(([0], np.cumsum(self.runs)))
+        starts = np.flatnonzero(np.concatenate(([True], self.shard[1:] != self.shard[:-1]))) if len(self.shard) else np.zeros(0, dtype=np.int64)
+        for a, z in zip(starts.tolist(), [*starts[1:].tolist(), len(self.shard)], strict=False):
+            last = self.lasts[self.owner[self.group_turn[a:z]]]
+            p, q = edge[a], edge[z]
+            yield int(self.shard[a]), block, _squeeze(
+                np.array([k], dtype=np.uint32), _narrow(self.a.number[last]), self.sub[a:z].astype(np.uint32), self.a.count[last], self.runs[a:z].astype(np.uint32),
+                _narrow(self.a.number[self.word[p:q]]), self.times[p:q],
+            )
+
+    def told(self, parts: list[list[np.ndarray]], seen: np.ndarray, rest: np.ndarray) -> None:
+        """Fill in what the triples' shards couldn't know."""
+        if not len(self.lasts):
+            return
+        got = np.empty(len(self.turn))
+        if len(self.turn):
+            got[self.turn] = np.concatenate([expand(p[0], p[2][0]) for p in parts])
+        seen[self.rows] = got[self.at]
+        kinds = np.zeros(len(self.lasts))
+        np.add.at(kinds, self.owner[self.group_turn], np.concatenate([p[1] for p in parts]))
+        mine = np.flatnonzero(self.a.parts[self.a.last] > 1)
+        last = self.a.last[mine]
+        rest[mine] = DISCOUNT * kinds[np.searchsorted(self.lasts, last)] / self.a.count[last]
+
+
+def _send(shards: int, size: int, hot: int, order: int, hot_pairs: bool):
     def run(table: pa.Table, answers: list[tuple[int, bytes]]) -> pa.Table:
         if not table.num_rows:
-            return pa.Table.from_batches([packed_batch([])])
+            return _none_sent()
         block, out, told = table.column("block")[0].as_py(), [], _by_stretch(answers)
-        for k, s in enumerate(stretches(table)):
-            out.extend(_questions(k, block, Asked(s, _word_counts(s, told[k], shards), shards, hot), s.words, shards))
+        for k, s in enumerate(stretches(table, size)):
+            a = Asked(s, told[k], shards, hot, order)
+            out.extend((Hot(a) if hot_pairs else a).messages(k, block))
         return pa.Table.from_batches([packed_batch(out)])
 
     return run
 
 
-def _send_triples(shards: int, hot: int):
-    def run(table: pa.Table, answers: list[tuple[int, bytes]]) -> pa.Table:
-        if not table.num_rows:
-            return pa.Table.from_batches([packed_batch([])])
-        block, out = table.column("block")[0].as_py(), []
-        words, pairs = _by_stretch([x for x in answers if x[0] < shards]), _by_stretch([x for x in answers if x[0] >= shards])
-        for k, s in enumerate(stretches(table)):
-            a = Asked(s, _word_counts(s, words[k], shards), shards, hot)
-            _, _, met = _told(a, pairs[k], len(s.words))
-            out.extend(_questions(k, block, Triples(s, a, met, shards, hot), s.words, shards))
-        return pa.Table.from_batches([packed_batch(out)])
-
-    return run
+def _smoothed(count: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, float]:
+    p = (count - DISCOUNT) / np.maximum(np.maximum(total, count), 1)
+    steps = steps_for(p)
+    return quantise(p, steps) if len(p) else np.zeros(0, dtype=np.uint8), steps
 
 
-def _answer_pairs(rows: list[tuple[int, bytes]], counts: bool = False) -> Iterator[tuple[int, bytes]]:
-    """Build the shard's trie from all that was sent, and look everything up in it; ``counts``: with each one's training count."""
+def _answer_pairs(rows: list[tuple[int, bytes]]) -> Iterator[tuple[int, bytes]]:
+    """For hot words: their successors in this part as one level, and each question looked up in it."""
     parts = [(b, *_expanded(p)) for b, p in rows]
-    context = np.concatenate([np.repeat(x[2], x[4]) for x in parts]).astype(np.uint64)
-    key = (context << U(32)) | np.concatenate([x[5] for x in parts])
-    times = np.concatenate([x[6] for x in parts])
-    taught = times > 0
-    pairs, at = np.unique(key[taught], return_inverse=True)
-    count = np.bincount(at, times[taught], len(pairs))
-    del context, key
-    names, first = np.unique(np.concatenate([x[2] for x in parts]), return_index=True)
-    total = np.concatenate([x[3] for x in parts])[first]
-    head = (pairs >> U(32)).astype(np.int64)
-    of = np.maximum(total[np.searchsorted(names, head)], count) if len(pairs) else count
-    p = (count - DISCOUNT) / np.maximum(of, 1)
-    steps = steps_for(p)
-    trie = Trie(head, (pairs & LOW32).astype(np.int64), quantise(p, steps) if len(pairs) else np.zeros(0, dtype=np.uint8))
-    for b, k, name, _, runs, word, _ in parts:
-        lo, hi = trie.find(name.astype(np.int64))
-        code = trie.look_up(np.repeat(lo, runs), np.repeat(hi, runs), word.astype(np.int64))
-        more = []
-        if counts:
-            asked = (np.repeat(name, runs).astype(np.uint64) << U(32)) | word
-            i = np.minimum(np.searchsorted(pairs, asked), max(0, len(pairs) - 1))
-            got = np.where(pairs[i] == asked, count[i], 0) if len(pairs) else np.zeros(len(asked))
-            more = [got.astype(np.uint32 if got.max(initial=0) < 1 << 32 else np.int64)]
-        yield b, _squeeze(k, code, (hi - lo).astype(np.uint32), np.array([steps]), *more)
+    lasts, group = np.unique(np.concatenate([(x[2].astype(np.uint64) << U(24)) | x[3] for x in parts]), return_inverse=True)
+    total = np.zeros(len(lasts), dtype=np.int64)
+    total[group] = np.concatenate([x[4] for x in parts])
+    words, word = np.unique(np.concatenate([x[6] for x in parts]), return_inverse=True)
+    runs = np.concatenate([x[5] for x in parts])
+    key, at = np.unique((np.repeat(group, runs) << 32) | word, return_inverse=True)
+    count = np.bincount(at, np.concatenate([x[7] for x in parts]), len(key))
+    taught = count > 0
+    parent = key >> 32
+    code, steps = _smoothed(count[taught], total[parent[taught]])
+    trie = Trie([(len(lasts), parent[taught], key[taught] & 0xFFFFFFFF)], [code])
+    codes = trie.code(0, trie.levels[0].find(parent, key & 0xFFFFFFFF))[at]
+    kinds = np.bincount(parent[taught], minlength=len(lasts))[group]
+    i = j = 0
+    for b, k, name, *_, runs, _, times in parts:
+        yield b, _squeeze(k, codes[j : j + len(times)], kinds[i : i + len(name)].astype(np.uint32), np.array([steps]))
+        i, j = i + len(name), j + len(times)
+
+
+def _answer_triples(rows: list[tuple[int, bytes]]) -> Iterator[tuple[int, bytes]]:
+    """The shard's part of the trie, from all that was sent, and each question looked up in it."""
+    parts = [(b, *_expanded(p)) for b, p in rows]
+    numbers, last = np.unique(np.concatenate([x[2] for x in parts]), return_inverse=True)
+    is_hot = np.zeros(len(numbers), dtype=bool)
+    is_hot[last] = np.concatenate([x[3] for x in parts])
+    two_numbers, two = np.unique(np.concatenate([x[5] for x in parts]), return_inverse=True)
+    no_two = two_numbers[0] == 0 if len(two_numbers) else False
+    context, at_context = np.unique((np.repeat(last, np.concatenate([x[4] for x in parts])) << 32) | two, return_inverse=True)
+    del two
+    words, word = np.unique(np.concatenate([x[7] for x in parts]), return_inverse=True)
+    key, at = np.unique((np.repeat(at_context, np.concatenate([x[6] for x in parts])) << 32) | word, return_inverse=True)
+    del word
+    count = np.bincount(at, np.concatenate([x[8] for x in parts]), len(key)).astype(np.int64)
+    taught = np.flatnonzero(count)
+    value = key & 0xFFFFFFFF
+    # After both words; a context without a word before is none.
+    of = key >> 32
+    both = taught if not no_two else taught[(context[of[taught]] & 0xFFFFFFFF) > 0]
+    met = np.bincount(of[both], count[both], len(context)).astype(np.int64)
+    kinds = np.bincount(of[both], minlength=len(context))
+    # After the last word alone.
+    single, at_single = np.unique(((context[of] >> 32) << 32) | value, return_inverse=True)
+    single_count = np.bincount(at_single, count, len(single)).astype(np.int64)
+    parent = single >> 32
+    single_taught = np.flatnonzero((single_count > 0) & ~is_hot[parent])
+    total = np.bincount(parent[single_taught], single_count[single_taught], len(numbers))
+    single_kinds = np.bincount(parent[single_taught], minlength=len(numbers))
+    code2, steps2 = _smoothed(single_count[single_taught], total[parent[single_taught]])
+    code3, steps3 = _smoothed(count[both], met[of[both]])
+    real = np.flatnonzero(met)  # contexts of two words that training met
+    rank = np.cumsum(met > 0) - 1
+    trie = Trie(
+        [
+            (1, np.zeros(len(numbers), dtype=np.int64), numbers.astype(np.int64)),
+            (len(numbers), context[real] >> 32, context[real] & 0xFFFFFFFF),
+            (len(real), rank[of[both]], value[both]),
+            (len(numbers), parent[single_taught], single[single_taught] & 0xFFFFFFFF),
+        ],
+        [code3, code2],
+    )
+    del rank, both, taught, single_taught
+    names, before, after, alone = trie.levels
+    first = names.find(np.zeros(len(numbers), dtype=np.int64), numbers.astype(np.int64))
+    second = before.find(first[context >> 32], context & 0xFFFFFFFF)
+    code3 = trie.code(0, after.find(second[of], value))[at]
+    code2 = trie.code(1, alone.find(first[parent], single & 0xFFFFFFFF))[at_single][at]
+    single_kinds, kinds, met = single_kinds[last], kinds[at_context], met[at_context]
+    i = j = m = 0
+    for b, k, name, _, _, pair, _, _, times in parts:
+        yield b, _squeeze(k, code2[m : m + len(times)], code3[m : m + len(times)], single_kinds[i : i + len(name)].astype(np.uint32), kinds[j : j + len(pair)].astype(np.uint32), _narrow(met[j : j + len(pair)]), np.array([steps2, steps3]))
+        i, j, m = i + len(name), j + len(pair), m + len(times)
 
 
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _score(shards: int, hot: int, n: int, v: int):
+def _score(shards: int, size: int, hot: int, order: int, n: int, v: int):
     def run(table: pa.Table, answers: list[tuple[int, bytes]]) -> pa.Table:
         cols = {c: np.zeros(table.num_rows, dtype=d) for c, d in (("n_tokens", np.int64), ("n_known", np.int64), ("base_score", np.float64), ("score", np.float64))}
-        words, pairs, triples = (_by_stretch([x for x in answers if x[0] // shards == i]) for i in range(3))
-        for k, s in enumerate(stretches(table) if table.num_rows else ()):
-            c = _word_counts(s, words[k], shards)
-            a = Asked(s, c, shards, hot)
-            seen, kinds, met = _told(a, pairs[k], len(s.words))
-            base = (c[s.token] + 1.0) / (n + 1.0 * (v + 1))
-            total = a.count[s.before]
-            p = np.where(total > 0, seen[a.pair] + DISCOUNT * kinds[s.before] / np.maximum(total, 1) * base, base)
-            if met is not None:
-                t = Triples(s, a, met, shards, hot)
-                seen, kinds, _ = _told(t, triples.get(k, []), len(met))
-                two, less = a.pair[t.where - 1], p[t.where]
-                p[t.where] = seen[t.triple] + DISCOUNT * kinds[two] / met[two] * less
+        words, triples, pairs = (_by_stretch([x for x in answers if x[0] // shards == i]) for i in range(3))
+        for k, s in enumerate(stretches(table, size) if table.num_rows else ()):
+            a = Asked(s, words[k], shards, hot, order)
+            base = (a.tokens[s.token] + 1.0) / (n + 1.0 * (v + 1))
+            seen, rest, seen_two, rest_two = a.told(triples.get(k, []))
+            Hot(a).told(pairs.get(k, []), seen, rest)
+            p = base.copy()
+            i = a.at
+            p[a.where] = seen_two[i] + rest_two[i] * (seen[i] + rest[i] * base[a.where])
             doc = np.repeat(s.rows, s.sizes)
-            size = table.num_rows
-            cols["n_tokens"] += np.bincount(doc, minlength=size)
-            cols["n_known"] += np.bincount(doc, c[s.token] > 0, size).astype(np.int64)
-            cols["base_score"] += np.bincount(doc, np.log10(base), size)
-            cols["score"] += np.bincount(doc, np.log10(np.minimum(p, 1.0)), size)
-        held = pc.invert(table.column("train"))
+            rows = table.num_rows
+            cols["n_tokens"] += np.bincount(doc, minlength=rows)
+            cols["n_known"] += np.bincount(doc, a.tokens[s.token] > 0, rows).astype(np.int64)
+            cols["base_score"] += np.bincount(doc, np.log10(base), rows)
+            cols["score"] += np.bincount(doc, np.log10(np.minimum(p, 1.0)), rows)
+        held = pc.invert(table.column("more_0"))
         return pa.table(
             [table.column("doc_id"), held, pa.array(cols["n_tokens"]), pa.array(cols["n_known"]), pa.array(np.full(table.num_rows, n)), pa.array(cols["base_score"]), pa.array(cols["score"])],
             names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
@@ -447,25 +560,24 @@ def _score(shards: int, hot: int, n: int, v: int):
     return run
 
 
-def scored(docs: DataFrame, mod: int = 7, held: int = 2, hot: int = HOT, order: int = 2) -> DataFrame:
+def scored(docs: DataFrame, mod: int = 7, held: int = 2, hot: int = HOT, order: int = 3, stretch: int = STRETCH) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): tokens, known tokens, training tokens, unigram and model log10 probability of
     ``order`` 2 or 3."""
     if order not in (2, 3):
         raise ValueError("order is 2 or 3")
     train = F.coalesce(fold("doc_id", mod) != held, F.lit(False)).alias("train")
-    blocks = Blocks(docs.select("doc_id", "text", train), "train")
-    shards = blocks.shards
-    words = settle(blocks.answer(blocks.emit_whole(_send_words(shards), "train"), _count_words))
-    sums = [_expanded(bytes(r.payload))[0] for r in words.where("block = -1").collect()]  # two numbers from each shard
-    n, v = (int(sum(x[i] for x in sums)) for i in (0, 1))
-    words = words.where("block >= 0")
-    sent, later = "shard int, block int, payload binary", [f"shard + {shards} as shard", "block", "payload"]
-    pairs = blocks.answer(blocks.with_answers(words, _send_pairs(shards, hot), sent, "train"), partial(_answer_pairs, counts=order > 2))
-    both = words.unionByName(pairs.selectExpr(*later))
-    if order > 2:
-        both = settle(both)
-        triples = blocks.answer(blocks.with_answers(both, _send_triples(shards, hot), sent, "train"), _answer_pairs)
-        both = both.unionByName(triples.selectExpr(f"shard + {2 * shards} as shard", "block", "payload"))
-    out = settle(blocks.with_answers(both, _score(shards, hot, n, v), SCHEMA, "train"))
-    blocks.drop()
-    return out
+    with Blocks(docs.select("doc_id", "text", train), "train") as blocks:
+        shards = blocks.shards
+        words = settle(blocks.answer(blocks.emit_whole(_send_words(shards, stretch)), _count_words(shards)))
+        sums = [F.expr(f"cast(conv(hex(substring(payload, {at}, 8)), 16, 10) as decimal(38, 0))") for at in (1, 9, 17)]
+        total = words.where("block = -1").agg(F.sum(sums[0]), F.sum(sums[1]), F.max(sums[2])).first()
+        n, v, most = (int(x or 0) for x in total)
+        words = words.where("block >= 0")
+        sent = "shard int, block int, payload binary"
+        told = words
+        triples = blocks.answer(blocks.with_answers(words, _send(shards, stretch, hot, order, False), sent), _answer_triples)
+        told = told.unionByName(triples.selectExpr(f"shard + {shards} as shard", "block", "payload"))
+        if most >= hot:
+            pairs = blocks.answer(blocks.with_answers(words, _send(shards, stretch, hot, order, True), sent), _answer_pairs)
+            told = told.unionByName(pairs.selectExpr(f"shard + {2 * shards} as shard", "block", "payload"))
+        return settle(blocks.with_answers(told, _score(shards, stretch, hot, order, n, v), SCHEMA))

@@ -238,7 +238,7 @@ def _send_anchors(shards: int, least: int, gram: int):
             keep = np.sort(order[new])
             h, c, doc, row, pos = (x[keep] for x in (h, c, doc, row, pos))
             rows = []
-            for s, (hh, cc, dd, rr, pp) in by_shard(shard_of(h, shards), shards, h, c, doc, row, pos):
+            for s, (hh, cc, dd, rr, pp) in by_shard(shard_of(h, shards), h, c, doc, row, pos):
                 edge = np.flatnonzero(np.concatenate(([True], (rr[1:] != rr[:-1]))))
                 runs = np.diff(np.concatenate((edge, [len(rr)])))
                 rows.append((s, block, pack((hh & U(0xFFFFFFFF)).astype(np.uint32), cc, pp.astype(np.uint32), dd[edge], rr[edge], runs.astype(np.uint32))))
@@ -320,7 +320,7 @@ def _send_texts(shards: int, least: int, gram: int):
         h, doc, row, pos, chars = (np.concatenate(x) for x in out)
         spread = mix(h.astype(np.uint64) + U(1))
         rows = []
-        for s, (hh, dd, rr, pp, cc) in by_shard(shard_of(spread, shards), shards, h, doc, row, pos, chars):
+        for s, (hh, dd, rr, pp, cc) in by_shard(shard_of(spread, shards), h, doc, row, pos, chars):
             absent = cc == 0  # kept beside the bytes, a bit each
             rows.append((s, block, pack(hh, dd, rr, pp, (np.where(absent, 1, cc) - 1).astype(np.uint8).ravel(), np.packbits(absent, axis=1).ravel())))
         return pa.Table.from_batches([packed_batch(rows)])
@@ -512,9 +512,8 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, gram: int = GRAM) ->
         kind = pa.int64()
         return pa.table([left.column("doc_id"), pa.array(size, kind), pa.array(gone, kind), pa.array(spans, kind), pa.array(digest, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    out = settle(blocks.with_answers(_answers(blocks, least, gram), run, DIGEST))
-    blocks.drop()
-    return out
+    with blocks:
+        return settle(blocks.with_answers(_answers(blocks, least, gram), run, DIGEST))
 
 
 def without_repeats(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
@@ -523,9 +522,11 @@ def without_repeats(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> Da
     All columns stay; ``n_chars``, where there is one, is the length of the new text. Bytes of a character cut in two go as well.
     """
     more = [c for c in docs.columns if c not in ("doc_id", "text")]
-    names = docs.columns
-    blocks = Blocks(docs, *more)
+    names, schema = docs.columns, docs.schema
+    # One more column tells null texts, which stay null, from empty ones.
+    blocks = Blocks(docs.select("*", docs["text"].isNull().alias(_fresh("is_null", names))), *more, _fresh("is_null", names))
     shards = blocks.shards
+    *stored, no_text = blocks.more
 
     def run(left: pa.Table, answers: list[tuple[int, bytes]]) -> pa.Table:
         texts, new, keep = left.column("text").to_pylist(), {}, []
@@ -533,12 +534,18 @@ def without_repeats(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> Da
             if runs:
                 new[n] = _kept(raw, runs).decode(errors="ignore")
             keep.append(not runs or bool(new[n].strip()))
-        cols = {c: left.column(c) for c in ("doc_id", *more)}
-        cols["text"] = pa.array([new[n] if n in new else t.decode(errors="replace") for n, t in enumerate(texts)], pa.string())
+        cols = {"doc_id": left.column("doc_id"), **{c: left.column(k) for c, k in zip(more, stored, strict=True)}}
+        null = left.column(no_text).to_pylist()
+        cols["text"] = pa.array([None if null[n] else new[n] if n in new else t.decode(errors="replace") for n, t in enumerate(texts)], pa.string())
         if "n_chars" in cols:
             cols["n_chars"] = pa.array([len(new[n]) if n in new else x for n, x in enumerate(cols["n_chars"].to_pylist())], cols["n_chars"].type)
         return pa.table([cols[c] for c in names], names=names).filter(pa.array(keep, pa.bool_()))
 
-    out = settle(blocks.with_answers(_answers(blocks, least, gram), run, docs.schema, *more))
-    blocks.drop()
-    return out
+    with blocks:
+        return settle(blocks.with_answers(_answers(blocks, least, gram), run, schema))
+
+
+def _fresh(name: str, taken: list[str]) -> str:
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name

@@ -24,15 +24,29 @@ def test_elias_fano():
             assert e.successor(x, lo, hi).tolist() == want
 
 
+def test_decodes_a_window_at_a_time(monkeypatch):
+    monkeypatch.setattr(ngrams.EliasFano, "WINDOW", 64)
+    random.seed(4)
+    a = np.cumsum([random.randrange(300) for _ in range(5000)])
+    n, bits, low, high, select = ngrams.EliasFano.code(a)
+    e = ngrams.EliasFano(n, bits, low, high, select)
+    i = np.array([random.randrange(5000) for _ in range(900)])
+    assert e.get(i).tolist() == a[i].tolist()
+    x = np.array([random.randrange(int(a[-1]) + 9) for _ in range(900)])
+    assert e.successor(x, np.zeros(900, dtype=np.int64), np.full(900, 5000)).tolist() == np.searchsorted(a, x).tolist()
+    assert len(low) + len(high) < 2 * 5000  # about 2 + log2(150) bits each
+    held = sum(v.nbytes for v in vars(e).values() if isinstance(v, np.ndarray))
+    assert held < 2 * (len(low) + len(high) + len(select) * 16)  # no unpacked copy is kept
+
+
 def test_trie():
     random.seed(2)
-    entries = sorted({(random.randrange(40) * 7, random.randrange(1 << 32)) for _ in range(900)})
+    entries = sorted({(random.randrange(40), random.randrange(1 << 32)) for _ in range(900)})
     c, w = (np.array(x, dtype=np.int64) for x in zip(*entries, strict=True))
     code = np.array([random.randrange(1, 256) for _ in entries], dtype=np.uint8)
-    t = ngrams.Trie(c, w, code)
-    ask = entries + [(3, 5), (7, 1), (10**6, 2), (273, (1 << 32) - 1)]
-    lo, hi = t.find(np.array([x for x, _ in ask]))
-    got = t.look_up(lo, hi, np.array([y for _, y in ask]))
+    t = ngrams.Trie([(40, c, w)], [code])
+    ask = entries + [(3, 5), (7, 1), (-1, 2), (39, (1 << 32) - 1)]
+    got = t.code(0, t.levels[0].find(np.array([x for x, _ in ask]), np.array([y for _, y in ask])))
     want = dict(zip(entries, code.tolist(), strict=True))
     assert got.tolist() == [want.get(x, 0) for x in ask]
     assert t.bytes < 8 * len(entries)
@@ -66,14 +80,13 @@ def brute(rows):
 
 
 @pytest.mark.parametrize("hot", [1 << 20, 30])
-def test_against_brute(spark, monkeypatch, hot):
-    monkeypatch.setattr(ngrams, "STRETCH", 500)
+def test_against_brute(spark, hot):
     random.seed(3)
     words = ["the", "The", "of", "é!"] + [f"w{i}" for i in range(60)]
     rows = [(i, " ".join(random.choices(words, weights=[30, 10, 10, 5] + [1] * 60, k=random.randrange(0, 80)))) for i in range(150)]
     rows += [(200, None), (201, ""), (None, "the of"), (3, rows[4][1]), (4, rows[4][1])]
     d = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, score string").repartition(4)
-    got = sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in ngrams.scored(d, hot=hot).collect()), key=lambda r: str(r[:5]))
+    got = sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in ngrams.scored(d, hot=hot, order=2, stretch=500).collect()), key=lambda r: str(r[:5]))
     want = sorted(brute(rows), key=lambda r: str(r[:5]))
     assert [g[:5] for g in got] == [w[:5] for w in want]
     assert sorted(round(g[5], 6) for g in got) == sorted(round(w[5], 6) for w in want)
@@ -113,14 +126,13 @@ def brute_three(rows):
 
 
 @pytest.mark.parametrize("hot", [1 << 20, 10])
-def test_trigrams_against_brute(spark, monkeypatch, hot):
-    monkeypatch.setattr(ngrams, "STRETCH", 500)
+def test_trigrams_against_brute(spark, hot):
     random.seed(5)
     words = ["the", "The", "of", "é!"] + [f"w{i}" for i in range(20)]
     rows = [(i, " ".join(random.choices(words, weights=[30, 20, 10, 5] + [1] * 20, k=random.randrange(0, 80)))) for i in range(150)]
     rows += [(200, None), (201, ""), (None, "the of"), (3, rows[4][1]), (4, rows[4][1])]
     d = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, score string").repartition(4)
-    assert sorted(round(r.score, 6) for r in ngrams.scored(d, hot=hot, order=3).collect()) == brute_three(rows)
+    assert sorted(round(r.score, 6) for r in ngrams.scored(d, hot=hot, stretch=500).collect()) == brute_three(rows)
 
 
 def test_small_probabilities_keep_their_size():
