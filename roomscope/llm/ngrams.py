@@ -197,14 +197,18 @@ def expand(code: np.ndarray, steps: float = 32.0) -> np.ndarray:
 # ---- payloads --------------------------------------------------------------------------------------------------------------------
 
 
-def _squeeze(*arrays: np.ndarray) -> bytes:
-    """A compressed pack(): runs, counts and codes are mostly small."""
+def _squeeze(k: int, *arrays: np.ndarray) -> bytes:
+    """A compressed pack() of stretch ``k``: runs, counts and codes are mostly small."""
     data = pack(*arrays)
-    return len(data).to_bytes(8, "little") + _ZSTD.compress(data, asbytes=True)
+    return k.to_bytes(4, "little") + len(data).to_bytes(8, "little") + _ZSTD.compress(data, asbytes=True)
 
 
 def _expanded(data: bytes) -> list[np.ndarray]:
-    return unpack(_ZSTD.decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True))
+    return unpack(_ZSTD.decompress(memoryview(data)[12:], int.from_bytes(data[4:12], "little"), asbytes=True))
+
+
+def _stretch_of(data: bytes) -> int:
+    return int.from_bytes(data[:4], "little")
 
 
 # ---- stretches of a block --------------------------------------------------------------------------------------------------------
@@ -215,11 +219,12 @@ class Stretch:
 
     def __init__(self, at: np.ndarray, hashes: np.ndarray, sizes: np.ndarray, train: np.ndarray):
         self.rows, self.sizes, self.train = at, sizes, train
-        self.words, self.token = np.unique(np.concatenate((hashes, [START])), return_inverse=True)
-        start = self.start = int(self.token[-1])
-        self.token = self.token[:-1]
+        self.words, token = np.unique(np.concatenate((hashes, [START])), return_inverse=True)
+        token = token.astype(np.int32)
+        start = self.start = int(token[-1])
+        self.token = token[:-1]
         self.known = np.repeat(train, sizes)
-        self.before = np.concatenate(([start], self.token[:-1]))
+        self.before = np.concatenate((token[-1:], self.token[:-1]))
         self.before[np.cumsum(sizes)[:-1]] = start
 
     def counts(self) -> np.ndarray:
@@ -262,7 +267,7 @@ def _send_words(shards: int, size: int):
         block, out = table.column("block")[0].as_py(), []
         for k, s in enumerate(stretches(table, size)):
             for shard, (h, c) in by_shard(shard_of(s.words, shards), s.words, s.counts()):
-                out.append((shard, block, _squeeze(np.array([k], dtype=np.uint32), h, c)))
+                out.append((shard, block, _squeeze(k, h, c)))
         return pa.Table.from_batches([packed_batch(out)])
 
     return run
@@ -276,7 +281,7 @@ def _count_words(shards: int):
     """Each word's training count, and a number that no other word has (0: never met in training). Also the shard's sums."""
 
     def run(rows: list[tuple[int, bytes]]) -> Iterator[tuple[int, bytes]]:
-        parts = [(b, *_expanded(p)) for b, p in rows]
+        parts = [(b, _stretch_of(p), *_expanded(p)) for b, p in rows]
         words, at = np.unique(np.concatenate([x[2] for x in parts]), return_inverse=True)
         total = np.bincount(at, np.concatenate([x[3] for x in parts]), len(words)).astype(np.int64)
         shard = int(shard_of(words[:1], shards)[0])
@@ -292,12 +297,11 @@ def _count_words(shards: int):
     return run
 
 
-def _by_stretch(answers: list[tuple[int, bytes]]) -> dict[int, list[list[np.ndarray]]]:
-    """Answers of each stretch, in shard order."""
-    out: dict[int, list[list[np.ndarray]]] = {}
+def _by_stretch(answers: list[tuple[int, bytes]]) -> dict[int, list[bytes]]:
+    """Answers of each stretch, in shard order, still compressed."""
+    out: dict[int, list[bytes]] = {}
     for _, p in answers:
-        k, *cols = _expanded(p)
-        out.setdefault(int(k[0]), []).append(cols)
+        out.setdefault(_stretch_of(p), []).append(p)
     return out
 
 
@@ -307,7 +311,8 @@ class Asked:
     ``number`` and ``count`` are of each word; a word that training never met has the number NONE.
     """
 
-    def __init__(self, s: Stretch, parts: list[list[np.ndarray]], shards: int, hot: int, order: int):
+    def __init__(self, s: Stretch, answers: list[bytes], shards: int, hot: int, order: int):
+        parts = [_expanded(p) for p in answers]
         turn = np.argsort(shard_of(s.words, shards), kind="stable")
         self.count, self.number = np.empty(len(s.words), dtype=np.int64), np.empty(len(s.words), dtype=np.int64)
         self.count[turn] = np.concatenate([p[0] for p in parts])
@@ -318,37 +323,45 @@ class Asked:
         self.count[s.start] = self.count[np.searchsorted(s.words, END)]  # as many starts as ends
         self.s, self.shards, self.hot = s, shards, hot
         n = len(s.words) + 1
-        two = np.concatenate(([n - 1], s.before[:-1]))
-        two[(s.before == s.start) | (self.number[two % (n - 1)] == NONE)] = n - 1
+        two = np.concatenate((np.array([n - 1], dtype=np.int32), s.before[:-1]))
+        two[s.before == s.start] = n - 1
+        two[np.append(self.number, NONE)[two] == NONE] = n - 1
         if order == 2:
             two[:] = n - 1
-        self.where = np.flatnonzero(self.count[s.before] > 0)  # after other words, a token has its base probability
-        token = s.token[self.where]
-        known = self.tokens[token] > 0
-        # A word that training never met is asked for its context only.
-        context = s.before[self.where] * np.int64(n) + two[self.where]
+        self.where = np.flatnonzero(self.count[s.before] > 0).astype(np.int32)  # after other words, a token has its base probability
+        key = s.before[self.where] * np.int64(n) + two[self.where]
+        del two
         contexts = None
         if n >= 1 << 21:  # one very long text: three such numbers don't fit into 63 bits
-            contexts, context = np.unique(context, return_inverse=True)
-        key, at = np.unique(context * np.int64(n) + np.where(known, token + 1, 0), return_inverse=True)
+            contexts, key = np.unique(key, return_inverse=True)
+        token = s.token[self.where]
+        # A word that training never met is asked for its context only.
+        key *= n
+        key += np.where(self.tokens[token] > 0, token + 1, 0)
+        del token
+        key, at = np.unique(key, return_inverse=True)
+        at = at.astype(np.int32)
         times = np.bincount(at, s.known[self.where], len(key)).astype(np.uint32)
-        context, word = key // n, key % n - 1
+        word = (key % n - 1).astype(np.int32)
+        key //= n
         if contexts is not None:
-            context = contexts[context]
-        last, two = context // n, context % n
+            key = contexts[key]
+        last, two = (key // n).astype(np.int32), (key % n).astype(np.int32)
+        del key
         self.parts = 1 + self.count // hot
-        sub = np.zeros(len(key), dtype=np.uint64)
-        deal = self.parts[last] > 1
+        sub = np.zeros(len(last), dtype=np.uint64)
+        deal = np.flatnonzero(self.parts[last] > 1)
         sub[deal] = (mix(np.append(s.words, U(0))[two[deal]]) >> U(7)) % self.parts[last[deal]].astype(np.uint64)
         shard = self._shard(last, sub)
+        del sub
         turn = np.argsort(shard, kind="stable")  # the keys are in order already
         self.shard, self.last, self.two, self.word, self.times = shard[turn], last[turn], two[turn], word[turn], times[turn]
-        place = np.empty(len(turn), dtype=np.int64)
-        place[turn] = np.arange(len(turn))
+        place = np.empty(len(turn), dtype=np.int32)
+        place[turn] = np.arange(len(turn), dtype=np.int32)
         self.at = place[at]
 
     def _shard(self, last: np.ndarray, sub: np.ndarray) -> np.ndarray:
-        return shard_of(mix(self.s.words[last] + (sub.astype(np.uint64) + U(1)) * U(0x9E3779B97F4A7C15)), self.shards).astype(np.int64)
+        return shard_of(mix(self.s.words[last] + (sub.astype(np.uint64) + U(1)) * U(0x9E3779B97F4A7C15)), self.shards).astype(np.int32)
 
     def messages(self, k: int, block: int) -> Iterator[tuple[int, int, bytes]]:
         if not len(self.shard):
@@ -366,12 +379,13 @@ class Asked:
             two = two_number[self.two[a:z][twos]]
             two = np.where(two == NONE, 0, two + 1)  # 0: none
             yield int(self.shard[a]), block, _squeeze(
-                np.array([k], dtype=np.uint32), _narrow(self.number[last]), (self.parts[last] > 1).astype(np.uint8), n_two.astype(np.uint32),
+                k, _narrow(self.number[last]), (self.parts[last] > 1).astype(np.uint8), n_two.astype(np.uint32),
                 _narrow(two), n_word, _narrow(self.number[word]), self.times[a:z][real],
             )
 
-    def told(self, parts: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def told(self, answers: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of each triple: discounted probability and weight of the rest after the last word, and after both."""
+        parts = [_expanded(p) for p in answers]
         n = len(self.shard)
         out = [np.zeros(n) for _ in range(4)]
         if not n:
@@ -396,13 +410,13 @@ class Hot:
         self.rows = np.flatnonzero((a.parts[a.last] > 1) & (a.word >= 0))
         self.lasts = np.unique(a.last[a.parts[a.last] > 1])
         n = len(a.s.words)
-        key, self.at = np.unique(a.last[self.rows] * np.int64(n) + a.word[self.rows], return_inverse=True)
+        key, self.at = np.unique(a.last[self.rows].astype(np.int64) * n + a.word[self.rows], return_inverse=True)
         last, word = key // n, key % n
         times = np.bincount(self.at, a.times[self.rows], len(key)).astype(np.uint32)
         base = np.cumsum(a.parts[self.lasts]) - a.parts[self.lasts]
         self.owner = np.repeat(np.arange(len(self.lasts)), a.parts[self.lasts])
         sub_of = np.arange(len(self.owner)) - base[self.owner]
-        shard_of_group = a._shard(self.lasts[self.owner], sub_of) if len(self.owner) else np.zeros(0, dtype=np.int64)
+        shard_of_group = a._shard(self.lasts[self.owner], sub_of)
         group = base[np.searchsorted(self.lasts, last)] + ((mix(a.s.words[word]) >> U(7)) % a.parts[last].astype(np.uint64)).astype(np.int64)
         self.turn = np.lexsort((word, group, shard_of_group[group]))
         self.group_turn = np.argsort(shard_of_group, kind="stable")
@@ -416,14 +430,15 @@ class Hot:
             last = self.lasts[self.owner[self.group_turn[a:z]]]
             p, q = edge[a], edge[z]
             yield int(self.shard[a]), block, _squeeze(
-                np.array([k], dtype=np.uint32), _narrow(self.a.number[last]), self.sub[a:z].astype(np.uint32), self.a.count[last], self.runs[a:z].astype(np.uint32),
+                k, _narrow(self.a.number[last]), self.sub[a:z].astype(np.uint32), self.a.count[last], self.runs[a:z].astype(np.uint32),
                 _narrow(self.a.number[self.word[p:q]]), self.times[p:q],
             )
 
-    def told(self, parts: list[list[np.ndarray]], seen: np.ndarray, rest: np.ndarray) -> None:
+    def told(self, answers: list[bytes], seen: np.ndarray, rest: np.ndarray) -> None:
         """Fill in what the triples' shards couldn't know."""
         if not len(self.lasts):
             return
+        parts = [_expanded(p) for p in answers]
         got = np.empty(len(self.turn))
         if len(self.turn):
             got[self.turn] = np.concatenate([expand(p[0], p[2][0]) for p in parts])
@@ -456,7 +471,7 @@ def _smoothed(count: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, float]:
 
 def _answer_pairs(rows: list[tuple[int, bytes]]) -> Iterator[tuple[int, bytes]]:
     """For hot words: their successors in this part as one level, and each question looked up in it."""
-    parts = [(b, *_expanded(p)) for b, p in rows]
+    parts = [(b, _stretch_of(p), *_expanded(p)) for b, p in rows]
     lasts, group = np.unique(np.concatenate([(x[2].astype(np.uint64) << U(24)) | x[3] for x in parts]), return_inverse=True)
     total = np.zeros(len(lasts), dtype=np.int64)
     total[group] = np.concatenate([x[4] for x in parts])
@@ -478,7 +493,7 @@ def _answer_pairs(rows: list[tuple[int, bytes]]) -> Iterator[tuple[int, bytes]]:
 
 def _answer_triples(rows: list[tuple[int, bytes]]) -> Iterator[tuple[int, bytes]]:
     """The shard's part of the trie, from all that was sent, and each question looked up in it."""
-    parts = [(b, *_expanded(p)) for b, p in rows]
+    parts = [(b, _stretch_of(p), *_expanded(p)) for b, p in rows]
     numbers, last = np.unique(np.concatenate([x[2] for x in parts]), return_inverse=True)
     is_hot = np.zeros(len(numbers), dtype=bool)
     is_hot[last] = np.concatenate([x[3] for x in parts])
