@@ -40,7 +40,7 @@ from .common import LOWER, U, fold, mix, settle, word_hashes
 
 END, START = U(0x1F83D9ABFB41BD6B), U(0x5BE0CD19137E2179)
 DISCOUNT = 0.75
-HOT = 1 << 22
+HOT = 1 << 20
 LOW32 = U(0xFFFFFFFF)
 STRETCH = 1_500_000
 _PIECE = 1_900_000
@@ -197,14 +197,26 @@ def expand(code: np.ndarray, steps: float = 32.0) -> np.ndarray:
 # ---- payloads --------------------------------------------------------------------------------------------------------------------
 
 
+def _planes(a: np.ndarray) -> np.ndarray:
+    """Bytes of equal weight together: the upper ones of small numbers are all zero and take no room compressed."""
+    return np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).ravel()
+
+
 def _squeeze(k: int, *arrays: np.ndarray) -> bytes:
-    """A compressed pack() of stretch ``k``: runs, counts and codes are mostly small."""
-    data = pack(*arrays)
-    return k.to_bytes(4, "little") + len(data).to_bytes(8, "little") + _ZSTD.compress(data, asbytes=True)
+    """A compressed pack() of stretch ``k``, integers by planes: runs, counts and codes are mostly small."""
+    data = pack(*((_planes(np.ascontiguousarray(a)) if a.dtype.kind != "f" else a) for a in arrays))
+    kinds = b"".join(a.dtype.str[1:].encode() for a in arrays)
+    return k.to_bytes(4, "little") + len(data).to_bytes(8, "little") + bytes([len(kinds)]) + kinds + _ZSTD.compress(data, asbytes=True)
 
 
 def _expanded(data: bytes) -> list[np.ndarray]:
-    return unpack(_ZSTD.decompress(memoryview(data)[12:], int.from_bytes(data[4:12], "little"), asbytes=True))
+    n = data[12]
+    arrays = unpack(_ZSTD.decompress(memoryview(data)[13 + n :], int.from_bytes(data[4:12], "little"), asbytes=True))
+    out = []
+    for i, a in enumerate(arrays):
+        kind = np.dtype("<" + data[13 + 2 * i : 15 + 2 * i].decode())
+        out.append(a if kind.kind == "f" else np.ascontiguousarray(a.reshape(kind.itemsize, -1).T).view(kind).ravel() if kind.itemsize > 1 else a.view(kind))
+    return out
 
 
 def _stretch_of(data: bytes) -> int:
@@ -285,7 +297,9 @@ def _count_words(shards: int):
         words, at = np.unique(np.concatenate([x[2] for x in parts]), return_inverse=True)
         total = np.bincount(at, np.concatenate([x[3] for x in parts]), len(words)).astype(np.int64)
         shard = int(shard_of(words[:1], shards)[0])
-        number = np.where(total > 0, 1 + (np.cumsum(total > 0) - 1) * shards + shard, 0)
+        number = np.zeros(len(words), dtype=np.int64)
+        number[np.argsort(-total, kind="stable")] = 1 + np.arange(len(words)) * shards + shard  # frequent words have small numbers
+        number[total == 0] = 0
         start = 0
         for b, k, h, _ in parts:
             here = at[start : start + len(h)]
