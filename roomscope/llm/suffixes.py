@@ -13,9 +13,14 @@ is enough to compare the surroundings of equal anchors:
 2. Where an anchor has several different surroundings, the first of each kind is sent as text. A shard lays these texts out by
    place, builds their suffix array and the longest-previous-factor array (from the previous and next smaller positions in suffix
    order), and answers which starts have an earlier match of at least ``least`` bytes.
-
-The spans come back to the blocks, where the texts are. Strings are judged on the input. Null texts are empty. Shards and blocks
-are bounded by the input's partitioning; nothing grows with the size of a group of copies.
+3. An anchor with more than ``at_once`` kinds of surroundings (the edge of a passage that many documents share) is no single task's
+   work. A block settles its own kinds of it first, by the same arrays, so that a string it holds many times is asked once; what is
+   left is dealt over several shards by the first and last bytes of each string, equal strings together, and goes through the same
+   arrays there, place by place.
+
+The spans come back to the blocks, where the texts are. Strings are judged on the input. Null and empty texts have no bytes; an empty
+table gives an empty result; texts of any length are gone through in stretches that overlap by what a string needs; further columns
+of any name are kept by without_repeats() and not read otherwise. Shards and blocks are bounded by the input's partitioning.
 """
 
 from __future__ import annotations
@@ -121,10 +126,10 @@ def _longest(order: np.ndarray, common) -> np.ndarray:
 
 def _gram_hashes(buf: np.ndarray, k: int) -> np.ndarray:
     """A hash of the k bytes from each position, by joining hashes of halves."""
-    base = U(0xD1342543DE82EF95)
     level, size = _BYTE[buf], 1
-    out, have, factor = None, 0, base
+    out, have, power = None, 0, 0xD1342543DE82EF95
     while True:
+        factor = U(power)
         if k & size:
             if out is None:
                 out = level[: len(buf)].copy()
@@ -136,7 +141,7 @@ def _gram_hashes(buf: np.ndarray, k: int) -> np.ndarray:
             break
         n = len(level) - size
         level = level[:n] * factor + level[size:]
-        factor = factor * factor
+        power = power * power % (1 << 64)
         size *= 2
     return mix(out[: len(buf) - k + 1])
 
@@ -259,27 +264,27 @@ def _send_anchors(shards: int, least: int, gram: int):
 
 
 def _judge(rows: list[tuple[int, bytes]]) -> Iterator[tuple[int, bytes]]:
-    """Per block: anchors that are no first of their kind (1), and firsts of a kind where there are other kinds (2)."""
+    """Per block: anchors that are no first of their kind (1), and firsts of a kind where there are other kinds (2) and how many."""
     parts = []
     for b, p in rows:
         h, c, pos, dd, rr, runs = unpack(p)
         parts.append((h, c, pos, np.repeat(dd, runs), np.repeat(rr, runs), np.full(len(h), b, dtype=np.int32)))
     h, c, pos, doc, row, block = (np.concatenate(x) for x in zip(*parts, strict=True))
     del parts
-    order, new = _first_of_kind(h, c, doc, block, row, pos)
+    order, new = _first_of_kind(h, c, doc, row, pos)
     hs = h[order]
     group = np.cumsum(np.concatenate(([True], hs[1:] != hs[:-1]))) - 1
     kinds = np.bincount(group, new)
     state = np.where(~new, 1, np.where(kinds[group] > 1, 2, 0))
     told = np.flatnonzero(state)
     at = order[told]
-    state = state[told].astype(np.uint8)
+    state, kinds = state[told].astype(np.uint8), kinds[group[told]].astype(np.uint32)
     turn = np.argsort(block[at], kind="stable")
-    at, state = at[turn], state[turn]
+    at, state, kinds = at[turn], state[turn], kinds[turn]
     edges = np.flatnonzero(np.diff(block[at])) + 1
-    for idx, st in zip(np.split(at, edges), np.split(state, edges), strict=True):
+    for idx, st, many in zip(np.split(at, edges), np.split(state, edges), np.split(kinds, edges), strict=True):
         if len(idx):
-            yield int(block[idx[0]]), pack(row[idx], pos[idx], st, h[idx], c[idx])
+            yield int(block[idx[0]]), pack(row[idx], pos[idx], st, h[idx], many)
 
 
 def _by_row(answers: list[bytes]) -> tuple[list[np.ndarray], dict[int, tuple[int, int]]]:
@@ -293,12 +298,16 @@ def _by_row(answers: list[bytes]) -> tuple[list[np.ndarray], dict[int, tuple[int
     return cols, {int(r): (int(a), int(b)) for r, a, b in zip(rows, first, [*first[1:], len(order)], strict=True)}
 
 
-def _send_texts(shards: int, least: int, gram: int):
-    width = 2 * least - gram
+AT_ONCE = 2048
+
+
+def _send_texts(shards: int, least: int, gram: int, at_once: int = AT_ONCE):
+    """Surroundings to shards; of anchors with many kinds, what the block can't settle by itself to further shards."""
+    width, before = 2 * least - gram, least - gram
 
     def run(left: pa.Table, answers: list[tuple[int, bytes]]) -> pa.Table:
         cols, ranges = _by_row([p for _, p in answers])
-        out: list[list[np.ndarray]] = [[], [], [], [], []]
+        out: list[list[np.ndarray]] = [[], [], [], [], [], []]
         block = None
         for b, row, doc, buf, _ in _texts(left):
             block = b
@@ -306,53 +315,116 @@ def _send_texts(shards: int, least: int, gram: int):
                 continue
             a, z = ranges[row]
             ask = cols[2][a:z] == 2
-            pos, h = cols[1][a:z][ask].astype(np.int64), cols[3][a:z][ask]
+            pos, h, kinds = cols[1][a:z][ask].astype(np.int64), cols[3][a:z][ask], cols[4][a:z][ask]
             if not len(pos):
                 continue
             # The surroundings, laid out with the anchor at the same place; what the text doesn't have is no byte.
-            take = pos[:, None] - (least - gram) + np.arange(width)[None, :]
+            take = pos[:, None] - before + np.arange(width)[None, :]
             inside = (take >= 0) & (take < len(buf))
             chars = np.where(inside, buf[np.clip(take, 0, len(buf) - 1)].astype(np.uint16) + np.uint16(1), np.uint16(0))
-            for col, x in zip(out, (h, np.full(len(pos), doc), np.full(len(pos), row), pos.astype(np.uint32), chars), strict=True):
+            for col, x in zip(out, (h, np.full(len(pos), doc), np.full(len(pos), row), pos.astype(np.uint32), chars, kinds), strict=True):
                 col.append(x)
         if not out[0]:
             return pa.Table.from_batches([packed_batch([])])
-        h, doc, row, pos, chars = (np.concatenate(x) for x in out)
-        spread = mix(h.astype(np.uint64) + U(1))
-        rows = []
-        for s, (hh, dd, rr, pp, cc) in by_shard(shard_of(spread, shards), h, doc, row, pos, chars):
-            absent = cc == 0  # kept beside the bytes, a bit each
-            rows.append((s, block, pack(hh, dd, rr, pp, (np.where(absent, 1, cc) - 1).astype(np.uint8).ravel(), np.packbits(absent, axis=1).ravel())))
+        h, doc, row, pos, chars, kinds = (np.concatenate(x) for x in out)
+        cold = kinds <= at_once
+        rows = [
+            (s, block, pack(hh, dd, rr, pp, *_packed_chars(cc)))
+            for s, (hh, dd, rr, pp, cc) in by_shard(shard_of(mix(h[cold].astype(np.uint64) + U(1)), shards), h[cold], doc[cold], row[cold], pos[cold], chars[cold])
+        ]
+        if not cold.all():
+            hot = np.flatnonzero(~cold)
+            hot = hot[np.lexsort((pos[hot], row[hot], doc[hot], h[hot]))]
+            rows.extend((s, block, p) for s, p in _send_hot(shards, before, least, at_once, h[hot], doc[hot], row[hot], pos[hot], chars[hot], kinds[hot], block))
         return pa.Table.from_batches([packed_batch(rows)])
 
     return run
 
 
-def _factors(least: int, gram: int, at_once: int = 2048):
+def _packed_chars(chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes, and beside them a bit for each that the text doesn't have."""
+    absent = chars == 0
+    return (np.where(absent, 1, chars) - 1).astype(np.uint8).ravel(), np.packbits(absent, axis=1).ravel()
+
+
+def _unpacked_chars(chars: np.ndarray, absent: np.ndarray, n: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    return chars.reshape(n, width), np.unpackbits(absent.reshape(n, -1), axis=1, count=width).astype(bool)
+
+
+def _send_hot(shards: int, before: int, least: int, at_once: int, h: np.ndarray, doc: np.ndarray, row: np.ndarray, pos: np.ndarray, chars: np.ndarray, kinds: np.ndarray, block: int) -> Iterator[tuple[int, bytes]]:
+    """Texts come by anchor and place. Starts settled in the block go back to it, the others are asked by the string's own bytes."""
+    starts = before + 1
+    bare, absent = (np.where(chars == 0, 1, chars) - 1).astype(np.uint8), chars == 0
+    told = np.zeros((len(h), starts), dtype=bool)
+    for idx in _anchor_groups(h, at_once):
+        for i, x in _earlier(h[idx], bare[idx], absent[idx], before, least, at_once):
+            told[idx[i], x] = True
+    i, x = np.nonzero(told)
+    if len(i):
+        yield 2 * shards + block % shards, pack(row[i], pos[i].astype(np.int64) - before + x)
+    gaps = np.cumsum(np.pad(absent, ((0, 0), (1, 0))), axis=1, dtype=np.int32)
+    ask = ~told & (gaps[:, least : least + starts] == gaps[:, :starts])
+    # Eight bytes from each place, as one number.
+    eight = np.zeros((len(h), bare.shape[1] - 7), dtype=np.uint64)
+    for k in range(8):
+        eight = (eight << U(8)) | bare[:, k : k + eight.shape[1]]
+    i, x = np.nonzero(ask)
+    name = mix(eight[i, x] * U(0xD1342543DE82EF95) + mix(eight[i, x + least - 8] + x.astype(np.uint64)))
+    parts = -(-kinds[i].astype(np.int64) // at_once)
+    part = name % parts.astype(np.uint64)
+    shard = shards + shard_of(mix((h[i].astype(np.uint64) << U(32)) + part + U(1)), shards).astype(np.int64)
+    for s, (who, at) in by_shard(shard, i, x):
+        texts, mine = np.unique(who, return_inverse=True)
+        mask = np.zeros((len(texts), starts), dtype=bool)
+        mask[mine, at] = True
+        yield s, pack(h[texts], doc[texts], row[texts], pos[texts], *_packed_chars(chars[texts]), np.packbits(mask, axis=1).ravel())
+
+
+def _anchor_groups(h: np.ndarray, at_once: int) -> Iterator[np.ndarray]:
+    """Ranges of texts in order of their anchors: whole anchors, as many as fit; a larger one alone."""
+    edge = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1], [True]))) if len(h) else np.zeros(1, dtype=np.int64)
+    start = 0
+    while start < len(edge) - 1:
+        stop = start + 1
+        while stop < len(edge) - 1 and edge[stop + 1] - edge[start] <= at_once:
+            stop += 1
+        yield np.arange(edge[start], edge[stop])
+        start = stop
+
+
+def _factors(least: int, gram: int, at_once: int = AT_ONCE):
     """In a shard: texts of equal anchors by place, their suffix order, and the starts whose previous factor is long enough."""
     width, left = 2 * least - gram, least - gram
 
     def run(rows: list[tuple[int, bytes]]) -> Iterator[tuple[int, bytes]]:
         cols, sizes = join_packed([p for _, p in rows])
-        h, doc, row, pos, chars, absent = cols
+        if len(cols) == 2:  # settled where they come from
+            yield from rows
+            return
+        h, doc, row, pos, chars, absent = cols[:6]
         block = np.repeat(np.array([b for b, _ in rows]), sizes)
-        chars = chars.reshape(len(h), width)
-        absent = np.unpackbits(absent.reshape(len(h), -1), axis=1, count=width).astype(bool)
-        order = np.lexsort((pos, row, block, doc, h))
-        edge = np.flatnonzero(np.concatenate(([True], h[order][1:] != h[order][:-1], [True])))
+        chars, absent = _unpacked_chars(chars, absent, len(h), width)
+        order = np.lexsort((pos, row, doc, h))
         found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-        start = 0
-        while start < len(edge) - 1:  # whole groups of one anchor, as many as fit; a larger one alone and in parts
-            stop = start + 1
-            while stop < len(edge) - 1 and edge[stop + 1] - edge[start] <= at_once:
-                stop += 1
-            idx = order[edge[start] : edge[stop]]
-            start = stop
-            for i, x in _earlier(h[idx], chars[idx], absent[idx], left, least, at_once):
-                k = idx[i]
-                for b in np.unique(block[k]):
-                    m = block[k] == b
-                    found.setdefault(int(b), []).append((row[k][m], pos[k][m].astype(np.int64) - left + x[m]))
+
+        def note(k: np.ndarray, x: np.ndarray) -> None:
+            for b in np.unique(block[k]):
+                m = block[k] == b
+                found.setdefault(int(b), []).append((row[k][m], pos[k][m].astype(np.int64) - left + x[m]))
+
+        if len(cols) == 6:
+            for idx in _anchor_groups(h[order], at_once):
+                idx = order[idx]
+                for i, x in _earlier(h[idx], chars[idx], absent[idx], left, least, at_once):
+                    note(idx[i], x)
+        else:
+            ask = np.unpackbits(cols[6].reshape(len(h), -1), axis=1, count=left + 1).astype(bool)
+            for x in range(left + 1):
+                some = order[ask[order, x]]
+                for idx in _anchor_groups(h[some], at_once):
+                    idx = some[idx]
+                    for i, zero in _earlier(h[idx], chars[idx, x : x + least], absent[idx, x : x + least], 0, least, at_once):
+                        note(idx[i], zero + x)
         for b, hits in found.items():
             yield b, pack(np.concatenate([x[0] for x in hits]), np.concatenate([x[1] for x in hits]))
 
@@ -485,19 +557,19 @@ def _kept(raw: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, raw[at:]])
 
 
-def _answers(blocks: Blocks, least: int, gram: int) -> DataFrame:
+def _answers(blocks: Blocks, least: int, gram: int, at_once: int) -> DataFrame:
     shards = blocks.shards
     first = blocks.answer(blocks.emit(_send_anchors(shards, least, gram)), _judge)
     first = settle(first)
-    texts = blocks.with_answers(first, _send_texts(shards, least, gram), "shard int, block int, payload binary")
-    later = blocks.answer(texts, _factors(least, gram)).selectExpr(f"shard + {shards} as shard", "block", "payload")
+    texts = blocks.with_answers(first, _send_texts(shards, least, gram, at_once), "shard int, block int, payload binary")
+    later = blocks.answer(texts, _factors(least, gram, at_once)).selectExpr(f"shard + {shards} as shard", "block", "payload")
     return first.unionByName(later)
 
 
 DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def repeated_passages(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
+def repeated_passages(docs: DataFrame, least: int = LEAST, gram: int = GRAM, at_once: int = AT_ONCE) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): bytes, removed bytes and runs, and the digest of what is kept."""
     blocks = Blocks(docs)
     shards = blocks.shards
@@ -513,10 +585,10 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, gram: int = GRAM) ->
         return pa.table([left.column("doc_id"), pa.array(size, kind), pa.array(gone, kind), pa.array(spans, kind), pa.array(digest, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     with blocks:
-        return settle(blocks.with_answers(_answers(blocks, least, gram), run, DIGEST))
+        return settle(blocks.with_answers(_answers(blocks, least, gram, at_once), run, DIGEST))
 
 
-def without_repeats(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
+def without_repeats(docs: DataFrame, least: int = LEAST, gram: int = GRAM, at_once: int = AT_ONCE) -> DataFrame:
     """``docs`` with repeated passages cut out; a document that is nothing but repeats goes.
 
     All columns stay; ``n_chars``, where there is one, is the length of the new text. Bytes of a character cut in two go as well.
@@ -542,7 +614,7 @@ def without_repeats(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> Da
         return pa.table([cols[c] for c in names], names=names).filter(pa.array(keep, pa.bool_()))
 
     with blocks:
-        return settle(blocks.with_answers(_answers(blocks, least, gram), run, schema))
+        return settle(blocks.with_answers(_answers(blocks, least, gram, at_once), run, schema))
 
 
 def _fresh(name: str, taken: list[str]) -> str:

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 
 from roomscope.llm import suffixes
 
@@ -59,13 +60,14 @@ def test_arrays_against_brute():
             assert got[i] <= best
 
 
-def test_against_brute(spark):
-    for seed, least, gram in ((1, 100, 40), (2, 30, 12)):
-        rows = make(seed, least)
-        d = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, n_bytes string").repartition(7)
-        got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.repeated_passages(d, least, gram).collect()), key=str)
-        assert [g[:4] for g in got if g[0] not in (5, None)] == [w[:4] for w in brute(rows, least) if w[0] not in (5, None)]
-        assert got == brute(rows, least)
+@pytest.mark.parametrize(("seed", "least", "gram", "at_once"), [(1, 100, 40, 2048), (1, 100, 40, 3), (2, 30, 12, 2)])
+def test_against_brute(spark, seed, least, gram, at_once):
+    """Anchors with more than ``at_once`` kinds of surroundings are split over shards."""
+    rows = make(seed, least)
+    d = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, n_bytes string").repartition(7)
+    got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.repeated_passages(d, least, gram, at_once).collect()), key=str)
+    assert [g[:4] for g in got if g[0] not in (5, None)] == [w[:4] for w in brute(rows, least) if w[0] not in (5, None)]
+    assert got == brute(rows, least)
 
 
 def test_empty_and_columns(spark):
@@ -77,6 +79,27 @@ def test_empty_and_columns(spark):
     assert set(got) == {1, 3} and got[3].text == "kept é" and got[3].n_chars is None
 
 
+def test_clashing_names_null_and_long_texts(spark):
+    random.seed(8)
+    long = "".join(random.choice("abcdefgh ") for _ in range(2 * suffixes.PIECE))
+    rows = [(1, "p" + long, 1, "x", 2.0), (2, "q" + long[5:] + "!", 3, "y", 4.0), (3, None, 5, None, None), (4, "", 6, "z", 7.0), (5, "own", 8, "w", 9.0)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, block int, row string, b double")
+    got = {r.doc_id: r for r in suffixes.without_repeats(d).collect()}
+    assert got[1].text == "p" + long and got[2].text == "q!" and got[3].text is None and got[4].text == "" and got[5].text == "own"
+    assert [tuple(got[r[0]])[2:] for r in rows] == [r[2:] for r in rows]
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("roomscope_blocks")]
+
+
+def test_messages_grow_with_the_input(spark):
+    """Rows sent are at most blocks times shards, and a block sends none to a shard that it has nothing for."""
+    sent = []
+    for n in (4, 8):
+        d = spark.createDataFrame([(i, "".join(random.choice("abcd ") for _ in range(400))) for i in range(5 * n)], "doc_id long, text string").repartition(n)
+        with suffixes.Blocks(d, shards=5000) as blocks:
+            sent.append(blocks.emit(suffixes._send_anchors(5000, 100, 40)).count())
+    assert 1.5 < sent[1] / sent[0] < 2.6 and sent[1] < 8 * 5000 / 10
+
+
 def test_large_groups_go_in_parts():
     random.seed(3)
     width, left, least = 160, 60, 100
