@@ -58,7 +58,7 @@ MOST_SMALL_SHARDS = 4096
 SHARD_BYTES = 256 << 20
 
 
-def shard_count(df: DataFrame, per_shard: int = 8 << 20, least: int = 64) -> int:
+def shard_count(df: DataFrame, per_shard: int = 8 << 20, least: int = 8) -> int:
     """Shards that keep one shard's packed arrays small, and few enough for a block to have something to say to each.
 
     Up to 4096 shards of 8 MB; beyond them shards grow to 256 MB before their number does. Where the size isn't known (no files below,

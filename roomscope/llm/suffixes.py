@@ -465,17 +465,18 @@ def _previous_factors(h: np.ndarray, chars: np.ndarray, absent: np.ndarray, left
     """
     n, width = chars.shape
     _, group = np.unique(h, return_inverse=True)
-    byte = np.where(absent, 0, chars.astype(np.int64) + 1)  # what the text doesn't have is no byte, not a zero
-    key = (byte[:, :-3] << 27) | (byte[:, 1:-2] << 18) | (byte[:, 2:-1] << 9) | byte[:, 3:]
-    rank, step = _classes((group[:, None].astype(np.int64) << 36) | key), 4
-    pair = (group[:, None].astype(np.int64) << 18) | (byte[:, :-1] << 9) | byte[:, 1:]
-    flat = [(s, r.T.ravel()) for s, r in ((1, (group[:, None].astype(np.int64) << 9) | byte), (2, pair), (4, rank.astype(np.int32)))]  # position: place * n + text
+    group = group.astype(np.int64)
+    byte = np.where(absent, 0, chars.astype(np.int64) + 1).T.copy()  # by place; what the text doesn't have is no byte, not a zero
+    pair = (byte[:-1] << 9) | byte[1:]
+    rank, step = _classes((group << 36) | (pair[:-2] << 18) | pair[2:]), 4
+    flat = [(1, ((group << 9) | byte).ravel()), (2, ((group << 18) | pair).ravel()), (4, rank.ravel())]  # position: place * n + text
+    kind = np.int32 if (n + 1) ** 2 < 1 << 31 else np.int64
     while step < least:
         add = min(step, least - step)
-        rank = _classes(rank[:, : rank.shape[1] - add] * np.int64(n + 1) + rank[:, add:])
+        rank = _classes(rank[: len(rank) - add].astype(kind) * kind(n + 1) + rank[add:])
         step += add
-        flat.append((step, rank.astype(np.int32).T.ravel()))
-    order = np.argsort(rank[:, : left + 1], axis=0, kind="stable")
+        flat.append((step, rank.ravel()))
+    order = np.argsort(rank[: left + 1], axis=1, kind="stable")
 
     def common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         got = np.zeros(len(a), dtype=np.int64)
@@ -492,7 +493,7 @@ def _previous_factors(h: np.ndarray, chars: np.ndarray, absent: np.ndarray, left
         got[live] = known
         return got
 
-    factor = _longest((order + np.arange(left + 1) * n).T.ravel(), common).reshape(left + 1, n).T
+    factor = _longest((order + np.arange(left + 1)[:, None] * n).ravel(), common).reshape(left + 1, n).T
     room = np.zeros((n, width + 1), dtype=np.int64)  # bytes from each place to the text's end
     for x in range(width - 1, -1, -1):
         room[:, x] = np.where(absent[:, x], 0, room[:, x + 1] + 1)
@@ -500,13 +501,13 @@ def _previous_factors(h: np.ndarray, chars: np.ndarray, absent: np.ndarray, left
 
 
 def _classes(keys: np.ndarray) -> np.ndarray:
-    """Dense ranks of each column's keys."""
-    out = np.empty(keys.shape, dtype=np.int64)
-    order = np.argsort(keys, axis=0)
-    ranked = np.take_along_axis(keys, order, axis=0)
-    new = np.zeros(keys.shape, dtype=np.int64)
-    new[1:] = ranked[1:] != ranked[:-1]
-    np.put_along_axis(out, order, np.cumsum(new, axis=0), axis=0)
+    """Dense ranks of each row's keys."""
+    out = np.empty(keys.shape, dtype=np.int32)
+    order = np.argsort(keys, axis=1)
+    ranked = np.take_along_axis(keys, order, axis=1)
+    new = np.zeros(keys.shape, dtype=np.int32)
+    new[:, 1:] = ranked[:, 1:] != ranked[:, :-1]
+    np.put_along_axis(out, order, np.cumsum(new, axis=1, dtype=np.int32), axis=1)
     return out
 
 
@@ -514,24 +515,27 @@ def _runs(left: pa.Table, answers: list[tuple[int, bytes]], shards: int, least:
     """Number, bytes and removed runs of each row of a block, from both kinds of answers (the later kind has high shard numbers)."""
     cols, ranges = _by_row([p for s, p in answers if s < shards])
     hits, at_row = _by_row([p for s, p in answers if s >= shards])
-    key: list[np.ndarray] = []
-    place: list[tuple[np.ndarray, ...]] = []
-    n = 0
-    for _, row, doc, buf, _ in _texts(left):
-        for pos, h, _, _, c in _pieces(buf, least, gram):
-            key.append(mix(h) ^ c)
-            place.append((np.full(len(pos), doc), np.full(len(pos), row), pos, np.full(len(pos), n)))
-        n += 1
     # Surroundings that this block holds more than once were sent once; the later ones are repeated as well.
     marks: dict[int, np.ndarray] = {}
-    if key:
-        doc, row, pos, num = (np.concatenate(x) for x in zip(*place, strict=True))
-        keys = np.concatenate(key)
-        order = np.lexsort((pos, row, doc, keys))
-        again = order[1:][keys[order][1:] == keys[order][:-1]]
+    keys, places, numbers = [], [], []
+    ids = left.column("doc_id").fill_null(LAST).to_numpy()
+    turn = np.lexsort((left.column("row").to_numpy(), ids)).astype(np.int32)  # texts in their order
+    rank = np.empty(len(turn), dtype=np.int32)
+    rank[turn] = np.arange(len(turn), dtype=np.int32)
+    for n, (_, _, _, buf, _) in enumerate(_texts(left)):
+        for pos, h, _, _, c in _pieces(buf, least, gram):
+            keys.append(mix(h) ^ c)
+            places.append(pos.astype(np.uint32))
+            numbers.append(np.full(len(pos), rank[n]))
+    if keys:
+        key, pos, num = np.concatenate(keys), np.concatenate(places), np.concatenate(numbers)
+        del keys, places, numbers
+        order = np.lexsort((pos, num, key))
+        again = order[1:][key[order[1:]] == key[order[:-1]]]
         again.sort()
         edges = np.flatnonzero(np.diff(num[again])) + 1
-        marks = {int(num[i[0]]): pos[i] for i in np.split(again, edges) if len(i)}
+        marks = {int(turn[num[i[0]]]): pos[i].astype(np.int64) for i in np.split(again, edges) if len(i)}
+        del key, pos, num, order
     none = np.zeros(0, dtype=np.int64)
     for n, (_, row, _, buf, raw) in enumerate(_texts(left)):
         a, z = ranges.get(row, (0, 0))
