@@ -421,10 +421,11 @@ def _factors(least: int, gram: int, at_once: int = AT_ONCE):
             ask = np.unpackbits(cols[6].reshape(len(h), -1), axis=1, count=left + 1).astype(bool)
             for x in range(left + 1):
                 some = order[ask[order, x]]
-                for idx in _anchor_groups(h[some], at_once):
+                for idx in _anchor_groups(h[some], 16 * at_once):
                     idx = some[idx]
-                    for i, zero in _earlier(h[idx], chars[idx, x : x + least], absent[idx, x : x + least], 0, least, at_once):
-                        note(idx[i], zero + x)
+                    i = np.flatnonzero(_factors_of_strings(h[idx], chars[idx, x : x + least]) >= least)
+                    if len(i):
+                        note(idx[i], np.full(len(i), x))
         for b, hits in found.items():
             yield b, pack(np.concatenate([x[0] for x in hits]), np.concatenate([x[1] for x in hits]))
 
@@ -500,6 +501,27 @@ def _previous_factors(h: np.ndarray, chars: np.ndarray, absent: np.ndarray, left
     return np.minimum(factor, room[:, : left + 1])
 
 
+def _factors_of_strings(h: np.ndarray, strings: np.ndarray) -> np.ndarray:
+    """The same for one place: longest previous factors of the first place of strings of equal size, all of them bytes.
+
+    Strings come by anchor and place. With one place there is nothing to share between orders: the strings are sorted as they are.
+    """
+    n, size = strings.shape
+    rows = np.empty((n, 4 + size), dtype=np.uint8)
+    rows[:, :4] = np.unique(h, return_inverse=True)[1].astype(">u4").view(np.uint8).reshape(n, 4)
+    rows[:, 4:] = strings
+    order = np.argsort(rows.view(f"V{4 + size}").ravel(), kind="stable")
+
+    def common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        got = np.zeros(len(a), dtype=np.int64)
+        live = np.flatnonzero((b >= 0) & (h[a] == h[b]))
+        differ = rows[a[live], 4:] != rows[b[live], 4:]
+        got[live] = np.where(differ.any(axis=1), differ.argmax(axis=1), size)
+        return got
+
+    return _longest(order, common)
+
+
 def _classes(keys: np.ndarray) -> np.ndarray:
     """Dense ranks of each row's keys."""
     out = np.empty(keys.shape, dtype=np.int32)

@@ -154,3 +154,12 @@ def test_previous_factors_come_from_smaller_positions(monkeypatch):
     chars = np.array([[97] * 48] * 3, dtype=np.uint8)
     i, x = suffixes._factor_hits(np.zeros(3, dtype=np.uint32), chars, np.zeros_like(chars, dtype=bool), 18, 30)
     assert asked == [3 * 19] and len(i) == 2 * 19
+
+
+def test_factors_of_single_strings():
+    random.seed(9)
+    rows = [bytes(random.choice(b"ab\0") for _ in range(6)) for _ in range(80)]
+    h = np.sort(np.array([random.randrange(3) for _ in rows], dtype=np.uint32))
+    got = suffixes._factors_of_strings(h, np.array([list(r) for r in rows], dtype=np.uint8))
+    same = lambda a, b: next((k for k in range(6) if a[k] != b[k]), 6)
+    assert got.tolist() == [max((same(rows[i], rows[j]) for j in range(i) if h[j] == h[i]), default=0) for i in range(80)]
