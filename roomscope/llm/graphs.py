@@ -8,14 +8,15 @@ from pyspark.sql import functions as F
 from .common import settle
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of ``edges`` (a, b): the root is the smallest node it is connected to.
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) for every node of ``edges`` (a, b): the root is the smallest node it is connected to. Nodes may be structs.
 
-    Edges may repeat and point either way; loops and nulls count as no edge. Each round is checkpointed.
+    Edges may repeat and point either way; loops and nulls count as no edge. Each round is checkpointed; rounds go on until nothing
+    changes, which takes a number of them that grows with the logarithm of the nodes.
     """
     now = settle(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = None
-    for _ in range(most_rounds):
+    while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
         large = both.join(low, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
@@ -25,7 +26,5 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         was, mark = mark, now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == was:
             break
-    else:
-        raise RuntimeError("components did not settle")
     # Settled: every edge leads from a node to its root.
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

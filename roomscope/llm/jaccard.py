@@ -13,7 +13,9 @@ least l tokens within the first n - ceil(percent * n / 100) + l of each, for any
 
 All pairs that could link across components are verified by their whole sets, so no link that joins components is lost. Null
 texts and texts without words have empty sets and link with nothing. Equal sets (copies) link and are compared as one. Rows that
-repeat an id count each by itself; null ids are no component's smallest id unless it has no other.
+repeat an id count each by itself; null ids are no component's smallest id unless it has no other. Shingles are equal if their
+64-bit hashes are, sets if 63 bits of theirs. Texts of any length are read whole; an empty table gives an empty result; other columns
+aren't read, so their names can't clash. Ties in a token's frequency go by the token's hash, in a star's centre by the set's name.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import PACKED, Blocks, by_shard, join_packed, pack, packed_batch, shard_of, unpack
@@ -32,6 +34,7 @@ from .graphs import components
 
 _M = U(0x9E3779B97F4A7C15)
 _CHUNK = 1_900_000
+_LAST = (1 << 63) - 1
 
 
 def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
@@ -319,15 +322,26 @@ def _verify(percent: int):
                 x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield batch.select(["a", "b", "p", "q"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
+NODE = "struct<id:long,node:long>"
+
+
+def _named(id_: str, node: str) -> Column:
+    """A set as a node: ordered by its smallest doc_id (null last), told apart by its name."""
+    return F.struct(F.coalesce(F.col(id_), F.lit(_LAST)).alias("id"), F.col(node).alias("node"))
+
+
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    one = pairs.join(sets.select(F.col("node").alias("a"), F.col("pick").alias("x")), "a")
-    two = one.join(sets.select(F.col("node").alias("b"), F.col("pick").alias("y")), "b")
-    return two.select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long")
+    """The pairs (a, b) of set names that are similar enough, as nodes: their smallest doc_ids come along, so that no later join by
+    component is needed."""
+    one = pairs.join(sets.select(F.col("node").alias("a"), F.col("pick").alias("x"), F.col("first_id").alias("p")), "a")
+    two = one.join(sets.select(F.col("node").alias("b"), F.col("pick").alias("y"), F.col("first_id").alias("q")), "b")
+    found = two.select("a", "b", "p", "q", "x", "y").mapInArrow(_verify(percent), "a long, b long, p long, q long")
+    return found.select(_named("p", "a").alias("a"), _named("q", "b").alias("b"))
 
 
 def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -345,14 +359,15 @@ def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
     stars = prefixes.withColumn("label", F.col("node")).mapInArrow(_post(shards), PACKED).groupBy("shard").applyInArrow(_stars(percent), "a long, b long").distinct()
     links = settle(_links(stars, sets, percent))
     label = components(links)
-    labelled = prefixes.join(label, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
+    root = label.select(F.col("node.node").alias("node"), F.col("root.node").alias("label"))
+    labelled = prefixes.join(root, "node", "left").withColumn("label", F.coalesce("label", "node"))
     across = labelled.mapInArrow(_post(shards), PACKED).groupBy("shard").applyInArrow(_across(percent, shards), PACKED).groupBy("shard").applyInArrow(_enough, "a long, b long")
     more = settle(_links(across, sets, percent))
     if not more.isEmpty():
         label = components(links.unionByName(more))
-    named = sets.join(label, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    first = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    by_node = named.select("node", "root").join(first, "root").select("node", "component_id")
+    first = label.select(F.col("node.node").alias("node"), F.nullif(F.col("root.id"), F.lit(_LAST)).alias("component_id"))
+    named = sets.select("node", "first_id").join(first.withColumn("linked", F.lit(True)), "node", "left")
+    by_node = named.select("node", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("first_id")).alias("component_id"))
     rows = live.join(by_node, "node", "left").unionByName(states.where("node is null").withColumn("component_id", F.col("doc_id")))
     return rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 

@@ -12,7 +12,8 @@ from . import decontaminate, html, jaccard, licences, ngrams, quality, shards, s
 from .common import table
 from .pieces import piece_digests
 
-SHARD_BYTES = 8 << 20
+#: A limit at which the test tables need several splits as well.
+SHARD_BYTES = 64 << 10
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

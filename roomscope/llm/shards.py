@@ -6,8 +6,9 @@ row per prefix and not per document, and only prefixes that are still too large
 
 Every shard fits the limit but for a single row that is larger by itself (``oversize``). Rows with equal keys (repeated or null
 ids) can't be told apart by their id's bits; where such a bucket is still too large after all 60 bits, it splits on the bits of a
-row number's hash instead, until it fits. Null texts count 0 bytes. An empty table gives an empty result. Only doc_id and text
-are read.
+row number's hash instead, until it fits. Null texts count 0 bytes, as empty ones; a text of any length is one row's bytes. An empty
+table gives an empty result. Only doc_id and text are read, so other columns' names can't clash. There are no ties: a row's shard
+follows from its key alone.
 """
 
 from __future__ import annotations
@@ -30,12 +31,22 @@ def key_bits(col: Column) -> Column:
 
 
 def _leaves(fine: DataFrame, low: int, high: int, limit: int) -> DataFrame:
-    """From (prefix of ``high`` bits, bytes, n_rows): for each, the shallowest prefix deeper than ``low`` that fits, or none."""
-    depths = fine.withColumn("depth", F.explode(F.sequence(F.lit(low), F.lit(high)))).withColumn("head", F.expr("substring(prefix, 1, depth)"))
-    sums = depths.groupBy("depth", "head").agg(F.sum("bytes").alias("bytes"), F.sum("n_rows").alias("n_rows"))
-    fits = sums.where((F.col("bytes") <= limit) | (F.col("n_rows") == 1))
-    best = depths.select("prefix", "depth", "head").join(fits, ["depth", "head"]).groupBy("prefix").agg(F.min_by(F.struct("head", "bytes", "n_rows"), "depth").alias("leaf"))
-    return fine.select("prefix").join(best, "prefix", "left").select("prefix", "leaf.head", "leaf.bytes", "leaf.n_rows")
+    """From (prefix of ``high`` bits, bytes, n_rows): for each, the shallowest prefix of ``low`` bits or more that fits, or none.
+
+    A node that fits below one that doesn't is a bucket of the directory. Nodes meet their parents, two to one; prefixes meet buckets
+    at the few depths that buckets have, so that no key collects the rows of a whole subtree.
+    """
+    nodes = fine.withColumn("depth", F.explode(F.sequence(F.lit(low), F.lit(high)))).groupBy("depth", F.expr("substring(prefix, 1, depth)").alias("head"))
+    nodes = settle(nodes.agg(F.sum("bytes").alias("bytes"), F.sum("n_rows").alias("n_rows")).withColumn("fits", (F.col("bytes") <= limit) | (F.col("n_rows") == 1)))
+    above = nodes.select((F.col("depth") + 1).alias("depth"), F.col("head").alias("above"), F.col("fits").alias("above_fits"))
+    children = nodes.where("fits").withColumn("above", F.expr("substring(head, 1, depth - 1)"))
+    buckets = settle(children.join(above, ["depth", "above"], "left").where("not coalesce(above_fits, false)").select("head", "bytes", "n_rows", "depth"))
+    first, last = buckets.agg(F.min("depth"), F.max("depth")).first()
+    if first is None:
+        return fine.select("prefix", F.lit(None).cast("string").alias("head"), F.lit(None).cast("long").alias("bytes"), F.lit(None).cast("long").alias("n_rows"))
+    heads = fine.select("prefix", F.explode(F.sequence(F.lit(first), F.lit(last))).alias("depth")).withColumn("head", F.expr("substring(prefix, 1, depth)")).drop("depth")
+    best = heads.join(buckets.drop("depth"), "head")
+    return fine.select("prefix").join(best, "prefix", "left").select("prefix", "head", "bytes", "n_rows")
 
 
 def extendible_shards(docs: DataFrame, limit_bytes: int) -> DataFrame:

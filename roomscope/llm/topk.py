@@ -1,21 +1,24 @@
 """Exact top-k search by inner product, in a columnar branch-and-bound (operator 3).
 
-A vector becomes the integers floor(64 * x). Candidates are dealt evenly into lanes; every lane also gets the queries, a group at
-a time, and streams its candidates in blocks held vertically (dimension by dimension). A query's partial sums grow one block of
-dimensions after another; after each, the candidates whose partial sum plus the largest possible rest (by Cauchy-Schwarz on the
-remaining mass) falls below the query's k-th best score so far are compacted away. What is left has its exact score.
+A vector becomes the integers floor(64 * x). Candidates are dealt evenly into lanes, once, and kept in the shared folder. Queries go
+to all lanes in groups of at most about GROUP rows, each one a broadcast of that bounded size, and a lane streams its candidates in
+blocks held vertically (dimension by dimension). The partial sums of a chunk of queries grow one block of dimensions after another;
+after each, the candidates whose partial sum plus the largest possible rest (by Cauchy-Schwarz on the remaining mass) falls below the
+k-th best score so far of every query of the chunk are compacted away. What is left has its exact score.
 
-Lanes and query groups are bounded: a task holds one group of queries and one block of candidates. The lanes' best k are merged
-by a window per query row.
+A task holds one group of queries and one block of candidates; nothing is copied per group but the queries. The lanes' best k are
+merged by a window per query row, whose input is at most k rows for each lane.
 
 Vectors that are null, empty or hold a null, NaN or infinite component take no part. Shorter vectors count as filled up with
-zeros. A candidate with the query's vec_id is its own row and left out; rows without an id are candidates, last among ties, and
-never queries. Repeated query rows are answered once for each row. Scores beyond 64 bits are held to the nearest 64-bit value.
+zeros. A query's own row is no candidate, other rows with its vec_id are; rows without an id are candidates, last among ties, and
+never queries. Repeated query rows are answered once for each row. Scores beyond 64 bits are held to the nearest 64-bit value. An
+empty table gives an empty result; other columns aren't read, so their names can't clash.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,9 +27,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import settle, shared_folder
+
 DIMS = 16
 BLOCK = 2048
-GROUP = 4096
+GROUP = 8192
+CHUNK = 256
 SCHEMA = "query_row long, query_id long, vec_id long, score long"
 
 
@@ -43,36 +49,75 @@ def _digits(batch: pa.RecordBatch, width: int) -> np.ndarray:
 
 
 class Best:
-    """The k best (score, then smaller id) of a query so far."""
+    """The k best (score, then smaller id, null last) of a query so far."""
 
     def __init__(self, k: int):
         self.k = k
         self.score = np.zeros(0)
         self.ids = np.zeros(0, dtype=np.int64)
+        self.null = np.zeros(0, dtype=bool)
         self.floor = -math.inf
 
-    def add(self, score: np.ndarray, ids: np.ndarray) -> None:
-        score, ids = np.concatenate((self.score, score)), np.concatenate((self.ids, ids))
-        order = np.lexsort((ids, -score))[: self.k] if score.dtype != object else np.array(sorted(range(len(ids)), key=lambda i: (-score[i], ids[i]))[: self.k], dtype=np.int64)
-        self.score, self.ids = score[order], ids[order]
+    def add(self, score: np.ndarray, ids: np.ndarray, null: np.ndarray) -> None:
+        score, ids, null = np.concatenate((self.score, score)), np.concatenate((self.ids, ids)), np.concatenate((self.null, null))
+        if score.dtype == object:
+            order = np.array(sorted(range(len(ids)), key=lambda i: (-score[i], null[i], ids[i]))[: self.k], dtype=np.int64)
+        else:
+            order = np.lexsort((ids, null, -score))[: self.k]
+        self.score, self.ids, self.null = score[order], ids[order], null[order]
         if len(order) == self.k:
             self.floor = self.score[-1]
 
 
-def search_block(q: np.ndarray, q_rest: np.ndarray, own: int | None, x: np.ndarray, x_rest: np.ndarray, ids: np.ndarray, best: Best, dims: int) -> None:
-    """One query against one vertical block (dimensions by candidates). Rests: norms of what is left from each step on."""
-    alive = np.flatnonzero(ids != own) if own is not None else np.arange(len(ids))
-    part = np.zeros(len(alive))
-    for step, at in enumerate(range(0, len(q), dims)):
-        rows = x[at : at + dims]
-        part = part + q[at : at + dims] @ (rows if len(alive) == len(ids) else rows[:, alive])
-        # A hair above the rounding of the norms, so that no candidate on the bound is lost.
-        keep = part + q_rest[step + 1] * x_rest[step + 1][alive] * (1 + 1e-9) + 1e-6 >= best.floor
-        if not keep.all():
-            alive, part = alive[keep], part[keep]
-        if not len(alive):
+class Queries:
+    """A group of queries: rows, ids, digits (queries by dimensions), norms of what is left from each step on."""
+
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, digits: np.ndarray, dims: int):
+        self.rows, self.ids, self.digits = rows, ids, digits
+        self.rests = _rests(digits.T, dims)
+
+
+class Candidates:
+    """A vertical block (dimensions by candidates), the longest first."""
+
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, null: np.ndarray, digits: np.ndarray, dims: int):
+        order = np.argsort(-np.square(digits).sum(axis=1), kind="stable")
+        self.rows, self.ids, self.null = rows[order], ids[order], null[order]
+        self.x = np.ascontiguousarray(digits[order].T)
+        self.rests = _rests(self.x, dims)
+
+
+def search_block(q: Queries, at: slice, c: Candidates, best: list[Best], dims: int) -> None:
+    """A chunk of queries against one block."""
+    mine, rest = q.digits[at], q.rests[:, at]
+    floor = np.array([b.floor for b in best[at]])
+    # A hair above the rounding of the norms, so that no candidate on the bound is lost.
+    reach = lambda step, live: rest[step][:, None] * (c.rests[step][live] * (1 + 1e-9))[None, :] + 1e-6
+    live = np.flatnonzero((reach(0, slice(None)) >= floor[:, None]).any(axis=0))
+    part = np.zeros((len(mine), len(live)))
+    keep = np.ones(part.shape, dtype=bool)
+    for step, a in enumerate(range(0, mine.shape[1], dims)):
+        if not len(live):
             return
-    best.add(part, ids[alive])
+        part += mine[:, a : a + dims] @ c.x[a : a + dims, live]
+        keep = part + reach(step + 1, live) >= floor[:, None]
+        some = keep.any(axis=0)
+        if some.sum() < 0.9 * len(live):
+            live, part, keep = live[some], part[:, some], keep[:, some]
+    rows, ids, null = c.rows[live], c.ids[live], c.null[live]
+    for i in np.flatnonzero(keep.any(axis=1)).tolist():
+        j = np.flatnonzero(keep[i] & (rows != q.rows[at][i]))
+        best[at.start + i].add(part[i, j], ids[j], null[j])
+
+
+def _exactly(q: Queries, c: Candidates, best: list[Best]) -> None:
+    """The same where doubles would round: whole numbers of any size."""
+    big = [[int(v) for v in col] for col in c.x.T]
+    for row, digits, hold in zip(q.rows, q.digits, best, strict=True):
+        hold.score = hold.score.astype(object)
+        w = [int(v) for v in digits]
+        live = np.flatnonzero(c.rows != row)
+        hold.add(np.array([sum(p * x for p, x in zip(w, big[j], strict=True)) for j in live], dtype=object), c.ids[live], c.null[live])
 
 
 def _rests(x: np.ndarray, dims: int) -> np.ndarray:
@@ -84,78 +129,63 @@ def _rests(x: np.ndarray, dims: int) -> np.ndarray:
     return np.sqrt(out)
 
 
+def _search(asked, k: int, width: int, dims: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, ids, vectors = asked.value
+        q = Queries(rows, ids, vectors.astype(np.float64), dims)
+        best = [Best(k) for _ in rows]
+        longest = float(q.rests[0].max(initial=0.0))
+        for batch in batches:
+            for b in range(0, batch.num_rows, BLOCK):
+                block = batch.slice(b, BLOCK)
+                c = Candidates(
+                    block.column(0).to_numpy(), block.column(1).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64),
+                    block.column(1).is_null().to_numpy(zero_copy_only=False), _digits(block, width), dims,
+                )
+                if float(c.rests[0].max(initial=0.0)) * longest >= 2.0**53:
+                    _exactly(q, c, best)
+                    continue
+                for at in range(0, len(rows), CHUNK):
+                    search_block(q, slice(at, min(at + CHUNK, len(rows))), c, best, dims)
+        sizes = [len(b.ids) for b in best]
+        if not sum(sizes):
+            return
+        score = [max(-(1 << 63), min((1 << 63) - 1, int(x))) for b in best for x in b.score]
+        vec = pa.array(np.concatenate([b.ids for b in best]), pa.int64(), mask=np.concatenate([b.null for b in best]))
+        out = pa.RecordBatch.from_arrays([pa.array(np.repeat(rows, sizes)), pa.array(np.repeat(ids, sizes)), vec, pa.array(score, pa.int64())], names=["query_row", "query_id", "vec_id", "score"])
+        for at in range(0, out.num_rows, 50_000):
+            yield out.slice(at, 50_000)
+
+    return run
+
+
 def top_k(vectors: DataFrame, k: int = 20, every: int = 20, lanes: int | None = None, group: int = GROUP, dims: int = DIMS) -> DataFrame:
     """For each row of ``vectors`` (vec_id, embedding) whose id is divisible by ``every``, its k best other rows."""
     spark = vectors.sparkSession
-    sound = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).where(
+    sound = vectors.select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where(
         "embedding is not null and size(embedding) > 0 and not exists(embedding, x -> x is null or isnan(x) or abs(x) = double('infinity'))"
     )
-    asked = sound.where(F.col("vec_id") % every == 0)
-    found = sound.agg(F.max(F.size("embedding")), F.count(F.lit(1)), F.count(F.when(F.col("vec_id") % every == 0, 1))).first()
-    width, n, n_asked = found[0] or 1, found[1], found[2]
+    is_query = F.col("vec_id") % every == 0
+    n = sound.count()
     lanes = lanes or max(8, min(2 * spark.sparkContext.defaultParallelism, -(-n // 512)))
-    groups = max(1, -(-n_asked // group))
-    number = F.monotonically_increasing_id()
-    left = asked.withColumn("row", number).withColumn("g", F.pmod(F.xxhash64("row"), F.lit(groups))).withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
-    right = sound.withColumn("row", F.lit(None).cast("long")).withColumn("lane", F.pmod(F.xxhash64(number), F.lit(lanes)).cast("int")).withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
-    cols = ["lane", "g", "row", "vec_id", "embedding"]
-    dealt = left.select(*cols).unionByName(right.select(*cols)).repartition(lanes * groups, "lane", "g").sortWithinPartitions("lane", "g", F.col("row").asc_nulls_last())
-
-    def flush(asked: list, best: list[Best]) -> Iterator[pa.RecordBatch]:
-        rows, qs, ids, scores = [], [], [], []
-        for (row, qid, *_), b in zip(asked, best, strict=True):
-            for s, i in zip(b.score.tolist(), b.ids.tolist(), strict=True):
-                rows.append(row)
-                qs.append(qid)
-                ids.append(i if i != NULL_ID else None)
-                scores.append(max(-(1 << 63), min((1 << 63) - 1, int(s))))
-        for at in range(0, len(rows), 50_000):
-            part = slice(at, at + 50_000)
-            yield pa.RecordBatch.from_arrays([pa.array(rows[part], pa.int64()), pa.array(qs[part], pa.int64()), pa.array(ids[part], pa.int64()), pa.array(scores[part], pa.int64())], names=["query_row", "query_id", "vec_id", "score"])
+    dealt = settle(sound.repartition(lanes))  # in turn: lanes differ by a row or so for each partition read
+    width, n_asked = (x or 0 for x in dealt.agg(F.max(F.size("embedding")), F.count(F.when(is_query, 1))).first())
+    groups = max(1, math.ceil(n_asked / group))
+    folder = f"{shared_folder(spark)}/roomscope_topk_{uuid.uuid4().hex}"
+    best = Window.partitionBy("query_row").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last())
+    for g in range(groups):
+        rows = dealt.where(is_query & (F.pmod(F.xxhash64("row"), F.lit(groups)) == g)).toArrow()
+        digits = np.concatenate([_digits(x, width) for x in rows.to_batches()]) if rows.num_rows else np.zeros((0, width))
+        small = digits.astype(np.int16) if np.abs(digits).max(initial=0) < 1 << 15 else digits
+        # One group of queries: 8192 of them, give or take the hash's chance, are 1 MB at 64 dimensions.
+        asked = spark.sparkContext.broadcast((rows.column("row").to_numpy(), rows.column("vec_id").to_numpy(), small))
+        found = dealt.mapInArrow(_search(asked, k, width, dims), SCHEMA).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        if groups == 1:
+            return found
+        found.write.mode("append").parquet(folder)
+        asked.unpersist()
+    return spark.read.parquet(folder)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, asked, best = None, [], []
-        for batch in batches:
-            keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-            starts = [i for i in range(len(keys)) if i == 0 or keys[i] != keys[i - 1]]
-            for s, e in zip(starts, [*starts[1:], len(keys)], strict=True):
-                if keys[s] != at:
-                    yield from flush(asked, best)
-                    at, asked, best = keys[s], [], []
-                part = batch.slice(s, e - s)
-                is_query = np.array(part.column(2).is_valid().to_pylist())
-                cut = int(is_query.sum())
-                if cut:
-                    m = _digits(part.slice(0, cut), width)
-                    rest = _rests(m.T, dims)
-                    for i, (row, qid) in enumerate(zip(part.column(2).to_pylist(), part.column(3).to_pylist()[:cut], strict=False)):
-                        asked.append((row, qid, m[i], rest[:, i]))
-                        best.append(Best(k))
-                for b in range(cut, part.num_rows, BLOCK):
-                    block = part.slice(b, min(BLOCK, part.num_rows - b))
-                    x = np.ascontiguousarray(_digits(block, width).T)
-                    ids = block.column(3).fill_null(NULL_ID).to_numpy(zero_copy_only=False).astype(np.int64)
-                    x_rest = _rests(x, dims)
-                    top = float(x_rest[0].max(initial=0.0)) * max((float(q[3][0]) for q in asked), default=0.0)
-                    if top >= 2.0**53:  # doubles would round: whole numbers of any size instead
-                        big = [[int(v) for v in col] for col in x.T]
-                        for (_, qid, q, _), hold in zip(asked, best, strict=True):
-                            hold.score = hold.score.astype(object)
-                            w = [int(v) for v in q]
-                            live = [j for j in range(len(big)) if ids[j] != qid]
-                            hold.add(np.array([sum(p * c for p, c in zip(w, big[j], strict=True)) for j in live], dtype=object), ids[live])
-                        continue
-                    for (_, qid, q, q_rest), hold in zip(asked, best, strict=True):
-                        search_block(q, q_rest, qid, x, x_rest, ids, hold, dims)
-        yield from flush(asked, best)
-
-    local = dealt.mapInArrow(run, SCHEMA)
-    order = Window.partitionBy("query_row").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last())
-    return local.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-#: Stands for a null id inside a block; such a row sorts behind all others of its score.
-NULL_ID = (1 << 63) - 1
 
 ORACLE = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS e FROM embeddings
