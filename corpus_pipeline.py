@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from roomscope.llm import decontaminate, jaccard, pieces, quality, suffixes
-from roomscope.llm.common import ensure_checkpoint_dir, table
+from roomscope.llm.common import shared_folder, table
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,13 +53,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    ensure_checkpoint_dir(spark)
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    base = shared_folder(spark)
     for k, (name, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
         if k == len(STAGES) - 1:
             return out
-        path = f"{base.rstrip('/')}/roomscope_stage_{k}_{name}_{uuid.uuid4().hex}"
+        path = f"{base}/roomscope_stage_{k}_{name}_{uuid.uuid4().hex}"
         out.write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
