@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import input_bytes, release, shared_folder, shard_count
+from .common import partition_bytes, release, shard_count, shared_folder
 
 PACKED = "shard int, block int, payload binary"
 #: Buckets of the table; beyond it several blocks share a bucket, but never a group.
@@ -91,7 +91,7 @@ class Blocks:
         self.more = [f"more_{i}" for i in range(len(more))]
         self.shards = shards or shard_count(docs)
         partitions = docs.rdd.getNumPartitions()
-        parts = max(1, math.ceil(min(input_bytes(docs) / max(1, partitions), 128 << 20) * _EXPANSION / BLOCK_BYTES))
+        parts = max(1, math.ceil((partition_bytes(docs) or 0) * _EXPANSION / BLOCK_BYTES))
         self.count = max(1, partitions * parts)
         n = min(_MOST_BUCKETS, self.count)
         number = F.monotonically_increasing_id()

@@ -58,16 +58,21 @@ MOST_SMALL_SHARDS = 4096
 SHARD_BYTES = 256 << 20
 
 
-def shard_count(df: DataFrame, per_shard: int = 8 << 20, least: int = 8) -> int:
+def partition_bytes(df: DataFrame) -> int | None:
+    """About what a partition holds, by Catalyst's estimate; None where there is none (no files below, or a join's guess)."""
+    size = input_bytes(df) // max(1, df.rdd.getNumPartitions())
+    return size if size <= 1 << 30 else None
+
+
+def shard_count(df: DataFrame, per_shard: int = 8 << 20, least: int = 8, spread: int = 64) -> int:
     """Shards that keep one shard's packed arrays small, and few enough for a block to have something to say to each.
 
-    Up to 4096 shards of 8 MB; beyond them shards grow to 256 MB before their number does. Where the size isn't known (no files below,
-    or a join's guess), a partition is taken to hold 256 MB at most.
+    As many as there are shuffle partitions, but for that reason alone not more than ``spread``. Up to 4096 shards of 8 MB; beyond them
+    shards grow to 256 MB before their number does. Where the size isn't known, a partition is taken to hold 64 MB.
     """
-    spark = df.sparkSession
-    size = min(input_bytes(df), df.rdd.getNumPartitions() * (256 << 20))
+    size = (partition_bytes(df) or 64 << 20) * df.rdd.getNumPartitions()
     wanted = max(min(math.ceil(size / per_shard), MOST_SMALL_SHARDS), math.ceil(size / SHARD_BYTES))
-    return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")), wanted)
+    return max(least, min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), spread), wanted)
 
 
 def texts_as_bytes(column: pa.Array) -> list[bytes]:
