@@ -243,7 +243,8 @@ def _send_anchors(shards: int, least: int, gram: int):
             keep = np.sort(order[new])
             h, c, doc, row, pos = (x[keep] for x in (h, c, doc, row, pos))
             rows = []
-            for s, (hh, cc, dd, rr, pp) in by_shard(shard_of(h, shards), h, c, doc, row, pos):
+            # Anchors are the smallest hashes around, so their own upper bits would all meet in the first shards.
+            for s, (hh, cc, dd, rr, pp) in by_shard(shard_of(mix(h + U(1)), shards), h, c, doc, row, pos):
                 edge = np.flatnonzero(np.concatenate(([True], (rr[1:] != rr[:-1]))))
                 runs = np.diff(np.concatenate((edge, [len(rr)])))
                 rows.append((s, block, pack((hh & U(0xFFFFFFFF)).astype(np.uint32), cc, pp.astype(np.uint32), dd[edge], rr[edge], runs.astype(np.uint32))))

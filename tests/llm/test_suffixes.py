@@ -100,6 +100,19 @@ def test_messages_grow_with_the_input(spark):
     assert 1.5 < sent[1] / sent[0] < 2.6 and sent[1] < 8 * 5000 / 10
 
 
+def test_anchors_spread_over_shards():
+    import pyarrow as pa
+
+    random.seed(12)
+    texts = ["".join(random.choice("abcdefgh ") for _ in range(3000)) for _ in range(40)]
+    batch = pa.RecordBatch.from_arrays([pa.array([0] * 40, pa.int32()), pa.array(range(40)), pa.array(range(40)), pa.array([t.encode() for t in texts])], names=["block", "row", "doc_id", "text"])
+    size = np.zeros(16)
+    for out in suffixes._send_anchors(16, 100, 40)(iter([batch])):
+        for s, p in zip(out.column(0).to_pylist(), out.column(2).to_pylist(), strict=True):
+            size[s] += len(p)
+    assert size.max() < 1.5 * size.mean()
+
+
 def test_large_groups_go_in_parts():
     random.seed(3)
     width, left, least = 160, 60, 100
