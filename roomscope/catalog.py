@@ -85,7 +85,7 @@ def _(s, d):
     return relations.near_sparse(p.entities(s, d)).drop("tgt_kind", "edge_id")
 
 
-@query("near_sparse_v2", f"{EP} SELECT scene_id, 'NEAR' AS type, au AS src_uid, bu AS tgt_uid, gap AS dist, {_id('proximity', '0.2-sparse_v2', chr(39) + 'NEAR' + chr(39), 'au', 'bu')} AS edge_id FROM pair WHERE ao < bo AND gap < 0.5")
+@query("near_sparse_v2", f"{EP} SELECT scene_id, 'NEAR' AS type, au AS src_uid, bu AS tgt_uid, gap AS dist, {_id('proximity', '0.2-sparse_v2', chr(39) + 'NEAR' + chr(39), 'au', 'bu')} AS edge_id FROM pair WHERE ao < bo AND gap < 1.0")
 def _(s, d):
     return relations.near_sparse_v2(p.entities(s, d)).drop("tgt_kind")
 
@@ -409,11 +409,15 @@ def _(s, d):
     return masks.mask_iou(p.mask_vertices(s, d))
 
 
-@query("repair_v2", f"""{M}, {INTER}, io AS (SELECT a, b, shared / (x.n + y.n - shared) AS iou FROM inter JOIN msize x ON x.mask_id = a JOIN msize y ON y.mask_id = b), backed AS (SELECT a AS mask_id FROM io WHERE iou >= 0.15 UNION SELECT b FROM io WHERE iou >= 0.15),
-up AS (SELECT m.scene_id, m.mask_id, score + CASE WHEN b.mask_id IS NULL THEN 0 ELSE 1 END * 1e-6 AS score FROM mask m LEFT JOIN backed b USING (mask_id)), h1 AS (SELECT vertex_id, arg_min(mask_id, (-score, mask_id)) AS m FROM mv JOIN up USING (scene_id, mask_id) GROUP BY 1),
-stay AS (SELECT m FROM h1 JOIN msize ON mask_id = m GROUP BY m, n HAVING count(*) >= 0.05 * n) SELECT scene_id, vertex_id, arg_min(mask_id, (-score, mask_id)) AS instance_id FROM mv JOIN up USING (scene_id, mask_id) WHERE mask_id IN (SELECT m FROM stay) GROUP BY 1, 2""")
+@query("repair_v2", f"""{M}, {INTER}, io AS (SELECT a, b, shared / (x.n + y.n - shared) AS iou FROM inter JOIN msize x ON x.mask_id = a JOIN msize y ON y.mask_id = b), backed AS (SELECT a AS mask_id FROM io WHERE iou >= 0.1 UNION SELECT b FROM io WHERE iou >= 0.1),
+inb AS (SELECT a AS par, b AS c, shared FROM inter UNION ALL SELECT b, a, shared FROM inter), up AS (SELECT c AS mask_id, max(m.score) + 1e-6 AS pr FROM inb JOIN mask m ON m.mask_id = par JOIN msize x ON x.mask_id = par JOIN msize y ON y.mask_id = c JOIN backed k ON k.mask_id = c
+  WHERE m.score >= 0.2 AND y.n >= 20 AND shared >= 0.15 * y.n AND y.n <= 0.99 * x.n GROUP BY 1),
+pri AS (SELECT m.scene_id, m.mask_id, greatest(CASE WHEN m.score >= 0.2 THEN m.score END, up.pr) AS score FROM mask m JOIN msize USING (mask_id) LEFT JOIN up USING (mask_id) WHERE m.score >= 0.2 OR up.pr IS NOT NULL),
+w1 AS (SELECT vertex_id, arg_min(mask_id, (-score, mask_id)) AS m FROM mv JOIN pri USING (scene_id, mask_id) GROUP BY 1), h1 AS (SELECT m, count(*) AS kept FROM w1 GROUP BY 1 HAVING count(*) >= 20),
+stay AS (SELECT m FROM h1 JOIN msize ON mask_id = m WHERE kept >= 0.05 * n), w2 AS (SELECT scene_id, vertex_id, arg_min(mask_id, (-score, mask_id)) AS m FROM mv JOIN pri USING (scene_id, mask_id) WHERE mask_id IN (SELECT m FROM stay) GROUP BY 1, 2)
+SELECT scene_id, vertex_id, m AS instance_id FROM w2 WHERE m IN (SELECT m FROM w2 GROUP BY 1 HAVING count(*) >= 20)""")
 def _(s, d):
-    return masks.repair_v2(p.masks(s, d), p.mask_vertices(s, d), iou_least=0.15, retention=0.05)
+    return masks.repair_v2(p.masks(s, d), p.mask_vertices(s, d), contained=0.15, smaller=0.99, repeated=0.1, retention=0.05)
 
 
 @query("query_scoped_assignment", f"{MH}, pick AS (SELECT vertex_id, arg_min(mask_id, (-score, mask_id)) AS m FROM mv JOIN mask USING (scene_id, mask_id) WHERE mask_id % 3 = 0 GROUP BY 1) SELECT scene_id, vertex_id, CASE WHEN instance_id % 2 = 0 THEN instance_id ELSE coalesce(m, instance_id) END AS instance_id FROM hard LEFT JOIN pick USING (vertex_id)")
@@ -475,10 +479,12 @@ def _(s, d):
 # ---- evaluation -----------------------------------------------------------------------------------------------------------------
 
 
-@query("majority_label", f"{MO} SELECT scene_id, pred, arg_min(oracle, (-overlap, oracle)) AS oracle, max(overlap) AS votes FROM ovl GROUP BY 1, 2")
+@query("majority_label", """SELECT 'scene_0' AS scene_id, p_partkey::BIGINT AS vertex_id, coalesce(o, -1)::BIGINT AS instance_id FROM part LEFT JOIN (SELECT l_partkey, arg_min(l_suppkey, (-n, l_suppkey)) AS o FROM (SELECT l_partkey, l_suppkey, count(*) AS n FROM lineitem GROUP BY ALL) GROUP BY 1) ON l_partkey = p_partkey""")
 def _(s, d):
-    _, _, o, h = _all(s, d)
-    return evaluate.majority(h, o)
+    """Line items are corners of faces: the part is the vertex, the supplier the face's object."""
+    corners = p.load(s, d, "lineitem").select(F.lit("scene_0").alias("scene_id"), F.col("l_partkey").cast("long").alias("vertex_id"), F.col("l_suppkey").cast("long").alias("object_id"))
+    vertices = p.load(s, d, "part").select(F.lit("scene_0").alias("scene_id"), F.col("p_partkey").cast("long").alias("vertex_id"))
+    return evaluate.majority(corners, vertices)
 
 
 @query("overlap_counts", f"{MO} SELECT * FROM ovl")
@@ -599,34 +605,64 @@ def _(s, d):
 
 # ---- legacy ---------------------------------------------------------------------------------------------------------------------
 
-LEGACY = ["what is left of the table?", "which red chair is near the sofa?", "what is above the desk", "list things behind the bench", "what is in front of the lamp?", "where is the brown stool"]
+LEGACY = [
+    "What is left of the table?", "what is near the sofa", "what's above the desk", "Where is the wooden  stool?", "what is in front of the lamp?", "find the red chair near the bench", "what is on the right wall?",
+    "what is near the back wall?", "what is behind the shelf?", "what is under the counter?", "what is right of the chair", "what is this black lamp",
+]
 
 
 def _parsed(s):
     return legacy.parse(s.createDataFrame([(f"l{i}", t) for i, t in enumerate(LEGACY)], "question_id string, text string"), list(p.CLASSES))
 
 
-@query("legacy_parse", "SELECT * FROM (VALUES ('l0', 'what is left of the table?', 'spatial', NULL, 'LEFT_OF', 'table', 'table'), ('l1', 'which red chair is near the sofa?', 'near', 'red', 'NEAR', 'sofa', 'chair'), ('l2', 'what is above the desk', 'spatial', NULL, 'ABOVE', 'desk', 'desk'), ('l3', 'list things behind the bench', 'spatial', NULL, 'BEHIND', 'bench', 'bench'), ('l4', 'what is in front of the lamp?', 'spatial', NULL, 'IN_FRONT_OF', 'lamp', 'lamp'), ('l5', 'where is the brown stool', 'list', 'brown', NULL, NULL, 'stool')) v(question_id, text, intent, colour, relation, anchor, target)")
+def _legacy_parse_sql() -> str:
+    lit = lambda x: "'" + x.replace("'", "''") + "'"
+    case = lambda pairs, end="NULL": "CASE " + " ".join(f"WHEN {a} THEN {b}" for a, b in pairs) + f" ELSE {end} END"
+    rows = ", ".join(f"('l{i}', {lit(t)})" for i, t in enumerate(LEGACY))
+    relation = case([(f"regexp_matches(q, {lit(r)})", lit(x)) for r, x in legacy.SPATIAL])
+    related = case([(f"regexp_matches(q, {lit(r)})", f"trim(regexp_extract(q, {lit(r)}, 1))") for r, _ in legacy.SPATIAL])
+    zone = case([(f"contains(q, {lit(x)})", lit(z)) for x, z in legacy.ZONES])
+    near = "starts_with(q, 'what is near') OR starts_with(q, 'what''s near')"
+    intent = case([("contains(q, 'on the') AND contains(q, 'wall')", "'describe_zone'"), ("rel IS NOT NULL", "'describe_spatial'"), (f"({near}) AND zone IS NOT NULL", "'describe_near_zone'"), (near, "'describe_near_anchor'"), ("contains(q, 'where')", "'find_location'"), ("contains(q, 'what')", "'describe'")], "'find_object'")
+    return f"""lq0 AS (SELECT *, lower(regexp_replace(trim(text), '\\s+', ' ', 'g')) AS q FROM (VALUES {rows}) v(question_id, text)), lq1 AS (SELECT *, {relation} AS rel, {related} AS related, {zone} AS zone FROM lq0), lq2 AS (SELECT *, {intent} AS intent FROM lq1),
+lq AS (SELECT question_id, text, intent, {case([(f"contains(q, '{c}')", f"'{c}'") for c in legacy.COLOURS])} AS colour, CASE WHEN intent = 'describe_spatial' THEN rel END AS relation,
+  CASE WHEN intent = 'describe_spatial' THEN related WHEN intent IN ('describe_near_anchor', 'find_location', 'describe', 'find_object') THEN nullif(trim(regexp_extract(q, {lit(legacy.NEAR)}, 1)), '') END AS anchor, zone,
+  CASE WHEN intent IN ('find_location', 'describe', 'find_object') THEN {case([(f"contains(q, '{c}')", f"'{c}'") for c in p.CLASSES])} END AS target FROM lq2)"""
+
+
+@query("legacy_parse", f"WITH {_legacy_parse_sql()} SELECT * FROM lq")
 def _(s, d):
     return _parsed(s)
 
 
 def _legacy_sql(version: int) -> str:
-    side = lambda op: "0.3" if version == 1 else f"CASE WHEN dx {op} 0 THEN 0.3 ELSE 0 END"
-    return f"""{ES}, lq(question_id, intent, relation, anchor, target) AS (VALUES ('l0', 'spatial', 'LEFT_OF', 'table', 'table'), ('l1', 'near', 'NEAR', 'sofa', 'chair'), ('l2', 'spatial', 'ABOVE', 'desk', 'desk'), ('l3', 'spatial', 'BEHIND', 'bench', 'bench'), ('l4', 'spatial', 'IN_FRONT_OF', 'lamp', 'lamp')),
-first AS (SELECT * FROM entity QUALIFY row_number() OVER (PARTITION BY scene_id, class ORDER BY ordinal) = 1),
-z AS (SELECT q.*, a.scene_id, a.uid, a.ordinal, a.class, a.cx - b.cx AS dx, a.cy - b.cy AS dy, a.cz - b.cz AS dz FROM lq q JOIN first b ON b.class = q.anchor JOIN entity a ON a.scene_id = b.scene_id AND a.uid <> b.uid),
-sc AS (SELECT question_id, intent, scene_id, uid, ordinal, (CASE relation WHEN 'LEFT_OF' THEN {side('<')} WHEN 'ABOVE' THEN CASE WHEN dz > 0 THEN 0.3 ELSE 0 END WHEN 'BEHIND' THEN CASE WHEN dy < 0 THEN 0.3 ELSE 0 END WHEN 'IN_FRONT_OF' THEN CASE WHEN dy > 0 THEN 0.3 ELSE 0 END
-  ELSE greatest(0, 0.3 * (1 - sqrt(dx * dx + dy * dy) / 4)) END)::DOUBLE + greatest(0, 0.25 * (1 - sqrt(dx * dx + dy * dy) / 8)) + CASE WHEN class = target THEN 0.1 ELSE 0 END::DOUBLE AS score FROM z)"""
+    side = lambda x: f"CASE WHEN {x} <= 0 THEN 0 ELSE {'0.14' if version == 1 else f'0.5 * greatest(0, 1 - {x} / 5)'} END"
+    return f"""{EP}, {STORED}, {_legacy_parse_sql()},
+both_ways AS (SELECT scene_id, type, src_uid, tgt_uid FROM stored UNION SELECT scene_id, CASE type WHEN 'LEFT_OF' THEN 'RIGHT_OF' WHEN 'BEHIND' THEN 'IN_FRONT_OF' WHEN 'ABOVE' THEN 'BELOW' ELSE type END, tgt_uid, src_uid FROM stored),
+eqv AS (SELECT DISTINCT anchor, class FROM lq, entity WHERE anchor = class OR ((contains(anchor, class) OR contains(class, anchor)) AND least(length(anchor), length(class)) >= 4)),
+toward AS (SELECT b.scene_id, q.anchor, b.src_uid AS uid, list(DISTINCT b.type) AS types, arg_min(b.type, (b.type, e.ordinal)) AS first_type FROM both_ways b JOIN entity e ON e.scene_id = b.scene_id AND e.uid = b.tgt_uid JOIN eqv q USING (class) GROUP BY ALL),
+anchors AS (SELECT scene_id, anchor, arg_min(cx, ordinal) AS bx, arg_min(cy, ordinal) AS by_, arg_min(cz, ordinal) AS bz FROM entity JOIN eqv USING (class) GROUP BY ALL),
+z AS (SELECT q.question_id, q.intent, q.relation, e.scene_id, e.uid, e.ordinal, cx - bx AS dx, cy - by_ AS dy, cz - bz AS dz FROM lq q JOIN toward t USING (anchor) JOIN anchors a USING (scene_id, anchor) JOIN entity e ON e.scene_id = t.scene_id AND e.uid = t.uid WHERE q.intent = 'describe_spatial' AND list_contains(types, relation)),
+sp AS (SELECT question_id, intent, scene_id, uid, ordinal, (1 + CASE relation WHEN 'BELOW' THEN greatest(0, least(0.22, -0.05 * dz)) + greatest(0, 0.16 - 0.04 * sqrt(dx * dx + dy * dy)) WHEN 'ABOVE' THEN greatest(0, least(0.22, 0.05 * dz)) WHEN 'LEFT_OF' THEN {side('-dx')} WHEN 'RIGHT_OF' THEN {side('dx')}
+  WHEN 'IN_FRONT_OF' THEN CASE WHEN dy > 0 THEN greatest(0, 0.14 - 0.05 * dy) ELSE 0 END WHEN 'BEHIND' THEN CASE WHEN dy < 0 THEN 0.14 ELSE 0 END ELSE 0 END) * CASE WHEN relation IN ('ABOVE', 'BELOW') THEN greatest(0.05, least(1, 1 - 0.38 * sqrt(dx * dx + dy * dy))) ELSE 1 END AS score FROM z),
+fr AS (SELECT * FROM lq WHERE intent IN ('find_location', 'describe', 'find_object', 'describe_near_anchor')),
+fs AS (SELECT question_id, intent, scene_id, uid, ordinal, sum(score) AS score FROM (SELECT question_id, intent, scene_id, uid, ordinal, 0.75::DOUBLE AS score FROM fr JOIN entity ON contains(target, class) OR contains(class, target)
+  UNION ALL SELECT question_id, intent, t.scene_id, t.uid, ordinal, CASE WHEN first_type = 'NEAR' THEN 0.45 ELSE 0.22 END::DOUBLE FROM fr JOIN toward t USING (anchor) JOIN entity e ON e.scene_id = t.scene_id AND e.uid = t.uid) GROUP BY ALL),
+sc AS (SELECT * FROM sp UNION ALL SELECT * FROM fs)"""
+
+
+def _legacy_scores(s, d, version):
+    edges = graph.canonical(sparse_edges(s, d)).select("scene_id", "type", "src_uid", "tgt_uid").distinct()
+    return legacy.score(_parsed(s), p.entities(s, d), edges, version)
 
 
 for _v in (1, 2):
-    query(f"legacy_score_v{_v}", f"{_legacy_sql(_v)} SELECT question_id, scene_id, uid, round(score, 6) AS score FROM sc")(lambda s, d, v=_v: legacy.score(_parsed(s), p.entities(s, d), v).select("question_id", "scene_id", "uid", F.round("score", 6).alias("score")))
+    query(f"legacy_score_v{_v}", f"{_legacy_sql(_v)} SELECT question_id, scene_id, uid, round(score, 6) AS score FROM sc")(lambda s, d, v=_v: _legacy_scores(s, d, v).select("question_id", "scene_id", "uid", F.round("score", 6).alias("score")))
 
 
-@query("legacy_topk", f"{_legacy_sql(2)} SELECT question_id, scene_id, uid, rank::INTEGER AS rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY question_id, scene_id ORDER BY score DESC, ordinal) AS rank FROM sc WHERE score >= 0.2) WHERE rank <= CASE intent WHEN 'list' THEN 10 WHEN 'near' THEN 6 ELSE 4 END")
+@query("legacy_topk", f"{_legacy_sql(2)} SELECT question_id, scene_id, uid, rank::INTEGER AS rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY question_id, scene_id ORDER BY score DESC, ordinal) AS rank FROM sc WHERE score >= 0.2) WHERE rank <= CASE WHEN intent IN ('describe_near_anchor', 'describe_near_zone', 'describe_zone') THEN 10 WHEN intent = 'describe_spatial' THEN 6 ELSE 4 END")
 def _(s, d):
-    return legacy.best(legacy.score(_parsed(s), p.entities(s, d))).select("question_id", "scene_id", "uid", "rank", F.round("score", 6).alias("score"))
+    return legacy.best(_legacy_scores(s, d, 2)).select("question_id", "scene_id", "uid", "rank", F.round("score", 6).alias("score"))
 
 
 # ---- iterative operators (rows only; exact tests in tests/) ---------------------------------------------------------------------

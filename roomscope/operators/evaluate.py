@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
-def majority(pred: DataFrame, oracle: DataFrame) -> DataFrame:
-    """The oracle instance that most of a predicted instance's vertices have; the smaller id of equals."""
-    n = pred.withColumnRenamed("instance_id", "pred").join(oracle.withColumnRenamed("instance_id", "oracle"), ["scene_id", "vertex_id"]).groupBy("scene_id", "pred", "oracle").agg(F.count(F.lit(1)).alias("n"))
-    return n.groupBy("scene_id", "pred").agg(F.min_by("oracle", F.struct((-F.col("n")).alias("n"), F.col("oracle").alias("o"))).alias("oracle"), F.max("n").alias("votes"))
+def majority(corners: DataFrame, vertices: DataFrame) -> DataFrame:
+    """The object of most faces at each vertex, the smaller id of equals; -1 where no face touches it. ``corners`` has a row for each
+    corner of a face (scene_id, vertex_id, object_id)."""
+    n = corners.groupBy("scene_id", "vertex_id", "object_id").agg(F.count(F.lit(1)).alias("n"))
+    won = n.groupBy("scene_id", "vertex_id").agg(F.min_by("object_id", F.struct((-F.col("n")).alias("n"), F.col("object_id").alias("o"))).alias("won"))
+    return vertices.join(won, ["scene_id", "vertex_id"], "left").select("scene_id", "vertex_id", F.coalesce("won", F.lit(-1)).cast("long").alias("instance_id"))
 
 
 def recall_at(iou: DataFrame, oracle_sizes: DataFrame, limits: list[float]) -> DataFrame:

@@ -114,6 +114,8 @@ def _one_by_one(pdf: pd.DataFrame) -> pd.DataFrame:
 def _settle(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         import tempfile
 
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="roomscope-checkpoint-"))
@@ -144,16 +146,23 @@ def repair_v1(masks: DataFrame, mv: DataFrame, contained: float = 0.8, smaller:
     return out.select("scene_id", "mask_id", F.greatest("score", F.coalesce("ps", "score")).alias("score"), F.when(F.col("ps").isNotNull(), "child").when(F.col("gone"), "parent").when(F.col("score") < base, "excluded").otherwise("kept").alias("became"))
 
 
-def repair_v2(masks: DataFrame, mv: DataFrame, iou_least: float = 0.5, retention: float = 0.5) -> DataFrame:
-    """Corroborated carve-out: a mask that another one repeats (by IoU) wins over the larger ones that hold it; what then keeps less
-    than ``retention`` of its vertices is dropped, and the rest is resolved again."""
-    pairs = mask_iou(mv)
-    backed = pairs.where(F.col("iou") >= iou_least).select("scene_id", F.explode(F.array("a", "b")).alias("mask_id")).distinct().withColumn("backed", F.lit(1))
-    raised = masks.join(backed, ["scene_id", "mask_id"], "left").withColumn("score", F.col("score") + F.coalesce("backed", F.lit(0)) * 1e-6).drop("backed")
-    first = resolve(raised, mv).groupBy("scene_id", F.col("instance_id").alias("mask_id")).agg(F.count(F.lit(1)).alias("kept"))
+def repair_v2(masks: DataFrame, mv: DataFrame, contained: float = 0.8, smaller: float = 0.6, repeated: float = 0.7, retention: float = 0.5, base: float = 0.2, min_vertices: int = 20) -> DataFrame:
+    """Corroborated carve-out. Masks of at least ``base`` take part by their score. A mask of any score that another one repeats (IoU of
+    ``repeated``) and that lies inside a smaller-than-``smaller`` share of such a mask is put just above the best of these parents, so
+    that it is carved out of them. Resolved once; masks that keep less than ``retention`` of their vertices are left out of a second
+    and last resolving."""
     n = mv.groupBy("scene_id", "mask_id").agg(F.count(F.lit(1)).alias("n"))
+    pairs = mask_iou(mv)
+    both = pairs.unionByName(pairs.select("scene_id", F.col("b").alias("a"), F.col("a").alias("b"), "shared", "iou"))
+    backed = both.where(F.col("iou") >= repeated).select("scene_id", F.col("b").alias("child")).distinct()
+    parents = masks.where(F.col("score") >= base).join(n, ["scene_id", "mask_id"]).select("scene_id", F.col("mask_id").alias("a"), F.col("score").alias("parent_score"), F.col("n").alias("parent_n"))
+    children = n.where(F.col("n") >= min_vertices).withColumnRenamed("mask_id", "child").join(backed, ["scene_id", "child"], "left_semi")
+    inside = both.withColumnRenamed("b", "child").join(children, ["scene_id", "child"]).join(parents, ["scene_id", "a"]).where((F.col("shared") >= contained * F.col("n")) & (F.col("n") <= smaller * F.col("parent_n")))
+    up = inside.groupBy("scene_id", F.col("child").alias("mask_id")).agg((F.max("parent_score") + 1e-6).alias("up"))
+    ranked = masks.join(up, ["scene_id", "mask_id"], "left").select("scene_id", "mask_id", F.greatest(F.when(F.col("score") >= base, F.col("score")), F.col("up")).alias("score")).where("score is not null")
+    first = resolve(ranked, mv, min_vertices=min_vertices).groupBy("scene_id", F.col("instance_id").alias("mask_id")).agg(F.count(F.lit(1)).alias("kept"))
     stay = first.join(n, ["scene_id", "mask_id"]).where(F.col("kept") >= retention * F.col("n")).select("scene_id", "mask_id")
-    return resolve(raised.join(stay, ["scene_id", "mask_id"], "left_semi"), mv)
+    return resolve(ranked.join(stay, ["scene_id", "mask_id"], "left_semi"), mv, min_vertices=min_vertices)
 
 
 def scoped_assignment(hard: DataFrame, mv: DataFrame, masks: DataFrame, selected: Column, protected: Column) -> DataFrame:

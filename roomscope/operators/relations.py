@@ -72,7 +72,7 @@ def near_sparse(ents: DataFrame, radius: float = 1.0, strategy: str = "grid") ->
     return _edges(found, "proximity", "0.1", F.lit("NEAR"), F.col("a.uid"), F.col("b.uid"), dist=F.col("dist"))
 
 
-def near_sparse_v2(ents: DataFrame, gap: float = 0.5, strategy: str = "grid") -> DataFrame:
+def near_sparse_v2(ents: DataFrame, gap: float = 1.0, strategy: str = "grid") -> DataFrame:
     found = near_boxes(ents, gap, strategy).withColumn("scene_id", F.col("a.scene_id"))
     return _edges(found, "proximity", "0.2-sparse_v2", F.lit("NEAR"), F.col("a.uid"), F.col("b.uid"), dist=F.col("gap"))
 
@@ -81,7 +81,7 @@ def near_surface(ents: DataFrame, surfs: DataFrame, polygon: bool = False) -> Da
     limit = F.coalesce(*[F.when(F.col("s.stype") == t, F.lit(x)) for t, x in NEAR_LIMITS.items()])
     dist = g.box_surface("e", "s") if polygon else g.box_plane("e", "s")
     found = with_surfaces(ents, surfs).withColumn("dist", dist).where(F.col("dist") <= limit)
-    return _edges(found, "surface", "0.2-polygon" if polygon else "0.1", F.lit("NEAR_SURFACE"), F.col("e.uid"), F.col("s.suid"), "surface", dist=F.col("dist"))
+    return _edges(found, "surface", "0.2-near_surface_polygon_clipped" if polygon else "0.1", F.lit("NEAR_SURFACE"), F.col("e.uid"), F.col("s.suid"), "surface", dist=F.col("dist"))
 
 
 def judged(ents: DataFrame, surfs: DataFrame, clauses) -> DataFrame:
