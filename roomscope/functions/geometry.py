@@ -119,3 +119,46 @@ def room_scale_flat(e: str, area: Column, share: float = 0.60, height: float = 0
 
 def depth_along_normal(e: str, s: str) -> Column:
     return F.abs(col(s, "a")) * (hi(e, "x") - lo(e, "x")) + F.abs(col(s, "b")) * (hi(e, "y") - lo(e, "y")) + F.abs(col(s, "c")) * (hi(e, "z") - lo(e, "z"))
+
+
+def point_box(x: Column, y: Column, z: Column, box: str) -> Column:
+    """Distance from a point to a box, 0 inside."""
+    gaps = [F.greatest(F.lit(0.0), F.col(f"{box}.l{k}") - v, v - F.col(f"{box}.h{k}")) for k, v in zip("xyz", (x, y, z), strict=True)]
+    return F.sqrt(sum((g * g for g in gaps), F.lit(0.0)))
+
+
+def diagonal(box: str) -> Column:
+    return F.sqrt(sum(((F.col(f"{box}.h{k}") - F.col(f"{box}.l{k}")) * (F.col(f"{box}.h{k}") - F.col(f"{box}.l{k}")) for k in "xyz"), F.lit(0.0)))
+
+
+def dot(a: list[Column], b: list[Column]) -> Column:
+    return a[0] * b[0] + a[1] * b[1] + a[2] * b[2]
+
+
+def cross(a: list[Column], b: list[Column]) -> list[Column]:
+    return [a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]]
+
+
+def normalize(a: list[Column]) -> list[Column]:
+    """Unit vector; the zero vector is an error."""
+    n = F.sqrt(dot(a, a))
+    return [F.when(n > 0, x / n).otherwise(F.raise_error(F.lit("cannot normalise a zero vector")).cast("double")) for x in a]
+
+
+def plane_error(n: list[Column], d: Column, m: list[Column], e: Column) -> tuple[Column, Column]:
+    """Angle in degrees between two planes, whichever way their normals point, and the difference of their offsets."""
+    c = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(n, m)))
+    return F.degrees(F.acos(F.least(F.lit(1.0), F.abs(c)))), F.abs(F.when(c < 0, -d).otherwise(d) - e)
+
+
+def aligned(p: list[Column], g: list[Column]) -> list[Column]:
+    """A point turned so that gravity ``g`` (any length but 0) points down the z axis, by the shortest turn."""
+    u = normalize(g)
+    # Rodrigues with the axis u x (0, 0, -1): cosine -u_z; opposite directions turn about x.
+    ax, ay, c = -u[1], u[0], -u[2]
+    k = 1.0 / (1.0 + c)
+    turned = [
+        (c + ax * ax * k) * p[0] + ax * ay * k * p[1] + ay * p[2], ax * ay * k * p[0] + (c + ay * ay * k) * p[1] - ax * p[2], -ay * p[0] + ax * p[1] + c * p[2],
+    ]
+    flat = c <= -1.0 + 1e-12
+    return [F.when(flat, [p[0], -p[1], -p[2]][i]).otherwise(turned[i]) for i in range(3)]

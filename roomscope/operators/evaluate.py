@@ -81,3 +81,60 @@ def cosine_best(vectors: DataFrame, centres: DataFrame) -> DataFrame:
     # A label set is a fixed vocabulary: one row for each class.
     pairs = vectors.crossJoin(centres).withColumn("cos", cos)
     return pairs.groupBy("vec_id").agg(F.min_by(F.struct("label", "cos"), F.struct((-F.col("cos")).alias("s"), F.col("label").alias("l"))).alias("b")).select("vec_id", "b.label", "b.cos")
+
+
+def benchmark_rollup(results: DataFrame) -> DataFrame:
+    """Accuracies by category and in all (category null), from booleans top1, topk, met, and false_positives, latency."""
+    rate = lambda c: F.avg(F.when(F.col(c), 1.0).otherwise(0.0)).alias(c)
+    return results.rollup("category").agg(F.count(F.lit(1)).alias("n"), rate("top1"), rate("topk"), rate("met"), F.avg("false_positives").alias("mean_false_positives"), F.avg("latency").alias("mean_latency"), F.max("latency").alias("max_latency"))
+
+
+def outcome_counts(results: DataFrame, columns: list[str]) -> DataFrame:
+    """How often each value of each column occurs, in one pass."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("what"), F.col(c).cast("string").alias("value")) for c in columns]))
+    return results.select(pairs.alias("p")).groupBy("p.what", "p.value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def quantiles(df: DataFrame, value: str, by: list[str], qs: list[float]) -> DataFrame:
+    """Linear quantiles of a column by group."""
+    return df.groupBy(*by).agg(*[F.expr(f"percentile({value}, {q})").alias(f"q{int(q * 100)}") for q in qs])
+
+
+def surface_metrics(cells: DataFrame) -> DataFrame:
+    """Area-weighted coverage and spill by surface type and median plane errors, from (stype, area, coverage, spill, angle, offset)."""
+    weighted = lambda c: (F.sum(F.col(c) * F.col("area")) / F.nullif(F.sum("area"), F.lit(0.0))).alias(c)
+    return cells.groupBy("stype").agg(weighted("coverage"), weighted("spill"), F.expr("percentile(angle, 0.5)").alias("median_angle"), F.expr("percentile(offset, 0.5)").alias("median_offset"))
+
+
+def upper_median(df: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """The element at n div 2 in order (the upper one of an even number), and the greatest: by rank, no group is collected."""
+    w = W.partitionBy(*by)
+    ranked = df.where(F.col(value).isNotNull()).withColumn("_k", F.row_number().over(w.orderBy(value))).withColumn("_n", F.count(F.lit(1)).over(w))
+    return ranked.groupBy(*by).agg(F.max(F.when(F.col("_k") == F.expr("_n div 2 + 1"), F.col(value))).alias("median"), F.max(value).alias("greatest"), F.count(F.lit(1)).alias("n"))
+
+
+def label_accuracy(ranked: DataFrame, by: list[str]) -> DataFrame:
+    """Top-1 and top-3 accuracy of ranked labels (array ``labels``) against ``truth``."""
+    hit = lambda k: F.avg(F.when(F.array_contains(F.slice("labels", 1, k), F.col("truth")), 1.0).otherwise(0.0))
+    return ranked.groupBy(*by).agg(hit(1).alias("top1"), hit(3).alias("top3"), F.count(F.lit(1)).alias("n"))
+
+
+def rescored(one: DataFrame, other: DataFrame, flags: list[str]) -> DataFrame:
+    """How many questions (question_id) change each flag between two scorings, and which way."""
+    both = one.select("question_id", *flags).join(other.select("question_id", *[F.col(c).alias(f"_{c}") for c in flags]), "question_id")
+    changes = F.explode(F.array(*[F.struct(F.lit(c).alias("flag"), F.col(c).alias("before"), F.col(f"_{c}").alias("after")) for c in flags]))
+    return both.select(changes.alias("x")).select("x.*").groupBy("flag").agg(*[F.count(F.when(F.expr(e), 1)).alias(n) for n, e in (("gained", "not before and after"), ("lost", "before and not after"), ("same", "before = after"))])
+
+
+def scene_aggregate(scores: DataFrame) -> DataFrame:
+    """Micro precision and recall by kind of key: verified by people (the headline), or plausible only."""
+    kind = F.when(F.col("verified"), "headline").otherwise("plausibility")
+    return scores.groupBy(kind.alias("section")).agg(F.countDistinct("scene_id").alias("scenes"), F.count(F.lit(1)).alias("questions"), (F.sum("hits") / F.nullif(F.sum("cited"), F.lit(0))).alias("precision"), (F.sum("hits") / F.nullif(F.sum("expected"), F.lit(0))).alias("recall"))
+
+
+def band_decision(rows: DataFrame) -> DataFrame:
+    """Per band whether all surfaces are covered, close their loops and meet no impostor; and the verdict over all bands."""
+    bands = rows.groupBy("band").agg(F.bool_and("coverage_ok").alias("viable"), F.bool_and("loop_ok").alias("loops"), F.sum("impostors").alias("impostors"))
+    bands = bands.withColumn("clean", F.col("viable") & F.col("loops") & (F.col("impostors") == 0))
+    verdict = bands.agg(F.when(F.bool_or("clean"), "CLEAN").when(F.bool_or(F.col("viable") & F.col("loops")), "MIXED").otherwise("OVERLAP").alias("verdict"))
+    return bands.crossJoin(F.broadcast(verdict))  # one row

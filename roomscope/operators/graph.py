@@ -56,3 +56,45 @@ def difference(one: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
     """Keys found on one side only, with the side."""
     a, b = one.select(*keys).distinct(), other.select(*keys).distinct()
     return a.join(b, keys, "left_anti").withColumn("side", F.lit("only_first")).unionByName(b.join(a, keys, "left_anti").withColumn("side", F.lit("only_second")))
+
+
+def edges_of(edges: DataFrame, uids: DataFrame, outgoing: bool = True) -> DataFrame:
+    """Stored edges from (or to) the given entities (scene_id, uid)."""
+    end = "src_uid" if outgoing else "tgt_uid"
+    return edges.join(uids.select("scene_id", F.col("uid").alias(end)).distinct(), ["scene_id", end], "left_semi")
+
+
+def rejection_samples(rejected: DataFrame, most: int = 64) -> DataFrame:
+    """The first ``most`` rejections (scene_id, src_ordinal, tgt_ordinal, reason, ...) of each scene, in the order they are met."""
+    from pyspark.sql import Window as W
+
+    w = W.partitionBy("scene_id").orderBy("src_ordinal", "tgt_ordinal")
+    return rejected.withColumn("k", F.row_number().over(w)).where(F.col("k") <= most)
+
+
+def compact_context(edges: DataFrame, ents: DataFrame, most: int = 8) -> DataFrame:
+    """Each entity with its label and at most ``most`` of its relations, in the order of type and target, as texts."""
+    from pyspark.sql import Window as W
+
+    ends = ents.select("scene_id", F.col("uid").alias("tgt_uid"), F.col("label").alias("tgt_label"), F.col("ordinal").alias("tgt_ordinal"))
+    w = W.partitionBy("scene_id", "src_uid").orderBy("type", "tgt_ordinal")
+    few = edges.join(ends, ["scene_id", "tgt_uid"]).withColumn("k", F.row_number().over(w)).where(F.col("k") <= most)
+    listed = few.groupBy("scene_id", F.col("src_uid").alias("uid")).agg(F.array_sort(F.collect_list(F.struct("k", F.concat_ws(" ", "type", "tgt_label").alias("t")))).alias("r"))
+    return ents.select("scene_id", "uid", "label").join(listed, ["scene_id", "uid"], "left").select("scene_id", "uid", "label", F.coalesce(F.array_join(F.transform("r", lambda x: x["t"]), "; "), F.lit("")).alias("relations"))
+
+
+def without_entities(edges: DataFrame, gone: DataFrame) -> DataFrame:
+    """A graph perturbed by leaving entities (scene_id, uid) and all their edges out."""
+    names = gone.select("scene_id", "uid")
+    left = edges.join(names.withColumnRenamed("uid", "src_uid"), ["scene_id", "src_uid"], "left_anti")
+    return left.join(names.withColumnRenamed("uid", "tgt_uid"), ["scene_id", "tgt_uid"], "left_anti")
+
+
+def scoped(edges: DataFrame, anchors: DataFrame, hops: int = 1) -> DataFrame:
+    """Entities within so many edges of the anchors (scene_id, uid), with the least number of hops."""
+    both = edges.select("scene_id", F.col("src_uid").alias("uid"), F.col("tgt_uid").alias("next")).unionByName(edges.select("scene_id", F.col("tgt_uid").alias("uid"), F.col("src_uid").alias("next"))).distinct()
+    seen = anchors.select("scene_id", "uid").distinct().withColumn("hops", F.lit(0))
+    for k in range(1, hops + 1):
+        reached = both.join(seen.where(F.col("hops") == k - 1), ["scene_id", "uid"]).select("scene_id", F.col("next").alias("uid"), F.lit(k).alias("hops"))
+        seen = seen.unionByName(reached).groupBy("scene_id", "uid").agg(F.min("hops").alias("hops"))
+    return seen

@@ -245,3 +245,44 @@ def zbuffer(points: DataFrame, width: int = 64) -> DataFrame:
     return at.groupBy("view", "px", "py").agg(F.min_by("vertex_id", F.struct(F.col("depth"), (-F.col("vertex_id")).alias("v"))).alias("vertex_id"))
 
 
+
+
+#: Classes that are structure or no object.
+STRUCTURAL_OR_DROPPED = ("floor", "wall", "ceiling", "undefined", "non-plane", "plane")
+
+
+def inject_labels(ents: DataFrame, matches: DataFrame) -> DataFrame:
+    """Entities (scene_id, uid, pred) with the class of their match (scene_id, pred, oracle_class): labelled, left anonymous without one,
+    or removed where the class is structure or no object."""
+    both = ents.join(matches.select("scene_id", "pred", "oracle_class"), ["scene_id", "pred"], "left")
+    known = F.coalesce(F.col("oracle_class"), F.lit("")) != ""
+    what = F.when(~known, "anonymous").when(F.col("oracle_class").isin(*STRUCTURAL_OR_DROPPED), "removed").otherwise("labelled")
+    return both.withColumn("became", what).withColumn("label", F.when(F.col("became") == "labelled", F.col("oracle_class")))
+
+
+def activated(checks: DataFrame) -> DataFrame:
+    """Candidates (scene_id, candidate) with their checks against anchors (anchor_ordinal, ok, failed): selected if any anchor takes them;
+    the checks stay, in the order of the anchors."""
+    listed = F.array_sort(F.collect_list(F.struct("anchor_ordinal", "ok", "failed")))
+    return checks.groupBy("scene_id", "candidate").agg(F.bool_or("ok").alias("selected"), listed.alias("checks"))
+
+
+def unpacked(rows: DataFrame, bits: str = "bits", width: int = 64) -> DataFrame:
+    """Packed mask rows (scene_id, mask_id, word, bits: 64 of them, the lowest first) as one row for each set bit."""
+    at = F.explode(F.sequence(F.lit(0), F.lit(width - 1)))
+    return rows.withColumn("at", at).where(F.expr(f"getbit({bits}, at) = 1")).select("scene_id", "mask_id", (F.col("word") * width + F.col("at")).alias("vertex_id"))
+
+
+def instance_table(assigned: DataFrame, vertices: DataFrame) -> DataFrame:
+    """Vertices of each instance and their share of the scene's."""
+    n = assigned.groupBy("scene_id", "instance_id").agg(F.count(F.lit(1)).alias("n"))
+    return n.join(vertices.groupBy("scene_id").agg(F.count(F.lit(1)).alias("of")), "scene_id").select("scene_id", "instance_id", "n", (F.col("n") / F.col("of")).alias("share"))
+
+
+def pooled(*banks: DataFrame) -> DataFrame:
+    """Proposals of several banks as one, each with its bank's number."""
+    out = None
+    for k, b in enumerate(banks):
+        b = b.withColumn("bank", F.lit(k))
+        out = b if out is None else out.unionByName(b)
+    return out

@@ -215,10 +215,89 @@ def test_scene_files(spark, tmp_path):
 
 
 def test_legacy_versions(spark):
-    e = boxes(spark, ("t", "table", (5, 5, 0), (6, 6, 1)), ("l", "lamp", (3, 5, 0), (4, 6, 1)), ("r", "lamp", (7, 5, 0), (8, 6, 1)))
-    q = legacy.parse(spark.createDataFrame([("q", "what is left of the table?")], "question_id string, text string"), ["table", "lamp"])
-    one, two = ({r.uid: r.score for r in legacy.score(q, e, v).collect()} for v in (1, 2))
-    assert one["l"] == one["r"] and two["l"] > two["r"]
+    e = boxes(spark, ("t", "table", (5, 5, 0), (6, 6, 1)), ("l", "lamp", (3, 5, 0), (4, 6, 1)), ("m", "lamp", (1, 5, 0), (2, 6, 1)), ("r", "lamp", (7, 5, 0), (8, 6, 1)))
+    texts = [("q", "What is left of the table?"), ("n", "what is near the table"), ("w", "what is on the left wall?"), ("z", "what is near the back wall"), ("f", "where is the red lamp")]
+    q = legacy.parse(spark.createDataFrame(texts, "question_id string, text string"), ["table", "lamp"])
+    assert {r.question_id: (r.intent, r.relation, r.anchor, r.zone, r.target) for r in q.collect()} == {
+        "q": ("describe_spatial", "LEFT_OF", "table", None, None), "n": ("describe_near_anchor", None, "table", None, None), "w": ("describe_zone", None, None, "left_wall", None),
+        "z": ("describe_near_zone", None, None, "back_wall", None), "f": ("find_location", None, None, None, "lamp"),
+    }
+    edges = spark.createDataFrame([("s", "LEFT_OF", "l", "t"), ("s", "LEFT_OF", "m", "t"), ("s", "NEAR", "l", "t"), ("s", "NEAR", "r", "t")], "scene_id string, type string, src_uid string, tgt_uid string").withColumn("scene_id", F.lit(e.first().scene_id))
+    one, two = ({(r.question_id, r.uid): round(r.score, 6) for r in legacy.score(q, e, edges, v).collect()} for v in (1, 2))
+    assert one["q", "l"] == one["q", "m"] == 1.14  # version 1's distance term never counts
+    assert two["q", "l"] == round(1 + 0.5 * (1 - 2 / 5), 6) and two["q", "m"] == round(1 + 0.5 * (1 - 4 / 5), 6)
+    assert one["n", "r"] == 0.45 and one["n", "l"] == 0.22 and one["f", "m"] == 0.75 and ("q", "r") not in one
+
+
+def test_repair_v2_carves_out_of_parents(spark):
+    """A small mask that another repeats goes before the larger one that holds it; what keeps too little goes."""
+    rows = [(m, v) for m, r in {1: range(100), 2: range(30), 3: range(28), 4: range(200, 240), 5: range(90, 130)}.items() for v in r]
+    mv = spark.createDataFrame([("s", *r) for r in rows], "scene_id string, mask_id long, vertex_id long")
+    m = spark.createDataFrame([("s", 1, 0.9), ("s", 2, 0.1), ("s", 3, 0.05), ("s", 4, 0.1), ("s", 5, 0.3)], "scene_id string, mask_id long, score double")
+    got = {}
+    for r in masks.repair_v2(m, mv).collect():
+        got.setdefault(r.instance_id, set()).add(r.vertex_id)
+    # 2 and 3 repeat each other inside 1; 2 wins by its id. 3 keeps nothing, 4 is below the base score, 5 keeps 30 of 40.
+    assert got == {2: set(range(30)), 1: set(range(30, 100)), 5: set(range(100, 130))}
+
+
+def test_majority_label_per_vertex(spark):
+    corners = spark.createDataFrame([("s", 1, 7), ("s", 1, 7), ("s", 1, 3), ("s", 2, 9), ("s", 2, 4)], "scene_id string, vertex_id long, object_id long")
+    vertices = spark.createDataFrame([("s", i) for i in (1, 2, 3)], "scene_id string, vertex_id long")
+    assert {r.vertex_id: r.instance_id for r in evaluate.majority(corners, vertices).collect()} == {1: 7, 2: 4, 3: -1}
+
+
+def test_iou_correspondence_equals_brute(spark):
+    import random
+
+    from roomscope.operators import correspond
+
+    random.seed(7)
+    box = lambda: [random.randrange(0, 24) / 8 for _ in range(3)]
+    make = lambda n, tag: [(f"{tag}{i}", "lamp", lo, tuple(x + random.randrange(1, 6) / 8 for x in lo)) for i in range(n) for lo in [tuple(box())]]
+    ones = make(40, "a")
+    moved = [(f"m{i}", c, (lo[0] + 0.125, *lo[1:]), (hi[0] + 0.125, *hi[1:])) for i, (_, c, lo, hi) in enumerate(ones[:25])]
+    one, two = boxes(spark, *ones), boxes(spark, *moved, *make(30, "b"))
+    rows = lambda df: [r.asDict() for r in df.orderBy("ordinal").collect()]
+    a, b = rows(one), rows(two)
+    vol = lambda x: (x["hx"] - x["lx"]) * (x["hy"] - x["ly"]) * (x["hz"] - x["lz"])
+    dist = lambda x, y: sum((x[f"c{k}"] - y[f"c{k}"]) ** 2 for k in "xyz") ** 0.5
+
+    def iou(x, y):
+        i = 1.0
+        for k in "xyz":
+            i *= max(0.0, min(x[f"h{k}"], y[f"h{k}"]) - max(x[f"l{k}"], y[f"l{k}"]))
+        return i / (vol(x) + vol(y) - i) if i else 0.0
+
+    want, left, right = {}, set(), set()
+    for x, y in sorted(((x, y) for x in a for y in b if iou(x, y) >= 0.3), key=lambda p: -iou(*p)):
+        if x["uid"] not in left and y["uid"] not in right:
+            want[x["uid"]] = (y["uid"], "iou")
+            left.add(x["uid"])
+            right.add(y["uid"])
+    for x in a:
+        if x["uid"] not in left:
+            most = min(0.5 * sum((x[f"h{k}"] - x[f"l{k}"]) ** 2 for k in "xyz") ** 0.5, 0.30)
+            near = [y for y in b if y["uid"] not in right and dist(x, y) <= most]
+            if near:
+                y = min(near, key=lambda y: dist(x, y))
+                want[x["uid"]] = (y["uid"], "centroid")
+                right.add(y["uid"])
+    got = {r.src_uid: (r.tgt_uid, r.by) for r in correspond.iou_match(one, two).collect()}
+    assert got == want and {v[1] for v in want.values()} == {"iou", "centroid"}
+
+
+def test_zero_vector_is_an_error(spark):
+    df = spark.createDataFrame([(0.0, 0.0, 0.0)], "x double, y double, z double")
+    with pytest.raises(Exception, match="zero vector"):
+        df.select(g.normalize([F.col(k) for k in "xyz"])[0]).collect()
+
+
+def test_class_families(spark):
+    from roomscope.functions import text
+
+    df = spark.createDataFrame([("Table_5",), (" plant-stand 12 ",), ("chair-1",), ("TV  Stand",), ("__x__",), ("7",)], "label string")
+    assert [r[0] for r in df.select(text.class_norm(F.col("label"))).collect()] == ["table", "plant-stand", "chair", "tv-stand", "x", "7"]
 
 
 def test_stream_equals_batch(spark, tmp_path):
