@@ -124,7 +124,12 @@ class Blocks:
         self.drop()
 
     def emit(self, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
-        return self.table.select("block", "row", "doc_id", "text").mapInArrow(fn, PACKED)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield from fn(batches)
+            release()
+
+        return self.table.select("block", "row", "doc_id", "text").mapInArrow(run, PACKED)
 
     def emit_whole(self, fn: Callable[[pa.Table], pa.Table]) -> DataFrame:
         """As emit(), but fn gets a whole block, as with_answers() does; no shuffle, the table is bucketed by block."""

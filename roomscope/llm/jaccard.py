@@ -29,12 +29,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import PACKED, Blocks, by_shard, join_packed, pack, packed_batch, shard_of, unpack
-from .common import LOWER, U, mix, settle, word_hashes
+from .common import LOWER, U, mix, release, settle, word_hashes
 from .graphs import components
 
 _M = U(0x9E3779B97F4A7C15)
 _CHUNK = 1_900_000
 _LAST = (1 << 63) - 1
+#: Rows of two numbers at most that are broadcast.
+MOST_BROADCAST = 1_000_000
 
 
 def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
@@ -273,7 +275,7 @@ def _stars(percent: int):
     return run
 
 
-def _across(percent: int, shards: int, chunk: int = 1 << 22):
+def _across(percent: int, shards: int, chunk: int = 1 << 18, most_held: int = 1 << 20):
     """Pairs of different labels in the tokens' lists, with how many of this shard's tokens they share, to shards of pairs."""
 
     def run(group: pa.Table) -> pa.Table:
@@ -282,7 +284,8 @@ def _across(percent: int, shards: int, chunk: int = 1 << 22):
         tok, node, label, n, asks, _, place = (c[order] for c in cols)
         place = place.astype(np.int64)
         edge = np.flatnonzero(np.concatenate(([True], tok[1:] != tok[:-1], [True])))
-        held: list[np.ndarray] = []
+        held: list[tuple[np.ndarray, ...]] = []
+        waiting = 0
         for a, z in zip(edge[:-1], edge[1:], strict=True):
             if z - a < 2 or (label[a:z] == label[a]).all():
                 continue
@@ -292,37 +295,55 @@ def _across(percent: int, shards: int, chunk: int = 1 << 22):
                 x, y = slice(i, j), slice(i, z)
                 ok = (label[x][:, None] != label[y][None, :]) & _fits(percent, n[x][:, None], place[x][:, None], n[y][None, :], place[y][None, :], np.minimum(asks[x][:, None], asks[y][None, :]))
                 p, q = np.nonzero(ok)
-                keep = p + i < q + i
+                keep = p < q
                 p, q = p[keep] + i, q[keep] + i
                 if len(p):
-                    held.append(np.stack((np.minimum(node[p], node[q]), np.maximum(node[p], node[q]), np.minimum(asks[p], asks[q]))))
+                    held.append((np.minimum(node[p], node[q]), np.maximum(node[p], node[q]), np.minimum(asks[p], asks[q]), np.ones(len(p), dtype=np.int64)))
+                    waiting += len(p)
+                if waiting > most_held:  # what is held twice is added up, so that no more than the different pairs stay
+                    held = [_summed(held)]
+                    waiting = min(len(held[0][0]), most_held // 2)
         if not held:
             return pa.Table.from_batches([packed_batch([])])
-        pairs, count = np.unique(np.concatenate(held, axis=1), axis=1, return_counts=True)
+        pairs = _summed(held)
+        del held
         to = shard_of(mix(pairs[0].astype(np.uint64) * _M + pairs[1].astype(np.uint64)), shards)
-        return pa.Table.from_batches([packed_batch([(s, 0, pack(*c)) for s, c in by_shard(to, pairs[0], pairs[1], pairs[2], count)])])
+        out = pa.Table.from_batches([packed_batch([(s, 0, pack(*c)) for s, c in by_shard(to, *pairs)])])
+        del pairs
+        release()
+        return out
 
     return run
 
 
+def _summed(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Distinct (a, b, asked) of all parts and the sums of their counts."""
+    a, b, asks, count = (np.concatenate(c) for c in zip(*parts, strict=True))
+    order = np.lexsort((asks, b, a))
+    a, b, asks, count = a[order], b[order], asks[order], count[order]
+    new = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (asks[1:] != asks[:-1]))))
+    return a[new], b[new], asks[new], np.add.reduceat(count, new)
+
+
 def _enough(group: pa.Table) -> pa.Table:
-    cols, _ = join_packed(group.column("payload").to_pylist())
-    pairs, at = np.unique(np.stack(cols[:3]), axis=1, return_inverse=True)
-    count = np.bincount(at.ravel(), cols[3], pairs.shape[1])
-    keep = count >= pairs[2]
-    return pa.table([pa.array(pairs[0][keep], pa.int64()), pa.array(pairs[1][keep], pa.int64())], names=["a", "b"])
+    parts = [unpack(p) for p in group.column("payload").to_pylist()]
+    a, b, asks, count = _summed(parts)
+    keep = count >= asks
+    return pa.table([pa.array(a[keep], pa.int64()), pa.array(b[keep], pa.int64())], names=["a", "b"])
 
 
 def _verify(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            d = batch.to_pydict()
             keep = []
-            for x, y in zip(d["x"], d["y"], strict=True):
-                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+            for at in range(0, batch.num_rows, 256):  # whole sets, a few at a time
+                d = batch.slice(at, 256).to_pydict()
+                for x, y in zip(d["x"], d["y"], strict=True):
+                    x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b", "p", "q"]).filter(pa.array(keep, pa.bool_()))
+        release()
 
     return run
 
@@ -368,12 +389,14 @@ def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
     first = label.select(F.col("node.node").alias("node"), F.nullif(F.col("root.id"), F.lit(_LAST)).alias("component_id"))
     named = sets.select("node", "first_id").join(first.withColumn("linked", F.lit(True)), "node", "left")
     by_node = named.select("node", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("first_id")).alias("component_id"))
+    # Many rows can share a set. Names and ids of the sets go to all executors up to 1,000,000 of them, 16 MB.
+    by_node = F.broadcast(by_node) if sets.count() <= MOST_BROADCAST else by_node
     rows = live.join(by_node, "node", "left").unionByName(states.where("node is null").withColumn("component_id", F.col("doc_id")))
     return rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80, most_broadcast: int = 1_000_000) -> DataFrame:
+def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` without the documents that are similar to one of smaller id, directly or through others."""
     gone = settle(similar_groups(docs, words, percent).where("component_id < doc_id").select("doc_id").distinct())
     # The ids go to all executors only up to a number: 1,000,000 of them are 8 MB.
-    return docs.join(F.broadcast(gone) if gone.count() <= most_broadcast else gone, "doc_id", "left_anti")
+    return docs.join(F.broadcast(gone) if gone.count() <= MOST_BROADCAST else gone, "doc_id", "left_anti")
