@@ -400,3 +400,16 @@ def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     gone = settle(similar_groups(docs, words, percent).where("component_id < doc_id").select("doc_id").distinct())
     # The ids go to all executors only up to a number: 1,000,000 of them are 8 MB.
     return docs.join(F.broadcast(gone) if gone.count() <= MOST_BROADCAST else gone, "doc_id", "left_anti")
+
+
+def oracle(words: int, percent: int) -> str:
+    """The same by definition, for small data: shingles as texts, all pairs that share one, and what can be reached by links."""
+    return f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, CASE WHEN len(w) >= {words} THEN '' ELSE len(w) || ':' END || array_to_string(w[i + 1 : i + {words}], ' ') AS g FROM w, range(0, greatest(1, len(w) - {words - 1})) r(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b USING (g) WHERE a.doc_id < b.doc_id GROUP BY 1, 2),
+link AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= {percent} * (x.n + y.n - c)),
+edge AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach(d, r) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, reach.r FROM reach JOIN edge e ON e.a = reach.d WHERE reach.r < e.b)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.c AS component_id FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT d, min(r) AS c FROM reach GROUP BY 1) m ON m.d = w.doc_id"""

@@ -5,8 +5,9 @@ tree of a few cuts over that feature's bins is fitted to the current residuals a
 then pairs of features, picked by how much of the rest their joint bins explain, get tables by trees of one cut on each axis.
 A score is the logistic of the sum of one entry per table: binning and additions on whole batches.
 
-Learning reads at most ``sample`` labelled rows, those of smallest hash of the id; scoring reads every text whole. Null texts are
-empty texts, and an empty text has a score as any other. Without labels of both kinds every score is the share of label 1 (0.5
+Learning reads the texts of at most ``sample`` labelled ids, those of smallest hash of the id; scoring reads every text whole, however
+long it is. Null texts are empty texts, and an empty text has a score as any other. Other columns aren't read, so their names can't
+clash; an empty table gives an empty result. Without labels of both kinds every score is the share of label 1 (0.5
 where there are none). Repeated rows get equal scores. No input but the text enters a score.
 """
 
@@ -171,7 +172,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, mod: int = 5
     """Learn from at most ``sample`` labelled documents outside the held-out fold."""
     known = labels.where("quality in (0, 1) and doc_id is not null").where(fold("doc_id", mod) != 0)
     # The sample's size is the bound of this broadcast: 20,000 ids and labels are about 300 KB.
-    chosen = known.select("doc_id", F.col("quality").cast("int").alias("label")).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id")).limit(sample)
+    # Of labels that contradict each other the worse one counts, so that learning is the same every time.
+    chosen = known.groupBy("doc_id").agg(F.min(F.col("quality").cast("int")).alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     joined = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id")
     wide = joined.select("text", "label").mapInArrow(_wide, "label int, " + ", ".join(f"f{j} double" for j in range(len(NAMES))))
     rows = wide.toPandas().to_numpy(dtype=np.float64)

@@ -72,4 +72,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sentencepiece": op9_sentencepiece,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
-ORACLES: dict[str, str] = {"op1_decontaminate": decontaminate.ORACLE, "op3_topk": topk.ORACLE, "op7_shards": shards.oracle(SHARD_BYTES)}
+ORACLES: dict[str, str] = {"op1_decontaminate": decontaminate.ORACLE, "op3_topk": topk.ORACLE, "op4_ngram_join": jaccard.oracle(4, 85), "op7_shards": shards.oracle(SHARD_BYTES), "op10_suffix_dedup": suffixes.oracle(suffixes.LEAST)}

@@ -648,3 +648,19 @@ def _fresh(name: str, taken: list[str]) -> str:
     while name.lower() in {c.lower() for c in taken}:
         name += "_"
     return name
+
+
+def oracle(least: int) -> str:
+    """The same by definition, for small data: every string of ``least`` bytes by its md5, and whether it is the first."""
+    return f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (SELECT doc_id, 500 * k AS base, substr(h, 1000 * k + 1, {1000 + 2 * least}) AS part FROM d, range(0, length(h) // 1000 + 1) r(k)),
+s AS (SELECT doc_id, base + i AS i, md5_number(substr(part, 2 * i + 1, {2 * least})) AS g FROM c, range(0, least(500::BIGINT, length(part) // 2 - {least - 1})) r(i)),
+o AS (SELECT g, min(doc_id::HUGEINT * 4294967296 + i) AS first FROM s GROUP BY 1 HAVING count(*) > 1),
+e AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM s JOIN o USING (g) WHERE doc_id::HUGEINT * 4294967296 + i > first),
+k AS (SELECT doc_id, i, sum(CASE WHEN before IS NULL OR i > before + {least} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM e),
+r AS (SELECT doc_id, run, min(i) AS a, max(i) + {least} AS z FROM k GROUP BY 1, 2),
+p AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS was FROM r),
+t AS (SELECT doc_id, count(*) AS spans, sum(z - a)::BIGINT AS gone, max(z) AS tail, string_agg(substr(h, 2 * was + 1, 2 * (a - was)), '' ORDER BY a) AS kept FROM p JOIN d USING (doc_id) GROUP BY 1)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(CASE WHEN t.doc_id IS NULL THEN h ELSE coalesce(kept, '') || substr(h, 2 * tail + 1) END)) AS kept_sha256 FROM d LEFT JOIN t USING (doc_id)"""

@@ -59,3 +59,30 @@ def test_pipeline_against_brute(spark, tmp_path):
             want[k] = None
     got = {r.doc_id: r.ids_sha256 for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert set(got) == set(want) and all(v is None or got[k] == v for k, v in want.items())
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Nulls, empty texts, repeated rows, a repeated id, clashing column names, and no rows at all."""
+    import corpus_pipeline
+
+    kind = "doc_id long, text string, lang string, source string, n_chars long, block int, row string, shard double"
+    whole = "a plain text of mild words that tells of water and stone, and of bread on the road over the hill. "
+    rows = [(1, whole, None, None, None, 1, "x", 0.5), (1, whole, "en", "s", 4, 2, None, None), (2, None, "en", "s", None, 3, "y", 1.0), (3, "", None, "s", 0, 4, "z", 2.0), (None, "only " + whole, "en", None, 9, 5, "w", 3.0), (4, whole * 3000, "en", "s", 1, 6, "v", 4.0)]
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(None, None), (7, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame(rows, kind)
+    now = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, str(tmp_path))
+        assert now.columns == docs.columns, name
+    left = {(r.doc_id, r.block): r.text for r in now.collect()}
+    # The rows of id 1 link with no smaller id and stay; one of them, the long one and the one without an id lose what was there before.
+    assert left[2, 3] is None and left[3, 4] == "" and (1, 1) in left
+    for n, d in ((len(rows), docs), (0, docs.limit(0))):
+        path = tmp_path / f"t{n}"
+        path.mkdir()
+        d.write.parquet(f"{path}/documents.parquet")
+        for t in ("labels", "benchmark"):
+            spark.read.parquet(f"{tmp_path}/{t}.parquet").write.parquet(f"{path}/{t}.parquet")
+        out = corpus_pipeline.run(spark, str(path))
+        assert out.count() == (len(left) if n else 0)
