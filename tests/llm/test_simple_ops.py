@@ -192,3 +192,57 @@ def test_licence_windows_equal_brute():
         want = {(a, b) for a in range(i + 1) for b in range(i + 1, n + 1) if b - a <= 2 or sum(size[a + 1 : b - 1]) + 2 <= licences.LONGEST}
         got = list(licences._windows(i, n, size.__getitem__))
         assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_licence_index_loses_nothing(spark):
+    """Results through Spark against all windows of all lines, each compared with every template."""
+    random.seed(11)
+    notices = [x for texts in licences.TEMPLATES.values() for x in texts]
+    texts = ["", None, "Licence\n" * 3]
+    for _ in range(150):
+        lines = [" ".join(random.choices("stone river of the to licensed version under public source".split(), k=random.randrange(1, 9))) for _ in range(4)]
+        words = random.choice(notices).split()
+        for _ in range(random.randrange(3)):
+            words.pop(random.randrange(len(words)))
+        cut = random.randrange(len(words) + 1)
+        lines[2:2] = [" ".join(words[:cut]), " ".join(words[cut:])]
+        texts.append("\n".join(lines))
+    d = spark.createDataFrame([(i, "f", t) for i, t in enumerate(texts)], "file_id long, path string, text string")
+    got = {r.file_id: (r.own, r.cosine) for r in licences.detect(d).collect()}
+    m = licences.Matcher(*licences.document_frequency(d))
+    hit = 0
+    for i, t in enumerate(texts):
+        lines = [x for x in (t or "").encode().split(b"\n") if x.strip()]
+        size = [max(1, licences.terms(x).total()) for x in lines]
+        best = (0.0, None)
+        for a in range(len(lines)):
+            for b in range(a + 1, len(lines) + 1):
+                if b - a > 2 and sum(size[a + 1 : b - 1]) + 2 > licences.LONGEST:
+                    continue
+                v = m.vector(licences.terms(b"\n".join(lines[a:b])))
+                norm = math.sqrt(sum(w * w for w in v.values()))
+                for row, name, own in zip(m.notices.rows, m.notices.names, m.notices.own, strict=True):
+                    if not own or own & v.keys():
+                        best = max(best, (sum(w * v.get(k, 0) for k, w in row.items()) / norm, name), key=lambda x: round(x[0], 9))
+        assert got[i][0] == (best[1] if best[0] >= 0.7 else None) or abs(best[0] - 0.7) < 1e-9, (i, t, best, got[i])
+        assert got[i][1] is None or got[i][1] == pytest.approx(best[0], abs=1e-5)
+        hit += got[i][0] is not None
+    assert 50 < hit < len(texts)
+
+
+def test_licences_and_their_relatives():
+    m = licences.Matcher(1000, dict.fromkeys(licences.VOCABULARY, 10) | {b"the": 900, b"under": 200, b"of": 900})
+    for line, name in [
+        ("This library is licensed under the GNU Lesser General Public License, version 3.", "LGPL-3.0"), ("This work is licensed under the GNU Affero General Public License, version 3.", "AGPL-3.0"),
+        ("This work is licensed under the GNU General Public License, version 2.", "GPL-2.0"), ("This work is licensed under the GNU General Public License, version 3.", "GPL-3.0"), ("Licensed under CC BY-SA 4.0.", "CC-BY-SA-4.0"),
+        ("Licensed under CC BY 4.0.", "CC-BY-4.0"), ("Licensed under CC BY-NC-SA 4.0.", "CC-BY-NC-SA-4.0"), ("Not released under the MIT License.", None), ("Released under the Foo License.", None), ("Licensed under the Foo License.", None),
+        ("Not licensed under the Apache License, Version 2.0. Released under the MIT License.", "MIT"), ("SPDX-License-Identifier: BSD-2-Clause", "BSD-2-Clause"),
+        ("source and binary forms, with or without modification, are permitted provided that the following conditions are met", "BSD-3-Clause"),
+    ]:
+        assert m.scan(line.encode(), 0.7)[0] == name, line
+    for name, text in licences.FULL.items():
+        words = f"Copyright (c) 2020, Ann Example. All rights reserved. {text}".split()
+        got = m.scan("\n".join(" ".join(words[k : k + 11]) for k in range(0, len(words), 11)).encode(), 0.7)
+        assert got[0] == name and got[1] > 0.9 and got[4] > 0, (name, got)
+    long = ("word under the law " * 50 + "\n") * 2000
+    assert m.scan(f"{long}Released under the MIT License.\n{long}".encode(), 0.7)[:3] == ("MIT", pytest.approx(1.0), 1)
