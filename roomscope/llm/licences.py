@@ -16,7 +16,7 @@ which the rest has too little weight. Templates with terms that no other licence
 Templates are a fixed list and so is the set of terms; what grows with the corpus is only ever joined or summed. Directories are
 resolved once each, not once for each file. Null texts and empty texts have no licence of their own; a null path has no
 directory. Ties of templates go to the first name. Repeated rows give repeated rows. Very long texts are read whole; lines far from
-any of the index's terms cost one search of the text. Only file_id, path and text are read, further columns of any name are not.
+any of the index's terms cost one pass over their words. Only file_id, path and text are read, further columns of any name are not.
 """
 
 from __future__ import annotations
@@ -193,13 +193,12 @@ class Matcher:
         self.idf = {t: found.get(t, self.rare) for t in VOCABULARY}
         self.notices = Vectors([(name, x) for name, texts in sorted(TEMPLATES.items()) for x in texts], self.idf.__getitem__, own=True)
         self.texts = Vectors(sorted(FULL.items()), self.idf.__getitem__, own=False)
-        self._first: dict[float, re.Pattern[bytes]] = {}
+        self._first: dict[float, set[bytes]] = {}
 
-    def first(self, threshold: float) -> re.Pattern[bytes]:
-        """Finds (at least) every occurrence of the terms one of which whatever reaches ``threshold`` holds."""
+    def first(self, threshold: float) -> set[bytes]:
+        """The terms one of which whatever reaches ``threshold`` holds."""
         if threshold not in self._first:
-            wanted = self.notices.heaviest(threshold) | self.texts.heaviest(threshold)
-            self._first[threshold] = re.compile(rb"(?<![a-z0-9])(?:" + b"|".join(re.escape(t) for t in sorted(wanted, reverse=True)) + rb")(?![a-z0-9])", re.I)
+            self._first[threshold] = self.notices.heaviest(threshold) | self.texts.heaviest(threshold)
         return self._first[threshold]
 
     def vector(self, counts: Counter) -> dict[bytes, float]:
@@ -208,22 +207,22 @@ class Matcher:
     def nearest(self, counts: Counter) -> tuple[float, str, float]:
         return self.notices.nearest(self.vector(counts))
 
-    def whole(self, text: bytes, threshold: float) -> tuple[float, str, float] | None:
+    def whole(self, text: bytes, found: set[bytes], threshold: float) -> tuple[float, str, float] | None:
         """The licence whose full text the whole file is near to."""
-        counts = terms(text)
-        if self.texts.reach(set(counts)) < threshold * threshold - 1e-9:
+        if self.texts.reach(found) < threshold * threshold - 1e-9:
             return None
-        got = self.texts.nearest(self.vector(counts))
+        got = self.texts.nearest(self.vector(terms(text)))
         return got if got[0] >= threshold else None
 
     def scan(self, text: bytes, threshold: float) -> tuple[str | None, float, int, int, float]:
         """Licence, its cosine, licence lines, words in them, and how far the next licence's cosine is below."""
         first = self.first(threshold)
-        if not first.search(text):
+        found = set(_TERM.findall(text.lower()))
+        if first.isdisjoint(found):
             return None, 0.0, 0, 0, 0.0
         text = _DENIED.sub(b"", text)
         lines = [x for x in text.split(b"\n") if _WORD.search(x)]
-        if got := self.whole(text, threshold):
+        if got := self.whole(text, found, threshold):
             return got[1], got[0], len(lines), len(text.split()), got[0] - got[2]
         known: dict[int, Counter] = {}
         seen: dict[tuple[int, int], tuple[float, str, float]] = {}
@@ -254,7 +253,7 @@ class Matcher:
 
         top, name, hits, words, margin = 0.0, None, 0, 0, 0.0
         for i, line in enumerate(lines):
-            if not first.search(line) or self.notices.reach(around(i)) < threshold * threshold - 1e-9:
+            if first.isdisjoint(of(i)) or self.notices.reach(around(i)) < threshold * threshold - 1e-9:
                 continue
             got = max((match(a, b) for a, b in _windows(i, len(lines), size)), key=lambda x: x[0])
             if got[0] >= threshold:
