@@ -109,9 +109,22 @@ def _(s, d):
     return graph.density(sparse_edges(s, d), p.entities(s, d))
 
 
-@query("graph_violations", f"{ES} SELECT scene_id, 'none' AS what, uid AS ref FROM entity WHERE false")
+GONE = f"""{EP}, {STORED}, twice AS (SELECT s.* FROM stored s JOIN entity e ON e.scene_id = s.scene_id AND e.uid = s.src_uid WHERE e.ordinal % 50 = 0), own AS (SELECT * FROM entity WHERE ordinal % 40 = 1), gone AS (SELECT * FROM entity WHERE ordinal % 60 = 2)
+SELECT scene_id, 'duplicate_id' AS what, count(*) AS n, NULL::VARCHAR AS least FROM twice GROUP BY 1 UNION ALL SELECT scene_id, 'duplicate_key', count(*), min(src_uid) FROM twice GROUP BY 1
+UNION ALL SELECT scene_id, 'stored_supports', count(*), min('s_' || uid) FROM own GROUP BY 1 UNION ALL SELECT scene_id, 'dangling', count(*), min('gone_' || uid) FROM gone GROUP BY 1"""
+
+
+@query("graph_violations", GONE)
 def _(s, d):
-    return graph.violations(sparse_edges(s, d), p.entities(s, d))
+    """Stored edges of which some are planted twice, some are SUPPORTS and some have an end that isn't there."""
+    e, stored = p.entities(s, d), sparse_edges(s, d)
+    twice = stored.join(e.where("ordinal % 50 = 0").select("scene_id", F.col("uid").alias("src_uid")), ["scene_id", "src_uid"], "left_semi").select(*stored.columns)
+
+    def planted(which: str, kind: str, mark: str, far: str):
+        return e.where(which).select("scene_id", F.lit(kind).alias("type"), F.col("uid").alias("src_uid"), F.lit("entity").alias("tgt_kind"), F.concat(F.lit(far), "uid").alias("tgt_uid"), F.concat(F.lit(mark), "uid").alias("edge_id"))
+
+    bad = graph.violations(stored.unionByName(twice).unionByName(planted("ordinal % 40 = 1", "SUPPORTS", "s_", "")).unionByName(planted("ordinal % 60 = 2", "NEAR", "d_", "gone_")), e)
+    return bad.groupBy("scene_id", "what").agg(F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("what") != "duplicate_id", F.col("ref"))).alias("least"))
 
 
 # ---- surfaces -------------------------------------------------------------------------------------------------------------------
@@ -174,11 +187,18 @@ def _(s, d):
     return both.select("scene_id", "e.uid", (g.footprint("e") / F.col("area")).alias("share"), g.room_scale_flat("e", F.col("area")).alias("flat"))
 
 
-@query("subset_law_violations", f"{ES} SELECT scene_id, uid AS src_uid, uid AS tgt_uid, 'x' AS law FROM entity WHERE false")
+def _far(table: str) -> str:
+    """Pairs of a judged table that aren't near the lower half (in x) of the surface's polygon."""
+    half = "CASE WHEN a <> 0 THEN 0 ELSE greatest(0, plx - hx, lx - (plx + phx) / 2) END"
+    return f"SELECT scene_id, uid AS src_uid, suid AS tgt_uid FROM {table} WHERE sqrt(plane_gap * plane_gap + pow({half}, 2) + gy * gy + gz * gz) > {LIMIT}"
+
+
+@query("subset_law_violations", f"{EJ} SELECT *, 'contacts' AS law FROM ({_far('wallc')} AND stype = 'wall' AND failed = '') UNION ALL SELECT *, 'on_surface' FROM ({_far('rest')} AND ok)")
 def _(s, d):
+    """Contacts and rests on whole surfaces against nearness to halves of them, so that the laws are broken."""
     e, w = scene(s, d)
     keys = ["scene_id", "src_uid", "tgt_uid"]
-    near = relations.near_surface(e, w, polygon=True).select(*keys)
+    near = relations.near_surface(*_short_surfaces(s, d), polygon=True).select(*keys)
     a = relations.contacts_surface(e, w).select(*keys).join(near, keys, "left_anti").withColumn("law", F.lit("contacts"))
     return a.unionByName(relations.on_surface(e, w).select(*keys).join(near, keys, "left_anti").withColumn("law", F.lit("on_surface")))
 
@@ -457,9 +477,9 @@ def _(s, d):
     return e.groupBy("a", "b").agg(F.min("face").alias("f0"), F.max("face").alias("f1"), F.count(F.lit(1)).alias("n")).where("n = 2").drop("n")
 
 
-@query("edge_confidence", "WITH vis AS (SELECT DISTINCT l_suppkey % 8 AS w, l_partkey AS v, l_linenumber AS mask FROM lineitem WHERE l_partkey <= 200), e AS (SELECT a.v AS a, b.v AS b FROM (SELECT DISTINCT v FROM vis) a JOIN (SELECT DISTINCT v FROM vis) b ON b.v = a.v + 1), co AS (SELECT e.a, e.b, count(DISTINCT x.w) AS co_vis, count(DISTINCT CASE WHEN x.mask = y.mask THEN x.w END) AS co_mem FROM e JOIN vis x ON x.v = e.a JOIN vis y ON y.v = e.b AND y.w = x.w GROUP BY ALL) SELECT a, b, co_vis, co_mem, co_mem / co_vis AS conf FROM co")
+@query("edge_confidence", "WITH vis AS (SELECT DISTINCT l_suppkey % 8 AS w, l_partkey AS v, l_linenumber AS mask FROM lineitem), e AS (SELECT a.v AS a, b.v AS b FROM (SELECT DISTINCT v FROM vis) a JOIN (SELECT DISTINCT v FROM vis) b ON b.v = a.v + 1), co AS (SELECT e.a, e.b, count(DISTINCT x.w) AS co_vis, count(DISTINCT CASE WHEN x.mask = y.mask THEN x.w END) AS co_mem FROM e JOIN vis x ON x.v = e.a JOIN vis y ON y.v = e.b AND y.w = x.w GROUP BY ALL) SELECT a, b, co_vis, co_mem, co_mem / co_vis AS conf FROM co")
 def _(s, d):
-    vis = p.load(s, d, "lineitem").where("l_partkey <= 200").select((F.col("l_suppkey") % 8).alias("w"), F.col("l_partkey").alias("v"), F.col("l_linenumber").alias("mask")).distinct()
+    vis = p.load(s, d, "lineitem").select((F.col("l_suppkey") % 8).alias("w"), F.col("l_partkey").alias("v"), F.col("l_linenumber").alias("mask")).distinct()
     nodes = vis.select(F.col("v").alias("a")).distinct()
     e = nodes.join(nodes.select((F.col("a") - 1).alias("a"), F.col("a").alias("b")), "a")
     both = e.join(vis.select(F.col("v").alias("a"), "w", F.col("mask").alias("m1")), "a").join(vis.select(F.col("v").alias("b"), "w", F.col("mask").alias("m2")), ["b", "w"])
@@ -595,9 +615,17 @@ def _(s, d):
     return near_boxes(p.entities(s, d), 1e-9).select(F.col("a.scene_id").alias("scene_id"), F.col("a.uid").alias("src_uid"), F.col("b.uid").alias("tgt_uid"), g.iou("a", "b").alias("iou")).where("iou > 0")
 
 
-@query("surface_violations", f"{ES} SELECT scene_id, 'none' AS what FROM surface WHERE false")
+FAULTY = "numbered AS (SELECT *, (substr(scene_id, 7)::INT) % 5 AS k FROM surface), faulty AS (SELECT * REPLACE (CASE WHEN k = 3 THEN 2 * a ELSE a END AS a, CASE WHEN k = 3 THEN 2 * b ELSE b END AS b, CASE WHEN k = 3 THEN 2 * c ELSE c END AS c) FROM numbered WHERE NOT (k = 0 AND stype = 'floor' OR k = 1 AND stype = 'wall' OR k = 2 AND stype = 'ceiling'))"
+
+
+@query("surface_violations", f"""{ES}, {FAULTY}, n AS (SELECT scene_id, count(*) FILTER (stype = 'floor') AS f, count(*) FILTER (stype = 'wall') AS w, count(*) FILTER (stype = 'ceiling') AS t, count(*) FILTER (abs(a * a + b * b + c * c - 1) > 1e-9) AS u FROM faulty GROUP BY 1)
+SELECT * FROM (SELECT scene_id, CASE WHEN f < 1 THEN 'no_floor' WHEN w < 2 THEN 'few_walls' WHEN t < 1 THEN 'no_ceiling' WHEN u > 0 THEN 'normal_not_unit' END AS what FROM n) WHERE what IS NOT NULL""")
 def _(s, d):
+    """Surfaces of which each five scenes lack a floor, the walls or the ceiling, have normals of length 2, or are whole."""
     _, w = scene(s, d)
+    k = F.expr("cast(substr(scene_id, 7) as int) % 5")
+    w = w.where(~((k == 0) & (F.col("stype") == "floor") | (k == 1) & (F.col("stype") == "wall") | (k == 2) & (F.col("stype") == "ceiling")))
+    w = w.withColumns({c: F.when(k == 3, 2 * F.col(c)).otherwise(F.col(c)) for c in "abc"})
     n = w.groupBy("scene_id").agg(*[F.count(F.when(F.col("stype") == t, 1)).alias(t) for t in ("floor", "wall", "ceiling")], F.count(F.when(F.abs(F.col("a") * F.col("a") + F.col("b") * F.col("b") + F.col("c") * F.col("c") - 1) > 1e-9, 1)).alias("unit"))
     bad = F.when(F.col("floor") < 1, "no_floor").when(F.col("wall") < 2, "few_walls").when(F.col("ceiling") < 1, "no_ceiling").when(F.col("unit") > 0, "normal_not_unit")
     return n.select("scene_id", bad.alias("what")).where("what is not null")
@@ -733,15 +761,14 @@ def _(s, d):
     return correspond.by_source_ref(e, e.where("ordinal % 3 <> 0").withColumn("uid", F.concat(F.lit("x_"), "uid")))
 
 
-def _policies(s, d, most: int | None = 2000):
-    """Answers and wishes made of the suppliers of parts, with a policy each; of orders up to ``most``, or all."""
+def _policies(s, d):
+    """Answers and wishes made of the suppliers of all orders' parts, with a policy each."""
     li = p.load(s, d, "lineitem")
-    li = li if most is None else li.where(F.col("l_orderkey") <= most)
     names = F.array(*[F.lit(x) for x in ("exact", "all_of", "one_of", "any_of_subset", "abstain")])
     return li.groupBy(F.col("l_orderkey").alias("q")).agg(F.collect_set(F.when(F.col("l_linenumber") <= 3, F.col("l_suppkey") % 7)).alias("got"), F.collect_set(F.when(F.col("l_linenumber") >= 2, F.col("l_suppkey") % 7)).alias("want")).withColumn("policy", names[(F.col("q") % 5).cast("int")])
 
 
-_POLICY = """WITH pq AS (SELECT l_orderkey AS q, list_distinct(list(l_suppkey % 7) FILTER (l_linenumber <= 3)) AS g, list_distinct(list(l_suppkey % 7) FILTER (l_linenumber >= 2)) AS w, ['exact','all_of','one_of','any_of_subset','abstain'][l_orderkey % 5 + 1] AS policy FROM lineitem WHERE l_orderkey <= 2000 GROUP BY 1),
+_POLICY = """WITH pq AS (SELECT l_orderkey AS q, list_distinct(list(l_suppkey % 7) FILTER (l_linenumber <= 3)) AS g, list_distinct(list(l_suppkey % 7) FILTER (l_linenumber >= 2)) AS w, ['exact','all_of','one_of','any_of_subset','abstain'][l_orderkey % 5 + 1] AS policy FROM lineitem GROUP BY 1),
 pp AS (SELECT q, policy, coalesce(g, []) AS g, coalesce(w, []) AS w, len(list_intersect(coalesce(g, []), coalesce(w, []))) AS h FROM pq)"""
 
 
@@ -759,25 +786,6 @@ def _(s, d):
     return correspond.micro(_policies(s, d), ["policy"])
 
 
-def _of_all(name: str) -> str:
-    """The statement of a query that stops at order 2000, without that limit."""
-    return ORACLES[name].replace(" WHERE l_orderkey <= 2000", "")
-
-
-@query("benchmark_policy_all", _of_all("benchmark_policy"))
-def _(s, d):
-    from roomscope.operators import correspond
-
-    return correspond.policy_score(_policies(s, d, None)).select("q", "policy", "hits", "extra", "met")
-
-
-@query("micro_pr_all", _of_all("micro_pr"))
-def _(s, d):
-    from roomscope.operators import correspond
-
-    return correspond.micro(_policies(s, d, None), ["policy"])
-
-
 @query("qa_categories", "SELECT event_type AS category, count(*) AS asked, count(*) FILTER (user_id % 3 = 0) AS answered, count(*) FILTER (user_id % 3 = 1) AS empty, bool_and(user_id >= 0) AS all_met FROM events GROUP BY ROLLUP (event_type)")
 def _(s, d):
     e = p.load(s, d, "events")
@@ -792,18 +800,10 @@ def _(s, d):
     return correspond.attribution(e).groupBy("attribution").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("cosine_rank", """WITH c AS (SELECT label, list_transform(range(1, 9), lambda i: embedding[i]::DOUBLE) AS v FROM embeddings WHERE vec_id < 10), e AS (SELECT vec_id, list_transform(range(1, 9), lambda i: embedding[i]::DOUBLE) AS v FROM embeddings)
+@query("cosine_rank", """WITH c AS (SELECT label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings WHERE vec_id < 10), e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)
 SELECT vec_id, label, round(cos, 9) AS cos FROM (SELECT vec_id, c.label, list_dot_product(e.v, c.v) / (sqrt(list_dot_product(e.v, e.v)) * sqrt(list_dot_product(c.v, c.v))) AS cos FROM e, c) QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY cos DESC, label) = 1""")
 def _(s, d):
-    from roomscope.operators.evaluate import cosine_best
-
-    e = p.load(s, d, "embeddings").select("vec_id", "label", F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double")).alias("v"))
-    return cosine_best(e.select("vec_id", "v"), e.where("vec_id < 10").select("label", F.col("v").alias("c"))).select("vec_id", "label", F.round("cos", 9).alias("cos"))
-
-
-@query("cosine_rank_all", ORACLES["cosine_rank"].replace("range(1, 9)", "range(1, len(embedding) + 1)"))
-def _(s, d):
-    """cosine_rank over whole vectors."""
+    """Whole vectors against the ten labels of a bank."""
     from roomscope.operators.evaluate import cosine_best
 
     e = p.load(s, d, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))

@@ -69,8 +69,8 @@ def test_policies_of_all_orders(spark, tmp_path):
         met = {"exact": got == wish, "all_of": wish <= got, "one_of": h > 0, "any_of_subset": h > 0 and got <= wish, "abstain": not got}[policy]
         want[o] = (policy, h, len(got - wish), met)
         total = [t + x for t, x in zip(total, (h, len(got), len(wish)), strict=True)]
-    found = catalog.QUERIES["benchmark_policy_all"](spark, str(tmp_path)).collect()
+    found = catalog.QUERIES["benchmark_policy"](spark, str(tmp_path)).collect()
     assert len(found) == len(want) and {r.q: (r.policy, r.hits, r.extra, r.met) for r in found} == want
-    both = next(r for r in catalog.QUERIES["micro_pr_all"](spark, str(tmp_path)).collect() if r.policy is None)
+    both = next(r for r in catalog.QUERIES["micro_pr"](spark, str(tmp_path)).collect() if r.policy is None)
     assert [both.hits, both.cited, both.expected] == total and both.precision == total[0] / total[1] and both.recall == total[0] / total[2]
-    assert "l_orderkey <=" not in catalog.ORACLES["benchmark_policy_all"] + catalog.ORACLES["micro_pr_all"]
+    assert "l_orderkey <=" not in catalog.ORACLES["benchmark_policy"] + catalog.ORACLES["micro_pr"]

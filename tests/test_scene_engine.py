@@ -159,7 +159,7 @@ def test_cosine_of_whole_vectors(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
     cos = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) / sum(x * x for x in a) ** 0.5 / sum(x * x for x in b) ** 0.5
     given = {r.vec_id: list(r.embedding) for r in spark.read.parquet(str(tmp_path / "embeddings.parquet")).collect()}
-    got = {r.vec_id: (r.label, r.cos) for r in catalog.QUERIES["cosine_rank_all"](spark, str(tmp_path)).collect()}
+    got = {r.vec_id: (r.label, r.cos) for r in catalog.QUERIES["cosine_rank"](spark, str(tmp_path)).collect()}
     assert len(got) == 30
     for i, v in given.items():
         best = max(range(10), key=lambda k: cos(v, given[k]))
