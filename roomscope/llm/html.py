@@ -7,7 +7,7 @@ down, for all pages of a batch at once, level by level, and give every element's
 over labelled pages. Text whose element is more likely content than not makes up the result.
 
 Blocks (paragraphs, headings, list items, cells and so on) are joined by an empty line; white space inside a block is one space;
-character references are decoded. Scripts, styles, templates, comments and the head hold no text. Null and empty pages give an
+character references are decoded. Scripts, styles, templates, comments, the head and elements with ``hidden`` hold no text. Null and empty pages give an
 empty text. Pages are independent, so repeated rows repeat; only page_id, url and html are read.
 """
 
@@ -28,8 +28,10 @@ _TOKEN = re.compile(
     re.S,
 )
 _ATTR = re.compile(r"""\b(class|id|role|aria-label|hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_QUOTED = re.compile(r"""=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+)""")
+_HIDDEN = re.compile(r"(?:^|\s)hidden(?=\s|/|\Z)", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style template noscript textarea title svg math iframe object select option".split())
+RAW = frozenset("script style template noscript textarea title svg iframe select option".split())
 BLOCK = frozenset(
     "address article aside blockquote body dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split()
 )
@@ -116,7 +118,7 @@ def parse(page: str) -> Tree:
             t.attrs.append(attrs)
             t.parent.append(stack[-1])
             t.depth.append(t.depth[stack[-1]] + 1)
-            t.hidden.append(t.hidden[stack[-1]] or name == "head")
+            t.hidden.append(t.hidden[stack[-1]] or name == "head" or ("hidden" in attrs.lower() and bool(_HIDDEN.search(_QUOTED.sub(" ", attrs)))))
             if not self_closed:
                 stack.append(len(tags) - 1)
         elif name := m["close"]:
@@ -242,6 +244,23 @@ def labelled_pages() -> list[tuple[Tree, list[int]]]:
             if k % 2:
                 layout = f'<body><div class="page">{layout[6:-7]}</div></body>'
             out.append(_label(layout))
+    foot = '<div class="share-buttons"><a href="/f">Share</a> <a href="/t">Post</a></div>'
+    cited = f'<p>{mid}See <a href="/a">the mill</a> and <a href="/b">the orchard</a>, both of them old.</p>'
+    for h in heads:
+        inner = [
+            f"<h1>{h}</h1>{cited}<p><a href='/c'>The whole list of the valley's mills and their owners</a></p><p>{long}</p>",
+            f"<h1>{h}</h1><p>{long}</p>]]{foot}[[<p>{mid}</p>]]<aside><h3>Related</h3><ul>{links}</ul></aside>[[",
+            f'<h2>{h}</h2><p>{mid}</p><p>{long}</p><p class="footer-note">{mid}</p>',
+            f"<h1>{h}</h1><table><tr><th>Year</th><th>Mills</th></tr><tr><td>1880</td><td>3</td></tr></table><ul><li>{mid}</li><li>Iron</li></ul><p>{mid}</p>",
+        ]
+        for k, x in enumerate(inner):
+            out.append(_label(f"<body>{tops[k]}[[<article>{x}</article>]]{feet[k % 3]}</body>"))
+            out.append(_label(f"<body>{tops[3 - k]}[[<main>{x}</main>]]{sides[k]}{feet[(k + 1) % 3]}</body>"))
+        out.append(_label(f"[[<body><p>{long}</p><p>{mid}</p></body>]]"))
+        out += [_label(f"[[<p>{mid}</p><p>{mid}</p>]]"), _label(f"[[<h1>{h}</h1><p>{long}</p><p>{mid}</p>]]")]
+        out.append(_label(f"<body>{tops[0]}[[<article><h1>{h}</h1>{cited}<p><a href='/c'>The whole list of the valley's mills and their owners</a></p></article>]]</body>"))
+        out.append(_label(f"<body>[[<article><h1>{h}</h1><p>{mid}</p>]]{foot}[[<p>{mid}</p>]]<aside><ul>{links}</ul></aside>[[</article>]]</body>"))
+        out.append(_label(f"[[<body><h1>{h}</h1><p>{long}</p><p>{cited}</p></body>]]"))
     return out
 
 

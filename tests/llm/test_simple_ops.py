@@ -246,3 +246,15 @@ def test_licences_and_their_relatives():
         assert got[0] == name and got[1] > 0.9 and got[4] > 0, (name, got)
     long = ("word under the law " * 50 + "\n") * 2000
     assert m.scan(f"{long}Released under the MIT License.\n{long}".encode(), 0.7)[:3] == ("MIT", pytest.approx(1.0), 1)
+
+
+def test_extraction_of_other_layouts():
+    """Layouts in which parts of other kinds are inside the article, and what is hidden."""
+    model = html.Potentials(html.labelled_pages())
+    shared = "<body><article><h1>Bread</h1><p>Flour, water and salt are all it takes, and some hours of time.</p><div class='share'><a href=/f>Share</a></div><p>Bake it until it is brown, then let it rest.</p><aside><ul><li><a href=/1>Cake</a></li></ul></aside></article></body>"
+    noted = "<body><article><h1>Notes</h1><p>The first edition was printed in 1840, the second ten years later.</p><p class='footer-note'>Both are in the town's library.</p></article></body>"
+    hidden = "<body><article><p>Shown, as it should be, to all.</p><p hidden>Not shown.</p><p class='a hidden'>A small town, by a lake.</p><p title=' hidden '>Where <math><mi>x</mi></math> is small.</p></article></body>"
+    got = html.extract([shared, noted, hidden], model)
+    assert got[0] == "Bread\n\nFlour, water and salt are all it takes, and some hours of time.\n\nBake it until it is brown, then let it rest."
+    assert got[1].endswith("later.\n\nBoth are in the town's library.")
+    assert got[2] == "Shown, as it should be, to all.\n\nA small town, by a lake.\n\nWhere x is small."
