@@ -300,6 +300,24 @@ def test_class_families(spark):
     assert [r[0] for r in df.select(text.class_norm(F.col("label"))).collect()] == ["table", "plant-stand", "chair", "tv-stand", "x", "7"]
 
 
+def as_stated(spark, name):
+    """The query's rows, and those of its DuckDB statement."""
+    import duckdb
+
+    from roomscope import catalog
+
+    con = duckdb.connect()
+    for t in ("embeddings", "events", "orders", "part", "customer", "supplier", "lineitem", "nation", "region"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+    flat = lambda rows: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in rows)
+    return flat(catalog.QUERIES[name](spark, DATA).collect()), flat(con.execute(catalog.ORACLES[name]).fetchall())
+
+
+def test_edge_set_diff_is_as_stated(spark):
+    got, want = as_stated(spark, "edge_set_diff")
+    assert got == want and {r[3] for r in want} == {"only_first", "only_second"}
+
+
 def test_stream_equals_batch(spark, tmp_path):
     from roomscope.streaming.evidence import running_evidence
 
