@@ -318,6 +318,11 @@ def test_edge_set_diff_is_as_stated(spark):
     assert got == want and {r[3] for r in want} == {"only_first", "only_second"}
 
 
+def test_relation_diff_is_as_stated(spark):
+    got, want = as_stated(spark, "relation_diff")
+    assert got == want and all(r[1] and r[2] and r[3] for r in want)
+
+
 def test_stream_equals_batch(spark, tmp_path):
     from roomscope.streaming.evidence import running_evidence
 
