@@ -44,6 +44,7 @@ HOT = 1 << 20
 LOW32 = U(0xFFFFFFFF)
 STRETCH = 1_500_000
 _PIECE = 1_900_000
+GROUP = 1 << 19
 _ZSTD = pa.Codec("zstd", compression_level=1)
 #: Numbers of words begin at 1. NONE: no word before, or one that training never met.
 _START_NUMBER, NONE = 0, (1 << 63) - 1
@@ -264,8 +265,10 @@ def stretches(table: pa.Table, size: int) -> Iterator[Stretch]:
         n += len(h)
         at = end
         if n >= size:
-            yield done()
+            stretch = done()
             held, n = [], 0
+            yield stretch
+            del stretch
     if held:
         yield done()
 
@@ -399,21 +402,19 @@ class Asked:
 
     def told(self, answers: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of each triple: discounted probability and weight of the rest after the last word, and after both."""
-        parts = [_expanded(p) for p in answers]
-        n = len(self.shard)
-        out = [np.zeros(n) for _ in range(4)]
-        if not n:
-            return tuple(out)
-        real = self.word >= 0
-        new_last = np.concatenate(([True], (self.shard[1:] != self.shard[:-1]) | (self.last[1:] != self.last[:-1])))
-        new_two = new_last | np.concatenate(([True], self.two[1:] != self.two[:-1]))
-        out[0][real] = np.concatenate([expand(p[0], p[5][0]) for p in parts])
-        out[2][real] = np.concatenate([expand(p[1], p[5][1]) for p in parts])
-        kinds = np.concatenate([p[2] for p in parts])[np.cumsum(new_last) - 1]
-        out[1][:] = DISCOUNT * kinds / self.count[self.last]
-        kinds, met = (np.concatenate([p[i] for p in parts])[np.cumsum(new_two) - 1] for i in (3, 4))
-        out[3][:] = np.where(met > 0, DISCOUNT * kinds / np.maximum(met, 1), 1.0)
-        return tuple(out)
+        seen, rest, seen_two, rest_two = (np.zeros(len(self.shard)) for _ in range(4))
+        edges = np.flatnonzero(np.diff(self.shard, prepend=-1, append=-1)).tolist()
+        for a, z, data in zip(edges[:-1], edges[1:], answers, strict=True):
+            code2, code3, kinds, kinds_two, met, steps = _expanded(data)
+            real = self.word[a:z] >= 0
+            last, two = self.last[a:z], self.two[a:z]
+            new_last = np.concatenate(([True], last[1:] != last[:-1]))
+            i = np.cumsum(new_last | np.concatenate(([True], two[1:] != two[:-1]))) - 1
+            seen[a:z][real] = expand(code2, steps[0])
+            seen_two[a:z][real] = expand(code3, steps[1])
+            rest[a:z] = DISCOUNT * kinds[np.cumsum(new_last) - 1] / self.count[last]
+            rest_two[a:z] = np.where(met > 0, DISCOUNT * kinds_two / np.maximum(met, 1), 1.0)[i]
+        return seen, rest, seen_two, rest_two
 
 
 class Hot:
@@ -477,10 +478,8 @@ def _send(shards: int, size: int, hot: int, order: int, hot_pairs: bool):
     return run
 
 
-def _smoothed(count: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, float]:
-    p = (count - DISCOUNT) / np.maximum(np.maximum(total, count), 1)
-    steps = steps_for(p)
-    return quantise(p, steps) if len(p) else np.zeros(0, dtype=np.uint8), steps
+def _discounted(count: np.ndarray, total: np.ndarray) -> np.ndarray:
+    return (count - DISCOUNT) / np.maximum(np.maximum(total, count), 1)
 
 
 def _answer_pairs(rows: list[tuple[int, bytes]]) -> Iterator[tuple[int, bytes]]:
@@ -495,7 +494,9 @@ def _answer_pairs(rows: list[tuple[int, bytes]]) -> Iterator[tuple[int, bytes]]:
     count = np.bincount(at, np.concatenate([x[7] for x in parts]), len(key))
     taught = count > 0
     parent = key >> 32
-    code, steps = _smoothed(count[taught], total[parent[taught]])
+    p = _discounted(count[taught], total[parent[taught]])
+    steps = steps_for(p)
+    code = quantise(p, steps)
     trie = Trie([(len(lasts), parent[taught], key[taught] & 0xFFFFFFFF)], [code])
     codes = trie.code(0, trie.levels[0].find(parent, key & 0xFFFFFFFF))[at]
     kinds = np.bincount(parent[taught], minlength=len(lasts))[group]
@@ -505,20 +506,27 @@ def _answer_pairs(rows: list[tuple[int, bytes]]) -> Iterator[tuple[int, bytes]]:
         i, j = i + len(name), j + len(times)
 
 
-def _answer_triples(rows: list[tuple[int, bytes]]) -> Iterator[tuple[int, bytes]]:
-    """The shard's part of the trie, from all that was sent, and each question looked up in it."""
-    parts = [(b, _stretch_of(p), *_expanded(p)) for b, p in rows]
-    numbers, last = np.unique(np.concatenate([x[2] for x in parts]), return_inverse=True)
+def _ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The numbers first, first + 1 and so on, ``count`` of them, one range after the other."""
+    return np.repeat(first - (np.cumsum(count, dtype=np.int64) - count), count) + np.arange(int(count.sum()))
+
+
+def _look_up(name, hot, n_two, pair, n_word, asked, times, steps: np.ndarray) -> tuple[np.ndarray, ...]:
+    """A part of the trie from these triples, and each of them looked up in it; first the steps that its probabilities need.
+
+    Words before contexts' last ones are ``name``, each with ``n_two`` of ``pair``, and each of these with ``n_word`` of ``asked``.
+    """
+    numbers, last = np.unique(name, return_inverse=True)
     is_hot = np.zeros(len(numbers), dtype=bool)
-    is_hot[last] = np.concatenate([x[3] for x in parts])
-    two_numbers, two = np.unique(np.concatenate([x[5] for x in parts]), return_inverse=True)
+    is_hot[last] = hot
+    two_numbers, two = np.unique(pair, return_inverse=True)
     no_two = two_numbers[0] == 0 if len(two_numbers) else False
-    context, at_context = np.unique((np.repeat(last, np.concatenate([x[4] for x in parts])) << 32) | two, return_inverse=True)
+    context, at_context = np.unique((np.repeat(last, n_two) << 32) | two, return_inverse=True)
     del two
-    words, word = np.unique(np.concatenate([x[7] for x in parts]), return_inverse=True)
-    key, at = np.unique((np.repeat(at_context, np.concatenate([x[6] for x in parts])) << 32) | word, return_inverse=True)
+    words, word = np.unique(asked, return_inverse=True)
+    key, at = np.unique((np.repeat(at_context, n_word) << 32) | word, return_inverse=True)
     del word
-    count = np.bincount(at, np.concatenate([x[8] for x in parts]), len(key)).astype(np.int64)
+    count = np.bincount(at, times, len(key)).astype(np.int64)
     taught = np.flatnonzero(count)
     value = key & 0xFFFFFFFF
     # After both words; a context without a word before is none.
@@ -533,8 +541,9 @@ def _answer_triples(rows: list[tuple[int, bytes]]) -> Iterator[tuple[int, bytes]
     single_taught = np.flatnonzero((single_count > 0) & ~is_hot[parent])
     total = np.bincount(parent[single_taught], single_count[single_taught], len(numbers))
     single_kinds = np.bincount(parent[single_taught], minlength=len(numbers))
-    code2, steps2 = _smoothed(single_count[single_taught], total[parent[single_taught]])
-    code3, steps3 = _smoothed(count[both], met[of[both]])
+    p2 = _discounted(single_count[single_taught], total[parent[single_taught]])
+    p3 = _discounted(count[both], met[of[both]])
+    needed = np.array([steps_for(p2), steps_for(p3)])
     real = np.flatnonzero(met)  # contexts of two words that training met
     rank = np.cumsum(met > 0) - 1
     trie = Trie(
@@ -544,19 +553,57 @@ def _answer_triples(rows: list[tuple[int, bytes]]) -> Iterator[tuple[int, bytes]
             (len(real), rank[of[both]], value[both]),
             (len(numbers), parent[single_taught], single[single_taught] & 0xFFFFFFFF),
         ],
-        [code3, code2],
+        [quantise(p3, steps[1]), quantise(p2, steps[0])],
     )
-    del rank, both, taught, single_taught
+    del rank, both, taught, single_taught, p2, p3
     names, before, after, alone = trie.levels
     first = names.find(np.zeros(len(numbers), dtype=np.int64), numbers.astype(np.int64))
     second = before.find(first[context >> 32], context & 0xFFFFFFFF)
     code3 = trie.code(0, after.find(second[of], value))[at]
     code2 = trie.code(1, alone.find(first[parent], single & 0xFFFFFFFF))[at_single][at]
-    single_kinds, kinds, met = single_kinds[last], kinds[at_context], met[at_context]
+    return needed, code2, code3, single_kinds[last], kinds[at_context], met[at_context]
+
+
+def _answer_triples(rows: list[tuple[int, bytes]]) -> Iterator[tuple[int, bytes]]:
+    """The shard's part of the trie, from all that was sent, and each question looked up in it.
+
+    Below different last words nothing is shared, so the work goes by groups of them, about GROUP triples at a time: arrays as long
+    as all of the shard's triples are only those sent and the answers.
+    """
+    parts = [(b, _stretch_of(p), *_expanded(p)) for b, p in rows]
+    sizes = [(b, k, len(x[0]), len(x[3]), len(x[6])) for b, k, *x in parts]
+    name, hot, n_two, pair, n_word, word, times = ([x[i] for x in parts] for i in range(2, 9))
+    del parts
+    columns = []
+    for x in (name, hot, n_two, pair, n_word, word, times):
+        columns.append(np.concatenate(x))
+        x.clear()
+    name, hot, n_two, pair, n_word, word, times = columns
+    first_pair, first_word = (np.cumsum(x, dtype=np.int64) - x for x in (n_two, n_word))
+    numbers, last = np.unique(name, return_inverse=True)
+    weight = np.bincount(last, np.add.reduceat(n_word, first_pair, dtype=np.int64) + n_two, len(numbers)).astype(np.int64)
+    group = ((np.cumsum(weight) - weight) // GROUP)[last]
+    order = np.argsort(group, kind="stable")
+    edges = np.flatnonzero(np.diff(group[order], prepend=-1, append=-1))
+    del numbers, last, weight, group
+    code2, code3 = np.empty(len(word), dtype=np.uint8), np.empty(len(word), dtype=np.uint8)
+    single_kinds, kinds, met = np.empty(len(name), dtype=np.uint32), np.empty(len(pair), dtype=np.uint32), np.empty(len(pair), dtype=np.int64)
+    steps = np.full(2, 32.0)
+    while True:
+        needed = steps
+        for a, z in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            i = order[a:z]
+            j = _ranges(first_pair[i], n_two[i])
+            m = _ranges(first_word[j], n_word[j])
+            need, code2[m], code3[m], single_kinds[i], kinds[j], met[j] = _look_up(name[i], hot[i], n_two[i], pair[j], n_word[j], word[m], times[m], steps)
+            needed = np.minimum(needed, need)
+        if (needed == steps).all():
+            break
+        steps = needed  # a shard's codes have the same steps, those that its smallest probability needs
     i = j = m = 0
-    for b, k, name, _, _, pair, _, _, times in parts:
-        yield b, _squeeze(k, code2[m : m + len(times)], code3[m : m + len(times)], single_kinds[i : i + len(name)].astype(np.uint32), kinds[j : j + len(pair)].astype(np.uint32), _narrow(met[j : j + len(pair)]), np.array([steps2, steps3]))
-        i, j, m = i + len(name), j + len(pair), m + len(times)
+    for b, k, names, pairs, words in sizes:
+        yield b, _squeeze(k, code2[m : m + words], code3[m : m + words], single_kinds[i : i + names], kinds[j : j + pairs], _narrow(met[j : j + pairs]), steps)
+        i, j, m = i + names, j + pairs, m + words
 
 
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -568,12 +615,20 @@ def _score(shards: int, size: int, hot: int, order: int, n: int, v: int):
         words, triples, pairs = (_by_stretch([x for x in answers if x[0] // shards == i]) for i in range(3))
         for k, s in enumerate(stretches(table, size) if table.num_rows else ()):
             a = Asked(s, words[k], shards, hot, order)
-            base = (a.tokens[s.token] + 1.0) / (n + 1.0 * (v + 1))
-            seen, rest, seen_two, rest_two = a.told(triples.get(k, []))
-            Hot(a).told(pairs.get(k, []), seen, rest)
-            p = base.copy()
-            i = a.at
-            p[a.where] = seen_two[i] + rest_two[i] * (seen[i] + rest[i] * base[a.where])
+            h = Hot(a)
+            seen, p, seen_two, rest_two = a.told(triples.get(k, []))
+            h.told(pairs.get(k, []), seen, p)
+            del h
+            base = (np.append(a.tokens, 0) + 1.0) / (n + 1.0 * (v + 1))  # at the end, of words that training never met
+            p *= base[a.word]
+            p += seen
+            p *= rest_two
+            p += seen_two
+            del seen, seen_two, rest_two
+            base = base[s.token]
+            each, p = p, base.copy()
+            p[a.where] = each[a.at]
+            del each
             doc = np.repeat(s.rows, s.sizes)
             rows = table.num_rows
             cols["n_tokens"] += np.bincount(doc, minlength=rows)

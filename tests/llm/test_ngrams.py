@@ -140,3 +140,39 @@ def test_small_probabilities_keep_their_size():
     steps = ngrams.steps_for(p)
     assert np.abs(np.log10(ngrams.expand(ngrams.quantise(p, steps), steps) / p)).max() < 0.5 / steps + 1e-9
     assert ngrams.steps_for(p[:2]) == ngrams.steps_for(p[:0]) == 32
+
+
+def asked_of_a_shard(stretches, lasts, rare=1):
+    """What so many stretches ask one shard: some last words, the words before them, and their successors."""
+    r = np.random.default_rng(6)
+    for k in range(stretches):
+        name = r.choice(lasts * 3, lasts, replace=False).astype(np.uint32) + 1
+        pair = [np.sort(r.choice(60, n, replace=False)) for n in r.integers(1, 20, lasts)]  # 0: no word before
+        n_word = r.integers(0, 9, sum(map(len, pair))).astype(np.uint32)
+        word = np.concatenate([r.choice(200, n, replace=False) for n in n_word]).astype(np.uint32) + 1
+        times = r.integers(0, 4, len(word)).astype(np.uint32)
+        times[::97] *= rare
+        yield k, ngrams._squeeze(k, name, (name % 17 == 0).astype(np.uint8), np.array([len(x) for x in pair], dtype=np.uint32), np.concatenate(pair).astype(np.uint32), n_word, word, times)
+
+
+@pytest.mark.parametrize("rare", [1, 1_000_000_000])
+def test_groups_of_a_shard_change_no_answer(monkeypatch, rare):
+    rows = list(asked_of_a_shard(3, 40, rare))
+    whole = list(ngrams._answer_triples(rows))
+    assert (ngrams._expanded(whole[0][1])[-1] < 32).all() == (rare > 1)
+    for most in (1, 60):
+        monkeypatch.setattr(ngrams, "GROUP", most)
+        assert list(ngrams._answer_triples(rows)) == whole
+
+
+def test_memory_of_a_shard():
+    import tracemalloc
+
+    rows = list(asked_of_a_shard(10, 4000))
+    triples = sum(len(ngrams._expanded(p)[-1]) for _, p in rows)
+    tracemalloc.start()
+    for _ in ngrams._answer_triples(rows):
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert triples > 1_500_000 and peak < 100 * triples
