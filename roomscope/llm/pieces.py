@@ -18,7 +18,7 @@ import re
 import struct
 from array import array
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, islice
 
 import numpy as np
 import pyarrow as pa
@@ -89,20 +89,26 @@ class CharMap:
 
 
 class _Memo(dict):
-    """Segments met so far, up to a number; no character's bytes are shared by two segments, so each is decoded alone."""
+    """Ids of the segments met so far, up to a number, comma-joined and as integers."""
 
     def __init__(self, model: PieceModel):
         super().__init__()
         self.model = model
 
-    def __missing__(self, s: str) -> tuple[str, bytes, bytes, bytes]:
-        got = self.model._segment(s)
+    def __missing__(self, s: str) -> tuple[str, bytes]:
+        got = self.model._ids(s)
         if len(s) < 200:
             if len(self) >= self.model._limit:
-                self.clear()
+                self.shrink()
             self[s] = got
         return got
 
+    def shrink(self) -> None:
+        """Down to a quarter of the limit: those met first, as the frequent ones are among them."""
+        kept = list(islice(self.items(), self.model._limit // 4))
+        self.clear()
+        self.update(kept)
+
 
 class PieceModel:
     def __init__(self, data: bytes, memo: int = 300_000):
@@ -136,6 +142,13 @@ class PieceModel:
         # Cuts are safe where no piece could span them: before a marker, and around a new line.
         inner = any(MARK in p.lstrip(MARK) or "\n" in p for p in self.vocab)
         self._cut = re.compile(r"(?s).+" if inner or self.user else r"\n|[ ▁]+[^ ▁\n]*|[^ ▁\n]+")
+        # Bytes of each piece with a blank for the marker; 0 of bytes of longer characters, -1 of what doesn't stand for itself.
+        self._sizes = np.array([len(p.replace(MARK, " ").encode()) if i == self.vocab.get(p) else -1 for i, p in enumerate(self.pieces)], dtype=np.int64)
+        self._starts = np.zeros(len(self.pieces), dtype=bool)
+        for x, i in self.byte_ids.items():
+            self._sizes[i] = x < 0x80
+            self._starts[i] = x >= 0xC0
+        self._said = list(map(str, range(len(self.pieces))))
         self._limit = memo
         self._memo = _Memo(self)
 
@@ -294,6 +307,25 @@ class PieceModel:
         """True where the map is empty, so that the alignment is the identity but for word markers."""
         return not self.map.units and not self.squeeze and self.escape and self.dummy and not self.user
 
+    def _ids(self, s: str) -> tuple[str, bytes]:
+        marked = s.replace(" ", MARK)
+        ids = list(map(self.vocab.get, self.merge(marked)))
+        if None in ids:
+            ids = [k for k, _ in self._pieces(marked)]
+        return ",".join(map(self._said.__getitem__, ids)), array("i", ids).tobytes()
+
+    def _sizes_of(self, ids: np.ndarray) -> np.ndarray | None:
+        """Bytes of the text that each piece takes, those of a character told by its bytes at the last one; None where ids don't say."""
+        size = self._sizes[ids]
+        least = int(size.min())
+        if least < 0:
+            return None
+        if least == 0:
+            byte, start = size == 0, self._starts[ids]
+            last = np.flatnonzero(byte & np.append(~byte[1:] | start[1:], True))
+            size[last] = last - np.flatnonzero(start) + 1
+        return size
+
     def _segment(self, s: str) -> tuple[str, bytes, bytes, bytes]:
         """Ids comma-joined, the ends of the pieces in the segment's bytes, the decoded bytes, and the ids as integers."""
         marked = s.replace(" ", MARK)
@@ -319,7 +351,15 @@ class PieceModel:
             return np.array(ids, dtype=np.int32), ",".join(map(str, ids)), self.decode(ids), end
         if not text:
             return np.zeros(0, dtype=np.int32), "", "", np.zeros(0, dtype=np.int32)
-        said, ends, back, ids = zip(*map(self._memo.__getitem__, self._cut.findall(" " + text)), strict=True)
+        segments = self._cut.findall(" " + text)
+        if MARK not in text:
+            said, ids = zip(*map(self._memo.__getitem__, segments), strict=True)
+            ids = np.frombuffer(b"".join(ids), dtype=np.int32)
+            size = self._sizes_of(ids)
+            if size is not None:  # every piece stands for its own characters, so that they decode to the text
+                return ids, ",".join(said), text, np.maximum(np.cumsum(size) - 1, 0)
+        # No character's bytes are shared by two segments, so each is decoded alone.
+        said, ends, back, ids = zip(*map(self._segment, segments), strict=True)
         counts = np.fromiter(map(len, ends), dtype=np.int64, count=len(ends)) // 4
         end = np.frombuffer(b"".join(ends), dtype=np.int32)
         size = end[np.cumsum(counts) - 1]  # a segment's last piece ends where it does
@@ -419,7 +459,7 @@ def piece_digests(docs: DataFrame, model_path: str, with_ids: bool = False) -> D
                 if with_ids:
                     cols.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(np.concatenate(all_ids))))
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ends_sha256", "ids"][: len(cols)])
-        model._memo.clear()
+        model._memo.shrink()
         release()
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA + ", ids array<int>" * with_ids)

@@ -31,6 +31,25 @@ def test_equals_library(both):
         assert all(a <= b for a, b in zip(begin, end2, strict=True)) and (not len(end2) or end2[-1] == len(t.encode()))
 
 
+def test_what_decodes_to_itself_is_not_decoded(both):
+    sp, m = both
+    random.seed(8)
+    for n in [1, 2, 3, 5, 20, 60] * 40:
+        t = "".join(random.choice(" \nthe,aé日本😀\U000f0000\u0378\t\0") for _ in range(n))
+        ids, joined, back, end = m.digest(t)
+        own, _, want = m.encode(t)
+        assert back is t and ids.tolist() == own == sp.encode(t) and sp.decode(own) == t
+        assert joined == ",".join(map(str, own)) and end.tolist() == want.tolist()
+
+
+def test_memo_keeps_what_it_met_first():
+    m = pieces.PieceModel.load(P.path("piece_bpe_32k.model"), memo=40)
+    m.digest("the of " + " ".join(f"x{i}" for i in range(200)))
+    assert " the" in m._memo and " of" in m._memo and len(m._memo) <= 40
+    m._memo.shrink()
+    assert " the" in m._memo and len(m._memo) == 10
+
+
 def test_spans_give_surfaces(both):
     _, m = both
     t = "Hello  wörld and more"
